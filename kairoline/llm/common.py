@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +47,22 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped or not os.path.isdir(package):  # in an archive already: it was sent
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        copy = shutil.copytree(package, os.path.join(folder, "own", os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), f"{os.path.basename(package)}-{uuid.uuid4().hex[:8]}"), "zip", os.path.dirname(copy))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is. lower() is far quicker, and the same on ASCII."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, url_filter
-from .common import read_table
+from . import decontaminate, langid, mixing, pii, tokens, toxicity, url_filter
+from .common import crc_mod, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,26 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), RULES)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 3) == 1)
+    model = toxicity.fit(docs.where(~F.col("held_out")), read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=("doc_id", "held_out"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,7 +47,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate}
+QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_pii": op2_pii, "op3_langid": op3_langid, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate}
 
 _OP1_SQL = r"""
 WITH p AS (
