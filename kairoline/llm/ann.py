@@ -32,16 +32,16 @@ from pyspark.sql import types as T
 
 from .common import Scratch, ship
 
-K = 20
-TABLES = 4
+K = 24
+TABLES = 6
 LEAF = 256
-ROUNDS = 10
-DELTA = 0.02
-BEAM = 128
-HOPS = 6
+ROUNDS = 12
+DELTA = 0.01
+BEAM = 192
+HOPS = 8
 RERANK = 40
 #: Pairs that a node may get from one gathering in a round; those that it misses, others give.
-OFFERS = 6
+OFFERS = 10
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, simhash, tokens, toxicity, url_filter
+from . import ann, decontaminate, langid, mixing, pii, simhash, tokens, toxicity, url_filter
 from .common import crc_mod, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 3) == 1)
     model = toxicity.fit(docs.where(~F.col("held_out")), read_table(spark, sf_dir, "labels"))
@@ -52,7 +56,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_simhash": op4_simhash, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate}
+QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate}
 
 _OP1_SQL = r"""
 WITH p AS (
