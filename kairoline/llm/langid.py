@@ -110,3 +110,17 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     columns = df.columns
     added = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
     return df.mapInArrow(scan, T.StructType([*df.schema.fields, *added]))
+
+
+def keep_identified(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", **how) -> DataFrame:
+    """df's rows whose text isn't rejected, unchanged."""
+    ship(df.sparkSession)
+    model = df.sparkSession.sparkContext.broadcast(dictionaries)
+    at = df.columns.index(text)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier = Classifier(model.value, **how)
+        for batch in batches:
+            yield batch.filter(pa.array([not classifier.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(scan, df.schema)

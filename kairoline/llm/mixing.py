@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+WEIGHTS = (5, 2, 1)
+MAX_REPEAT = 3
 #: Bits of the hash that each histogram resolves.
 LEVELS = (15, 15, 15, 15)
 
@@ -56,20 +58,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeat: int)
     return filled.withColumn("common", common).select("source", "source_size", F.when(F.col("free"), F.col("common") * F.col("w")).otherwise(F.col("cap")).cast("double").alias("target"))
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (0 to max_repeat) and taken (size * copies) of every row."""
-    spark = df.sparkSession
-    scratch = Scratch(spark, "mix")
-    # the text is read once; all that follows works on this narrow table
-    narrow = scratch.write(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key_hash(F.col(key)).alias("h")))
+def measured(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, source, size and h: all that mixing needs of a document."""
+    return df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key_hash(F.col(key)).alias("h"))
+
+
+def plan(narrow: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """s, source_size, target, full (copies of every document) and cut (the hash below which there is one more), a row
+    for each source of what ``measured`` gives."""
     targets = scratch.write(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budgets = targets.withColumn("full", full.cast("long")).withColumn("budget", F.col("target") - F.col("full") * F.col("source_size"))
     cuts = _thresholds(narrow, budgets.select(F.col("source").alias("s"), "budget"), scratch)
-    plan = budgets.join(cuts, budgets["source"].eqNullSafe(cuts["s"]), "left").select(F.col("source").alias("s"), "source_size", "target", "full", "cut")
-    copies = F.col("full") + F.when(F.col("h") < F.coalesce("cut", F.lit(0)), 1).otherwise(0)
-    out = narrow.join(plan, narrow["source"].eqNullSafe(plan["s"]), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    both = budgets.join(cuts, budgets["source"].eqNullSafe(cuts["s"]), "left")
+    return scratch.write(both.select(F.col("source").alias("s"), "source_size", "target", "full", F.coalesce("cut", F.lit(0).cast("long")).alias("cut")))
+
+
+def _copies(h: Column) -> Column:
+    return (F.col("full") + F.when(h < F.col("cut"), 1).otherwise(0)).cast("long")
+
+
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (0 to max_repeat) and taken (size * copies) of every row."""
+    scratch = Scratch(df.sparkSession, "mix")
+    narrow = scratch.write(measured(df, key, text, source))  # the text is read once
+    by_source = plan(narrow, scratch, weights, max_repeat)
+    out = narrow.join(by_source, narrow["source"].eqNullSafe(by_source["s"]), "left").withColumn("copies", _copies(F.col("h")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def take(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, key: str = "doc_id", text: str = "text", source: str = "source", copy: str = "copy") -> DataFrame:
+    """The mixed corpus: df's rows, each as often as the mix takes it, numbered from 1 in a column more.
+
+    The plan has a row for each source, so rows of df find their number of copies without a shuffle of texts as
+    long as Spark can broadcast it."""
+    scratch = Scratch(df.sparkSession, "mix")
+    by_source = plan(scratch.write(measured(df, key, text, source)), scratch, weights, max_repeat)
+    found = df.join(by_source.select("s", "full", "cut"), df[source].eqNullSafe(by_source["s"]), "left").withColumn("_copies", _copies(key_hash(df[key])))
+    some = found.where(F.col("_copies") > 0)
+    return some.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(df[c] for c in df.columns), copy)
 
 
 def _thresholds(narrow: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, pii, simhash, tokens, toxicity, url_filter
+from . import ann, decontaminate, langid, mixing, pii, simhash, substrings, tokens, toxicity, url_filter
 from .common import crc_mod, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +56,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(substrings.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate, "op10_suffix_dedup": op10_suffix_dedup}
 
 _OP1_SQL = r"""
 WITH p AS (
