@@ -5,11 +5,11 @@ times its own size; what that leaves over goes to the other sources by weight. A
 floor(target / size) times, and the documents below a hash threshold once more.
 
 The threshold comes without sorting documents: sum sizes by source and the top bits of the hash, find the bucket in
-which the running sum crosses the budget, and repeat on the next bits for the documents in that bucket alone. Four
+which the running sum crosses the budget, and repeat on the next bits for the documents in that bucket alone. Six
 levels use up all 60 bits of the hash, so the last bucket holds one hash value: it is taken if that brings the sum nearer
 to the budget. A larger budget takes all that a smaller one takes.
 
-Nothing is collected. A histogram has at most 2**15 rows for each source, summed before the shuffle; the weights
+Nothing is collected. A histogram has at most 1024 rows for each source, summed before the shuffle; the weights
 need one row for each source in one place.
 
 Nulls: a null text has size 0 and is taken as its hash says, for no words; a null source is a source, last of all; a
@@ -27,7 +27,7 @@ from .common import Scratch
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 #: Bits of the hash that each histogram resolves.
-LEVELS = (15, 15, 15, 15)
+LEVELS = (10, 10, 10, 10, 10, 10)
 
 
 def word_count(text: Column) -> Column:
