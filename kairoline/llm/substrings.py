@@ -45,6 +45,8 @@ CROWD = 5000
 #: Bytes hashed at once, and anchors whose contexts a task compares before it sends them on.
 PIECE = 1 << 20
 HELD = 1 << 20
+#: Crowded anchors whose list may be broadcast, at 16 bytes each; beyond, it is joined by a shuffle.
+MAX_CROWDS = 1_000_000
 #: Bytes of strings that a task sorts into one run, and contexts in a bucket on average.
 RUN_BYTES = 24 << 20
 BUCKET = 40_000
@@ -382,6 +384,8 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     if not n:
         return ready
     crowds = several.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor", F.lit(True).alias("crowded"))
+    if n // crowd <= MAX_CROWDS:  # there are no more crowds than that
+        crowds = F.broadcast(crowds)
     marked = several.join(crowds, "anchor", "left").select("rid", F.struct("anchor", F.col("a").alias("place"), F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("x"))
     by_document = marked.groupBy("rid").agg(F.collect_list("x").alias("found"))
     texts = docs.select("rid", "text").join(by_document, "rid").select("rid", "text", "found")
