@@ -132,37 +132,101 @@ def yuv_to_rgb(y: Column, u: Column, v: Column, matrix: str = "bt709", full: boo
     return clamp(y + 2 * (1 - kr) * v), clamp(y - 2 * (1 - kr) * kr / kg * v - 2 * (1 - kb) * kb / kg * u), clamp(y + 2 * (1 - kb) * u)
 
 
-def chroma_alpha(c: RGB, key: tuple[float, float, float], similarity: float, smoothness: float) -> Column:
-    """0 near the key's hue, 1 beyond similarity and smoothness; distance is in the chroma plane of BT.601."""
-    cb = lambda r, g, b: -0.168736 * r - 0.331264 * g + 0.5 * b
-    cr = lambda r, g, b: 0.5 * r - 0.418688 * g - 0.081312 * b
-    du, dv = cb(*c) - cb(*key), cr(*c) - cr(*key)
-    return smoothstep(similarity, similarity + max(smoothness, 1e-4), F.sqrt(du * du + dv * dv))
+def chroma_alpha(c: RGB, key: tuple[float, float, float], strength: float, shadow: float = 0.0) -> Column:
+    """0 where a colour is keyed out, 1 where it is kept; dark colours are spared by ``shadow``."""
+    distance = F.sqrt(sum(((x - k) * (x - k) for x, k in zip(c, key, strict=True)), F.lit(0.0)))
+    near = max(strength * 0.35, 1e-4)
+    keyed = 1.0 - smoothstep(near, near + 0.08, distance)
+    return 1.0 - keyed * (1.0 - shadow * (1.0 - mean_luma(c)))
 
 
 def vignette(c: RGB, u: Column, v: Column, amount: float) -> RGB:
-    """Darker away from the middle; u and v run from 0 to 1."""
-    d = F.sqrt((u - 0.5) * (u - 0.5) + (v - 0.5) * (v - 0.5))
-    shade = 1.0 - amount * smoothstep(0.3, 0.75, d)
+    """Darker away from the middle; u and v run from 0 to 1, a corner is at distance 1."""
+    d = F.sqrt((u - 0.5) * (u - 0.5) + (v - 0.5) * (v - 0.5)) * 1.41421356
+    shade = 1.0 - amount * smoothstep(0.35, 1.0, d)
     return tuple(x * shade for x in c)
 
 
-def overlay_colour(c: RGB, colour: tuple[float, float, float], amount: float) -> RGB:
-    return tuple(x + (k - x) * amount for x, k in zip(c, colour, strict=True))
+def pixelate(x: Column, size: Column, cell: float) -> Column:
+    """The coordinate whose pixel stands for all of its cell."""
+    return F.least(F.floor(F.floor(x / cell) * cell + cell * 0.5), size - 1)
+
+
+def overlay_colour(c: RGB, colour: tuple[float, float, float, float], amount: float) -> RGB:
+    t = max(0.0, min(1.0, amount * colour[3]))
+    return tuple(x + (k - x) * t for x, k in zip(c, colour, strict=False))
 
 
 def duotone(c: RGB, shadow: tuple[float, float, float], highlight: tuple[float, float, float], intensity: float) -> RGB:
-    grey = mean_luma(c)
+    grey = clamp(0.299 * c[0] + 0.587 * c[1] + 0.114 * c[2])
     return tuple(x + (a + (b - a) * grey - x) * intensity for x, a, b in zip(c, shadow, highlight, strict=True))
 
 
+def sharpen(x: Column, neighbours: Column, amount: float) -> Column:
+    """Away from the mean of the four neighbours."""
+    return clamp(x + amount * 1.5 * (x - neighbours))
+
+
 def crossfade(a: RGB, b: RGB, progress: Column) -> RGB:
     return tuple(x + (y - x) * progress for x, y in zip(a, b, strict=True))
 
 
-def wipe_left(a: RGB, b: RGB, u: Column, progress: Column) -> RGB:
-    """The new picture comes in from the right."""
-    return tuple(F.when(u >= 1 - progress, y).otherwise(x) for x, y in zip(a, b, strict=True))
+def wipe(a: RGB, b: RGB, u: Column, progress: Column) -> RGB:
+    """The new picture up to the progress, the old one beyond."""
+    return tuple(F.when(u <= progress, y).otherwise(x) for x, y in zip(a, b, strict=True))
+
+
+#: Integer weights, over 256, of luma and of the two chroma planes, for studio range.
+I420 = {"bt601": ((66, 129, 25), (-38, -74, 112), (112, -94, -18)), "bt709": ((47, 157, 16), (-26, -87, 113), (112, -102, -10))}
+
+
+def rgb_to_luma(c: RGB, matrix: str = "bt709") -> Column:
+    """Of bytes, as a byte."""
+    w = I420[matrix][0]
+    return clamp(F.shiftright(w[0] * c[0] + w[1] * c[1] + w[2] * c[2] + 128, 8) + 16, 0, 255)
+
+
+def rgb_to_chroma(c: RGB, plane: int, matrix: str = "bt709") -> Column:
+    """Of the whole means of 2 x 2 bytes; plane 0 is U, 1 is V."""
+    w = I420[matrix][1 + plane]
+    return clamp(F.shiftright(w[0] * c[0] + w[1] * c[1] + w[2] * c[2] + 128, 8) + 128, 0, 255)
+
+
+def mask_alpha(kind: str, x: Column, y: Column, half: tuple[float, float], feather: float = 0.0, invert: bool = False, roundness: float = 0.0, base: float = 1.0) -> Column:
+    """How much of a layer shows at a point from its middle: right half, left half, ellipse or box."""
+    soft = base + feather * min(half)
+    if kind == "linear":
+        d = -x
+    elif kind == "mirror":
+        d = x
+    elif kind == "circle":
+        d = (F.sqrt(x * x / half[0] ** 2 + y * y / half[1] ** 2) - 1.0) * min(half)
+    elif kind == "rectangle":
+        d = round_box(x, y, 2 * half[0], 2 * half[1], roundness * 0.5 * min(half))
+    else:
+        raise ValueError(f"no such mask: {kind}")
+    alpha = coverage(d, soft)
+    return 1.0 - alpha if invert else alpha
+
+
+def lut_sample(pixels: DataFrame, table: DataFrame, size: int, channels: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
+    """pixels with their channels looked up in a colour table (i, r, g, b), between its eight nearest entries.
+
+    The table has at most 65 ** 3 rows, so it is broadcast; a pixel becomes eight weighted rows and is summed again."""
+    key = [c for c in pixels.columns if c not in channels]
+    at = [clamp(F.col(c)) * (size - 1) for c in channels]
+    base = [F.least(F.floor(x), F.lit(size - 2)) for x in at]
+    corners = []
+    for k in range(8):
+        bits = (k & 1, k >> 1 & 1, k >> 2 & 1)
+        weight = F.lit(1.0)
+        for x, b, bit in zip(at, base, bits, strict=True):
+            weight = weight * ((x - b) if bit else (1.0 - (x - b)))
+        index = ((base[2] + bits[2]) * size + base[1] + bits[1]) * size + base[0] + bits[0]
+        corners.append(F.struct(index.cast("int").alias("i"), weight.alias("w")))
+    spread = pixels.select(*key, F.explode(F.array(*corners)).alias("k")).select(*key, "k.i", "k.w")
+    joined = spread.join(F.broadcast(table.select("i", *(F.col(c).alias(f"_{c}") for c in "rgb"))), "i")
+    return joined.groupBy(*key).agg(*(F.sum(F.col("w") * F.col(f"_{c}")).alias(n) for c, n in zip("rgb", channels, strict=True)))
 
 
 def round_box(x: Column, y: Column, w: float, h: float, radius: float) -> Column:

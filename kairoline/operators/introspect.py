@@ -108,10 +108,15 @@ def crop_uv(x: Column, y: Column, w: Column, h: Column, flip_h: Column, flip_v:
 
 
 def canvas(aspect_w: int, aspect_h: int, base: int = 1080) -> tuple[int, int]:
-    """Width and height of an aspect whose shorter side is the base, both even."""
-    short = min(aspect_w, aspect_h)
-    even = lambda x: max(2, math.floor(x * base / short / 2 + 0.5) * 2)
-    return even(aspect_w), even(aspect_h)
+    """Width and height of an aspect whose shorter side is the base, both rounded down to even."""
+    even = lambda x: max(2, x // 2 * 2)
+    longer = math.floor(base * max(aspect_w, aspect_h) / min(aspect_w, aspect_h) + 0.5)
+    return (even(longer), even(base)) if aspect_w >= aspect_h else (even(base), even(longer))
+
+
+def fit_scale(w: Column, h: Column, canvas_w: Column, canvas_h: Column) -> Column:
+    """The scale at which content just fits a canvas; 1 for empty content."""
+    return F.when((w <= 0) | (h <= 0), F.lit(1.0)).otherwise(F.least(F.try_divide(canvas_w, w), F.try_divide(canvas_h, h)))
 
 
 def looping_frame(delays: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:

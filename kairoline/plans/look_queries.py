@@ -132,10 +132,44 @@ def c8_effects(spark, sf):
     c = tuple(F.col(k) / 255.0 for k in "rgb")
     u, v = (F.col("x") + 0.5) / 8.0, (F.col("y") + 0.5) / 8.0
     shade, tone = C.vignette(c, u, v, 0.6), C.duotone(c, (0.1, 0.0, 0.3), (1.0, 0.9, 0.5), 0.75)
-    wipe, fade = C.wipe_left(c, tone, u, F.lit(0.4)), C.crossfade(c, tone, F.lit(0.25))
+    wipe, fade = C.wipe(c, tone, u, F.lit(0.4)), C.crossfade(c, tone, F.lit(0.25))
     return p.groupBy("media_id").agg(F.round(F.sum(shade[0]), 6).alias("vignette"), F.round(F.sum(tone[2]), 6).alias("duotone"), F.round(F.sum(wipe[1]), 6).alias("wipe"), F.round(F.sum(fade[0]), 6).alias("fade"))
 
 
+def c7_i420(spark, sf):
+    p = pixels(spark, sf)
+    luma = p.groupBy("media_id", "t").agg(F.sum(C.rgb_to_luma((F.col("r"), F.col("g"), F.col("b")))).cast("long").alias("y"))
+    means = p.groupBy("media_id", "t", F.floor(F.col("x") / 2).alias("cx"), F.floor(F.col("y") / 2).alias("cy")).agg(*(F.floor(F.sum(c) / 4).cast("int").alias(c) for c in "rgb"))
+    c = tuple(F.col(k) for k in "rgb")
+    chroma = means.groupBy("media_id", "t").agg(F.sum(C.rgb_to_chroma(c, 0)).cast("long").alias("u"), F.sum(C.rgb_to_chroma(c, 1)).cast("long").alias("v"))
+    return luma.join(chroma, ["media_id", "t"])
+
+
+def c5_masks(spark, sf):
+    grid = spark.range(0, 64 * 64).select((F.col("id") % 64 - 31.5).alias("x"), (F.floor(F.col("id") / 64) - 31.5).alias("y"))
+    kinds = ("linear", "mirror", "rectangle")
+    return grid.agg(*(F.round(F.sum(C.mask_alpha(k, F.col("x"), F.col("y"), (20.0, 12.0), 0.25, k == "mirror", 0.5)), 6).alias(k) for k in kinds))
+
+
+def c6_chroma_key(spark, sf):
+    c = tuple(F.col(k) / 255.0 for k in "rgb")
+    return pixels(spark, sf).groupBy("media_id").agg(F.round(F.sum(C.chroma_alpha(c, (0.2, 0.6, 0.3), 0.5, 0.4)), 6).alias("kept"))
+
+
+def c4_lut(spark, sf):
+    size = 5
+    table_ = spark.range(0, size**3).select(F.col("id").cast("int").alias("i"), *((F.pow(v, F.lit(2.0))).alias(c) for c, v in zip("rgb", (F.col("id") % size / 4.0, F.floor(F.col("id") / size) % size / 4.0, F.floor(F.col("id") / size**2) / 4.0), strict=True)))
+    p = pixels(spark, sf).select("media_id", "t", "x", "y", *((F.col(c) / 255.0).alias(c) for c in "rgb"))
+    return C.lut_sample(p, table_, size).groupBy("media_id").agg(*(F.round(F.sum(c), 6).alias(c) for c in "rgb"))
+
+
+def c8_pixelate(spark, sf):
+    p = pixels(spark, sf)
+    cell = p.select("media_id", "t", C.pixelate(F.col("x"), F.lit(8), 3.0).cast("int").alias("sx"), C.pixelate(F.col("y"), F.lit(8), 3.0).cast("int").alias("sy"))
+    source = p.select("media_id", "t", F.col("x").alias("sx"), F.col("y").alias("sy"), "r")
+    return cell.join(source, ["media_id", "t", "sx", "sy"]).groupBy("media_id", "t").agg(F.sum("r").alias("r"))
+
+
 def c11_shapes(spark, sf):
     grid = spark.range(0, 64 * 64).select((F.col("id") % 64 - 31.5).alias("x"), (F.floor(F.col("id") / 64) - 31.5).alias("y"))
     line, fill = C.stroke_over_fill(C.round_box(F.col("x"), F.col("y"), 40.0, 24.0, 6.0), 3.0)
@@ -161,7 +195,7 @@ def r5_export_blocks(spark, sf):
     return R.export_blocks(spark, 3000, 30000, 1001)
 
 
-QUERIES = {f.__name__: f for f in (f2_easing, f2_bezier, f5_piecewise, f7_param_sample, f9_curve_integral, u4_keyframe_upsert, a15_segments, a16_words, g10_segment_confidence, a13_transcript_moments, x1_title_case, x2_spacing, x4_display_text, c1_grade, c3_blend, c7_yuv, c7_chroma_mean, c8_box_blur, c8_effects, c11_shapes, r1_layers, j14_transitions, r5_export_blocks)}
+QUERIES = {f.__name__: f for f in (f2_easing, f2_bezier, f5_piecewise, f7_param_sample, f9_curve_integral, u4_keyframe_upsert, a15_segments, a16_words, g10_segment_confidence, a13_transcript_moments, x1_title_case, x2_spacing, x4_display_text, c1_grade, c3_blend, c7_yuv, c7_chroma_mean, c8_box_blur, c8_effects, c8_pixelate, c4_lut, c5_masks, c6_chroma_key, c7_i420, c11_shapes, r1_layers, j14_transitions, r5_export_blocks)}
 
 
 def _ease(k: str, t: str) -> str:
@@ -194,8 +228,37 @@ def _blend_sql(m: str) -> str:
     return f"round(sum(((1 - 0.8) * s + 0.8 * ({table_[m]})) * 0.6 + b * 0.8 * (1 - 0.6)), 6) AS {m}"
 
 
-_g = GRADE
+def _step(a: float, b: float, x: str) -> str:
+    t = f"greatest(0, least(1, ({x} - {a}) / ({b} - {a})))"
+    return f"({t} * {t} * (3 - 2 * {t}))"
+
+
+def _lut_axis(c: str) -> str:
+    """A square, between the squares of the two nearest quarters."""
+    b = f"least(floor({c} / 255.0::DOUBLE * 4), 3)"
+    return f"(({b} / 4) ** 2 + (({c} / 255.0::DOUBLE * 4) - {b}) * ((({b} + 1) / 4) ** 2 - ({b} / 4) ** 2))"
+
+
+_W = C.I420["bt709"]
+_sum3 = lambda w, c: " + ".join(f"{k} * {x}" for k, x in zip(w, c, strict=True))
+_BOX = "(sqrt(greatest(abs(x) - 20 + 3, 0) ** 2 + greatest(abs(y) - 12 + 3, 0) ** 2) + least(greatest(abs(x) - 17, abs(y) - 9), 0) - 3)"
+_UV = "sqrt(((x + 0.5) / 8.0::DOUBLE - 0.5) ** 2 + ((y + 0.5) / 8.0::DOUBLE - 0.5) ** 2) * 1.41421356::DOUBLE"
+_GREY = "greatest(0, least(1, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b))"
+_TONE = lambda c, a, b: f"({c} + ({a} + ({b} - {a}) * {_GREY} - {c}) * 0.75::DOUBLE)"
 ORACLE_SQL = {
+    "c7_i420": f"""WITH {PIXELS}, l AS (SELECT media_id, t, sum(greatest(0, least(255, (({_sum3(_W[0], 'rgb')} + 128) >> 8) + 16)))::BIGINT AS y FROM pixels GROUP BY ALL),
+      m AS (SELECT media_id, t, sum(r)::INT // 4 AS r, sum(g)::INT // 4 AS g, sum(b)::INT // 4 AS b FROM pixels GROUP BY media_id, t, x // 2, y // 2),
+      c AS (SELECT media_id, t, sum(greatest(0, least(255, (({_sum3(_W[1], 'rgb')} + 128) >> 8) + 128)))::BIGINT AS u, sum(greatest(0, least(255, (({_sum3(_W[2], 'rgb')} + 128) >> 8) + 128)))::BIGINT AS v FROM m GROUP BY ALL)
+      SELECT * FROM l JOIN c USING (media_id, t)""",
+    "c5_masks": f"""WITH g AS (SELECT id % 64 - 31.5::DOUBLE AS x, id // 64 - 31.5::DOUBLE AS y FROM range(0, 4096) t(id))
+      SELECT round(sum(greatest(0, least(1, 0.5 + x / 4))), 6) AS linear, round(sum(1 - greatest(0, least(1, 0.5 - x / 4))), 6) AS mirror, round(sum(greatest(0, least(1, 0.5 - {_BOX} / 4))), 6) AS rectangle FROM g""",
+    "c6_chroma_key": f"""WITH {PIXELS}, c AS (SELECT media_id, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM pixels), d AS (SELECT *, sqrt((r - 0.2) ** 2 + (g - 0.6) ** 2 + (b - 0.3) ** 2) AS d FROM c)
+      SELECT media_id, round(sum(1 - (1 - {_step(0.175, 0.255, 'd')}) * (1 - 0.4 * (1 - (0.2126 * r + 0.7152 * g + 0.0722 * b)))), 6) AS kept FROM d GROUP BY ALL""",
+    "c4_lut": f"WITH {PIXELS} SELECT media_id, " + ", ".join(f"round(sum({_lut_axis(c)}), 6) AS {c}" for c in "rgb") + " FROM pixels GROUP BY ALL",
+    "c8_pixelate": f"""WITH {PIXELS} SELECT p.media_id, p.t, sum(q.r)::BIGINT AS r FROM pixels p JOIN pixels q ON q.media_id = p.media_id AND q.t = p.t AND q.x = least(floor(p.x // 3 * 3 + 1.5), 7) AND q.y = least(floor(p.y // 3 * 3 + 1.5), 7) GROUP BY ALL""",
+    "c8_effects": f"""WITH {PIXELS}, c AS (SELECT media_id, x, y, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM pixels)
+      SELECT media_id, round(sum(r * (1 - 0.6::DOUBLE * {_step(0.35, 1.0, _UV)})), 6) AS vignette, round(sum({_TONE('b', '0.3::DOUBLE', '0.5::DOUBLE')}), 6) AS duotone,
+             round(sum(CASE WHEN (x + 0.5) / 8.0 <= 0.4 THEN {_TONE('g', '0.0::DOUBLE', '0.9::DOUBLE')} ELSE g END), 6) AS wipe, round(sum(r + ({_TONE('r', '0.1::DOUBLE', '1.0::DOUBLE')} - r) * 0.25::DOUBLE), 6) AS fade FROM c GROUP BY ALL""",
     "f2_easing": f"WITH o AS (SELECT o_orderkey, (o_orderkey % 97)::DOUBLE / 96.0::DOUBLE AS t, {list(EASINGS)}[(o_orderkey % 5 + 1)::INT] AS k FROM orders) SELECT o_orderkey, round({_ease('k', 't')}, 9)::DOUBLE AS eased, round({_area('k', 't')}, 9)::DOUBLE AS area FROM o",
     "f7_param_sample": f"""WITH {KEYFRAMES}, seg AS (SELECT *, lead(tick) OVER w AS nt, lead(value) OVER w AS nv, lag(tick) OVER w IS NULL AS f FROM keyframes WINDOW w AS (PARTITION BY param_id ORDER BY tick)),
       a AS (SELECT o_orderkey AS probe, o_custkey AS param_id, (o_orderkey * 17 % 2600)::DOUBLE AS t FROM orders)

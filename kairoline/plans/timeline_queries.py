@@ -83,7 +83,7 @@ def g2_counts(spark, sf):
 def g12_auto_canvas(spark, sf):
     seen = packed(spark, sf).select("track_id", "media_id").distinct().join(media(spark, sf).where("NOT is_image"), "media_id")
     best = seen.groupBy("track_id").agg(F.min(F.struct((-F.col("width") * F.col("height")).alias("area"), "media_id", "width", "height")).alias("b"))
-    even = lambda c: F.floor(F.coalesce(c, F.lit(0)) / 2) * 2
+    even = lambda c: F.greatest(F.floor(c / 2) * 2, F.lit(2))
     return best.select("track_id", even(F.col("b.width")).cast("long").alias("width"), even(F.col("b.height")).cast("long").alias("height"))
 
 
