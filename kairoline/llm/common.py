@@ -20,10 +20,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where none is set."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return f"{given or 'file:///tmp/checkpoints'}/{spark.sparkContext.applicationId}"
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application. Results that were not written yet can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive lost executors."""
 

@@ -12,7 +12,7 @@ to the budget. A larger budget takes all that a smaller one takes.
 Nothing is collected. A histogram has at most 1024 rows for each source, summed before the shuffle; the weights
 need one row for each source in one place.
 
-Nulls: a null text has size 0 and is taken as its hash says, for no words; a null source is a source, last of all; a
+Nulls: a null text has size 0 and is taken as its hash says, for no words, never more than ``max_repeat`` times; a null source is a source, last of all; a
 null doc_id hashes as the empty text. Documents with equal doc_id share a hash and go together. A source without
 words has target 0. Empty tables give empty results.
 """
@@ -71,7 +71,7 @@ def plan(narrow: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS
     budgets = targets.withColumn("full", full.cast("long")).withColumn("budget", F.col("target") - F.col("full") * F.col("source_size"))
     cuts = _thresholds(narrow, budgets.select(F.col("source").alias("s"), "budget"), scratch)
     both = budgets.join(cuts, budgets["source"].eqNullSafe(cuts["s"]), "left")
-    return scratch.write(both.select(F.col("source").alias("s"), "source_size", "target", "full", F.coalesce("cut", F.lit(0).cast("long")).alias("cut")))
+    return scratch.write(both.select(F.col("source").alias("s"), "source_size", "target", "full", F.when(F.col("budget") > 0, F.coalesce("cut", F.lit(0).cast("long"))).otherwise(0).alias("cut")))
 
 
 def _copies(h: Column) -> Column:

@@ -72,3 +72,9 @@ def test_sizes(spark):
     rows = [(None, 0), ("", 0), (" a\tb\x0bc\n", 3), ("\u00a0x y", 2)]
     got = spark.createDataFrame(rows, "t string, n int").select("n", mixing.word_count(F.col("t")).alias("got")).collect()
     assert all(r.n == r.got for r in got)
+
+
+def test_nothing_is_taken_more_often_than_allowed(spark):
+    rows = [(i, "", "a") for i in range(30)] + [(100, "x y", "a")] + [(200 + i, "w " * 50, "b") for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(50, 1))
+    assert got.agg(F.max("copies")).first()[0] == 3 and got.where("source = 'a' AND size > 0").first().taken == 6
