@@ -44,7 +44,7 @@ def accepts(kind: Column, content: Column) -> Column:
 
 def overlapping(clips: DataFrame) -> DataFrame:
     """Clips that begin before an earlier one on their track has ended."""
-    return clips.where(overlaps_before(clips, ["track_id"], "start_tick", "dur_tick", ["clip_id"]))
+    return clips.withColumn("_over", overlaps_before(clips, ["track_id"], "start_tick", "dur_tick", ["clip_id"])).where("_over").drop("_over")
 
 
 def require_free(clips: DataFrame) -> DataFrame:
