@@ -176,3 +176,29 @@ def mix(spans: DataFrame, pcm: DataFrame, bucket: int = 4096) -> DataFrame:
     clamp = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sum(c)))
     sample = F.col("sample").cast("double")
     return j.groupBy((F.col("at") + pos).alias("frame")).agg(clamp(sample * gain * left).alias("left"), clamp(sample * gain * right).alias("right"))
+
+
+def warped_frame(rel: Column, num: Column, den: Column) -> Column:
+    """Source position, in frames, of an output sample at constant speed."""
+    return rel.cast("double") * num / den
+
+
+def resample(spans: DataFrame, pcm: DataFrame, bucket: int = 4096) -> DataFrame:
+    """span_id, rel and value: the samples of spans (span_id, media_id, first, length, num, den) at a speed, each between
+    the two source frames around it; the last frame stands for one beyond it."""
+    asked = spans.select("span_id", "media_id", "first", "num", "den", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("rel"))
+    at = warped_frame(F.col("rel"), F.col("num"), F.col("den"))
+    pos = asked.withColumn("low", F.floor(at)).withColumn("part", at - F.floor(at)).withColumn("frame", F.col("first") + F.col("low"))
+    # each sample with the one after it, so that one join serves
+    w = Window.partitionBy("media_id", "_b").orderBy("frame")
+    mono = pcm.where("ch = 0").select("media_id", "frame", F.col("sample").cast("double").alias("a"))
+    own = mono.withColumn("_b", F.floor(F.col("frame") / bucket)).withColumn("_own", F.lit(True))
+    edge = mono.where(F.col("frame") % bucket == 0).withColumn("_b", F.floor(F.col("frame") / bucket) - 1).withColumn("_own", F.lit(False))
+    pairs = own.unionByName(edge).withColumn("b", F.coalesce(F.lead("a").over(w), "a")).where("_own").select("media_id", "frame", "a", "b")
+    return pos.join(pairs, ["media_id", "frame"]).select("span_id", "rel", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+
+
+def realized_rate(per_second: float, most: int, chunks: int, rate: int = 48_000) -> float:
+    """Peaks a second that chunks of whole samples give, less if there were more than may be kept."""
+    chunk = max(1, int(rate / per_second + 0.5))
+    return rate / chunk if chunks <= most else rate / chunk * most / chunks

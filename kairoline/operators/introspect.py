@@ -126,3 +126,36 @@ def looping_frame(delays: DataFrame, asks: DataFrame, keys: list[str]) -> DataFr
     runs = delays.withColumn("until", until).withColumn("total", F.sum("delay").over(w))
     j = asks.join(runs, keys)
     return j.where(F.col("ms") % F.col("total") < F.col("until")).groupBy(*asks.columns).agg(F.min("idx").alias("idx"))
+
+
+# Steps of a ruler's labels, in frames and in seconds, parts between labels, and least widths in pixels.
+FRAME_STEPS = (1, 2, 3, 4, 5, 6, 10, 12, 15, 20, 30)
+SECOND_STEPS = (1, 2, 3, 5, 10, 15, 30, 60, 120, 180, 300, 600, 900, 1800, 3600, 7200, 18000, 36000)
+PARTS = (10, 8, 6, 5, 4, 3, 2)
+
+
+def label_step(zoom: Column, fps: int, least_px: float) -> Column:
+    """Frames between labels: the first step wide enough; steps below a second divide it."""
+    steps = [f for f in FRAME_STEPS if f < fps and fps % f == 0] + [s * fps for s in SECOND_STEPS]
+    wide = F.filter(F.array(*(F.lit(s).cast("long") for s in steps)), lambda s: s * zoom >= least_px)
+    return F.coalesce(F.try_element_at(wide, F.lit(1)), F.lit(steps[-1]).cast("long"))
+
+
+def dot_step(label: Column, zoom: Column, least_px: float) -> Column:
+    """Frames between dots, the densest even parts of a label step that are wide enough; null for none."""
+    fits = F.filter(F.array(*(F.lit(p).cast("long") for p in PARTS)), lambda p: (label % p == 0) & (F.floor(label / p) * zoom >= least_px))
+    return F.floor(label / F.try_element_at(fits, F.lit(1)))
+
+
+def padded_range(low: Column, high: Column, part: float) -> Column:
+    """A range with room on both sides; a flat one gets room by its size."""
+    a, b = F.least(low, high), F.greatest(low, high)
+    pad = F.when(b - a < 1e-6, F.greatest(F.abs(a), F.lit(1.0)) * part).otherwise((b - a) * part)
+    return F.struct((a - pad).alias("low"), (b + pad).alias("high"))
+
+
+def capabilities(kind: Column, is_media: Column, frozen: Column, has_sound: Column, detached: Column) -> Column:
+    """What may be done with a clip."""
+    visual = kind != "audio"
+    retime = is_media & ~frozen
+    return F.struct(visual.alias("transform"), visual.alias("crop"), ((kind == "audio") & ~frozen).alias("audio"), retime.alias("speed"), visual.alias("effects"), retime.alias("reverse"), ((kind == "video") & ~frozen & has_sound & ~detached).alias("extract_audio"))
