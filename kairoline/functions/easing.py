@@ -74,3 +74,63 @@ def arc_table(p0: Column, c0: Column, c1: Column, p1: Column, samples: int = 17)
         return F.struct(F.concat(s["at"], F.array(total)).alias("at"), total.alias("sum"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step)["at"]
+
+
+# Control points (x1, y1, x2, y2) of the cubic curves that equal the polynomial easings.
+_AS_BEZIER = {"linear": (1 / 3, 1 / 3, 2 / 3, 2 / 3), "ease_in": (1 / 3, 0.0, 2 / 3, 1 / 3), "ease_out": (1 / 3, 2 / 3, 2 / 3, 1.0), "ease_in_out": (1 / 3, 0.0, 2 / 3, 1.0)}
+
+
+def control_points(kind: str, points: tuple[float, float, float, float] | None = None) -> tuple[float, float, float, float]:
+    return points or BEZIERS.get(kind) or _AS_BEZIER[kind]
+
+
+def value_at(kind: str, t: float, points: tuple[float, float, float, float] | None = None) -> float:
+    """The eased value of one number."""
+    if kind == "hold":
+        return 0.0 if t < 1 else 1.0
+    x1, y1, x2, y2 = control_points(kind, points)
+    u = _parameter(t, x1, x2)
+    return 3 * (1 - u) ** 2 * u * y1 + 3 * (1 - u) * u * u * y2 + u**3
+
+
+def _parameter(x: float, x1: float, x2: float) -> float:
+    low, high = 0.0, 1.0
+    if x <= 0 or x >= 1:
+        return min(max(x, 0.0), 1.0)
+    for _ in range(60):
+        u = (low + high) / 2
+        if 3 * (1 - u) ** 2 * u * x1 + 3 * (1 - u) * u * u * x2 + u**3 < x:
+            low = u
+        else:
+            high = u
+    return (low + high) / 2
+
+
+def _left_part(p: list[tuple[float, float]], u: float) -> list[tuple[float, float]]:
+    """Control points of a curve from its start to a parameter: the first points of ever shorter chains of means."""
+    out = [p[0]]
+    while len(p) > 1:
+        p = [((1 - u) * a[0] + u * b[0], (1 - u) * a[1] + u * b[1]) for a, b in zip(p, p[1:], strict=False)]
+        out.append(p[0])
+    return out
+
+
+def subsegment(kind: str, start: float, end: float, points: tuple[float, float, float, float] | None = None) -> tuple[str, tuple[float, float, float, float] | None]:
+    """The part of an easing between two times as an easing of its own, from 0 to 1: its kind and, for a cubic curve, its
+    control points. A part that ends where it began without being flat can't be one, and raises."""
+    if not 0 <= start < end <= 1:
+        raise ValueError("a part needs 0 <= start < end <= 1")
+    if (start, end) == (0.0, 1.0) or kind in ("linear", "hold") and not points:
+        return kind, points
+    x1, y1, x2, y2 = control_points(kind, points)
+    whole = [(0.0, 0.0), (x1, y1), (x2, y2), (1.0, 1.0)]
+    a, b = _parameter(start, x1, x2), _parameter(end, x1, x2)
+    upto = _left_part(whole, b)
+    part = _left_part(upto[::-1], 1 - a / b)[::-1]
+    (xa, ya), (xb, yb) = part[0], part[3]
+    if abs(yb - ya) < 1e-9:
+        if max(abs(y - ya) for _, y in part) < 1e-9:
+            return "linear", None
+        raise ValueError("this part of the curve ends at the value where it began")
+    inner = [((x - xa) / (xb - xa), (y - ya) / (yb - ya)) for x, y in part[1:3]]
+    return "bezier", (*inner[0], *inner[1])

@@ -81,3 +81,43 @@ def expand_piecewise(pairs: DataFrame, preset: str) -> DataFrame:
     short = F.arrays_zip(F.array("a", "b").alias("tick"), F.array(F.col("va").cast("double"), F.col("vb").cast("double")).alias("value"), F.array(F.lit("linear"), F.lit("linear")).alias("easing"))
     rows = pairs.select("param_id", F.explode(F.when(span < E.MIN_PIECE_TICKS, short).otherwise(full)).alias("k"))
     return rows.select("param_id", F.col("k.tick").alias("tick"), F.col("k.value").alias("value"), F.col("k.easing").alias("easing"))
+
+
+def split_curves(keyframes: DataFrame, splits: DataFrame, scale: int = CURVE_SCALE) -> DataFrame:
+    """param_id, part (0 and 1), tick, value, easing and points of speed curves cut in two at a place from 0 to 1
+    (splits: param_id, place); both parts run over the whole scale again. A keyframe too near to the cut raises.
+
+    A curve has a handful of keyframes, so each is one small group."""
+    import pandas as pd
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("tick")
+        place = float(rows["place"].iloc[0]) * scale
+        ticks, values, kinds = rows["tick"].astype(float).tolist(), rows["value"].astype(float).tolist(), rows["easing"].tolist()
+
+        def segment(at: float) -> int:
+            return max((i for i, t in enumerate(ticks) if t <= at), default=-1)
+
+        def value(at: float) -> float:
+            i = segment(at)
+            if i < 0 or i + 1 == len(ticks):
+                return values[max(i, 0)]
+            return values[i] + (values[i + 1] - values[i]) * E.value_at(kinds[i], (at - ticks[i]) / (ticks[i + 1] - ticks[i]))
+
+        out = []
+        for part, (a, b) in enumerate(((0.0, place), (place, float(scale)))):
+            at = [a, *(t for t in ticks if a < t < b), b]
+            new = [0, *(round((t - a) / (b - a) * scale) for t in at[1:-1]), scale]
+            if any(x >= y for x, y in zip(new, new[1:], strict=False)):
+                raise ValueError("a keyframe is too near to the cut")
+            for k, t in enumerate(at):
+                kind, points, i = "linear", None, segment(t)
+                if k + 1 < len(at) and 0 <= i < len(ticks) - 1:
+                    width = ticks[i + 1] - ticks[i]
+                    kind, points = E.subsegment(kinds[i], (t - ticks[i]) / width, (at[k + 1] - ticks[i]) / width)
+                out.append((rows["param_id"].iloc[0], part, new[k], value(t), kind, list(points) if points else None))
+        return pd.DataFrame(out, columns=["param_id", "part", "tick", "value", "easing", "points"])
+
+    kind = keyframes.schema["param_id"].dataType.simpleString()
+    joined = keyframes.select("param_id", "tick", F.col("value").cast("double").alias("value"), "easing").join(splits.select("param_id", "place"), "param_id")
+    return joined.groupBy("param_id").applyInPandas(cut, f"param_id {kind}, part int, tick long, value double, easing string, points array<double>")
