@@ -192,23 +192,6 @@ def rgb_to_chroma(c: RGB, plane: int, matrix: str = "bt709") -> Column:
     return clamp(F.shiftright(w[0] * c[0] + w[1] * c[1] + w[2] * c[2] + 128, 8) + 128, 0, 255)
 
 
-def mask_alpha(kind: str, x: Column, y: Column, half: tuple[float, float], feather: float = 0.0, invert: bool = False, roundness: float = 0.0, base: float = 1.0) -> Column:
-    """How much of a layer shows at a point from its middle: right half, left half, ellipse or box."""
-    soft = base + feather * min(half)
-    if kind == "linear":
-        d = -x
-    elif kind == "mirror":
-        d = x
-    elif kind == "circle":
-        d = (F.sqrt(x * x / half[0] ** 2 + y * y / half[1] ** 2) - 1.0) * min(half)
-    elif kind == "rectangle":
-        d = round_box(x, y, 2 * half[0], 2 * half[1], roundness * 0.5 * min(half))
-    else:
-        raise ValueError(f"no such mask: {kind}")
-    alpha = coverage(d, soft)
-    return 1.0 - alpha if invert else alpha
-
-
 def lut_sample(pixels: DataFrame, table: DataFrame, size: int, channels: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
     """pixels with their channels looked up in a colour table (i, r, g, b), between its eight nearest entries.
 
@@ -229,28 +212,6 @@ def lut_sample(pixels: DataFrame, table: DataFrame, size: int, channels: tuple[s
     return joined.groupBy(*key).agg(*(F.sum(F.col("w") * F.col(f"_{c}")).alias(n) for c, n in zip("rgb", channels, strict=True)))
 
 
-def round_box(x: Column, y: Column, w: float, h: float, radius: float) -> Column:
-    """Signed distance to a box with round corners around the origin."""
-    qx, qy = F.abs(x) - w / 2 + radius, F.abs(y) - h / 2 + radius
-    zero = F.lit(0.0)
-    return F.sqrt(F.greatest(qx, zero) * F.greatest(qx, zero) + F.greatest(qy, zero) * F.greatest(qy, zero)) + F.least(F.greatest(qx, qy), zero) - radius
-
-
-def circle(x: Column, y: Column, radius: float) -> Column:
-    return F.sqrt(x * x + y * y) - radius
-
-
-def coverage(distance: Column, feather: float = 1.0) -> Column:
-    """1 inside, 0 outside, linear over the feather around the edge."""
-    return clamp(0.5 - distance / feather)
-
-
-def stroke_over_fill(distance: Column, stroke: float, feather: float = 1.0) -> tuple[Column, Column]:
-    """Coverage of a stroke centred on the edge, and of the fill that it leaves."""
-    line = coverage(F.abs(distance) - stroke / 2, feather)
-    return line, coverage(distance, feather) * (1 - line)
-
-
 def pack_parameters(kinds: list[str], values: list) -> list[float]:
     """Effect parameters as floats: numbers as they are, points as two, colours (bytes) as four parts of 255."""
     out: list[float] = []

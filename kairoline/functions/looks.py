@@ -110,3 +110,31 @@ def character_exit(name: str, local: Column) -> Delta:
         "char_fall_away": lambda: delta(y=local * 28.0, scale=1.0 - 0.35 * local, opacity=left),
         "char_typewriter_out": lambda: delta(opacity=F.when(local < 1, 1.0).otherwise(0.0)),
     }.get(name, delta)()
+
+
+def character_combo(name: str, phase: Column, share: Column, index: Column, window: float = 0.55) -> Delta:
+    """share: the character's place from 0 to 1."""
+    p = phase - F.floor(phase)
+    wave = F.sin((p + share) * (2 * math.pi))
+    fraction = lambda x: x - F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))
+
+    def typed() -> Delta:
+        narrow = max(0.05, min(0.95, window * 0.4 / 0.55))
+        shown = (F.least(p / 0.85, F.lit(1.0)) - share * (1.0 - narrow)) / narrow
+        return delta(opacity=F.when(shown > 0, 1.0).otherwise(0.0))
+
+    def jitter() -> Delta:
+        seed = F.sin(index * 12.9898 + F.floor(p * 12.0) * 78.233) * 43758.547
+        nx, ny = fraction(seed) * 2.0 - 1.0, fraction(seed * 1.37) * 2.0 - 1.0
+        return delta(x=nx * 2.5, y=ny * 2.5, turn=nx * 0.05)
+
+    return {
+        "typewriter": typed,
+        "text_fade": lambda: delta(opacity=0.55 + 0.45 * (F.sin(p * math.pi + share * 2.0) * 0.5 + 0.5)),
+        "text_bounce": lambda: delta(y=F.abs(wave) * 6.0, scale=1.0 + 0.08 * F.abs(wave)),
+        "text_slide": lambda: delta(x=wave * 5.0),
+        "pop": lambda: delta(scale=1.0 + 0.18 * F.greatest(F.sin((p + share) * math.pi), F.lit(0.0))),
+        "wave": lambda: delta(y=wave * 8.0, turn=wave * 0.12),
+        "char_jitter": jitter,
+        "char_pulse": lambda: delta(scale=1.0 + 0.12 * F.sin(p * (2 * math.pi) + share * 3.0)),
+    }.get(name, delta)()

@@ -75,11 +75,22 @@ def f25_characters(spark, sf):
     return c.groupBy("conv_id", "turn").agg(F.round(F.sum(local), 6).alias("progress"), F.round(F.sum(d.y), 6).alias("y"), F.round(F.sum(d.scale), 6).alias("scale"))
 
 
+def f25_character_combos(spark, sf):
+    i = spark.range(0, 200).select((F.col("id") % 20).alias("i"), (F.floor(F.col("id") / 20) / 10.0).alias("phase"))
+    share = F.col("i") / 20.0
+    out = []
+    for name in catalogs.ANIMATIONS["text_combo"]:
+        d = L.character_combo(name, F.col("phase"), share, F.col("i"))
+        out.append(F.struct(F.lit(name).alias("name"), d.x.alias("x"), d.y.alias("y"), d.scale.alias("scale"), d.opacity.alias("opacity")))
+    rows = i.select("i", "phase", F.explode(F.array(*out)).alias("d"))
+    return rows.groupBy("d.name").agg(*(F.round(F.sum(f"d.{c}"), 4).alias(c) for c in ("x", "y", "scale", "opacity")))
+
+
 def f23_animation_window(spark, sf):
     return packed(spark, sf).select("clip_id", L.window_ticks(F.col("dur_tick"), 30, 1).alias("window"), L.window_ticks(F.col("dur_tick"), 30, 1, 2.0).alias("fast"))
 
 
-QUERIES = {f.__name__: f for f in (e1_place_media, e8_retime, e12_move_track, e14_move_effect, e16_set_values, e17_slot_windows, j11_nearest_junction, j13_catalogs, f14_speed_presets, f23_animation_window, f24_animations, f25_characters)}
+QUERIES = {f.__name__: f for f in (e1_place_media, e8_retime, e12_move_track, e14_move_effect, e16_set_values, e17_slot_windows, j11_nearest_junction, j13_catalogs, f14_speed_presets, f23_animation_window, f24_animations, f25_characters, f25_character_combos)}
 
 _LOCAL = "greatest(0, least(1, (0.4::DOUBLE - i / n::DOUBLE * 0.45) / 0.55))"
 _BOUNCE = """CASE WHEN p < 1 / 2.75::DOUBLE THEN 7.5625 * p * p WHEN p < 2 / 2.75::DOUBLE THEN 7.5625 * (p - 1.5 / 2.75::DOUBLE) ** 2 + 0.75

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..functions import easing as E
+from ..functions import shapes as G
 from ..operators import params as P
 from ..operators import resolve as R
 from ..operators import transcript as T
@@ -145,10 +146,13 @@ def c7_i420(spark, sf):
     return luma.join(chroma, ["media_id", "t"])
 
 
+def _grid(spark):
+    return spark.range(0, 64 * 64).select((F.col("id") % 64 - 31.5).alias("x"), (F.floor(F.col("id") / 64) - 31.5).alias("y"))
+
+
 def c5_masks(spark, sf):
-    grid = spark.range(0, 64 * 64).select((F.col("id") % 64 - 31.5).alias("x"), (F.floor(F.col("id") / 64) - 31.5).alias("y"))
-    kinds = ("linear", "mirror", "rectangle")
-    return grid.agg(*(F.round(F.sum(C.mask_alpha(k, F.col("x"), F.col("y"), (20.0, 12.0), 0.25, k == "mirror", 0.5)), 6).alias(k) for k in kinds))
+    kinds = ("linear", "mirror", "circle", "rectangle", "heart", "star")
+    return _grid(spark).agg(*(F.round(F.sum(G.mask_alpha(k, F.col("x"), F.col("y"), (20.0, 12.0), 0.25, k == "mirror", 0.5)), 6).alias(k) for k in kinds))
 
 
 def c6_chroma_key(spark, sf):
@@ -171,9 +175,10 @@ def c8_pixelate(spark, sf):
 
 
 def c11_shapes(spark, sf):
-    grid = spark.range(0, 64 * 64).select((F.col("id") % 64 - 31.5).alias("x"), (F.floor(F.col("id") / 64) - 31.5).alias("y"))
-    line, fill = C.stroke_over_fill(C.round_box(F.col("x"), F.col("y"), 40.0, 24.0, 6.0), 3.0)
-    return grid.agg(F.round(F.sum(line), 6).alias("stroke"), F.round(F.sum(fill), 6).alias("fill"), F.round(F.sum(C.coverage(C.circle(F.col("x"), F.col("y"), 20.0))), 6).alias("disc"))
+    x, y = F.col("x"), F.col("y")
+    line, fill = G.stroke_over_fill(G.round_box(x, y, (20.0, 12.0), 6.0), 3.0)
+    hexagon = G.coverage(G.polygon(x, y, G.polygon_points((25.0, 18.0), 6)))
+    return _grid(spark).agg(F.round(F.sum(line), 6).alias("stroke"), F.round(F.sum(fill), 6).alias("fill"), F.round(F.sum(G.coverage(G.ellipse(x, y, (20.0, 20.0)))), 6).alias("disc"), F.round(F.sum(G.coverage(G.capsule(x, y, (22.0, 7.0)))), 6).alias("capsule"), F.round(F.sum(hexagon), 6).alias("hexagon"))
 
 
 def _some_ticks(spark, sf):
@@ -239,6 +244,23 @@ def _lut_axis(c: str) -> str:
     return f"(({b} / 4) ** 2 + (({c} / 255.0::DOUBLE * 4) - {b}) * ((({b} + 1) / 4) ** 2 - ({b} / 4) ** 2))"
 
 
+_GRID = "g AS (SELECT id % 64 - 31.5::DOUBLE AS x, id // 64 - 31.5::DOUBLE AS y FROM range(0, 4096) t(id))"
+_cov = lambda d, half: f"greatest(0, least(1, 0.5 - ({d}) / {2 * half}))"
+
+
+def _edges(name: str, points) -> str:
+    """Corners of a polygon with those after them."""
+    rows = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE, {d!r}::DOUBLE)" for (a, b), (c, d) in zip(points, [*points[1:], points[0]], strict=True))
+    return f"SELECT * FROM (VALUES {rows}) AS v(ax, ay, bx, b_y)"
+
+
+def _inside(name: str) -> str:
+    """Signed distance of every grid point."""
+    t = "greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) ** 2 + (b_y - ay) ** 2)))"
+    return f"""SELECT x, y, CASE WHEN count(*) FILTER (WHERE ay <> b_y AND (y >= ay) <> (y >= b_y) AND x < ax + (y - ay) * (bx - ax) / (b_y - ay)) % 2 = 1 THEN -1 ELSE 1 END
+      * sqrt(min((x - ax - {t} * (bx - ax)) ** 2 + (y - ay - {t} * (b_y - ay)) ** 2)) AS {name} FROM g, e GROUP BY x, y"""
+
+
 _W = C.I420["bt709"]
 _sum3 = lambda w, c: " + ".join(f"{k} * {x}" for k, x in zip(w, c, strict=True))
 _BOX = "(sqrt(greatest(abs(x) - 20 + 3, 0) ** 2 + greatest(abs(y) - 12 + 3, 0) ** 2) + least(greatest(abs(x) - 17, abs(y) - 9), 0) - 3)"
@@ -250,8 +272,13 @@ ORACLE_SQL = {
       m AS (SELECT media_id, t, sum(r)::INT // 4 AS r, sum(g)::INT // 4 AS g, sum(b)::INT // 4 AS b FROM pixels GROUP BY media_id, t, x // 2, y // 2),
       c AS (SELECT media_id, t, sum(greatest(0, least(255, (({_sum3(_W[1], 'rgb')} + 128) >> 8) + 128)))::BIGINT AS u, sum(greatest(0, least(255, (({_sum3(_W[2], 'rgb')} + 128) >> 8) + 128)))::BIGINT AS v FROM m GROUP BY ALL)
       SELECT * FROM l JOIN c USING (media_id, t)""",
-    "c5_masks": f"""WITH g AS (SELECT id % 64 - 31.5::DOUBLE AS x, id // 64 - 31.5::DOUBLE AS y FROM range(0, 4096) t(id))
-      SELECT round(sum(greatest(0, least(1, 0.5 + x / 4))), 6) AS linear, round(sum(1 - greatest(0, least(1, 0.5 - x / 4))), 6) AS mirror, round(sum(greatest(0, least(1, 0.5 - {_BOX} / 4))), 6) AS rectangle FROM g""",
+    "c5_masks": f"""WITH {_GRID}, e AS ({_edges("star", G.star_points((20.0, 12.0)))}), s AS ({_inside("star")}),
+      l AS (SELECT x, y, sqrt((x / 20) ** 2 + (y / 12) ** 2) AS k, sqrt((x / 400) ** 2 + (y / 144) ** 2) AS w, abs(x / (20 / (0.25 + sqrt(2) / 4))) AS u, (12 - y) / (24 / (0.75 + sqrt(2) / 4)) AS v FROM g),
+      h AS (SELECT *, greatest(0.5 * (u + v), 0) AS m FROM l),
+      d AS (SELECT x, y, k * (k - 1) / w AS ell, least(20 / (0.25 + sqrt(2) / 4), 24 / (0.75 + sqrt(2) / 4)) * CASE WHEN u + v > 1 THEN sqrt((u - 0.25) ** 2 + (v - 0.75) ** 2) - sqrt(2) / 4
+        ELSE CASE WHEN u < v THEN -1 ELSE 1 END * sqrt(least(u * u + (v - 1) ** 2, (u - m) ** 2 + (v - m) ** 2)) END AS heart FROM h)
+      SELECT round(sum({_cov("-x", 4)}), 6) AS linear, round(sum(1 - {_cov("x", 4)}), 6) AS mirror, round(sum({_cov("ell", 4)}), 6) AS circle, round(sum({_cov(_BOX, 4)}), 6) AS rectangle,
+             round(sum({_cov("heart", 4)}), 6) AS heart, round(sum({_cov("star", 4)}), 6) AS star FROM d JOIN s USING (x, y)""",
     "c6_chroma_key": f"""WITH {PIXELS}, c AS (SELECT media_id, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM pixels), d AS (SELECT *, sqrt((r - 0.2) ** 2 + (g - 0.6) ** 2 + (b - 0.3) ** 2) AS d FROM c)
       SELECT media_id, round(sum(1 - (1 - {_step(0.175, 0.255, 'd')}) * (1 - 0.4 * (1 - (0.2126 * r + 0.7152 * g + 0.0722 * b)))), 6) AS kept FROM d GROUP BY ALL""",
     "c4_lut": f"WITH {PIXELS} SELECT media_id, " + ", ".join(f"round(sum({_lut_axis(c)}), 6) AS {c}" for c in "rgb") + " FROM pixels GROUP BY ALL",
@@ -289,9 +316,10 @@ ORACLE_SQL = {
     "c7_chroma_mean": f"WITH {PIXELS} SELECT media_id, t, (x // 2)::BIGINT AS cx, (y // 2)::BIGINT AS cy, avg(b) AS chroma FROM pixels GROUP BY ALL",
     "c8_box_blur": f"""WITH {PIXELS}, n AS (SELECT media_id, t, x, (coalesce(lag(r) OVER w, r) + r + coalesce(lead(r) OVER w, r)) / 3.0::DOUBLE AS v FROM pixels WINDOW w AS (PARTITION BY media_id, t, y ORDER BY x))
       SELECT media_id, t, round(sum(v * (x + 1)), 6) AS v FROM n GROUP BY ALL""",
-    "c11_shapes": """WITH g AS (SELECT id % 64 - 31.5::DOUBLE AS x, id // 64 - 31.5::DOUBLE AS y FROM range(0, 4096) t(id)), q AS (SELECT *, abs(x) - 14 AS qx, abs(y) - 6 AS qy FROM g),
-      d AS (SELECT *, sqrt(greatest(qx, 0) ** 2 + greatest(qy, 0) ** 2) + least(greatest(qx, qy), 0) - 6 AS d FROM q), l AS (SELECT *, greatest(0, least(1, 0.5 - (abs(d) - 1.5))) AS line FROM d)
-      SELECT round(sum(line), 6) AS stroke, round(sum(greatest(0, least(1, 0.5 - d)) * (1 - line)), 6) AS fill, round(sum(greatest(0, least(1, 0.5 - (sqrt(x * x + y * y) - 20)))), 6) AS disc FROM l""",
+    "c11_shapes": f"""WITH {_GRID}, e AS ({_edges("hexagon", G.polygon_points((25.0, 18.0), 6))}), s AS ({_inside("hexagon")}),
+      d AS (SELECT *, sqrt(greatest(abs(x) - 14, 0) ** 2 + greatest(abs(y) - 6, 0) ** 2) + least(greatest(abs(x) - 14, abs(y) - 6), 0) - 6 AS box, sqrt(x * x + y * y) - 20 AS disc, sqrt(greatest(abs(x) - 15, 0) ** 2 + y * y) - 7 AS cap FROM g)
+      SELECT round(sum({_cov("(abs(box) - 1.5)", 1)}), 6) AS stroke, round(sum({_cov("box", 1)} * (1 - {_cov("(abs(box) - 1.5)", 1)})), 6) AS fill, round(sum({_cov("disc", 1)}), 6) AS disc,
+             round(sum({_cov("cap", 1)}), 6) AS capsule, round(sum({_cov("hexagon", 1)}), 6) AS hexagon FROM d JOIN s USING (x, y)""",
     "r1_layers": f"""WITH {PACKED}, {TRACKS}, k AS (SELECT DISTINCT o_orderkey * 13 % 9000 AS t FROM orders WHERE o_orderkey % 50 = 0)
       SELECT t, row_number() OVER (PARTITION BY t ORDER BY order_idx) - 1 AS layer, track_id, clip_id FROM k, packed JOIN tracks USING (track_id) WHERE enabled AND kind <> 'audio' AND t >= start_tick AND t < start_tick + dur_tick""",
     "j14_transitions": f"""WITH {PACKED}, {TRACKS}, k AS (SELECT DISTINCT o_orderkey * 13 % 9000 AS t FROM orders WHERE o_orderkey % 50 = 0),
