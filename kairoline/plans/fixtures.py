@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detected points and spans: views and clicks are points, other events last for their value."""
     e = table(spark, sf_dir, "events")
-    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    # ts has no zone and counts as UTC, whatever the session's zone is
+    start = F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")) / 1e6
     point = F.col("event_type").isin("click", "view")
     return e.select(
         F.sha2(F.col("user_id").cast("string"), 256).alias("content_key"),
