@@ -19,13 +19,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import Scratch, lower_ascii
 
 N = 13
 PREFIX = 3
+#: Digests of texts that may be broadcast, at 64 bytes each.
+MAX_BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -85,8 +87,13 @@ def contamination_report(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of df whose text isn't contaminated, unchanged."""
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Rows of df whose text isn't contaminated, unchanged.
+
+    Where no more texts are contaminated than may be broadcast, their digests are, and texts aren't shuffled."""
     dirty = find_contamination(df, benchmark, key, text).where("contaminated").select(F.col("digest").alias("_dirty")).distinct()
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    return df.join(dirty, digest == dirty["_dirty"], "left_anti")
+    dirty = Scratch(df.sparkSession, "dirty").write(dirty)
+    if dirty.count() <= max_broadcast_rows:
+        dirty = F.broadcast(dirty)
+    digest = F.sha2(F.coalesce(df[text], F.lit("")).cast("binary"), 256)
+    return df.join(dirty, digest == F.col("_dirty"), "left_anti")

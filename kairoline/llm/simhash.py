@@ -33,6 +33,8 @@ from .components import connected_components
 SHINGLE = 3
 THRESHOLD = 2
 SEED = 42
+#: Names of rows that may be broadcast, at 17 bytes each.
+MAX_BROADCAST_ROWS = 1_000_000
 #: Shingles whose bits are unpacked at once.
 _CHUNK = 1 << 15
 
@@ -111,29 +113,21 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """df's rows with one of each component: that of the smallest doc_id, or any of several with that doc_id.
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast_rows: int = MAX_BROADCAST_ROWS, **how) -> DataFrame:
+    """df's rows with one of each component: that of the smallest doc_id (null last), of several texts with that doc_id the
+    one of the smallest hash, of equal rows any.
 
-    Rows with a null doc_id stay only where no other row of their component has one."""
+    Where no more rows go than may be broadcast, their names are, and texts aren't shuffled."""
     scratch = Scratch(df.sparkSession, "keep")
-    found = scratch.write(near_duplicates(df, key, text, **how).select("doc_id", "component_id"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    keep = kept.select(F.col("doc_id").alias("_keep"))
-    out = df.join(keep, df[key].eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = kept.where((F.col("count") > 1) & F.col("doc_id").isNotNull()).limit(1).count()
-    nulls = kept.where(F.col("doc_id").isNull()).count()
-    if nulls:  # rows without doc_id are told apart by their text alone
-        return _one_of_nulls(df, out, key, text, how, repeated)
-    return out.dropDuplicates([key]) if repeated else out
-
-
-def _one_of_nulls(df: DataFrame, out: DataFrame, key: str, text: str, how: dict, repeated: int) -> DataFrame:
-    size, seed = how.get("size", SHINGLE), how.get("seed", SEED)
-    named = out.where(F.col(key).isNotNull())
-    named = named.dropDuplicates([key]) if repeated else named
-    # number all rows' fingerprints: those of a null component, one row each
-    ids = near_duplicates(df.select(F.xxhash64(text).alias("_h"), F.col(key).alias("_k"), F.col(text).alias("_t")), "_h", "_t", how.get("threshold", THRESHOLD), size, seed)
-    lone = near_duplicates(df, key, text, **how).where(F.col("component_id").isNull()).select("fp").distinct()
-    least = ids.join(lone, "fp", "left_semi").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_h")).distinct()
-    nameless = out.where(F.col(key).isNull()).join(least, F.xxhash64(text).eqNullSafe(F.col("_h")), "left_semi").dropDuplicates([text])
-    return named.unionByName(nameless)
+    h = F.xxhash64(F.col(text))
+    names = df.select(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), h.alias("h")).alias("doc_id"), F.col(text).alias("text"))
+    found = scratch.write(near_duplicates(names, "doc_id", "text", **how).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    rows = found.groupBy("doc_id", "kept").count()
+    n = rows.agg(F.count_if(~F.col("kept")).alias("gone"), F.max(F.when(F.col("kept"), F.col("count"))).alias("most")).first()
+    picked = lambda kept: found.where(F.col("kept") == kept).select(F.col("doc_id.k").alias("_k"), F.col("doc_id.h").alias("_h")).distinct()
+    same = df[key].eqNullSafe(F.col("_k")) & (F.xxhash64(df[text]) == F.col("_h"))
+    if n["gone"] <= max_broadcast_rows:
+        out = df.join(F.broadcast(picked(False)), same, "left_anti")
+    else:
+        out = df.join(picked(True), same, "left_semi")
+    return out.dropDuplicates([key, text]) if (n["most"] or 1) > 1 else out

@@ -44,7 +44,7 @@ def test_against_brute_force(spark, most):
     found = D.find_contamination(df, bench, max_broadcast_bytes=most)
     got = found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256), "contaminated")
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items)
-    clean = D.drop_contaminated(df, bench)
+    clean = D.drop_contaminated(df, bench, max_broadcast_rows=most)
     assert clean.columns == df.columns
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((x[0] for x in brute(docs, items) if not x[5]), key=str)
 

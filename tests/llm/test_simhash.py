@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from kairoline.llm import covering, simhash
@@ -85,7 +86,8 @@ def test_odd_rows(odd, empty):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 6, None]
 
 
-def test_keep_one_with_repeated_and_null_ids(spark):
-    rows = [(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (None, "x y z w"), (None, "x y z w"), (8, "p q r s")]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == [(7, "a b c d"), (8, "p q r s"), (None, "x y z w")]
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_keep_one_with_repeated_and_null_ids(spark, most):
+    rows = [(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (None, "x y z w"), (None, "x y z w"), (8, "p q r s"), (5, "own text of five"), (7, "own text of five"), (9, "a b c d")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), max_broadcast_rows=most).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(7, "a b c d"), (8, "p q r s"), (5, "own text of five"), (None, "x y z w")], key=str)
