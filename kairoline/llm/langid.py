@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, sliced
 
 PIECES = 256
 PIECE_CHARS = 1024
@@ -102,7 +102,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model.value, **how)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [classifier.predict(t) for t in batch.column(at).to_pylist()]
             more = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*columns, *names])
@@ -120,7 +120,7 @@ def keep_identified(df: DataFrame, dictionaries: dict[str, bytes], text: str = "
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model.value, **how)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([not classifier.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(scan, df.schema)

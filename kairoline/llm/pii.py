@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -268,7 +268,7 @@ def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """doc_id, the number of plain spans of each kind, base_sha256 of the plain spans and all spans as a string."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [all_spans(t) for t in batch.column(1).to_pylist()]
             counts = [pa.array([len(plain[kind]) for plain, _ in rows], pa.int64()) for kind in KINDS]
             digests = pa.array([hashlib.sha256(_joined(plain).encode()).hexdigest() for plain, _ in rows], pa.string())
@@ -285,7 +285,7 @@ def redact_pii(df: DataFrame, text: str = "text", length: str | None = "n_chars"
     """df with personal data in its text replaced; ``length``, where the table has that column, follows the text."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [redacted(t) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import covering
-from .common import Scratch, ship
+from .common import Scratch, ship, sliced
 from .components import connected_components
 
 SHINGLE = 3
@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     chosen = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, size, seed) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     return chosen.mapInArrow(scan, T.StructType([chosen.schema["doc_id"], T.StructField("fp", T.LongType())]))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import frontcode
-from .common import Scratch, ship
+from .common import Scratch, ship, sliced
 
 LENGTH = 100
 GRAM = 24
@@ -165,7 +165,7 @@ def _first_contexts(length: int, gram: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, pieces, size = [], 0, [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for piece in pieces_of(rid, (text or "").encode("utf-8", "surrogatepass"), length):
                     if size + len(piece[2]) > PIECE and pieces:
@@ -260,7 +260,7 @@ def _sorted_runs(length: int, buckets: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, list[frontcode.Item]] = {}
         size = 0
-        for batch in batches:
+        for batch in sliced(batches):
             for rid, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for x in found:
@@ -424,7 +424,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, text_, copies, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text_ or "").encode("utf-8", "surrogatepass")

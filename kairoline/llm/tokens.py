@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, sliced
 
 PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_BYTES = 32 << 20
@@ -120,7 +120,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", fields:
         return encoder(ranks.value)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [one(list(parts)) for parts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(sum, rows), pa.int64()), pa.array(map(len, rows), pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "n_sections", "section_tokens"])
 
