@@ -80,6 +80,11 @@ class Model:
         """Start, end and probability of each sentence."""
         return [(a, b, float(_sigmoid(self.sentence(text[a:b])))) for a, b in sentence_spans(text or "")]
 
+    def offending(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
+        """The sentences at the threshold or above, or else the likeliest one, likeliest first."""
+        ranked = sorted(self.sentences(text), key=lambda s: (-s[2], s[0]))
+        return [s for s in ranked if s[2] >= threshold] or ranked[:1]
+
     def document(self, text: str | None) -> float:
         # log(1 - p) of a sentence with log odds z is -log(1 + e**z)
         z = np.array([self.sentence(s) for s in _SENTENCE.split(text or "") if s and not s.isspace()])
@@ -197,9 +202,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     return Model({f: float(x) for f, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-3}, float(bias))
 
 
-def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), located: int = 3, threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns, score, predicted and the offending sentences: the ``located`` likeliest of those at the
-    threshold or above, as start, end and probability."""
+def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), located: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The kept columns, score, predicted and, of documents predicted toxic, the offending sentences as start, end and
+    probability, likeliest first: all at the threshold or above, and the likeliest one where none is. ``located`` bounds
+    their number."""
     ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     chosen = df.select(*keep, F.col(text).alias("_text"))
@@ -211,7 +217,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
         for batch in sliced(batches):
             texts = batch.column(len(keep)).to_pylist()
             scores = [own.document(t) for t in texts]
-            worst = [sorted((s for s in own.sentences(t) if s[2] >= threshold), key=lambda s: (-s[2], s[0]))[:located] if p >= threshold else [] for t, p in zip(texts, scores, strict=True)]
+            worst = [own.offending(t, threshold)[:located] if p >= threshold else [] for t, p in zip(texts, scores, strict=True)]
             spans = pa.array([[{"start": a, "end": b, "p": p} for a, b, p in s] for s in worst], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(p >= threshold) for p in scores], pa.int32()), spans], names)
 

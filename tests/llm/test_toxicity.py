@@ -52,3 +52,18 @@ def test_tables(spark, odd, empty):
     assert hit.count() <= got.where("predicted = 1").count() / 5
     assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(empty, model).count() == 0
     assert toxicity.fit(empty, marks).weights == {} and toxicity.score(docs, toxicity.fit(docs, marks.where("false"))).agg(F.max("score")).first()[0] < 0.01
+
+
+def test_every_offending_sentence_is_reported(spark):
+    model = toxicity.Model({"bad": 3.0, "poor": 1.2}, -1.0)
+    many = ". ".join(["a bad thing", "a fine thing"] * 10) + "."
+    weak = "a poor thing. a plain thing. a poor poor thing. a poor one"
+    docs = spark.createDataFrame([(1, many), (2, weak), (3, "a fine thing. another"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert [many[s.start : s.end].strip() for s in got[1].offending] == ["a bad thing"] * 10
+    assert [s.start for s in got[1].offending] == sorted(s.start for s in got[1].offending)
+    # flagged by all its sentences together, none of which reaches the threshold
+    assert got[2].predicted == 1 and max(p for _, _, p in model.sentences(weak)) < 0.7
+    assert [weak[s.start : s.end] for s in got[2].offending] == ["a poor thing"]
+    assert got[3].predicted == got[4].predicted == 0 and got[3].offending == got[4].offending == []
+    assert len(toxicity.score(docs, model, located=3).where("doc_id = 1").first().offending) == 3
