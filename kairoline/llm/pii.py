@@ -123,9 +123,10 @@ _NO_WIDTH = re.compile(f"[{_WIDTHLESS}]+")
 # The words for the ten digits.
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT_WORD = "|".join(_DIGITS)
-_SPELLED = re.compile(rf"(?<![a-z0-9])(?:plus[ \t]+)?(?:(?:{_DIGIT_WORD})(?:[ \t-]+|(?=[^a-z0-9-])|\Z)|[0-9]+[ \t-]+(?=(?:[0-9]+[ \t-]+)?(?:{_DIGIT_WORD})(?![a-z0-9]))){{2,}}(?:[0-9]+(?![a-z0-9]))?", re.I)
-_SPELLED_PART = re.compile(rf"(plus)[ \t]+|({_DIGIT_WORD})(?:[ \t-]+(?=[a-z0-9]))?|(?<=[0-9])[ \t-]+(?=[a-z])", re.I)
-_SPELLED_GATE = re.compile(rf"(?:{_DIGIT_WORD})[ \t-]+(?:{_DIGIT_WORD})(?![a-z])", re.I)
+_SPELLED = re.compile(rf"(?<![a-z0-9])(?:plus[ \t]+)?(?:(?:{_DIGIT_WORD})(?:[ \t-]+|(?=[^a-z0-9-])|\Z)|[0-9]+[ \t-]+(?=(?:[0-9]+[ \t-]+)?(?:{_DIGIT_WORD})(?![a-z0-9]))){{2,}}(?:[0-9]+(?![a-z0-9]))?", re.I | re.A)
+_SPELLED_PART = re.compile(rf"(plus)[ \t]+|({_DIGIT_WORD})(?:[ \t-]+(?=[a-z0-9]))?|(?<=[0-9])[ \t-]+(?=[a-z])", re.I | re.A)
+# whatever _SPELLED matches has a digit word right after another or after a number
+_SPELLED_GATE = re.compile(rf"(?:{_DIGIT_WORD}|[0-9])[ \t-]+(?:{_DIGIT_WORD})(?![a-z])", re.I | re.A)
 
 _BRACKET_AT = re.compile(r"[ \t]?[(\[{<][ \t]?(?:at|@)[ \t]?[)\]}>][ \t]?", re.I)
 _BRACKET_DOT = re.compile(r"[ \t]?[(\[{<][ \t]?(?:dot|\.)[ \t]?[)\]}>][ \t]?", re.I)

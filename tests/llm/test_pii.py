@@ -56,6 +56,28 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert found not in pii.redacted(text)
 
 
+@pytest.mark.parametrize("found", ["plus 4 one 5 five 5 five 0 one 2 three", "plus one 4 one 5 five 5 five 0 one 2", "plus 4 1 five 5 5 five 0 1 two 3 4 five"])
+def test_numerals_and_digit_words_in_turn(found):
+    for text in (f"call {found} now", f"one two and {found} now"):
+        assert [text[a:b] for a, b in pii.all_spans(text)[1]["phone"]] == [found]
+        assert "<PHONE>" in pii.redacted(text)
+
+
+def test_the_gate_passes_what_spelled_matches():
+    rng, matched = random.Random(6), 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(["plus", "one", "Six", "7", "42", "a", " ", " ", "-", ".", "\t"]) for _ in range(rng.randint(0, 12)))
+        if pii._SPELLED.search(text):
+            matched += 1
+            assert pii._SPELLED_GATE.search(text), text
+    assert matched > 500
+
+
+def test_letters_that_only_fold_to_ascii_are_no_digit_words():
+    for text in ("4 \u017fix \u017feven", "one s\u0130x two"):
+        assert not any(pii.all_spans(text)[1].values())
+
+
 @pytest.mark.parametrize("text", ["look at the tree dot and so on", "one two three", "at dot at dot", "meet me at seven", "a @ b", "née à Paris, 12 rue"])
 def test_clean_texts_stay(text):
     assert not any(pii.all_spans(text)[1].values())
