@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily.
 
 Equal vectors are one node, so a vector that many rows share is no crowd. The graph gives each node its ``k`` nearest
-known nodes. It starts from a few random-hyperplane tables, whose buckets are compared within. Each round then joins
+known nodes. It starts from a few random-hyperplane tables, whose buckets are compared within, and from groups dealt by
+hash, which give every node edges, also one that is alone in its buckets. Each round then joins
 the graph's edges and reverse edges with the vectors, gathers each node's neighbours, compares these with each other (they
 are neighbours of neighbours), and lets every node keep its ``k`` best. Rounds end when fewer than ``delta`` of all edges
-change. A query is a node of the graph; its search starts from its own edges and expands, in each hop, the nearest
+change. A query is a node of the graph; its search starts from its own edges and the nodes of its group by hash, so that it
+isn't held in a part of the graph without edges to the rest, and expands, in each hop, the nearest
 ``beam`` nodes not expanded yet, until none are left or ``hops`` have run. All tables are shuffled on node ids;
 none is collected or broadcast.
 
@@ -35,6 +37,8 @@ from .common import Scratch, ship
 K = 24
 TABLES = 6
 LEAF = 256
+#: Nodes in a group by hash; well above K, so that a group's chance size leaves K others for each node.
+DEALT = 64
 ROUNDS = 12
 DELTA = 0.01
 BEAM = 192
@@ -139,6 +143,7 @@ class Graph:
         if size["n"] and size["low"] != size["high"]:
             raise ValueError(f"vectors of {size['low']} and of {size['high']} components")
         self.n, dim = size["n"], size["high"] or 0
+        self.seed = seed
         self.codes = scratch.write(nodes.select("id", "embedding").mapInArrow(_codes, "id long, code binary"))
         self.edges = scratch.write(self._best(self._start(tables, leaf, dim, seed)))
         for turn in range(rounds):
@@ -158,7 +163,7 @@ class Graph:
         return once.withColumn("rank", rank).where(F.col("rank") <= self.k).drop("rank")
 
     def _start(self, tables: int, leaf: int, dim: int, seed: int) -> DataFrame:
-        """Pairs within the buckets of random-hyperplane tables."""
+        """Pairs within the buckets of random-hyperplane tables and within groups by hash."""
         bits = max(0, int(np.ceil(np.log2(max(1, self.n / leaf)))))
         planes = np.random.default_rng(seed).normal(size=(tables, bits, dim)).astype(np.float32)
 
@@ -174,8 +179,12 @@ class Graph:
         dealt = self.codes.mapInArrow(bucket, "b long, id long, code binary")
         parts = dealt.groupBy("b").agg(F.ceil(F.count("*") / (1.5 * leaf)).alias("parts"))
         g = F.xxhash64("b", F.pmod(F.xxhash64("id"), F.col("parts")))
-        groups = dealt.join(parts, "b").select(g.alias("g"), "id", "code", F.lit(float("inf")).alias("kth"))
-        return self._compared(groups, self.k)
+        groups = dealt.join(parts, "b").select(g.alias("g"), "id", "code").unionByName(self.codes.select(self._hand().alias("g"), "id", "code"))
+        return self._compared(groups.withColumn("kth", F.lit(float("inf"))), self.k)
+
+    def _hand(self) -> Column:
+        """The group by hash of a node; all are one group where they are few."""
+        return F.xxhash64(F.lit(self.seed), F.pmod(F.xxhash64("id", F.lit(self.seed)), F.lit(max(1, self.n // DEALT))))
 
     @staticmethod
     def _compared(groups: DataFrame, offers: int) -> DataFrame:
@@ -200,8 +209,12 @@ class Graph:
         scratch, spark = self.scratch, starts.sparkSession
         around = scratch.write(self.neighbours())
         asked = scratch.write(starts.join(self.codes, starts["q"] == self.codes["id"]).select("q", F.col("code").alias("own")))
-        first = starts.join(self.edges, starts["q"] == self.edges["id"]).select("q", F.col("nbr").alias("node"), "d", F.lit(0).alias("done"))
-        state = scratch.write(first)
+        edges = starts.join(self.edges, starts["q"] == self.edges["id"]).select("q", F.col("nbr").alias("node"), "d")
+        hand = self.codes.select(self._hand().alias("g"), "id", "code")
+        dealt = asked.join(hand.select("g", F.col("id").alias("q")), "q").join(hand.select("g", F.col("id").alias("node"), "code"), "g").where("node <> q")
+        others = dealt.select("q", "node", "own", "code").mapInArrow(_distances, "q long, node long, d double")
+        # a pair may come from both, its distance rounded otherwise
+        state = scratch.write(edges.unionByName(others).groupBy("q", "node").agg(F.min("d").alias("d")).withColumn("done", F.lit(0)))
         for _ in range(hops):
             ahead = state.where("done = 0").select("q", F.col("node").alias("at"))
             reached = ahead.join(around, ahead["at"] == around["id"]).select("q", F.col("nbr").alias("node")).where("node <> q").distinct()

@@ -34,6 +34,19 @@ def test_recall(spark):
         assert all(np.isclose(own[k].score, np.linalg.norm(np.array(x[q]) - np.array(x[own[k].vec_id])), atol=1e-9) for k in own)
 
 
+@pytest.mark.parametrize("far", [1, 6])
+def test_outliers_and_small_far_groups(spark, far):
+    # a narrow cone, and opposite to it a vector alone in its buckets, or six that share theirs with nobody else
+    rng = np.random.default_rng(3)
+    axis = np.eye(1, 12)[0] * 20
+    rows = [(i, [float(x) for x in axis + v]) for i, v in enumerate(rng.normal(size=(300, 12))) if i % 100]
+    rows += [(1000 + i, [float(x) for x in -axis + v]) for i, v in enumerate(rng.normal(size=(far, 12)) / 10)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, leaf=8).collect()
+    found, want = [r.vec_id for r in sorted(got, key=lambda r: r["rank"])], exact(rows, 10)[1000]
+    assert len(found) == 10 and found[: far - 1] == want[: far - 1]
+    assert len(set(found) & set(want)) >= 9
+
+
 def test_odd_vectors_ties_and_copies(spark):
     same = [1.0, 0.0]
     rows = [(0, same), (100, same), (3, same), (4, same), (200, [0.0, 1.0]), (5, None), (6, []), (7, [0.0, 0.0]), (8, [None, 1.0]), (9, [float("nan"), 1.0]), (10, [float("inf"), 1.0]), (None, same), (3, same)]
