@@ -23,6 +23,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +37,7 @@ Span = tuple[int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_LOCAL_WORD = _LOCAL - {"."}
 # a failed match inside a run of digits fails from each of its digits: start at the run's first digit only
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -134,10 +136,7 @@ _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I)
 # bare words count only in a whole address, or between the numbers of an ip
 _WORD_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:(?:\.[A-Za-z0-9-]+)*[ \t]+dot[ \t]+[A-Za-z0-9-]+))", re.I)
 _WORD_TAIL = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9-]+)+", re.I)
-_WORD_HEAD = re.compile(r"(?:[A-Za-z0-9_%+-]+(?:\.|[ \t]+dot[ \t]+))+[A-Za-z0-9_%+-]+\Z", re.I)
 _WORD_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\.|[ \t]+dot[ \t]+)[0-9]{1,3}){3}(?![0-9])", re.I)
-#: Characters before a worded "at" in which "dot" may join words of the local part.
-_HEAD = 120
 
 
 class Rewriting:
@@ -180,15 +179,36 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _head(text: str, end: int) -> int:
+    """Where the local part starts that ends at ``end``: words joined by dots or by "dot"."""
+
+    def back(at: int, chars: frozenset[str] | str) -> int:
+        while at and text[at - 1] in chars:
+            at -= 1
+        return at
+
+    start = back(end, _LOCAL_WORD)
+    while start:
+        at = start - 1
+        if text[at] != ".":
+            dot = back(start, " \t")
+            at = back(dot - 3, " \t") if dot < start and text[max(0, dot - 3) : dot].lower() == "dot" else dot
+            if at >= dot - 3:
+                break
+        first = back(at, _LOCAL_WORD)
+        if first == at:
+            break
+        start = first
+    return start
+
+
 def _address_edits(text: str) -> list[tuple[int, int, str]]:
     edits = {m.span(): "@" for m in _BRACKET_AT.finditer(text)} | {m.span(): "." for m in _BRACKET_DOT.finditer(text)}
     for m in _WORD_AT.finditer(text):
         edits[m.span()] = "@"
         tail = _WORD_TAIL.match(text, m.end())
         edits |= {d.span(): "." for d in _WORD_DOT.finditer(text, m.end(), tail.end() if tail else m.end())}
-        before = max(0, m.start() - _HEAD)
-        if head := _WORD_HEAD.search(text[before : m.start()]):
-            edits |= {d.span(): "." for d in _WORD_DOT.finditer(text, before + head.start(), m.start())}
+        edits |= {d.span(): "." for d in _WORD_DOT.finditer(text, _head(text, m.start()), m.start())}
     # the domain of a bracketed or plain at sign may still spell its dots
     for sign in re.finditer(r"@|[)\]}>]", text):
         if tail := _WORD_TAIL.match(text, sign.end() + (text[sign.end() : sign.end() + 1] == " ")):
@@ -219,25 +239,27 @@ def hidden_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span
     if not changed:
         return {kind: [] for kind in KINDS}
     taken = sorted(s for spans in plain.values() for s in spans)
+    ends = list(accumulate((b for _, b in taken), max))
     out: dict[str, list[Span]] = {}
     for kind in KINDS:
         out[kind] = []
         for a, b in _FIND[kind](now):
             for step in reversed(chain):
                 a, b = step.back(a, b)
-            if not _overlaps(taken, a, b):
+            if not _overlaps(taken, ends, a, b):
                 out[kind].append((a, b))
         taken = sorted([*taken, *out[kind]])
+        ends = list(accumulate((b for _, b in taken), max))
     return out
 
 
-def _overlaps(spans: list[Span], a: int, b: int) -> bool:
-    """spans: in order and apart from each other, but for a few of different kinds."""
+def _overlaps(spans: list[Span], ends: list[int], a: int, b: int) -> bool:
+    """spans: in order; ends: the furthest end of each and those before it."""
     lo, hi = 0, len(spans)
     while lo < hi:
         mid = (lo + hi) // 2
         lo, hi = (mid + 1, hi) if spans[mid][0] < b else (lo, mid)
-    return any(spans[i][1] > a for i in range(max(0, lo - 4), lo))
+    return lo > 0 and ends[lo - 1] > a
 
 
 def all_spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:

@@ -89,6 +89,18 @@ def test_long_runs_take_linear_time():
         pii.all_spans(text)
 
 
+def test_a_hidden_span_in_a_long_plain_one_is_dropped():
+    plain, spans = pii.all_spans("1.1.1.1_2.2.2.2_3.3.3.3_4.4.4.4_5.5.5.5@x.1.2.3.４")
+    assert len(plain["email"]) == 1 and len(plain["ip"]) == 5 and spans == plain
+
+
+@pytest.mark.parametrize("n", [5, 60, 20_000])
+def test_long_disguised_local_parts(n):
+    found = "john" + " dot smith" * n + " at mail dot example dot com"
+    for text in (found, f"mail to {found} now", f"so dot, {found}. x at y"):
+        assert [text[a:b] for a, b in pii.all_spans(text)[1]["email"]] == [found]
+
+
 def test_table(spark, odd, empty):
     got = pii.find_pii(odd).collect()
     assert len(got) == odd.count() and pii.find_pii(empty).count() == 0
