@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where none is set and all tasks run
+    in the driver's own process. On a cluster a local folder would lose rows, so that raises."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{given or 'file:///tmp/checkpoints'}/{spark.sparkContext.applicationId}"
 
 
@@ -66,7 +70,10 @@ def ship(spark: SparkSession) -> None:
         return
     with tempfile.TemporaryDirectory() as folder:
         copy = shutil.copytree(package, os.path.join(folder, "own", os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), f"{os.path.basename(package)}-{uuid.uuid4().hex[:8]}"), "zip", os.path.dirname(copy))
+        # executors fetch it from the driver as long as the application runs
+        place = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        archive = shutil.make_archive(os.path.join(place, f"{os.path.basename(package)}-{uuid.uuid4().hex[:8]}"), "zip", os.path.dirname(copy))
     sc.addPyFile(archive)
     _shipped.add(sc.applicationId)
 
@@ -78,6 +85,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Names that no column of a table has, whatever its case: with underscores added until they differ."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is. lower() is far quicker, and the same on ASCII."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
