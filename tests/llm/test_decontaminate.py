@@ -49,6 +49,35 @@ def test_against_brute_force(spark, most):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((x[0] for x in brute(docs, items) if not x[5]), key=str)
 
 
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_spans_go_and_the_rest_stays(spark, most):
+    items = [(1, "alpha Beta gamma"), (2, "gamma delta"), (3, " ".join(f"w{i}" for i in range(15)))]
+    docs = [(1, "Say: Alpha, beta\ngamma delta! and so on."), (2, "alpha beta only"), (3, "..." + " ".join(f"W{i}" for i in range(15))), (4, None), (5, ""), (6, "gamma DELTA"), (7, "x " + "gamma delta y " * 50), (7, "x " + "gamma delta y " * 50)]
+    df = spark.createDataFrame([(i, t, "d", 1) for i, t in docs], "doc_id long, text string, digest string, spans int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.remove_spans(df, bench, max_broadcast_rows=most)
+    assert got.columns == df.columns
+    want = [(1, "Say: and so on."), (2, "alpha beta only"), (3, "..."), (4, None), (5, ""), (6, ""), (7, "x " + "y " * 50), (7, "x " + "y " * 50)]
+    assert sorted(got.collect(), key=str) == sorted([(i, t, "d", 1) for i, t in want], key=str)
+    assert D.contamination_report(got, bench).agg({"n_hit": "max"}).first()[0] == 0
+
+
+def test_an_other_window_with_the_markers_key_stays(spark, monkeypatch):
+    # every window of two words has the key that marks documents
+    real = D._window_hash
+    monkeypatch.setattr(D, "_window_hash", lambda a, at, n: F.when(F.get(a, at) == "zero", F.lit(0).cast("long")).otherwise(real(a, at, n)))
+    docs = [(1, "a zero b"), (2, "nothing"), (3, "zero b c")]
+    got = D.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, "zero b")], "item_id long, text string"))
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got.collect()} == {1: (2, ["9"]), 2: (0, []), 3: (2, ["9"])}
+
+
+def test_the_shuffled_way_carries_no_texts(spark, odd):
+    bench = spark.createDataFrame([(1, "lang lang")], "item_id long, text string")
+    found = D.find_contamination(odd, bench, max_broadcast_bytes=0)
+    by = {r.doc_id: r for r in found.collect()}
+    assert by[6].n_hit == 40_000 and found.count() == odd.count()
+
+
 def test_empty_sides(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     got = D.contamination_report(odd, none)
