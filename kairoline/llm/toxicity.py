@@ -6,8 +6,8 @@ weights by the gradient of the document's log loss, which falls mostly on the se
 So the sentence scores locate what offends.
 
 Fitting takes a bounded sample: at most ``per_class`` labelled documents of each class, those with the smallest hash of
-the text, and of each its first ``sample_chars`` characters from a hash-chosen start. The bound holds for fitting only.
-Scoring reads whole texts. With one class only, all scores are 0 or 1 as the labels say; without labels 0.
+the text. A document of up to WHOLE * ``sample_chars`` characters teaches whole, as its offence may lie anywhere; of
+a longer one ``sample_chars`` characters from a hash-chosen start do. Both bounds hold for fitting only; scoring reads whole texts. With one class only, all scores are 0 or 1 as the labels say; without labels 0.
 
 Nulls: a null or empty text has no sentence and scores 0. Rows whose label or text is null teach nothing. Repeated
 rows each come back. Columns other than those named are not read. Empty tables give empty results.
@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, sliced
+from .common import fresh, ship, sliced
 
 PER_CLASS = 3000
 SAMPLE_CHARS = 6000
+WHOLE = 8
 PREFIXES = (4, 5)
 MIN_DOCS = 3
 EPOCHS = 200
@@ -58,9 +59,8 @@ def features(word: str) -> list[str]:
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
+    #: A sentence's log odds without any known word.
     bias: float = -20.0
-    #: Taken from a document's log odds, so that THRESHOLD parts held-back documents best.
-    shift: float = 0.0
     words: dict[str, float] = field(default_factory=dict)
 
     def word(self, w: str) -> float:
@@ -86,15 +86,12 @@ class Model:
         return [s for s in ranked if s[2] >= threshold] or ranked[:1]
 
     def document(self, text: str | None) -> float:
+        """The noisy-or of the sentences."""
         # log(1 - p) of a sentence with log odds z is -log(1 + e**z)
-        z = np.array([self.sentence(s) for s in _SENTENCE.split(text or "") if s and not s.isspace()])
-        return float(_sigmoid(_log_odds(np.logaddexp(0, z).sum()) - self.shift)) if len(z) else 0.0
+        return float(-np.expm1(-np.logaddexp(0, self.log_odds(text)).sum()))
 
-
-def _log_odds(total):
-    """Of P, for total = -log(1 - P)."""
-    total = np.maximum(total, 1e-300)
-    return np.where(total > 50, total, np.log(np.expm1(np.minimum(total, 50))))
+    def log_odds(self, text: str | None) -> np.ndarray:
+        return np.array([self.sentence(s) for s in _SENTENCE.split(text or "") if s and not s.isspace()], float)
 
 
 def _sigmoid(z):
@@ -114,16 +111,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     keys = docs.sparkSession.createDataFrame([(r["k"], r["h"], int(r["y"])) for r in wanted], T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("y", T.IntegerType())]))
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).join(F.broadcast(keys), ["k", "h"])
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("t") - sample_chars + 1)).cast("int") + 1
-    # a toxic document's offence may lie anywhere, so a part won't do for those of moderate length
-    part = F.when(F.length("t") <= 8 * sample_chars, F.col("t")).otherwise(F.substring(F.col("t"), start, F.lit(sample_chars)))
+    part = F.when(F.length("t") <= WHOLE * sample_chars, F.col("t")).otherwise(F.substring(F.col("t"), start, F.lit(sample_chars)))
     rows = own.select("k", "h", "y", part.alias("t")).dropDuplicates(["k", "h"]).collect()
     rows.sort(key=lambda r: (r["h"], str(r["k"])))
     return calibrated([r["t"] for r in rows], [r["y"] for r in rows])
 
 
 def calibrated(texts: list[str], labels: list[int], threshold: float = THRESHOLD, part: int = 5) -> Model:
-    """A model of all the documents, whose shift is found on every ``part``-th by a model of the others: the cut that
-    gets most of both classes right, midway between the documents on its two sides."""
+    """A model of all the documents, whose sentences' bias is set on every ``part``-th by a model of the others: so that the
+    threshold gets most of both classes right, midway between the documents on its two sides."""
     model = train(texts, labels)
     held = range(0, len(texts), part)
     rest = [i for i in range(len(texts)) if i % part]
@@ -131,7 +127,7 @@ def calibrated(texts: list[str], labels: list[int], threshold: float = THRESHOLD
     if len(rest) < 50 or len({labels[i] for i in rest}) < 2 or len(set(y.tolist())) < 2:
         return model
     other = train([texts[i] for i in rest], [labels[i] for i in rest])
-    z = np.array([math.log(max(p, 1e-300) / max(1 - p, 1e-16)) for p in (other.document(texts[i]) for i in held)])
+    z = _room([other.log_odds(texts[i]) for i in held], threshold)
     order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
     # right when the cut lies above the first k: those below that are 0, those above that are 1
@@ -139,10 +135,23 @@ def calibrated(texts: list[str], labels: list[int], threshold: float = THRESHOLD
     best = np.nonzero(right == right.max())[0]
     k = int(best[len(best) // 2])
     low, high = z[k - 1] if k else z[0], z[k] if k < len(z) else z[-1]
-    model.shift = float((low + high) / 2 - math.log(threshold / (1 - threshold)))
+    model.bias -= float((low + high) / 2)
     return model
 
 
+def _room(documents: list[np.ndarray], threshold: float, reach: float = 60.0) -> np.ndarray:
+    """By how much each document's sentences may lose in log odds until their noisy-or falls to the threshold, by halving
+    a range of ``reach`` either way."""
+    at = np.repeat(np.arange(len(documents)), [len(z) for z in documents])
+    every = np.concatenate(documents) if len(at) else np.zeros(0)
+    low, high = np.full(len(documents), -reach), np.full(len(documents), reach)
+    for _ in range(50):
+        mid = (low + high) / 2
+        above = np.bincount(at, np.logaddexp(0, every - mid[at]), len(documents)) >= -math.log1p(-threshold)
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    return (low + high) / 2
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-5) -> Model:
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -205,10 +214,12 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), located: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The kept columns, score, predicted and, of documents predicted toxic, the offending sentences as start, end and
     probability, likeliest first: all at the threshold or above, and the likeliest one where none is. ``located`` bounds
-    their number."""
+    their number. A kept column named like a result raises."""
+    if {"score", "predicted", "offending"} & set(keep):
+        raise ValueError("score, predicted and offending are results")
     ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
-    chosen = df.select(*keep, F.col(text).alias("_text"))
+    chosen = df.select(*keep, F.col(text).alias(fresh(keep, "text")[0]))
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
