@@ -13,7 +13,8 @@ every partition of the data gives the same sample. At most ``max_languages`` lan
 Nulls: a null text, or one without a letter, is ``und`` with score 0 and is rejected. Rows with a null language teach
 nothing. Without anything learned every text is ``und``. Ties go to the
 language with more labelled rows, then to the one that sorts first. Repeated rows
-each come back; repeated texts teach once. Columns other than those named are not read.
+each come back; repeated texts teach once. Columns other than those named are passed on unread; one that has a result's
+name gives way to the result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, sliced
+from .common import fresh, ship, sliced
 
 PIECES = 256
 PIECE_CHARS = 1024
@@ -95,21 +96,22 @@ class Classifier:
 
 
 def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected"), **how) -> DataFrame:
-    """df with three columns more: language, score and rejected."""
+    """df with three columns more: language, score and rejected, in place of any of those names."""
     ship(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(dictionaries)
-    at = df.columns.index(text)
+    columns = [c for c in df.columns if c not in names]
+    passed = [df.schema[c] for c in columns]
+    chosen = df.select(*columns, F.col(text).alias(fresh(columns, "text")[0]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model.value, **how)
         for batch in sliced(batches):
-            rows = [classifier.predict(t) for t in batch.column(at).to_pylist()]
+            rows = [classifier.predict(t) for t in batch.column(len(columns)).to_pylist()]
             more = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*columns, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*columns, *names])
 
-    columns = df.columns
     added = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
-    return df.mapInArrow(scan, T.StructType([*df.schema.fields, *added]))
+    return chosen.mapInArrow(scan, T.StructType([*passed, *added]))
 
 
 def keep_identified(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", **how) -> DataFrame:

@@ -1,3 +1,7 @@
+import math
+import re
+
+import zstandard
 from pyspark.sql import functions as F
 
 from kairoline.llm import langid, queries
@@ -37,3 +41,37 @@ def test_blocks_make_up_the_whole_text():
     assert whole == [sum(x) for x in zip(*(c.sizes(data[i : i + langid.BLOCK_BYTES]) for i in range(0, len(data), langid.BLOCK_BYTES)), strict=True)]
     assert c.predict("lorem ipsum dolor lorem ipsum")[0] == "a"
     assert langid.Classifier({"a": b"xyz", "b": b"xyz"}).predict("hello there")[2]
+
+
+def test_against_a_plain_classifier(spark):
+    """Every document of a table, compressed anew with each dictionary by a compressor of its own."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs.where("crc32(cast(doc_id AS string)) % 4 <> 2"))
+    how = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **langid.SEARCH)
+
+    def size(block, raw):
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(block))
+
+    def plain(text):
+        if not text or not re.search(r"[^\W\d_]", text):
+            return "und", 0.0, True
+        data = text.lower().encode()
+        sizes = {k: sum(size(data[i : i + langid.BLOCK_BYTES], raw) for i in range(0, len(data), langid.BLOCK_BYTES)) for k, raw in model.items()}
+        best = min(sizes, key=sizes.get)
+        others = [v for k, v in sizes.items() if k != best]
+        odds = [math.exp(-100 * (v - sizes[best]) / max(100, sizes[best])) for v in others]
+        return best, 1 / (1 + sum(odds)), min(others) - sizes[best] < langid.MIN_MARGIN * sizes[best]
+
+    got = langid.identify(docs, model).select("text", "lang_pred", "score", "rejected").collect()
+    assert len(got) == docs.count() and len(model) == 4
+    for r in got:
+        lang, score, rejected = plain(r.text)
+        assert (r.lang_pred, r.rejected) == (lang, rejected) and abs(r.score - score) < 1e-9
+    assert {r.rejected for r in got} == {True, False}
+
+
+def test_columns_named_like_results(odd):
+    df = odd.withColumn("rejected", F.lit(1)).withColumn("lang_pred", F.lit(2))
+    got = langid.identify(df, langid.fit(odd))
+    assert sorted(got.columns) == sorted({*odd.columns, "lang_pred", "score", "rejected"}) and dict(got.dtypes)["rejected"] == "boolean"
+    assert got.where("doc_id = 1").first().score > 0.5
