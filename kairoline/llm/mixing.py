@@ -5,8 +5,8 @@ times its own size; what that leaves over goes to the other sources by weight. A
 floor(target / size) times, and the documents below a hash threshold once more.
 
 The threshold comes without sorting documents: sum sizes by source and the top bits of the hash, find the bucket in
-which the running sum crosses the budget, and repeat on the next bits for the documents in that bucket alone. Six
-levels use up all 60 bits of the hash, so the last bucket holds one hash value: it is taken if that brings the sum nearer
+which the running sum crosses the budget, and repeat on the next bits for the documents in that bucket alone. After the first
+level only those are read again. Six levels use up all 60 bits of the hash, so the last bucket holds one hash value: it is taken if that brings the sum nearer
 to the budget. A larger budget takes all that a smaller one takes.
 
 Nothing is collected. A histogram has at most 1024 rows for each source, summed before the shuffle; the weights
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -50,9 +50,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeat: int)
     each = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
     ranked = sizes.withColumn("w", each).withColumn("cap", F.col("source_size") * max_repeat)
     ratio = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, rest = ratio.rowsBetween(Window.unboundedPreceding, -1), ratio.rowsBetween(0, Window.unboundedFollowing)
+    before = ratio.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(0))
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(rest)
+    # what is left of the sum over all sources, as a frame that reaches to the end is summed anew for each row
+    rest = F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0))
+    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / rest
     filled = ranked.withColumn("level", level).withColumn("free", F.col("cap") > F.col("level") * F.col("w"))
     common = F.max(F.when(F.col("free"), F.col("level"))).over(whole)  # the first free source's level; later ones are lower
     return filled.withColumn("common", common).select("source", "source_size", F.when(F.col("free"), F.col("common") * F.col("w")).otherwise(F.col("cap")).cast("double").alias("target"))
@@ -74,8 +76,8 @@ def plan(narrow: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS
     return scratch.write(both.select(F.col("source").alias("s"), "source_size", "target", "full", F.when(F.col("budget") > 0, F.coalesce("cut", F.lit(0).cast("long"))).otherwise(0).alias("cut")))
 
 
-def _copies(h: Column) -> Column:
-    return (F.col("full") + F.when(h < F.col("cut"), 1).otherwise(0)).cast("long")
+def _copies(h: Column, full: str = "full", cut: str = "cut") -> Column:
+    return (F.col(full) + F.when(h < F.col(cut), 1).otherwise(0)).cast("long")
 
 
 def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -88,15 +90,18 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX
 
 
 def take(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, key: str = "doc_id", text: str = "text", source: str = "source", copy: str = "copy") -> DataFrame:
-    """The mixed corpus: df's rows, each as often as the mix takes it, numbered from 1 in a column more.
+    """The mixed corpus: df's rows, each as often as the mix takes it, numbered from 1 in a column more,
+    which takes the place of one of that name.
 
     The plan has a row for each source, so rows of df find their number of copies without a shuffle of texts as
     long as Spark can broadcast it."""
     scratch = Scratch(df.sparkSession, "mix")
     by_source = plan(scratch.write(measured(df, key, text, source)), scratch, weights, max_repeat)
-    found = df.join(by_source.select("s", "full", "cut"), df[source].eqNullSafe(by_source["s"]), "left").withColumn("_copies", _copies(key_hash(df[key])))
-    some = found.where(F.col("_copies") > 0)
-    return some.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(df[c] for c in df.columns), copy)
+    s, full, cut, copies = fresh([*df.columns, copy], "s", "full", "cut", "copies")
+    named = by_source.select(F.col("s").alias(s), F.col("full").alias(full), F.col("cut").alias(cut))
+    found = df.join(named, df[source].eqNullSafe(F.col(s)), "left").withColumn(copies, _copies(key_hash(df[key]), full, cut))
+    kept = [c for c in df.columns if c != copy]
+    return found.where(F.col(copies) > 0).select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy))
 
 
 def _thresholds(narrow: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -104,8 +109,12 @@ def _thresholds(narrow: DataFrame, budgets: DataFrame, scratch: Scratch) -> Data
     # low: the hash from which the boundary bucket starts; base: what lies below it; done: the hash all lie below
     state = budgets.select("s", "budget", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("base"))
     shift = sum(LEVELS)
-    for bits in LEVELS:
+    for level, bits in enumerate(LEVELS):
         above, shift = shift, shift - bits
+        if level == 1:
+            # from here on only the boundary buckets' rows count, a thousandth of all
+            edge = state.select(F.col("s").alias("e"), F.col("low").alias("from"))
+            narrow = scratch.write(narrow.join(edge, narrow["source"].eqNullSafe(edge["e"]) & (F.shiftright("h", above) == F.shiftright("from", above)), "left_semi"))
         inside = narrow.join(state, narrow["source"].eqNullSafe(state["s"]) & (F.shiftright("h", above) == F.shiftright("low", above)))
         hist = inside.groupBy("s", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n"), F.first("budget").alias("budget"), F.first("base").alias("base"))
         w = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)

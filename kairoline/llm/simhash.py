@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import covering
-from .common import Scratch, ship, sliced
+from .common import Scratch, fresh, ship, sliced
 from .components import connected_components
 
 SHINGLE = 3
@@ -117,6 +117,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", max_broadca
     """df's rows with one of each component: that of the smallest doc_id (null last), of several texts with that doc_id the
     one of the smallest hash, of equal rows any.
 
+    All columns stay, whatever their names; of them only key and text are read.
     Where no more rows go than may be broadcast, their names are, and texts aren't shuffled."""
     scratch = Scratch(df.sparkSession, "keep")
     h = F.xxhash64(F.col(text))
@@ -124,8 +125,9 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", max_broadca
     found = scratch.write(near_duplicates(names, "doc_id", "text", **how).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
     rows = found.groupBy("doc_id", "kept").count()
     n = rows.agg(F.count_if(~F.col("kept")).alias("gone"), F.max(F.when(F.col("kept"), F.col("count"))).alias("most")).first()
-    picked = lambda kept: found.where(F.col("kept") == kept).select(F.col("doc_id.k").alias("_k"), F.col("doc_id.h").alias("_h")).distinct()
-    same = df[key].eqNullSafe(F.col("_k")) & (F.xxhash64(df[text]) == F.col("_h"))
+    k, g = fresh(df.columns, "k", "h")
+    picked = lambda kept: found.where(F.col("kept") == kept).select(F.col("doc_id.k").alias(k), F.col("doc_id.h").alias(g)).distinct()
+    same = df[key].eqNullSafe(F.col(k)) & (F.xxhash64(df[text]) == F.col(g))
     if n["gone"] <= max_broadcast_rows:
         out = df.join(F.broadcast(picked(False)), same, "left_anti")
     else:
