@@ -4,14 +4,16 @@ Equal vectors are one node, so a vector that many rows share is no crowd. The gr
 known nodes. It starts from a few random-hyperplane tables, whose buckets are compared within, and from groups dealt by
 hash, which give every node edges, also one that is alone in its buckets. Each round then joins
 the graph's edges and reverse edges with the vectors, gathers each node's neighbours, compares these with each other (they
-are neighbours of neighbours), and lets every node keep its ``k`` best. Rounds end when fewer than ``delta`` of all edges
+are neighbours of neighbours) where the last round brought one of the two, and lets every node keep its ``k`` best. Rounds end when fewer than ``delta`` of all edges
 change. A query is a node of the graph; its search starts from its own edges and the nodes of its group by hash, so that it
 isn't held in a part of the graph without edges to the rest, and expands, in each hop, the nearest
 ``beam`` nodes not expanded yet, until none are left or ``hops`` have run. All tables are shuffled on node ids;
 none is collected or broadcast.
 
 Graph and search compare 8-bit codes of the vectors (a scale, and a byte for each component). The nodes that a search
-ends with are ranked anew by the exact distance, in double precision on the original vectors.
+ends with are ranked anew by the exact distance, in double precision on the original vectors. A query left with fewer
+answers than there are candidates for is compared with all rows; that is a handful of queries at most, as every search
+starts from a whole group.
 
 A bucket of more than ``leaf`` nodes is split by hash: the graph is only started there, so splitting loses no row.
 Reverse edges of a node beyond ``k`` are sampled in each round, by another hash each time.
@@ -40,7 +42,7 @@ LEAF = 256
 #: Nodes in a group by hash; well above K, so that a group's chance size leaves K others for each node.
 DEALT = 64
 ROUNDS = 12
-DELTA = 0.01
+DELTA = 0.03
 BEAM = 192
 HOPS = 8
 RERANK = 40
@@ -48,22 +50,28 @@ RERANK = 40
 OFFERS = 10
 
 
-def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, embedding -> id, code: four bytes of scale, then a byte for each component."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        v = np.array(batch.column(1).to_pylist(), np.float64)
-        scale = np.abs(v).max(axis=1) / 127
-        packed = np.concatenate([scale.astype(np.float32).view(np.uint8).reshape(-1, 4), np.rint(v / scale[:, None]).astype(np.int8).view(np.uint8)], axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(bytes, packed), pa.binary())], ["id", "code"])
+def _codes(largest: float):
+    """id, embedding -> id, code: eight bytes of scale, then a byte for each component. Scales are parts of the largest
+    component of all, so no square overflows."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.array(batch.column(1).to_pylist(), np.float64) / largest
+            scale = np.abs(v).max(axis=1)
+            scale[scale == 0] = np.finfo(float).tiny
+            packed = np.concatenate([(scale / 127).view(np.uint8).reshape(-1, 8), np.rint(v / scale[:, None] * 127).astype(np.int8).view(np.uint8)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(bytes, packed), pa.binary())], ["id", "code"])
+
+    return scan
 
 
 def _decoded(column: pa.Array) -> np.ndarray:
-    """The codes' vectors, as rows of float32."""
+    """The codes' vectors, as rows."""
     rows = column.to_pylist()
     packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    return packed[:, 4:].view(np.int8).astype(np.float32) * packed[:, :4].copy().view(np.float32)
+    return packed[:, 8:].view(np.int8) * packed[:, :8].copy().view(np.float64)
 
 
 def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,23 +92,27 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(offers: int):
-    """g, id, code, kth (rows in order of g) -> id, nbr, d: squared distances of pairs within a group that are
-    below id's kth, each id's nearest ``offers``."""
+    """g, id, code, kth, fresh (rows in order of g) -> id, nbr, d: squared distances of pairs within a group, one of which
+    at least is fresh, that are below id's kth, each id's nearest ``offers``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_group(batches):
-            g, ids, kth = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            g, ids, kth, fresh = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
             vectors = _decoded(batch.column(2))
             cuts = [0, *(np.nonzero(np.diff(g))[0] + 1).tolist(), len(g)]
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                own, where = np.unique(ids[a:b], return_index=True)
+                # an id may come as an edge and as a reverse edge: the fresh one counts
+                order = np.lexsort((~fresh[a:b], ids[a:b]))
+                own, where = np.unique(ids[a:b][order], return_index=True)
                 if len(own) < 2:
                     continue
-                v, limit = vectors[a + where], kth[a + where]
+                where = a + order[where]
+                v, limit, old = vectors[where], kth[where], ~fresh[where]
                 sq = np.einsum("ij,ij->i", v, v)
                 d = sq[:, None] + sq - 2 * (v @ v.T)
                 np.fill_diagonal(d, np.inf)
+                d[np.ix_(old, old)] = np.inf
                 n = min(offers, len(own) - 1)
                 near = np.argpartition(d, n - 1, axis=1)[:, :n]
                 value = np.take_along_axis(d, near, 1)
@@ -126,6 +138,14 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & (F.size(embedding) > 0) & ~bad & F.exists(embedding, lambda x: x != 0)
 
 
+def _distance(x: str, y: str) -> Column:
+    """Euclidean, in double precision. Where the squares might overflow, differences are taken as parts of the largest."""
+    diff = F.zip_with(x, y, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    norm = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, t: s + t * t))
+    largest = F.array_max(diff)
+    return F.when((largest > 1e150) | (largest < 1e-150) & (largest > 0), largest * norm(F.transform(diff, lambda t: t / largest))).otherwise(norm(diff))
+
+
 def _release(spark) -> None:
     """Let Spark drop shuffle files of tables that are done with."""
     gc.collect()
@@ -139,12 +159,13 @@ class Graph:
         self.scratch, self.k = scratch, k
         spark = nodes.sparkSession
         ship(spark)
-        size = nodes.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+        largest = F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))
+        size = nodes.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), largest.alias("largest")).first()
         if size["n"] and size["low"] != size["high"]:
             raise ValueError(f"vectors of {size['low']} and of {size['high']} components")
         self.n, dim = size["n"], size["high"] or 0
         self.seed = seed
-        self.codes = scratch.write(nodes.select("id", "embedding").mapInArrow(_codes, "id long, code binary"))
+        self.codes = scratch.write(nodes.select("id", "embedding").mapInArrow(_codes(size["largest"] or 1.0), "id long, code binary"))
         self.edges = scratch.write(self._best(self._start(tables, leaf, dim, seed)))
         for turn in range(rounds):
             new = scratch.write(self._round(turn))
@@ -180,7 +201,7 @@ class Graph:
         parts = dealt.groupBy("b").agg(F.ceil(F.count("*") / (1.5 * leaf)).alias("parts"))
         g = F.xxhash64("b", F.pmod(F.xxhash64("id"), F.col("parts")))
         groups = dealt.join(parts, "b").select(g.alias("g"), "id", "code").unionByName(self.codes.select(self._hand().alias("g"), "id", "code"))
-        return self._compared(groups.withColumn("kth", F.lit(float("inf"))), self.k)
+        return self._compared(groups.withColumn("kth", F.lit(float("inf"))).withColumn("fresh", F.lit(True)), self.k)
 
     def _hand(self) -> Column:
         """The group by hash of a node; all are one group where they are few."""
@@ -188,26 +209,30 @@ class Graph:
 
     @staticmethod
     def _compared(groups: DataFrame, offers: int) -> DataFrame:
-        found = groups.select("g", "id", "code", "kth").repartition("g").sortWithinPartitions("g").mapInArrow(_compare(offers), "id long, nbr long, d double")
+        found = groups.select("g", "id", "code", "kth", "fresh").repartition("g").sortWithinPartitions("g").mapInArrow(_compare(offers), "id long, nbr long, d double")
         return found.withColumn("new", F.lit(1))
 
     def neighbours(self, turn: int = 0) -> DataFrame:
-        """id, nbr: each id's edges, and of the reverse edges as many."""
-        rank = F.row_number().over(Window.partitionBy("nbr").orderBy(F.xxhash64("id", F.lit(turn))))
-        back = self.edges.select("id", "nbr").withColumn("rank", rank).where(F.col("rank") <= self.k)
-        return self.edges.select("id", "nbr").unionByName(back.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")))
+        """id, nbr, fresh: each id's edges, and of the reverse edges as many, those that the last round brought first."""
+        rank = F.row_number().over(Window.partitionBy("nbr").orderBy(F.desc("new"), F.xxhash64("id", F.lit(turn))))
+        back = self.edges.select("id", "nbr", "new").withColumn("rank", rank).where(F.col("rank") <= self.k)
+        both = self.edges.select("id", "nbr", "new").unionByName(back.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "new"))
+        return both.select("id", "nbr", (F.col("new") == 1).alias("fresh"))
 
     def _round(self, turn: int) -> DataFrame:
         kth = self.edges.groupBy("id").agg(F.when(F.count("*") < self.k, float("inf")).otherwise(F.max("d")).alias("kth"))
         known = self.codes.join(kth, "id", "left").select(F.col("id").alias("nbr"), "code", F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
-        groups = self.neighbours(turn).join(known, "nbr").select(F.col("id").alias("g"), F.col("nbr").alias("id"), "code", "kth")
+        # where nothing is fresh, all pairs have been compared
+        some = F.max("fresh").over(Window.partitionBy("id"))
+        around = self.neighbours(turn).withColumn("some", some).where("some").drop("some")
+        groups = around.join(known, "nbr").select(F.col("id").alias("g"), F.col("nbr").alias("id"), "code", "kth", "fresh")
         offers = self._compared(groups, OFFERS)
         return self._best(offers.unionByName(self.edges.select("id", "nbr", "d").withColumn("new", F.lit(0))))
 
     def search(self, starts: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
         """starts: q, nodes of the graph. q, node, d (of codes): up to ``beam`` nodes near each, itself left out."""
         scratch, spark = self.scratch, starts.sparkSession
-        around = scratch.write(self.neighbours())
+        around = scratch.write(self.neighbours().select("id", "nbr"))
         asked = scratch.write(starts.join(self.codes, starts["q"] == self.codes["id"]).select("q", F.col("code").alias("own")))
         edges = starts.join(self.edges, starts["q"] == self.edges["id"]).select("q", F.col("nbr").alias("node"), "d")
         hand = self.codes.select(self._hand().alias("g"), "id", "code")
@@ -250,11 +275,28 @@ def nearest(df: DataFrame, is_query: Column, n: int = 10, key: str = "vec_id", e
     best = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
     near = found.withColumn("r", best).where(F.col("r") <= max(rerank, 2 * n)).select("q", "node").unionByName(starts.select("q", F.col("q").alias("node")))
     a, b = nodes.select(F.col("id").alias("q"), F.col("embedding").alias("x")), nodes.select(F.col("id").alias("node"), F.col("embedding").alias("y"))
-    square = F.aggregate(F.zip_with("x", "y", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, t: s + t)
-    scored = near.join(a, "q").join(b, "node").select("q", "node", F.sqrt(square).alias("score"))
+    scored = near.join(a, "q").join(b, "node").select("q", "node", _distance("x", "y").alias("score"))
     order = Window.partitionBy("q").orderBy("score", "vec_id")
     answers = scratch.write(scored.join(members, "node").withColumn("r", F.row_number().over(order)).where(F.col("r") <= n + 1).select("q", "vec_id", "score"))
     queries = named.where("asked").select(F.col("id").alias("q"), F.col("vec_id").alias("query_id")).distinct()
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     out = queries.join(answers, "q").where("query_id <> vec_id").withColumn("rank", ranked).where(F.col("rank") <= n)
-    return out.select("query_id", "rank", "vec_id", "score")
+    out = scratch.write(out.select("query_id", "rank", "vec_id", "score"))
+    return out.unionByName(_missed(rows, out, n, scratch))
+
+
+def _missed(rows: DataFrame, found: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """Exact answers, beyond those found, of the queries that have fewer than n and than there are candidates."""
+    once = rows.select("vec_id", "embedding").distinct()
+    most = min(n, max(0, rows.select("vec_id").distinct().count() - 1))
+    got = found.groupBy("query_id").agg(F.count("*").alias("got"), F.collect_set("vec_id").alias("known"))
+    asked = rows.where("asked").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")).distinct()
+    short = scratch.write(asked.join(got, "query_id", "left").where(F.coalesce("got", F.lit(0)) < most))
+    if not short.limit(1).count():
+        return found.limit(0)
+    # a stated set of queries against all rows
+    pairs = short.crossJoin(once.withColumnRenamed("embedding", "y")).where("query_id <> vec_id AND NOT coalesce(array_contains(known, vec_id), false)")
+    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    scored = pairs.select("query_id", "vec_id", "got", _distance("x", "y").alias("score")).withColumn("rank", F.row_number().over(w))
+    # what was found is nearer as a rule; ranks only go on from it
+    return scored.where(F.col("rank") + F.coalesce("got", F.lit(0)) <= n).select("query_id", (F.col("rank") + F.coalesce("got", F.lit(0))).cast("int").alias("rank"), "vec_id", "score")

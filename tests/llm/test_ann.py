@@ -47,6 +47,43 @@ def test_outliers_and_small_far_groups(spark, far):
     assert len(set(found) & set(want)) >= 9
 
 
+@pytest.mark.parametrize("size", [1e25, 1e-25, 1e200])
+def test_huge_and_tiny_vectors(spark, size):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v * size]) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    want = exact([(i, [x / size for x in v]) for i, v in rows], 10)
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r.query_id, []).append(r.vec_id)
+        assert np.isclose(r.score / size, np.linalg.norm(np.array(rows[r.query_id][1]) / size - np.array(rows[r.vec_id][1]) / size))
+    assert {q: len(v) for q, v in by.items()} == {q: 10 for q in want}
+    assert np.mean([len(set(by[q]) & set(want[q])) / 10 for q in want]) > 0.95
+
+
+def test_a_search_that_finds_too_few_is_made_up_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(150, 4)))] + [(100, [0.1, 0.2, 0.3, 0.4])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    real = ann.Graph.search
+    monkeypatch.setattr(ann.Graph, "search", lambda self, *a: real(self, *a).where("q % 200 <> 0 AND d < 0"))
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0).collect()
+    found = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in {r.query_id for r in got}}
+    assert found[0] == exact(rows, 10)[0] and len(found[100]) == 10 and [r["rank"] for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [*range(1, 11)] * 2
+
+
+def test_old_pairs_are_not_compared_again():
+    vectors = np.array([[0.0, 1.0], [0.0, 0.9], [1.0, 0.0]])
+    codes = next(ann._codes(1.0)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(vectors.tolist())], ["id", "e"])]))).column(1)
+
+    def pairs(*fresh):
+        batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 7]), pa.array([1, 2, 3]), codes, pa.array([np.inf] * 3), pa.array(fresh)], ["g", "id", "code", "kth", "fresh"])
+        return {(x, y) for b in ann._compare(5)(iter([batch])) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+
+    assert pairs(False, False, False) == set() and pairs(True, False, False) == {(1, 2), (1, 3), (2, 1), (3, 1)}
+    assert len(pairs(True, True, True)) == 6
+
+
 def test_odd_vectors_ties_and_copies(spark):
     same = [1.0, 0.0]
     rows = [(0, same), (100, same), (3, same), (4, same), (200, [0.0, 1.0]), (5, None), (6, []), (7, [0.0, 0.0]), (8, [None, 1.0]), (9, [float("nan"), 1.0]), (10, [float("inf"), 1.0]), (None, same), (3, same)]
