@@ -7,8 +7,8 @@ where repeats can be, without losing any:
 1. *Anchors.* Every window of ``length`` bytes holds a ``gram``-byte string of the least hash, the leftmost of equals. Equal
    windows have it at the same offset, so windows can only be equal if they share their anchor's string. Windows of
    one anchor are consecutive; together they are its context, at most 2 * length - gram bytes.
-2. *Equal contexts.* Each task keeps the first of equal contexts (by a 64-bit hash of the anchor and another of the context)
-   and removes the others. What is left is dealt by anchor string, and again all but the first of equal
+2. *Equal contexts.* Each task keeps the first of equal contexts (by the 128-bit BLAKE2b of their bytes and of the anchor's place
+   in them) and removes the others. What is left is dealt by anchor string, and again all but the first of equal
    contexts go. Anchors whose string occurs in one context only are done with. So copies, however many, leave
    one context for each task before the shuffle, and one after it.
 3. *Merge sort.* The other contexts are suffixes from the anchor on, followed by what precedes the anchor, reversed. Each task
@@ -29,6 +29,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ MAX_CROWDS = 1_000_000
 RUN_BYTES = 24 << 20
 BUCKET = 40_000
 
+_BYTE = [bytes([k]) for k in range(256)]
 _OWN = "<qqBB"  # document, anchor, bytes from the first and from the last window's start to the anchor
 _MANTISSA = np.uint64(0xFF51AFD7ED558CCD)
 _BACK, _FORTH = 14, 7  # bits of the packed place of an anchor below its position, and of the first part of these
@@ -91,13 +93,14 @@ def _least_in_windows(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def contexts(pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """pieces: document, offset in it and bytes. Anchor hash, context hash, document, anchor, first and last window start
-    of each context; offsets are in the document."""
+    """pieces: document, offset in it and bytes. Anchor hash, the two halves of the context's hash, document, anchor, first and
+    last window start of each context; offsets are in the document."""
     pieces = [p for p in pieces if len(p[2]) >= length]
     if not pieces:
-        return tuple(np.zeros(0, np.uint64 if k < 2 else np.int64) for k in range(6))
+        return tuple(np.zeros(0, np.uint64 if k < 3 else np.int64) for k in range(7))
     words, up, down = _powers()
-    data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+    joined = b"".join(p[2] for p in pieces)
+    data = np.frombuffer(joined, np.uint8)
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words[data] * up[:n], out=sums[1:])
@@ -114,12 +117,13 @@ def contexts(pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> tu
     last[:-1] &= ~valid[1:] | (anchor[1:] != anchor[:-1])
     lo, hi = np.nonzero(first)[0], np.nonzero(last)[0]
     q = anchor[lo]
-    whole = (sums[hi + length] - sums[lo]) * down[lo]
-    # a context is told by its bytes, and by where in it the anchor and the last window are
-    context = _mixed(_mixed(whole) ^ ((q - lo) * 1024 + (hi - lo)).astype(np.uint64))
+    # a context is told by its bytes, and by where in it the anchor is
+    digest = hashlib.blake2b
+    digests = b"".join([digest(joined[a:b] + _BYTE[k], digest_size=16).digest() for a, b, k in zip(lo.tolist(), (hi + length).tolist(), (q - lo).tolist(), strict=True)])
+    context = np.frombuffer(digests, np.uint64).reshape(-1, 2)
     piece = np.searchsorted(starts, lo, "right") - 1
     shift = np.array([p[1] for p in pieces])[piece] - starts[piece]
-    return h[q], context, np.array([p[0] for p in pieces])[piece], q + shift, lo + shift, hi + shift
+    return h[q], context[:, 0], context[:, 1], np.array([p[0] for p in pieces])[piece], q + shift, lo + shift, hi + shift
 
 
 def pieces_of(document: int, data: bytes, length: int, size: int = PIECE) -> Iterator[tuple[int, int, bytes]]:
@@ -138,7 +142,7 @@ def _joined_ranges(document: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[
     return document[at], a[at], b[np.append(at[1:], len(b)) - 1] if len(b) else b
 
 
-_ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "context", "rid", "place")])
+_ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "context", "check", "rid", "place")])
 
 
 def _row_batch(*columns: np.ndarray) -> pa.RecordBatch:
@@ -150,18 +154,18 @@ def _first_contexts(length: int, gram: int):
     context is the start and -place the end."""
 
     def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        anchor, context, rid, q, lo, hi = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((q, rid, context, anchor))
-        anchor, context, rid, q, lo, hi = (c[order] for c in (anchor, context, rid, q, lo, hi))
+        anchor, context, check, rid, q, lo, hi = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((q, rid, check, context, anchor))
+        anchor, context, check, rid, q, lo, hi = (c[order] for c in (anchor, context, check, rid, q, lo, hi))
         again = np.zeros(len(q), bool)
-        again[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
+        again[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1]) & (check[1:] == check[:-1])
         keep = ~again
         place = (q << _BACK) | ((q - lo) << _FORTH) | (q - hi)
         for i in range(0, int(keep.sum()), 1 << 16):
-            yield _row_batch(*(c[keep][i : i + (1 << 16)] for c in (anchor, context, rid, place)))
+            yield _row_batch(*(c[keep][i : i + (1 << 16)] for c in (anchor, context, check, rid, place)))
         rid, a, b = _joined_ranges(rid[again], lo[again], hi[again] + length)
         if len(rid):
-            yield _row_batch(_mixed(rid.astype(np.uint64)), a, rid, -b)
+            yield _row_batch(_mixed(rid.astype(np.uint64)), a, a, rid, -b)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, pieces, size = [], 0, [], 0
@@ -189,25 +193,25 @@ _FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "rid",
 
 
 def _by_anchor(length: int):
-    """Rows in order of anchor, context, rid and place -> ranges to remove (anchor null: rid, start, end), and the
+    """Rows in order of anchor, context, check, rid and place -> ranges to remove (anchor null: rid, start, end), and the
     contexts of anchors that have several (a: place, b: 0)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None)  # anchor and context of the row before
+        last = (None, None, None)  # anchor and context of the row before
         pending = None  # an anchor's only context so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, context, rid, place = (c.to_numpy() for c in batch.columns)
+            anchor, context, check, rid, place = (c.to_numpy() for c in batch.columns)
             ready = place < 0
             out = [(np.zeros(int(ready.sum()), np.int64), np.zeros(int(ready.sum()), bool), rid[ready], context[ready], -place[ready])]
-            anchor, context, rid, place = (c[~ready] for c in (anchor, context, rid, place))
+            anchor, context, check, rid, place = (c[~ready] for c in (anchor, context, check, rid, place))
             if len(anchor):
                 same_anchor, same = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
                 same_anchor[1:] = anchor[1:] == anchor[:-1]
-                same[1:] = same_anchor[1:] & (context[1:] == context[:-1])
+                same[1:] = same_anchor[1:] & (context[1:] == context[:-1]) & (check[1:] == check[:-1])
                 same_anchor[0] = anchor[0] == last[0]
-                same[0] = same_anchor[0] and context[0] == last[1]
+                same[0] = same_anchor[0] and (context[0], check[0]) == last[1:]
                 q = place[same] >> _BACK
                 lo, hi = q - (place[same] >> _FORTH & 127), q - (place[same] & 127)
                 out.append((np.zeros(len(q), np.int64), np.zeros(len(q), bool), rid[same], lo, hi + length))
@@ -221,7 +225,7 @@ def _by_anchor(length: int):
                     out.append((anchor[some], np.ones(len(some), bool), rid[some], place[some], np.zeros(len(some), np.int64)))
                     alone = not (follows[-1] or followed[-1])
                     pending = (anchor[heads[-1]], rid[heads[-1]], place[heads[-1]]) if alone else None
-                last = (anchor[-1], context[-1])
+                last = (anchor[-1], context[-1], check[-1])
             known, valid, *rest = (np.concatenate(c) for c in zip(*out, strict=True))
             if len(known):
                 yield pa.RecordBatch.from_arrays([pa.array(known, mask=~valid), *map(pa.array, rest)], _FOUND.names)
@@ -332,9 +336,9 @@ def _merged(length: int, gram: int):
     """bucket and run, in order of bucket -> ranges to remove."""
 
     def ranges(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        found = list(repeated_windows(runs, length, gram))
-        if found:
-            rid, s = np.array(sorted(found), np.int64).T
+        found = repeated_windows(runs, length, gram)
+        while some := list(islice(found, 1 << 16)):  # ranges may touch those of the next lot; they are joined at the end
+            rid, s = np.array(sorted(some), np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _joined_ranges(rid, s, s + length)], _RANGE.names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +380,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select("rid", "text").mapInArrow(_first_contexts(length, gram), _ROW)
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "context", "rid", "place")
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "context", "check", "rid", "place")
     found = scratch.write(dealt.mapInArrow(_by_anchor(length), _FOUND))
     several = found.where(F.col("anchor").isNotNull())
     n = several.count()

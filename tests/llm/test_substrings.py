@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -46,13 +47,39 @@ def test_against_brute_force(spark, crowd):
         assert all(x.b < y.a for x, y in zip(got[i].spans, got[i].spans[1:], strict=False))
 
 
+def test_production_parameters_on_a_whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = [(r.doc_id, r.text) for r in rows.orderBy("doc_id").collect()]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in substrings.report(substrings.remove_repeats(rows)).collect()}
+    seen = set()
+    for i, text in docs:
+        data = (text or "").encode()
+        gone = np.zeros(len(data) + 1, np.int64)
+        for s in range(len(data) - 99):
+            w = hashlib.blake2b(data[s : s + 100], digest_size=12).digest()
+            if w in seen:
+                gone[s] += 1
+                gone[s + 100] -= 1
+            seen.add(w)
+        kept = bytes(np.frombuffer(data, np.uint8)[np.cumsum(gone[:-1]) == 0])
+        assert got[i] == (len(data), len(data) - len(kept), hashlib.sha256(kept).hexdigest())
+
+
+def test_equal_polynomial_sums_do_not_make_contexts_equal(monkeypatch):
+    # with one word for all bytes, all anchors have one hash; contexts still differ by their bytes
+    _, up, down = substrings._powers()
+    monkeypatch.setattr(substrings, "_powers", lambda: (np.ones(256, np.uint64), up, down))
+    one, other = (substrings.contexts([(1, 0, t)], 12, 4) for t in (b"abcdefghijklmnop", b"abcdefghijklmnoq"))
+    assert set(one[0]) == set(other[0]) and set(zip(one[1], one[2], strict=True)) != set(zip(other[1], other[2], strict=True))
+
+
 def test_small_pieces_give_the_same(monkeypatch):
     rng = random.Random(8)
     data = "".join(rng.choice("ab") for _ in range(3000)).encode()
     cut = [p for p in substrings.pieces_of(1, data, 12, 100)]
     whole = substrings.contexts([(1, 0, data)], 12, 4)
     parts = substrings.contexts(cut, 12, 4)
-    windows = lambda c: sorted((s, int(q)) for q, lo, hi in zip(c[3], c[4], c[5], strict=True) for s in range(lo, hi + 1))
+    windows = lambda c: sorted((s, int(q)) for q, lo, hi in zip(c[4], c[5], c[6], strict=True) for s in range(lo, hi + 1))
     assert windows(whole) == windows(parts) and [s for s, _ in windows(whole)] == list(range(len(data) - 11))
 
 
