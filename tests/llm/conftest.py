@@ -23,3 +23,11 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session", autouse=True)
+def _intermediate_tables_go(spark):
+    yield
+    from kairoline.llm.common import clean_up
+
+    clean_up(spark)

@@ -1,3 +1,7 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kairoline.llm import decontaminate, langid, mixing, pii, simhash, substrings  # noqa: F401
 
@@ -40,3 +44,32 @@ def test_empty_documents(spark, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, str(tmp_path))
     assert out.count() == 0
+
+
+EXTRA = "score cut full s copy _copies copies _h _k h k _dirty dirty digest held_out lang_pred rejected fp anchor rule".split()
+
+
+def test_odd_rows_and_columns_of_any_name(spark, odd, tmp_path):
+    df = odd.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(i).alias(n) for i, n in enumerate(EXTRA)))
+    bench = [(1, "the lazy dog and runs away from it all"), (None, "nothing of that kind"), (3, None)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {
+        # texts that aren't null or blank; the first three rows have one text; two texts are contaminated
+        "language": [1, 2, 2, 6, None],
+        "near_duplicates": [1, 3, 6, None],
+        "decontamination": [3, 4, 5, 6, None],
+        "personal_data": [1, 2, 2, 3, 4, 5, 6, None],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        rows = out.collect()
+        if name == "mix":
+            assert sorted(out.columns) == sorted(df.columns) and {r["copy"] for r in rows} <= {1, 2, 3}
+            planned = Counter()
+            for r in mixing.mix(odd).collect():
+                planned[r.doc_id] += r.copies
+            assert +planned == Counter(r.doc_id for r in rows)
+        else:
+            assert out.columns == df.columns
+            assert sorted((r.doc_id for r in rows), key=str) == sorted(want[name], key=str)
+        assert all(r[n] == i for r in rows for i, n in enumerate(EXTRA) if n != "copy")
