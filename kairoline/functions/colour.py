@@ -48,6 +48,23 @@ def effective_grade(name: str | None, intensity: float, adjust: Grade) -> Grade:
     return Grade(**{f.name: max(-1.0, min(1.0, recipe.get(f.name, 0.0) * intensity + getattr(adjust, f.name))) for f in fields(Grade)})
 
 
+def effective_grades(name: Column, intensity: Column, adjust: dict[str, Column]) -> Column:
+    """The same by row, as a struct of the sliders."""
+    out = []
+    for f in fields(Grade):
+        recipe = F.lit(0.0)
+        for k, own in FILTERS.items():
+            if f.name in own:
+                recipe = F.when(name == k, own[f.name]).otherwise(recipe)
+        out.append(clamp(recipe * intensity + adjust.get(f.name, F.lit(0.0)), -1.0, 1.0).alias(f.name))
+    return F.struct(*out)
+
+
+def is_identity(grade: Column) -> Column:
+    """Whether a grade changes nothing and can be left out."""
+    return sum((F.abs(grade[f.name]) for f in fields(Grade)), F.lit(0.0)) == 0
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(x, F.lit(high)))
 
@@ -195,21 +212,30 @@ def rgb_to_chroma(c: RGB, plane: int, matrix: str = "bt709") -> Column:
 def lut_sample(pixels: DataFrame, table: DataFrame, size: int, channels: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
     """pixels with their channels looked up in a colour table (i, r, g, b), between its eight nearest entries.
 
-    The table has at most 65 ** 3 rows, so it is broadcast; a pixel becomes eight weighted rows and is summed again."""
-    key = [c for c in pixels.columns if c not in channels]
+    The table has size ** 3 rows, size at most 65, so it is broadcast; a pixel meets it eight times and stays one row."""
+    if not 2 <= size <= 65:
+        raise ValueError("a table has from 2 to 65 steps")
     at = [clamp(F.col(c)) * (size - 1) for c in channels]
     base = [F.least(F.floor(x), F.lit(size - 2)) for x in at]
-    corners = []
+    df = pixels.withColumns({f"_base{n}": b for n, b in enumerate(base)}).withColumns({f"_part{n}": x - F.floor(F.least(x, F.lit(float(size - 2)))) for n, x in enumerate(at)})
+    total = [F.lit(0.0)] * 3
     for k in range(8):
         bits = (k & 1, k >> 1 & 1, k >> 2 & 1)
         weight = F.lit(1.0)
-        for x, b, bit in zip(at, base, bits, strict=True):
-            weight = weight * ((x - b) if bit else (1.0 - (x - b)))
-        index = ((base[2] + bits[2]) * size + base[1] + bits[1]) * size + base[0] + bits[0]
-        corners.append(F.struct(index.cast("int").alias("i"), weight.alias("w")))
-    spread = pixels.select(*key, F.explode(F.array(*corners)).alias("k")).select(*key, "k.i", "k.w")
-    joined = spread.join(F.broadcast(table.select("i", *(F.col(c).alias(f"_{c}") for c in "rgb"))), "i")
-    return joined.groupBy(*key).agg(*(F.sum(F.col("w") * F.col(f"_{c}")).alias(n) for c, n in zip("rgb", channels, strict=True)))
+        for n, bit in enumerate(bits):
+            weight = weight * (F.col(f"_part{n}") if bit else 1.0 - F.col(f"_part{n}"))
+        index = ((F.col("_base2") + bits[2]) * size + F.col("_base1") + bits[1]) * size + F.col("_base0") + bits[0]
+        corner = table.select(F.col("i").alias(f"_i{k}"), *(F.col(c).alias(f"_{c}{k}") for c in "rgb"))
+        df = df.join(F.broadcast(corner), index.cast("int") == F.col(f"_i{k}"), "left")
+        total = [t + weight * F.col(f"_{c}{k}") for t, c in zip(total, "rgb", strict=True)]
+    new = dict(zip(channels, total, strict=True))
+    return df.select(*(new[c].alias(c) if c in new else pixels[c] for c in pixels.columns))
+
+
+def packed_parameters(kinds: list[str], values: list[Column]) -> Column:
+    """The same by row, as an array of doubles; points and colours are arrays."""
+    part = {"scalar": lambda v: F.array(v.cast("double")), "vec2": lambda v: v.cast("array<double>"), "colour": lambda v: F.transform(v, lambda x: x / 255.0)}
+    return F.concat(*(part[k](v) for k, v in zip(kinds, values, strict=True)))
 
 
 def pack_parameters(kinds: list[str], values: list) -> list[float]:

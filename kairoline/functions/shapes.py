@@ -63,6 +63,15 @@ def star_points(half: tuple[float, float], points: int = 5, inner: float = 0.5)
     return [(math.cos(a) * r * half[0], math.sin(a) * r * half[1]) for a, r in at]
 
 
+def arrow_points(half: tuple[float, float]) -> list[tuple[float, float]]:
+    """An arrow to the right: its head is as long as half its height, at most half its width; the shaft takes two fifths of
+    the height."""
+    x, y = half
+    neck, shaft = x - min(x, y), 0.4 * y
+    upper = [(neck, -y), (neck, -shaft), (-x, -shaft)]
+    return [(x, 0.0), *upper, *((a, -b) for a, b in reversed(upper))]
+
+
 def polygon_points(half: tuple[float, float], sides: int) -> list[tuple[float, float]]:
     return [(math.cos(-math.pi / 2 + 2 * math.pi / sides * k) * half[0], math.sin(-math.pi / 2 + 2 * math.pi / sides * k) * half[1]) for k in range(sides)]
 

@@ -57,8 +57,8 @@ def seconds_to_ticks(s: Column, n: Column, d: Column) -> Column:
     return F.when(~F.isnan(ticks) & (F.abs(ticks) <= 2.0**53), ticks.cast("long"))
 
 
-def gcd(a: Column, b: Column, steps: int = 48) -> Column:
-    """Euclid by a fold; 48 steps do for numbers below 2**31."""
+def gcd(a: Column, b: Column, steps: int = 92) -> Column:
+    """Euclid by a fold; 92 steps do for all longs, as the worst case are neighbours in Fibonacci's sequence."""
     first = F.struct(F.abs(a.cast("long")).alias("x"), F.abs(b.cast("long")).alias("y"))
     step = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, F.lit(0).cast("long")).otherwise(s["x"] % F.when(s["y"] == 0, 1).otherwise(s["y"])).alias("y"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)["x"]
@@ -83,6 +83,11 @@ def unscale_by_speed(ticks: Column, num: Column, den: Column) -> Column:
     return truncated(_d(ticks) * _d(den), _d(num))
 
 
+def pitch_factor(num: Column, den: Column, average: Column, preserve: Column) -> Column:
+    """By how much sound is sped up where its pitch isn't preserved: the speed times the speed curve's average."""
+    return F.when(preserve, 1.0).otherwise(num / den * average)
+
+
 def animation_tick(t: Column, start: Column, dur: Column) -> Column:
     return F.greatest(F.lit(0), F.least(t - start, F.greatest(dur - 1, F.lit(0))))
 

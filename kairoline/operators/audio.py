@@ -78,6 +78,16 @@ def loudness_contour(pcm: DataFrame, config: Loudness, rate: int) -> DataFrame:
     return w.select("media_id", "win", (F.col("start_frame") / rate).alias("start_seconds"), (F.col("end_frame") / rate).alias("end_seconds"), dbfs(F.col("mean_square"), config.floor_dbfs).alias("dbfs"))
 
 
+def merge_islands(spans: DataFrame, key: str, gap: float, least: float) -> DataFrame:
+    """key, a and b: spans (key, a, b) that don't overlap, joined where they are at most ``gap`` apart; then those shorter
+    than ``least`` go."""
+    by_start = Window.partitionBy(key).orderBy("a")
+    numbered = spans.withColumn("_new", F.when(F.col("a") - F.lag("b").over(by_start) <= gap, 0).otherwise(1))
+    island = F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
+    merged = numbered.withColumn("_island", island).groupBy(key, "_island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.where(F.col("b") - F.col("a") >= least).drop("_island")
+
+
 def detect_silence(pcm: DataFrame, config: Silence, rate: int) -> DataFrame:
     """media_id, start_seconds and end_seconds of silence: entered at the threshold, left above threshold plus
     hysteresis; short gaps are merged before short spans go."""
@@ -90,18 +100,22 @@ def detect_silence(pcm: DataFrame, config: Silence, rate: int) -> DataFrame:
     marked = w.withColumn("silent", state).withColumn("turn", F.col("silent") != F.lag("silent", 1, 0).over(by_time))
     turns = marked.where("turn").select("media_id", "win", "silent", "start_frame", "frames")
     closed = turns.withColumn("end_frame", F.coalesce(F.lead("start_frame").over(by_time), "frames")).where("silent = 1")
-    gap = F.col("start_frame") - F.lag("end_frame").over(by_time)
-    island = F.sum(F.when(gap <= config.merge_gap_seconds * rate, 0).otherwise(1)).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
-    merged = closed.withColumn("island", island).groupBy("media_id", "island").agg(F.min("start_frame").alias("a"), F.max("end_frame").alias("b"))
-    return merged.where(F.col("b") - F.col("a") >= config.minimum_seconds * rate).select("media_id", (F.col("a") / rate).alias("start_seconds"), (F.col("b") / rate).alias("end_seconds"))
+    merged = merge_islands(closed.select("media_id", F.col("start_frame").alias("a"), F.col("end_frame").alias("b")), "media_id", config.merge_gap_seconds * rate, config.minimum_seconds * rate)
+    return merged.select("media_id", (F.col("a") / rate).alias("start_seconds"), (F.col("b") / rate).alias("end_seconds"))
+
+
+def onset_flux(pcm: DataFrame, config: Loudness, rate: int) -> DataFrame:
+    """Whole windows with flux: by how much each is louder than the one before, 0 for the first and where it isn't."""
+    by_time = Window.partitionBy("media_id").orderBy("win")
+    w = energy_windows(pcm, config, rate).where("full").withColumn("db", dbfs(F.col("mean_square"), config.floor_dbfs))
+    rise = F.greatest(F.col("db") - F.lag("db").over(by_time), F.lit(0.0).cast("float"))
+    return w.withColumn("flux", F.coalesce(rise, F.lit(0.0).cast("float")).cast("double"))
 
 
 def onset_candidates(pcm: DataFrame, config: Beats, rate: int) -> DataFrame:
     """media_id, win, end_frame, flux and threshold of windows whose rise reaches the threshold of the local history."""
-    w = energy_windows(pcm, config.loudness, rate).where("full")
+    rise = onset_flux(pcm, config.loudness, rate)
     by_time = Window.partitionBy("media_id").orderBy("win")
-    level = dbfs(F.col("mean_square"), config.loudness.floor_dbfs)
-    rise = w.withColumn("db", level).withColumn("flux", F.coalesce(F.greatest(F.col("db") - F.lag("db").over(by_time), F.lit(0.0).cast("float")), F.lit(0.0).cast("float")).cast("double"))
     # a medium shorter than the history has fewer windows than that, so one length serves all
     most = max(1, -(-max(int(config.history_seconds * rate + 0.5), 1) // max(int(config.loudness.hop_seconds * rate + 0.5), 1)))
     past = by_time.rowsBetween(-most, -1)
@@ -111,12 +125,21 @@ def onset_candidates(pcm: DataFrame, config: Beats, rate: int) -> DataFrame:
     return rise.withColumn("threshold", threshold).where("flux >= threshold").select("media_id", "win", "end_frame", "flux", "threshold")
 
 
+def runs_apart(events: DataFrame, key: str, at: str, least: float) -> DataFrame:
+    """events with _run, which grows where an event comes ``least`` or more after the one before it."""
+    w = Window.partitionBy(key).orderBy(at)
+    gap = F.col(at).cast("double") - F.lag(F.col(at).cast("double")).over(w)
+    apart = events.withColumn("_apart", F.when(gap >= least, 1).otherwise(0))
+    return apart.withColumn("_run", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_apart")
+
+
 def greedy_gate(events: DataFrame, key: str, at: str, least: float, value: str) -> DataFrame:
     """Of each key's events, in order, those at least ``least`` after the last one kept: key, at and value.
 
-    A fold over a key's sorted events; an event is kept or not by what was kept before, so it can't be split."""
+    An event so long after the one before it is kept whatever was kept before. So events are cut into runs there, and
+    each run is folded by itself."""
     item = F.struct(F.col(at).cast("double").alias("at"), F.col(value).cast("double").alias("value"))
-    lists = events.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    lists = runs_apart(events, key, at, least).groupBy(key, "_run").agg(F.array_sort(F.collect_list(item)).alias("all"))
     start = F.expr("cast(array() as array<struct<at:double,value:double>>)")
     keep = lambda kept, e: F.when(F.coalesce(e["at"] - F.try_element_at(kept, F.lit(-1))["at"] >= least, F.lit(True)), F.concat(kept, F.array(e))).otherwise(kept)
     kept = lists.select(key, F.explode(F.aggregate("all", start, keep)).alias("e"))
@@ -183,6 +206,15 @@ def warped_frame(rel: Column, num: Column, den: Column) -> Column:
     return rel.cast("double") * num / den
 
 
+def warp_bounds(spans: DataFrame, block: int) -> DataFrame:
+    """span_id, block, low and high: the source frames that each block of a span's output needs (spans: span_id, length,
+    num, den). Speeds are positive, so a block's first and last frame bound it."""
+    blocks = spans.where("length > 0").select("span_id", "length", "num", "den", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block))).alias("block"))
+    first, last = F.col("block") * block, F.least((F.col("block") + 1) * block, F.col("length")) - 1
+    low, high = F.floor(warped_frame(first, F.col("num"), F.col("den"))), F.ceil(warped_frame(last, F.col("num"), F.col("den"))) + 1
+    return blocks.select("span_id", "block", low.alias("low"), high.alias("high"))
+
+
 def resample(spans: DataFrame, pcm: DataFrame, bucket: int = 4096) -> DataFrame:
     """span_id, rel and value: the samples of spans (span_id, media_id, first, length, num, den) at a speed, each between
     the two source frames around it; the last frame stands for one beyond it."""
@@ -198,7 +230,7 @@ def resample(spans: DataFrame, pcm: DataFrame, bucket: int = 4096) -> DataFrame:
     return pos.join(pairs, ["media_id", "frame"]).select("span_id", "rel", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
 
 
-def realized_rate(per_second: float, most: int, chunks: int, rate: int = 48_000) -> float:
+def realized_rate(per_second: Column, most: int, chunks: Column, rate: int = 48_000) -> Column:
     """Peaks a second that chunks of whole samples give, less if there were more than may be kept."""
-    chunk = max(1, int(rate / per_second + 0.5))
-    return rate / chunk if chunks <= most else rate / chunk * most / chunks
+    chunk = F.greatest(F.lit(1).cast("long"), F.floor(rate / per_second + 0.5))
+    return rate / chunk * F.when(chunks <= most, 1.0).otherwise(most / chunks)

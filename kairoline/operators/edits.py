@@ -6,11 +6,13 @@ rows are edited at once; single edits raise EditError.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeexpr as X
-from .timeline import EditError, abutting, end, lane_order, require_free, shift, split
+from .intervals import interval_join
+from .introspect import frame_at
+from .timeline import EditError, abutting, accepts, end, lane_order, require_free, shift, split
 
 
 def place_media(requests: DataFrame, media: DataFrame, rate: tuple[int, int]) -> DataFrame:
@@ -39,6 +41,67 @@ def move(clips: DataFrame, clip: int, track: int, start: int) -> DataFrame:
     return require_free(clips.withColumn("track_id", F.when(hit, F.lit(track)).otherwise(F.col("track_id"))).withColumn("start_tick", F.when(hit, F.lit(start)).otherwise(F.col("start_tick"))))
 
 
+def duplicate_all(clips: DataFrame, copies: DataFrame) -> DataFrame:
+    """clips and copies of them (copies: clip_id, new_id, to_track, to_start), with new ids and no link. Copies that don't fit
+    are for ``require_free`` to find."""
+    j = clips.join(copies, "clip_id")
+    new = {"clip_id": F.col("new_id"), "track_id": F.col("to_track"), "start_tick": F.col("to_start"), "link": F.lit(None).cast("long")}
+    return clips.unionByName(j.select(*(new[c].cast(clips.schema[c].dataType).alias(c) if c in new else F.col(c) for c in clips.columns)))
+
+
+def move_all(clips: DataFrame, tracks: DataFrame, moves: DataFrame, content: Column, width: int = 64) -> DataFrame:
+    """clips moved (moves: clip_id, to_track, to_start), with the reason why one stays: its content isn't for that kind of
+    track, or another clip is in the way, where that was before the moves."""
+    kinds = tracks.select(F.col("track_id").alias("to_track"), F.col("kind").alias("_kind"))
+    asked = clips.withColumn("_content", content).join(moves, "clip_id").join(kinds, "to_track", "left").select("clip_id", "to_track", "to_start", "_kind", "_content", F.col("dur_tick").alias("_dur"))
+    others = clips.select(F.col("clip_id").alias("_other"), F.col("track_id").alias("to_track"), "start_tick", "dur_tick")
+    hits = interval_join(asked.select("clip_id", "to_track", "to_start", "_dur"), others, ["to_track"], ("to_start", "_dur"), ("start_tick", "dur_tick"), width).where("clip_id <> _other").select("clip_id").distinct().withColumn("_hit", F.lit(True))
+    judged = asked.join(hits, "clip_id", "left")
+    reason = F.when(F.col("_kind").isNull(), "unknown track").when(F.col("to_start") < 0, "before the start").when(~accepts(F.col("_kind"), F.col("_content")), "wrong kind of track").when(F.col("_hit"), "overlap")
+    decided = judged.select("clip_id", "to_track", "to_start", reason.alias("reason"))
+    j = clips.join(decided, "clip_id", "left")
+    go = F.col("to_track").isNotNull() & F.col("reason").isNull()
+    return j.withColumn("track_id", F.when(go, F.col("to_track")).otherwise(F.col("track_id"))).withColumn("start_tick", F.when(go, F.col("to_start")).otherwise(F.col("start_tick"))).select(*clips.columns, "reason")
+
+
+def insertion_slots(drops: DataFrame, clips: DataFrame) -> DataFrame:
+    """drops (drop_id, track_id, at) with slot: the start of the first clip whose middle lies right of the drop, or else the end
+    of the track's last clip; 0 on an empty track."""
+    middles = clips.select("track_id", (F.col("start_tick") + F.floor(F.col("dur_tick") / 2)).alias("pts"), "start_tick")
+    # the first middle above the drop: one at least one tick later
+    found = frame_at(drops.select("drop_id", "track_id", (F.col("at") + 1).alias("t")), middles.select("track_id", "pts").distinct(), ["track_id"])
+    starts = middles.groupBy("track_id", "pts").agg(F.min("start_tick").alias("start_tick"))
+    ends = clips.groupBy("track_id").agg(F.max(end()).alias("_end"))
+    return found.join(starts, ["track_id", "pts"], "left").join(ends, "track_id", "left").select("drop_id", F.coalesce("start_tick", "_end", F.lit(0).cast("long")).alias("slot"))
+
+
+def trim_limits(clips: DataFrame, ripple: bool = False) -> DataFrame:
+    """clips (with head_room and tail_room, the source's ticks beyond each edge) with head_low, head_high, tail_low and
+    tail_high: how far each edge may go. Neighbours bound it unless later clips ripple; a clip keeps one tick."""
+    w = Window.partitionBy("track_id").orderBy("start_tick", "clip_id")
+    before = F.coalesce(F.lag(end()).over(w), F.lit(0)) if not ripple else F.lit(0)
+    after = F.lead("start_tick").over(w) if not ripple else F.lit(None).cast("long")
+    head = F.greatest(before, F.col("start_tick") - F.col("head_room"), F.lit(0)) - F.col("start_tick")
+    tail = F.least(after, end() + F.col("tail_room")) - end()  # least skips nulls
+    return clips.withColumns({"head_low": head, "head_high": F.col("dur_tick") - 1, "tail_low": 1 - F.col("dur_tick"), "tail_high": tail})
+
+
+def resolve_trims(clips: DataFrame, drags: DataFrame, linked: bool = True, ripple: bool = False) -> DataFrame:
+    """clip_id, start_tick and dur_tick after drags of an edge (drags: clip_id, head, delta). With ``linked`` the clips of a
+    link are dragged along, and the delta is one that all of them allow."""
+    limits = trim_limits(clips, ripple)
+    asked = limits.join(drags, "clip_id").select(F.col("clip_id").alias("dragged"), "link", "head", "delta")
+    group = limits.select("clip_id", "link", "start_tick", "dur_tick", "head_low", "head_high", "tail_low", "tail_high")
+    own = asked.join(group.drop("link"), F.col("dragged") == F.col("clip_id")).drop("link")
+    if linked:
+        others = asked.where("link IS NOT NULL").join(group, "link").where("clip_id <> dragged").drop("link")
+        own = own.unionByName(others)
+    low, high = F.when(F.col("head"), F.col("head_low")).otherwise(F.col("tail_low")), F.when(F.col("head"), F.col("head_high")).otherwise(F.col("tail_high"))
+    bounds = own.groupBy("dragged").agg(F.max(low).alias("_low"), F.min(high).alias("_high"))
+    moved = own.join(bounds, "dragged").withColumn("_d", F.least(F.greatest("delta", "_low"), "_high"))
+    return moved.select("dragged", "clip_id", F.when(F.col("head"), F.col("start_tick") + F.col("_d")).otherwise(F.col("start_tick")).alias("start_tick"), F.when(F.col("head"), F.col("dur_tick") - F.col("_d")).otherwise(F.col("dur_tick") + F.col("_d")).alias("dur_tick"))
+
+
 def retime(clips: DataFrame, speeds: DataFrame) -> DataFrame:
     """New lengths at new speeds. speeds: clip_id, num, den. A clip that would meet its right neighbour, or whose speed
     isn't positive, stays as it is; ``reason`` tells why."""

@@ -44,13 +44,46 @@ def keep_latest(rows: DataFrame, n: int, order: Column, tie: str, keys: list[str
     return numbered.withColumn("truncated", F.max("_r").over(w) > n).where(F.col("_r") <= n).withColumnRenamed("_r", "position")
 
 
+def positions(rows: DataFrame, bucket: Column, order: list[str | Column]) -> DataFrame:
+    """rows with position, counted from 1 over the whole table in the order given. The bucket must not fall in that order: rows
+    are numbered within buckets, and only one row for each bucket is numbered in one place."""
+    named = rows.withColumn("_p", bucket)
+    sizes = named.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("_p").alias("_q"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    joined = named.withColumn("_own", own).join(offsets, F.col("_p").eqNullSafe(F.col("_q")))
+    return joined.select(*rows.columns, (F.col("_before") + F.col("_own")).cast("long").alias("position"))
+
+
+def page(rows: DataFrame, order: list[str], number: int, size: int = 12) -> DataFrame:
+    """The rows of a page, counted from 1. Only the rows up to its end are gathered; a page without rows raises."""
+    if number < 1:
+        raise ValueError("pages count from 1")
+    first = rows.orderBy(*order).limit(number * size)
+    shown = first.withColumn("_n", F.row_number().over(Window.orderBy(*order))).where(F.col("_n") > (number - 1) * size).drop("_n")
+    if number > 1 and not shown.limit(1).count():
+        raise ValueError(f"there is no page {number}")
+    return shown
+
+
 def frame_at(wanted: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """The first frame (pts) at or after each wanted time t: a forward as-of join on the sorted union."""
     extra = [c for c in wanted.columns if c not in (*keys, "t")]
     a = wanted.select(*keys, F.col("t").alias("_at"), F.lit(1).alias("_ask"), *extra, F.lit(None).cast(frames.schema["pts"].dataType).alias("pts"))
     b = frames.select(*keys, F.col("pts").alias("_at"), F.lit(0).alias("_ask"), *(F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in extra), "pts")
-    w = Window.partitionBy(*keys).orderBy("_at", F.col("_ask").desc()).rowsBetween(0, Window.unboundedFollowing)
-    return a.unionByName(b).withColumn("pts", F.first("pts", ignorenulls=True).over(w)).where("_ask = 1").select(*keys, F.col("_at").alias("t"), *extra, "pts")
+    # from the last one back, so that the frame grows from its first row and each row costs a constant
+    w = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    return a.unionByName(b).withColumn("pts", F.last("pts", ignorenulls=True).over(w)).where("_ask = 1").select(*keys, F.col("_at").alias("t"), *extra, "pts")
+
+
+def frame_before(wanted: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """The last frame (pts) at or before each wanted time t: where a seek lands."""
+    extra = [c for c in wanted.columns if c not in (*keys, "t")]
+    a = wanted.select(*keys, F.col("t").alias("_at"), F.lit(1).alias("_ask"), *extra, F.lit(None).cast(frames.schema["pts"].dataType).alias("pts"))
+    b = frames.select(*keys, F.col("pts").alias("_at"), F.lit(0).alias("_ask"), *(F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in extra), "pts")
+    w = Window.partitionBy(*keys).orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    return a.unionByName(b).withColumn("pts", F.last("pts", ignorenulls=True).over(w)).where("_ask = 1").select(*keys, F.col("_at").alias("t"), *extra, "pts")
 
 
 def tile_step(px_per_second: Column, min_px: float, low: int = -6, high: int = 12) -> Column:

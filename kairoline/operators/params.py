@@ -1,7 +1,7 @@
 """Keyframed parameters: keyframes are rows (param_id, tick, value, easing).
 
-Sampling turns keyframes into segments by lead() and joins samples with the segment that holds them, by parameter and
-bucket of ticks. Before the first and after the last keyframe their values hold.
+Sampling finds the keyframes on both sides of a time in the sorted union of times and keyframes. Before the first and
+after the last keyframe their values hold.
 """
 
 from __future__ import annotations
@@ -20,21 +20,28 @@ def segments(keyframes: DataFrame) -> DataFrame:
     return keyframes.withColumn("next_tick", F.lead("tick").over(w)).withColumn("next_value", F.lead("value").over(w))
 
 
-def sample(keyframes: DataFrame, at: DataFrame, time: str = "t") -> DataFrame:
-    """``at`` (param_id and a time) with a column more, value: an as-of join on the sorted union of both tables. It
-    shuffles each table once by parameter, and no row is copied."""
+def bracket(keyframes: DataFrame, at: DataFrame, time: str = "t") -> DataFrame:
+    """``at`` (param_id and a time) with before and after: the keyframes (tick, value, easing) on both sides of each time, null
+    beyond the ends. One at the time itself is before it. An as-of join on the sorted union of both tables: it shuffles each
+    once by parameter, and no row is copied."""
     extra = [c for c in at.columns if c not in ("param_id", time)]
     keys = keyframes.select("param_id", F.col("tick").cast("double").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col("tick").cast("double").alias("tick"), F.col("value").cast("double").alias("value"), "easing").alias("_k"), F.lit(None).cast(at.schema[time].dataType).alias(time), *(F.lit(None).cast(at.schema[c].dataType).alias(c) for c in extra))
     asks = at.select("param_id", F.col(time).cast("double").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(keys.schema["_k"].dataType).alias("_k"), time, *extra)
-    w = Window.partitionBy("param_id").orderBy("_at", "_side")
-    both = keys.unionByName(asks)
-    left = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("_k", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    found = both.withColumn("_l", left).withColumn("_r", right).where("_side = 1")
-    u = (F.col("_at") - F.col("_l.tick")) / (F.col("_r.tick") - F.col("_l.tick"))
-    inside = E.lerp(F.col("_l.value"), F.col("_r.value"), E.ease(F.col("_l.easing"), u))
-    value = F.when(F.col("_l").isNull(), F.col("_r.value")).when(F.col("_r").isNull(), F.col("_l.value")).otherwise(inside)
-    return found.withColumn("value", value).select("param_id", time, *extra, "value")
+    # both frames grow from their first row, so each row costs a constant; one that reaches to the end is scanned anew
+    ahead = Window.partitionBy("param_id").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("param_id").orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
+    left, right = F.last("_k", ignorenulls=True).over(ahead), F.last("_k", ignorenulls=True).over(back)
+    found = keys.unionByName(asks).withColumn("before", left).withColumn("after", right).where("_side = 1")
+    return found.select("param_id", time, *extra, "before", "after")
+
+
+def sample(keyframes: DataFrame, at: DataFrame, time: str = "t") -> DataFrame:
+    """``at`` (param_id and a time) with a column more, value."""
+    left, right = F.col("before"), F.col("after")
+    u = (F.col(time).cast("double") - left["tick"]) / (right["tick"] - left["tick"])
+    inside = E.lerp(left["value"], right["value"], E.ease(left["easing"], u))
+    value = F.when(left.isNull(), right["value"]).when(right.isNull(), left["value"]).otherwise(inside)
+    return bracket(keyframes, at, time).withColumn("value", value).drop("before", "after")
 
 
 def curve_integral(keyframes: DataFrame, p: Column | float, scale: int = CURVE_SCALE) -> DataFrame:
@@ -51,6 +58,30 @@ def curve_integral(keyframes: DataFrame, p: Column | float, scale: int = CURVE_S
     return s.groupBy("param_id").agg(F.sum(head + tail + F.coalesce(inside, F.lit(0.0))).alias("area"))
 
 
+def source_fraction(keyframes: DataFrame, p: Column | float) -> DataFrame:
+    """param_id and fraction: the part of the source that a curve has swept at p, from 0 to 1; p itself for a curve without
+    area."""
+    own = curve_integral(keyframes, p).join(curve_integral(keyframes, 1.0).withColumnRenamed("area", "_all"), "param_id")
+    bound = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return own.select("param_id", F.when(F.col("_all") > 0, bound(F.col("area") / F.col("_all"))).otherwise(bound(F.lit(p) if isinstance(p, float) else p)).alias("fraction"))
+
+
+def shift_ticks(keyframes: DataFrame, moves: DataFrame) -> DataFrame:
+    """Keyframes of parameters moved by ``delta`` (moves: param_id, delta). If any tick of a parameter would overflow, all
+    of it stays; ``shifted`` tells."""
+    j = keyframes.join(moves, "param_id", "left").withColumn("_to", F.try_add("tick", "delta"))
+    fits = F.min(F.col("_to").isNotNull()).over(Window.partitionBy("param_id"))
+    out = j.withColumn("shifted", fits)
+    return out.withColumn("tick", F.when(F.col("shifted"), F.col("_to")).otherwise(F.col("tick"))).select(*keyframes.columns, "shifted")
+
+
+def map_ticks(keyframes: DataFrame, num: int, den: int) -> DataFrame:
+    """Keyframes with their ticks at another rate, toward zero; too large ones raise."""
+    from ..functions.timeexpr import scale_by_speed
+
+    return keyframes.withColumn("tick", scale_by_speed(F.col("tick"), F.lit(num), F.lit(den)))
+
+
 def upsert(keyframes: DataFrame, new: DataFrame) -> DataFrame:
     """new (of the same columns) in place of keyframes at the same ticks."""
     return keyframes.join(new, ["param_id", "tick"], "left_anti").unionByName(new)

@@ -24,14 +24,17 @@ def layers(ticks: DataFrame, clips: DataFrame, tracks: DataFrame, transitions: D
 
     In a transition clip_id is the outgoing and other_id the incoming clip."""
     shown = tracks.where(F.col("enabled") & F.col("kind").isin(*VISUAL)).select("track_id", "order_idx")
-    asked = ticks.crossJoin(F.broadcast(shown.select("track_id"))) if "track_id" not in ticks.columns else ticks.join(shown.select("track_id"), "track_id", "left_semi")
-    plain = stab_join(asked.select("t", "track_id"), clips.select("clip_id", "track_id", "start_tick", "dur_tick"), ["track_id"], "t", ("start_tick", "dur_tick"), bucket)
+    # ticks for all tracks meet clips by time alone, those of one track by track and time
+    keys = ["track_id"] if "track_id" in ticks.columns else []
+    asked = ticks.select("t", *keys)
+    own = clips.select("clip_id", "track_id", "start_tick", "dur_tick").join(shown.select("track_id"), "track_id", "left_semi")
+    plain = stab_join(asked, own, keys, "t", ("start_tick", "dur_tick"), bucket)
     one = plain.groupBy("t", "track_id").agg(F.min(F.struct("start_tick", "clip_id"))["clip_id"].alias("clip_id"))
     if transitions is None:
         found = one.select("t", "track_id", "clip_id", F.lit(None).cast("long").alias("other_id"), F.lit(None).cast("double").alias("progress"))
     else:
-        w = transition_windows(clips, transitions)
-        cut = stab_join(asked.select("t", "track_id"), w, ["track_id"], "t", ("win_start", "win_dur"), bucket)
+        w = transition_windows(clips, transitions).join(shown.select("track_id"), "track_id", "left_semi")
+        cut = stab_join(asked, w, keys, "t", ("win_start", "win_dur"), bucket)
         first = cut.groupBy("t", "track_id").agg(F.min(F.struct("cut", "left_id", "right_id", ((F.col("t") - F.col("win_start")) / F.col("win_dur")).alias("progress"))).alias("w"))
         both = one.join(first, ["t", "track_id"], "full")
         found = both.select("t", "track_id", F.coalesce("w.left_id", "clip_id").alias("clip_id"), F.col("w.right_id").alias("other_id"), F.col("w.progress").alias("progress"))

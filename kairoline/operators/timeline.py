@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeexpr as X
-from .intervals import overlaps_before
+from .intervals import overlaps_before, stab_join
+from .introspect import positions
 
 #: Which content a kind of track takes (fixed values).
 ACCEPTS = {
@@ -106,7 +107,7 @@ def ripple_insert(clips: DataFrame, track: int, at: int, new: DataFrame) -> Data
 def split(clips: DataFrame, cuts: DataFrame, next_id: int) -> DataFrame:
     """Cut clips at ticks strictly inside them. cuts: clip_id, cut (one for each clip). The right part gets a new id, counted
     up from ``next_id`` in order of clip_id, and begins in the source where the left one ends."""
-    new = cuts.withColumn("_new", F.row_number().over(Window.orderBy("clip_id")) - 1 + next_id)
+    new = positions(cuts, F.floor(F.col("clip_id") / 4096), ["clip_id"]).withColumn("_new", F.col("position") - 1 + next_id).drop("position")
     both = clips.join(new, "clip_id", "left")
     inside = (F.col("cut") > F.col("start_tick")) & (F.col("cut") < end())
     whole = F.struct(F.col("clip_id").alias("id"), F.col("start_tick").alias("s"), F.col("dur_tick").alias("d"))
@@ -149,6 +150,22 @@ def lane_order(tracks: DataFrame) -> DataFrame:
     return main.withColumn("lane", (F.row_number().over(Window.orderBy(zone, "order_idx", "track_id")) - 1).cast("long"))
 
 
+def first_free_lane(ticks: DataFrame, clips: DataFrame, tracks: DataFrame, bucket: int) -> DataFrame:
+    """probe and lane: of the tracks, in their order, the first without a clip at the probe's tick (probe, t); probes for
+    which there is none are left out.
+
+    The tracks are numbered from 0; the lowest number that isn't busy is the first one that the sorted busy numbers skip.
+    So free tracks, which are most, are never listed."""
+    number = (F.row_number().over(Window.orderBy("order_idx", "track_id")) - 1).cast("long")
+    lanes = tracks.select("track_id", "order_idx").withColumn("n", number).select("track_id", "n")
+    times = ticks.select("t").distinct()
+    busy = stab_join(times, clips.select("track_id", "start_tick", "dur_tick").join(lanes, "track_id"), [], "t", ("start_tick", "dur_tick"), bucket).select("t", "n").distinct()
+    place = (F.row_number().over(Window.partitionBy("t").orderBy("n")) - 1).cast("long")
+    first = busy.withColumn("p", place).groupBy("t").agg(F.coalesce(F.min(F.when(F.col("n") > F.col("p"), F.col("p"))), F.count("*")).alias("n"))
+    found = ticks.select("probe", "t").join(first, "t", "left").select("probe", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return found.join(lanes, "n").select("probe", F.col("track_id").alias("lane"))
+
+
 def source_in_timeline(beat: Column, start: Column, dur: Column, src_start: Column, src_dur: Column, num: Column, den: Column, reverse: Column) -> Column:
     """A source tick as a timeline tick, rounded; null outside the source window."""
     offset = F.when(reverse, src_start + src_dur - 1 - beat).otherwise(beat - src_start)

@@ -12,13 +12,13 @@ from .fixtures import MEDIA, PACKED, TRACKS, media, packed, table, tracks
 
 
 def e1_place_media(spark, sf):
-    r = packed(spark, sf).where("clip_id % 6 = 0").select("clip_id", "track_id", "media_id", (F.col("line") * 20 - 40).alias("src_start"), (F.col("dur_tick") * 25 - 100).alias("src_dur"), "start_tick")
+    r = packed(spark, sf).select("clip_id", "track_id", "media_id", (F.col("line") * 20 - 40).alias("src_start"), (F.col("dur_tick") * 25 - 100).alias("src_dur"), "start_tick")
     return edits.place_media(r, media(spark, sf), (24, 1)).select("clip_id", F.when(F.col("reason").isNull(), F.col("dur_tick")).alias("dur_tick"), "reason")
 
 
 def e8_retime(spark, sf):
     c = packed(spark, sf).withColumn("src_dur", F.col("dur_tick"))
-    speeds = c.where("clip_id % 3 = 1").select("clip_id", (F.col("line") - 1).alias("num"), F.lit(2).cast("long").alias("den"))
+    speeds = c.select("clip_id", (F.col("line") - 1).alias("num"), F.lit(2).cast("long").alias("den"))
     return edits.retime(c, speeds).select("clip_id", "dur_tick", "reason")
 
 
@@ -40,12 +40,12 @@ def e16_set_values(spark, sf):
 
 def e17_slot_windows(spark, sf):
     m = media(spark, sf)
-    s = packed(spark, sf).where("line <= 3").join(m, "media_id").select("clip_id", "dur_tick", F.col("line").alias("num"), F.lit(2).cast("long").alias("den"), "reversed", "rate_num", "rate_den", F.col("duration_ticks").alias("most"), "is_image", (F.col("line") * 400).alias("src_start"))
+    s = packed(spark, sf).join(m, "media_id").select("clip_id", "dur_tick", F.col("line").alias("num"), F.lit(2).cast("long").alias("den"), "reversed", "rate_num", "rate_den", F.col("duration_ticks").alias("most"), "is_image", (F.col("line") * 400).alias("src_start"))
     return edits.slot_windows(s, (30000, 1001)).select("clip_id", "src_dur", "reason")
 
 
 def j11_nearest_junction(spark, sf):
-    points = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("probe"), (F.col("o_orderkey") % 90 + 1).alias("track_id"), (F.col("o_orderkey") * 7 % 9000).alias("t"))
+    points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("probe"), (F.col("o_orderkey") % 90 + 1).alias("track_id"), (F.col("o_orderkey") * 7 % 9000).alias("t"))
     return edits.nearest_junction(points, packed(spark, sf), 12)
 
 
@@ -96,11 +96,11 @@ _LOCAL = "greatest(0, least(1, (0.4::DOUBLE - i / n::DOUBLE * 0.45) / 0.55))"
 _BOUNCE = """CASE WHEN p < 1 / 2.75::DOUBLE THEN 7.5625 * p * p WHEN p < 2 / 2.75::DOUBLE THEN 7.5625 * (p - 1.5 / 2.75::DOUBLE) ** 2 + 0.75
       WHEN p < 2.5 / 2.75::DOUBLE THEN 7.5625 * (p - 2.25 / 2.75::DOUBLE) ** 2 + 0.9375 ELSE 7.5625 * (p - 2.625 / 2.75::DOUBLE) ** 2 + 0.984375 END"""
 ORACLE_SQL = {
-    "e1_place_media": f"""WITH {PACKED}, {MEDIA}, r AS (SELECT clip_id, media_id, line * 20 - 40 AS s, dur_tick * 25 - 100 AS d, start_tick FROM packed WHERE clip_id % 6 = 0),
+    "e1_place_media": f"""WITH {PACKED}, {MEDIA}, r AS (SELECT clip_id, media_id, line * 20 - 40 AS s, dur_tick * 25 - 100 AS d, start_tick FROM packed),
       j AS (SELECT *, CASE WHEN duration_ticks IS NULL THEN 'unknown media' WHEN d <= 0 THEN 'empty range' WHEN s < 0 OR (NOT is_image AND s + d > duration_ticks) THEN 'source out of bounds' END AS reason,
         greatest(1, (d * rate_den * 24 + rate_num // 2) // rate_num) AS dur FROM r LEFT JOIN media USING (media_id))
       SELECT clip_id, CASE WHEN reason IS NULL THEN dur END AS dur_tick, reason FROM j""",
-    "e8_retime": f"""WITH {PACKED}, c AS (SELECT *, CASE WHEN clip_id % 3 = 1 THEN line - 1 END AS num, lead(start_tick) OVER (PARTITION BY track_id ORDER BY start_tick, clip_id) AS nx FROM packed),
+    "e8_retime": f"""WITH {PACKED}, c AS (SELECT *, line - 1 AS num, lead(start_tick) OVER (PARTITION BY track_id ORDER BY start_tick, clip_id) AS nx FROM packed),
       d AS (SELECT *, CASE WHEN num > 0 THEN greatest(1, dur_tick * 2 // num) END AS nd FROM c), r AS (SELECT *, CASE WHEN num IS NULL THEN NULL WHEN num <= 0 THEN 'speed must be positive' WHEN start_tick + nd > nx THEN 'overlap' END AS reason FROM d)
       SELECT clip_id, CASE WHEN num IS NOT NULL AND reason IS NULL THEN nd ELSE dur_tick END AS dur_tick, reason FROM r""",
     "e12_move_track": f"""WITH {TRACKS}, o AS (SELECT track_id, kind, row_number() OVER (ORDER BY CASE WHEN track_id = 5 THEN 1.5 ELSE order_idx END, track_id) - 1 AS o FROM tracks),
@@ -109,10 +109,10 @@ ORACLE_SQL = {
     "e14_move_effect": """WITH e AS (SELECT DISTINCT l_suppkey AS clip_id, l_linenumber::BIGINT AS effect FROM lineitem), p AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY effect) - 1 AS p, clip_id % 4 AS a, clip_id % 3 AS b FROM e)
       SELECT clip_id, CASE WHEN p = a THEN b WHEN a < b AND p > a AND p <= b THEN p - 1 WHEN b < a AND p >= b AND p < a THEN p + 1 ELSE p END AS position, effect FROM p""",
     "e16_set_values": f"WITH {TRACKS} SELECT track_id, CASE WHEN track_id % 3 = 0 THEN 'renamed' ELSE name END AS name, CASE WHEN track_id % 6 = 0 THEN true ELSE muted END AS muted FROM tracks",
-    "e17_slot_windows": f"""WITH {PACKED}, {MEDIA}, s AS (SELECT *, line * 400 AS ss, greatest(1, (dur_tick * 1001 * line * rate_num + 30000 * 2 * rate_den - 1) // (30000 * 2 * rate_den))::BIGINT AS src_dur FROM packed JOIN media USING (media_id) WHERE line <= 3)
+    "e17_slot_windows": f"""WITH {PACKED}, {MEDIA}, s AS (SELECT *, line * 400 AS ss, greatest(1, (dur_tick * 1001 * line * rate_num + 30000 * 2 * rate_den - 1) // (30000 * 2 * rate_den))::BIGINT AS src_dur FROM packed JOIN media USING (media_id))
       SELECT clip_id, src_dur, CASE WHEN reversed THEN 'retimed slot' WHEN NOT is_image AND ss + src_dur > duration_ticks THEN 'media too short' END AS reason FROM s""",
     "j11_nearest_junction": f"""WITH {PACKED}, n AS (SELECT *, lead(clip_id) OVER w AS r, lead(start_tick) OVER w AS rs FROM packed WINDOW w AS (PARTITION BY track_id ORDER BY start_tick, clip_id)),
-      c AS (SELECT track_id, clip_id AS left_id, r AS right_id, rs AS cut FROM n WHERE rs = start_tick + dur_tick), p AS (SELECT o_orderkey AS probe, o_orderkey % 90 + 1 AS track_id, o_orderkey * 7 % 9000 AS t FROM orders WHERE o_orderkey % 10 = 0),
+      c AS (SELECT track_id, clip_id AS left_id, r AS right_id, rs AS cut FROM n WHERE rs = start_tick + dur_tick), p AS (SELECT o_orderkey AS probe, o_orderkey % 90 + 1 AS track_id, o_orderkey * 7 % 9000 AS t FROM orders),
       b AS (SELECT probe, left_id, right_id, cut, row_number() OVER (PARTITION BY probe ORDER BY abs(cut - t), cut, left_id, right_id) AS k FROM p JOIN c USING (track_id) WHERE abs(cut - t) <= 12)
       SELECT p.probe, left_id, right_id, cut FROM p LEFT JOIN b ON p.probe = b.probe AND k = 1""",
     "f23_animation_window": f"WITH {PACKED}, w AS (SELECT clip_id, greatest(1, least(15, dur_tick // 2)) AS w FROM packed) SELECT clip_id, w AS \"window\", greatest(1, round(w / 2.0::DOUBLE))::BIGINT AS fast FROM w",

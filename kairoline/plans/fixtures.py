@@ -136,6 +136,12 @@ KEYFRAMES = f"""keyframes AS (
          {list(EASINGS)}[(min(o_orderkey) % 5 + 1)::INT] AS easing
   FROM orders GROUP BY ALL)"""
 
+
+
+def some_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 13 % 9000).alias("t")).distinct()
+
+
 RATE = 1000
 
 

@@ -11,7 +11,7 @@ from ..functions import shapes as G
 from ..operators import params as P
 from ..operators import resolve as R
 from ..operators import transcript as T
-from .fixtures import EASINGS, KEYFRAMES, PACKED, PIXELS, TOKENS, TRACKS, keyframes, packed, pixels, table, tokens, tracks
+from .fixtures import EASINGS, KEYFRAMES, PACKED, PIXELS, TOKENS, TRACKS, keyframes, packed, pixels, some_ticks, table, tokens, tracks
 
 GRADE = C.effective_grade("sunset", 0.8, C.Grade(exposure=0.1, contrast=0.2, highlights=0.3, shadows=-0.4, hue=0.5))
 
@@ -34,8 +34,8 @@ def f7_param_sample(spark, sf):
 
 def f9_curve_integral(spark, sf):
     w = Window.partitionBy("param_id").orderBy("tick")
-    k = keyframes(spark, sf).withColumn("n", F.row_number().over(w) - 1).where("n < 5")
-    curve = k.select("param_id", (F.col("n") * 200 + 100).cast("long").alias("tick"), (F.col("value") % 7 + 1).cast("double").alias("value"), "easing")
+    k = keyframes(spark, sf).withColumn("n", F.row_number().over(w) - 1).withColumn("all", F.count("*").over(Window.partitionBy("param_id")))
+    curve = k.select("param_id", F.floor((2 * F.col("n") + 1) * 500 / F.col("all")).cast("long").alias("tick"), (F.col("value") % 7 + 1).cast("double").alias("value"), "easing")
     whole, half = P.curve_integral(curve, 1.0), P.curve_integral(curve, 0.55)
     j = whole.join(half.withColumnRenamed("area", "half"), "param_id")
     return j.select("param_id", F.round("area", 8).alias("area"), F.round(F.col("half") / F.col("area"), 8).alias("fraction"))
@@ -181,23 +181,21 @@ def c11_shapes(spark, sf):
     return _grid(spark).agg(F.round(F.sum(line), 6).alias("stroke"), F.round(F.sum(fill), 6).alias("fill"), F.round(F.sum(G.coverage(G.ellipse(x, y, (20.0, 20.0)))), 6).alias("disc"), F.round(F.sum(G.coverage(G.capsule(x, y, (22.0, 7.0)))), 6).alias("capsule"), F.round(F.sum(hexagon), 6).alias("hexagon"))
 
 
-def _some_ticks(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey % 50 = 0").select((F.col("o_orderkey") * 13 % 9000).alias("t")).distinct()
-
-
 def r1_layers(spark, sf):
-    return R.layers(_some_ticks(spark, sf), packed(spark, sf), tracks(spark, sf)).select("t", F.col("layer").cast("long").alias("layer"), "track_id", "clip_id")
+    return R.layers(some_ticks(spark, sf), packed(spark, sf), tracks(spark, sf)).select("t", F.col("layer").cast("long").alias("layer"), "track_id", "clip_id")
 
 
 def j14_transitions(spark, sf):
     c = packed(spark, sf)
     nxt = F.lead("clip_id").over(Window.partitionBy("track_id").orderBy("start_tick", "clip_id"))
     wanted = c.withColumn("right_id", nxt).where("clip_id % 2 = 0 AND right_id IS NOT NULL").select(F.col("clip_id").alias("left_id"), "right_id", F.lit("crossfade").alias("name"), F.lit(9).cast("long").alias("duration"))
-    return R.layers(_some_ticks(spark, sf), c, tracks(spark, sf), wanted).where("other_id IS NOT NULL").select("t", "track_id", "clip_id", "other_id", F.round("progress", 9).alias("progress"))
+    return R.layers(some_ticks(spark, sf), c, tracks(spark, sf), wanted).where("other_id IS NOT NULL").select("t", "track_id", "clip_id", "other_id", F.round("progress", 9).alias("progress"))
 
 
 def r5_export_blocks(spark, sf):
-    return R.export_blocks(spark, 3000, 30000, 1001)
+    """The blocks of all frames up to where the last clip ends."""
+    frames = packed(spark, sf).agg(F.max(F.col("start_tick") + F.col("dur_tick"))).first()[0]
+    return R.export_blocks(spark, frames or 0, 30000, 1001)
 
 
 QUERIES = {f.__name__: f for f in (f2_easing, f2_bezier, f5_piecewise, f7_param_sample, f9_curve_integral, u4_keyframe_upsert, a15_segments, a16_words, g10_segment_confidence, a13_transcript_moments, x1_title_case, x2_spacing, x4_display_text, c1_grade, c3_blend, c7_yuv, c7_chroma_mean, c8_box_blur, c8_effects, c8_pixelate, c4_lut, c5_masks, c6_chroma_key, c7_i420, c11_shapes, r1_layers, j14_transitions, r5_export_blocks)}
@@ -291,7 +289,7 @@ ORACLE_SQL = {
       a AS (SELECT o_orderkey AS probe, o_custkey AS param_id, (o_orderkey * 17 % 2600)::DOUBLE AS t FROM orders)
       SELECT probe, floor((CASE WHEN t < tick OR nt IS NULL THEN value::DOUBLE ELSE value::DOUBLE + (nv::DOUBLE - value::DOUBLE) * ({_ease('easing', '((t - tick) / (nt - tick))')}) END) * 100 + 0.5) / 100 AS value
       FROM a JOIN seg USING (param_id) WHERE (t >= tick OR f) AND (nt IS NULL OR t < nt)""",
-    "f9_curve_integral": f"""WITH {KEYFRAMES}, k AS (SELECT param_id, (n * 200 + 100) / 1000.0::DOUBLE AS q, (value % 7 + 1)::DOUBLE AS v, easing FROM (SELECT *, row_number() OVER (PARTITION BY param_id ORDER BY tick) - 1 AS n FROM keyframes) WHERE n < 5),
+    "f9_curve_integral": f"""WITH {KEYFRAMES}, k AS (SELECT param_id, ((2 * n + 1) * 500 // c) / 1000.0::DOUBLE AS q, (value % 7 + 1)::DOUBLE AS v, easing FROM (SELECT *, row_number() OVER (PARTITION BY param_id ORDER BY tick) - 1 AS n, count(*) OVER (PARTITION BY param_id) AS c FROM keyframes)),
       s AS (SELECT *, lead(q) OVER w AS r, lead(v) OVER w AS nv, lag(q) OVER w IS NULL AS f FROM k WINDOW w AS (PARTITION BY param_id ORDER BY q)), p AS (SELECT unnest([1.0::DOUBLE, 0.55::DOUBLE]) AS p),
       t AS (SELECT *, greatest(0, least(1, (p - q) / (r - q)))::DOUBLE AS t FROM s, p),
       i AS (SELECT param_id, p, sum(CASE WHEN f THEN v * least(p, q) ELSE 0 END + CASE WHEN r IS NULL THEN CASE WHEN p > q THEN v * (p - q) ELSE 0 END WHEN p > q THEN (r - q) * (v * t + (nv - v) * ({_area('easing', 't')})) ELSE 0 END) AS area FROM t GROUP BY ALL)
@@ -320,12 +318,12 @@ ORACLE_SQL = {
       d AS (SELECT *, sqrt(greatest(abs(x) - 14, 0) ** 2 + greatest(abs(y) - 6, 0) ** 2) + least(greatest(abs(x) - 14, abs(y) - 6), 0) - 6 AS box, sqrt(x * x + y * y) - 20 AS disc, sqrt(greatest(abs(x) - 15, 0) ** 2 + y * y) - 7 AS cap FROM g)
       SELECT round(sum({_cov("(abs(box) - 1.5)", 1)}), 6) AS stroke, round(sum({_cov("box", 1)} * (1 - {_cov("(abs(box) - 1.5)", 1)})), 6) AS fill, round(sum({_cov("disc", 1)}), 6) AS disc,
              round(sum({_cov("cap", 1)}), 6) AS capsule, round(sum({_cov("hexagon", 1)}), 6) AS hexagon FROM d JOIN s USING (x, y)""",
-    "r1_layers": f"""WITH {PACKED}, {TRACKS}, k AS (SELECT DISTINCT o_orderkey * 13 % 9000 AS t FROM orders WHERE o_orderkey % 50 = 0)
+    "r1_layers": f"""WITH {PACKED}, {TRACKS}, k AS (SELECT DISTINCT o_orderkey * 13 % 9000 AS t FROM orders)
       SELECT t, row_number() OVER (PARTITION BY t ORDER BY order_idx) - 1 AS layer, track_id, clip_id FROM k, packed JOIN tracks USING (track_id) WHERE enabled AND kind <> 'audio' AND t >= start_tick AND t < start_tick + dur_tick""",
-    "j14_transitions": f"""WITH {PACKED}, {TRACKS}, k AS (SELECT DISTINCT o_orderkey * 13 % 9000 AS t FROM orders WHERE o_orderkey % 50 = 0),
+    "j14_transitions": f"""WITH {PACKED}, {TRACKS}, k AS (SELECT DISTINCT o_orderkey * 13 % 9000 AS t FROM orders),
       n AS (SELECT *, lead(clip_id) OVER w AS right_id, lead(start_tick) OVER w AS rs FROM packed WINDOW w AS (PARTITION BY track_id ORDER BY start_tick, clip_id)),
       x AS (SELECT track_id, clip_id, right_id, rs AS cut, rs - 4 AS ws FROM n WHERE clip_id % 2 = 0 AND rs = start_tick + dur_tick),
       c AS (SELECT t, track_id, clip_id, right_id, ws, row_number() OVER (PARTITION BY t, track_id ORDER BY cut, clip_id, right_id) AS r FROM k, x JOIN tracks USING (track_id) WHERE enabled AND kind <> 'audio' AND t >= ws AND t < ws + 9)
       SELECT t, track_id, clip_id, right_id AS other_id, round((t - ws) / 9.0::DOUBLE, 9) AS progress FROM c WHERE r = 1""",
-    "r5_export_blocks": "SELECT id AS frame, id * 1001 * 48000 // 30000 AS from_sample, (id + 1) * 1001 * 48000 // 30000 AS to_sample FROM range(0, 3000) t(id)",
+    "r5_export_blocks": f"WITH {PACKED}, f AS (SELECT unnest(range(0, max(start_tick + dur_tick))) AS id FROM packed) SELECT id AS frame, id * 1001 * 48000 // 30000 AS from_sample, (id + 1) * 1001 * 48000 // 30000 AS to_sample FROM f",
 }

@@ -11,7 +11,7 @@ from .fixtures import MEDIA, MOMENTS, PACKED, clips, media, moments, packed, tab
 
 def j9_frame_at(spark, sf):
     frames = clips(spark, sf).select("track_id", F.col("start_tick").alias("pts")).distinct()
-    wanted = table(spark, sf, "orders").where("o_orderkey % 20 = 0").select((F.col("o_orderkey") % 50 + 1).alias("track_id"), F.col("o_orderkey").alias("probe"), (F.col("o_orderkey") * 13 % 60000).alias("t"))
+    wanted = table(spark, sf, "orders").select((F.col("o_orderkey") % 50 + 1).alias("track_id"), F.col("o_orderkey").alias("probe"), (F.col("o_orderkey") * 13 % 60000).alias("t"))
     return I.frame_at(wanted, frames, ["track_id"]).select("probe", "pts")
 
 
@@ -19,7 +19,7 @@ def j10_snap(spark, sf):
     c = packed(spark, sf)
     seq = F.row_number().over(Window.partitionBy("track_id").orderBy("start_tick", "clip_id"))
     cand = c.where("line % 2 = 0").withColumn("seq", seq).select("track_id", "seq", F.col("start_tick").alias("tick"))
-    drags = c.where("clip_id % 40 = 3").select("track_id", F.col("clip_id").alias("drag_id"), (F.col("start_tick") + 7).alias("cursor"), F.col("dur_tick").alias("dur"))
+    drags = c.select("track_id", F.col("clip_id").alias("drag_id"), (F.col("start_tick") + 7).alias("cursor"), F.col("dur_tick").alias("dur"))
     return I.snap(drags, cand, 6, ["track_id"])
 
 
@@ -58,7 +58,7 @@ def a11_out_of_order(spark, sf):
 
 
 def f26_motion_ticks(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf, "orders")
     return o.select("o_orderkey", F.posexplode(I.motion_ticks(F.col("o_orderkey").cast("double"), 180.0, 5)).alias("i", "at")).select("o_orderkey", F.col("i").cast("long").alias("i"), F.round("at", 6).alias("at"))
 
 
@@ -85,7 +85,7 @@ def f33_strip_times(spark, sf):
 
 def f36_looping_frame(spark, sf):
     d = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("idx")).agg(F.max("l_quantity").cast("long").alias("delay"))
-    asks = table(spark, sf, "orders").where("o_orderkey % 30 = 0").select((F.col("o_orderkey") % 50 + 1).alias("k"), F.col("o_orderkey").alias("probe"), (F.col("o_orderkey") * 31).alias("ms"))
+    asks = table(spark, sf, "orders").select((F.col("o_orderkey") % 50 + 1).alias("k"), F.col("o_orderkey").alias("probe"), (F.col("o_orderkey") * 31).alias("ms"))
     return I.looping_frame(d, asks, ["k"]).select("probe", F.col("idx").cast("long").alias("idx"))
 
 
@@ -113,9 +113,9 @@ QUERIES = {f.__name__: f for f in (j9_frame_at, j10_snap, s11_seek_cost, s16_evi
 
 _LIST = ", ".join(f"{x}::DOUBLE" for x in I.INTERVALS)
 ORACLE_SQL = {
-    "j9_frame_at": f"WITH {PACKED.partition(', packed AS')[0]} SELECT o_orderkey AS probe, (SELECT min(start_tick) FROM clips WHERE track_id = o_orderkey % 50 + 1 AND start_tick >= o_orderkey * 13 % 60000) AS pts FROM orders WHERE o_orderkey % 20 = 0",
+    "j9_frame_at": f"WITH {PACKED.partition(', packed AS')[0]} SELECT probe, start_tick AS pts FROM (SELECT o_orderkey AS probe, o_orderkey % 50 + 1 AS track_id, o_orderkey * 13 % 60000 AS t FROM orders) o ASOF LEFT JOIN (SELECT DISTINCT track_id, start_tick FROM clips) c ON c.track_id = o.track_id AND o.t <= c.start_tick",
     "j10_snap": f"""WITH {PACKED}, c AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_tick, clip_id) AS seq, start_tick AS tick FROM packed WHERE line % 2 = 0),
-      d AS (SELECT track_id, clip_id AS drag_id, start_tick + 7 AS cur, dur_tick AS dur FROM packed WHERE clip_id % 40 = 3),
+      d AS (SELECT track_id, clip_id AS drag_id, start_tick + 7 AS cur, dur_tick AS dur FROM packed),
       e AS (SELECT *, 0 AS side, cur AS edge FROM d UNION ALL SELECT *, 1, cur + dur FROM d WHERE dur >= 12),
       h AS (SELECT drag_id, tick, CASE side WHEN 1 THEN tick - dur ELSE tick END AS start, row_number() OVER (PARTITION BY drag_id ORDER BY abs(tick - edge), seq, side) AS r FROM e JOIN c USING (track_id) WHERE abs(tick - edge) <= 6)
       SELECT d.drag_id, h.drag_id IS NOT NULL AS snapped, coalesce(start, cur) AS start, tick AS line FROM d LEFT JOIN h ON d.drag_id = h.drag_id AND r = 1""",
@@ -129,7 +129,7 @@ ORACLE_SQL = {
       SELECT event_id, position, n > 40 AS truncated FROM r WHERE position <= 40""",
     "a11_out_of_order": f"WITH {MOMENTS}, b AS (SELECT event_id, start_seconds, lag(start_seconds) OVER (PARTITION BY content_key ORDER BY event_id) AS p FROM moments) SELECT event_id FROM b WHERE start_seconds < p",
     "a12_moment_rows": f"""WITH {MOMENTS} SELECT event_id, '{{"v":1,"index":' || (row_number() OVER (PARTITION BY content_key ORDER BY start_seconds, event_id) - 1)::VARCHAR || '}}' AS payload FROM moments WHERE kind = 'click'""",
-    "f26_motion_ticks": "SELECT o_orderkey, i, round(o_orderkey + (i / 4.0::DOUBLE - 0.5) * 0.5, 6) AS at FROM orders, range(0, 5) t(i) WHERE o_orderkey % 10 = 0",
+    "f26_motion_ticks": "SELECT o_orderkey, i, round(o_orderkey + (i / 4.0::DOUBLE - 0.5) * 0.5, 6) AS at FROM orders, range(0, 5) t(i)",
     "f28_crop_uv": f"""WITH {MEDIA}, c AS (SELECT *, media_id % 50 / 100.0::DOUBLE AS x, media_id % 30 / 100.0::DOUBLE AS y FROM media)
       SELECT media_id, round(CASE WHEN is_image THEN x + 0.5 ELSE x END, 9) AS u0, round(CASE WHEN has_audio THEN y + 0.25 ELSE y END, 9) AS v0, round(CASE WHEN is_image THEN x ELSE x + 0.5 END, 9) AS u1, round(CASE WHEN has_audio THEN y ELSE y + 0.25 END, 9) AS v1 FROM c""",
     "f31_interval": f"WITH {MEDIA} SELECT media_id, coalesce(list_filter([{_LIST}], lambda x: duration_ticks / 25.0::DOUBLE / x <= 12)[1], 1800.0::DOUBLE) AS interval FROM media",
@@ -138,7 +138,7 @@ ORACLE_SQL = {
     "f33_strip_times": f"WITH {MEDIA} SELECT media_id, i, round(duration_ticks / 25.0::DOUBLE * i / 5, 6) AS at FROM media, range(0, 6) t(i)",
     "f36_looping_frame": """WITH d AS (SELECT l_suppkey AS k, l_linenumber AS idx, max(l_quantity)::BIGINT AS delay FROM lineitem GROUP BY ALL),
       r AS (SELECT *, sum(delay) OVER (PARTITION BY k ORDER BY idx) AS u, sum(delay) OVER (PARTITION BY k) AS total FROM d)
-      SELECT o_orderkey AS probe, min(idx)::BIGINT AS idx FROM orders JOIN r ON k = o_orderkey % 50 + 1 WHERE o_orderkey % 30 = 0 AND o_orderkey * 31 % total < u GROUP BY o_orderkey""",
+      SELECT o_orderkey AS probe, min(idx)::BIGINT AS idx FROM orders JOIN r ON k = o_orderkey % 50 + 1 WHERE o_orderkey * 31 % total < u GROUP BY o_orderkey""",
     "x3_clock_labels": f"WITH {MEDIA}, s AS (SELECT media_id, duration_ticks // 25 AS s FROM media) SELECT media_id, CASE WHEN s >= 60 THEN (s // 60)::VARCHAR || ':' || lpad((s % 60)::VARCHAR, 2, '0') ELSE s::VARCHAR || 's' END AS label FROM s",
     "x6_tool_names": "SELECT DISTINCT 'app__' || event_type || '_' || (user_id % 3)::VARCHAR AS name, 'app' AS space, event_type || '_' || (user_id % 3)::VARCHAR AS tool, true AS valid FROM events",
     "x11_lower_command": """WITH r AS (SELECT event_id, CASE WHEN event_type NOT IN ('view', 'click') THEN 'unknown tool' WHEN event_id % 9 - 2 < 0 THEN 'negative time' END AS reason FROM events)

@@ -10,11 +10,11 @@ from ..operators import audio as A
 from ..operators import introspect as I
 from ..operators import params as P
 from ..operators import resolve as R
-from .fixtures import EASINGS, KEYFRAMES, MEDIA, PACKED, PCM, PIXELS, TRACKS, keyframes, media, packed, pcm, pixels, table, tracks
+from .fixtures import EASINGS, KEYFRAMES, MEDIA, PACKED, PCM, PIXELS, TRACKS, keyframes, media, packed, pcm, pixels, some_ticks, table, tracks
 
 
 def f20_resample(spark, sf):
-    spans = packed(spark, sf).where("track_id % 10 = 3 AND line = 2").select(F.col("clip_id").alias("span_id"), (F.col("clip_id") % 10).cast("int").alias("media_id"), (F.col("start_tick") % 1000).alias("first"), F.col("dur_tick").alias("length"), F.lit(3).alias("num"), F.lit(2).alias("den"))
+    spans = packed(spark, sf).select(F.col("clip_id").alias("span_id"), (F.col("clip_id") % 10).cast("int").alias("media_id"), (F.col("start_tick") % 1000).alias("first"), F.col("dur_tick").alias("length"), F.lit(3).alias("num"), F.lit(2).alias("den"))
     return A.resample(spans, pcm(spark, sf), 256).groupBy("span_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"))
 
 
@@ -25,7 +25,7 @@ def f30_ruler(spark, sf):
 
 
 def f37_graph(spark, sf):
-    k = keyframes(spark, sf).where("param_id % 5 = 1")
+    k = keyframes(spark, sf)
     span = k.groupBy("param_id").agg(F.min("tick").alias("a"), F.max("tick").alias("b"))
     at = span.select("param_id", F.posexplode(I.strip_times(F.col("a").cast("double"), F.col("b").cast("double"), 64)).alias("i", "t"))
     values = P.sample(k, at).groupBy("param_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
@@ -46,7 +46,7 @@ def p9_non_default(spark, sf):
 
 def r4_composite(spark, sf):
     """Layers over each other, the lowest first: a fold over each pixel's ordered layers."""
-    p = pixels(spark, sf).where("t < 5").withColumn("t0", F.floor("t"))
+    p = pixels(spark, sf)
     item = F.struct("t", (F.col("r") / 255.0).alias("s"), (0.25 + (F.col("x") % 4) / 8.0).alias("a"))
     start = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("a"))
 
@@ -66,18 +66,18 @@ def r6_overrides(spark, sf):
 
 
 def r2_partition_layers(spark, sf):
-    layers = R.layers(spark.range(0, 3000, 150).select(F.col("id").alias("t")), packed(spark, sf), tracks(spark, sf))
+    layers = R.layers(some_ticks(spark, sf), packed(spark, sf), tracks(spark, sf))
     pick = layers.groupBy().agg(F.min(F.struct("t", "layer", "clip_id"))["clip_id"].alias("c")).first()["c"]
     return R.partition_layers(layers, pick).groupBy("t", "side").agg(F.count("*").alias("n"))
 
 
 def o6_markers(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 31 % 1000).alias("tick"))
-    return o.select("id", F.row_number().over(Window.orderBy("tick", "id")).cast("long").alias("position"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 31 % 1000).alias("tick"))
+    return I.positions(o, F.col("tick"), ["tick", "id"]).select("id", "position")
 
 
 def o7_slots(spark, sf):
-    s = packed(spark, sf).where("line = 6")
+    s = packed(spark, sf)
     order = F.col("clip_id") % 10
     first = F.min(F.struct(order.alias("o"), "clip_id"))["clip_id"]
     return s.groupBy("track_id").agg(F.count("*").alias("slots"), first.alias("music"))
@@ -103,7 +103,7 @@ def x8_adjust_summary(spark, sf):
 
 
 def x10_id_map(spark, sf):
-    c = packed(spark, sf).where("line = 5")
+    c = packed(spark, sf)
     pairs = F.array_sort(F.collect_list(F.struct("clip_id", "dur_tick")))
     return c.groupBy("track_id").agg(F.map_from_entries(pairs).alias("m")).select("track_id", F.size("m").cast("long").alias("n"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
@@ -134,13 +134,13 @@ def _ease(t: str) -> str:
 
 assert EASINGS[-1] == "hold"
 ORACLE_SQL = {
-    "f20_resample": f"""WITH {PACKED}, {PCM}, s AS (SELECT clip_id AS span_id, clip_id % 10 AS media_id, start_tick % 1000 AS f, unnest(range(0, dur_tick)) AS rel FROM packed WHERE track_id % 10 = 3 AND line = 2),
+    "f20_resample": f"""WITH {PACKED}, {PCM}, s AS (SELECT clip_id AS span_id, clip_id % 10 AS media_id, start_tick % 1000 AS f, unnest(range(0, dur_tick)) AS rel FROM packed),
       q AS (SELECT *, f + rel * 3 // 2 AS fr, (rel * 3 % 2) / 2.0::DOUBLE AS part FROM s)
       SELECT span_id, count(*) AS n, round(sum(a.sample::DOUBLE + (coalesce(b.sample, a.sample)::DOUBLE - a.sample::DOUBLE) * part), 5) AS total
       FROM q JOIN pcm a ON a.media_id = q.media_id AND a.frame = fr LEFT JOIN pcm b ON b.media_id = q.media_id AND b.frame = fr + 1 GROUP BY ALL""",
     "f30_ruler": f"""WITH {MEDIA}, z AS (SELECT media_id, (media_id % 400 + 1) / 50.0::DOUBLE AS zoom FROM media), l AS (SELECT *, coalesce(list_filter({_STEPS}, lambda s: s * zoom >= 64)[1], {_STEPS[-1]})::BIGINT AS label FROM z)
       SELECT media_id, label, (label // list_filter({list(I.PARTS)}, lambda p: label % p = 0 AND label // p * zoom >= 8)[1])::BIGINT AS dot FROM l""",
-    "f37_graph": f"""WITH {KEYFRAMES}, k AS (SELECT * FROM keyframes WHERE param_id % 5 = 1), seg AS (SELECT *, lead(tick) OVER w AS nt, lead(value) OVER w AS nv FROM k WINDOW w AS (PARTITION BY param_id ORDER BY tick)),
+    "f37_graph": f"""WITH {KEYFRAMES}, k AS (SELECT * FROM keyframes), seg AS (SELECT *, lead(tick) OVER w AS nt, lead(value) OVER w AS nv FROM k WINDOW w AS (PARTITION BY param_id ORDER BY tick)),
       sp AS (SELECT param_id, min(tick)::DOUBLE AS a, max(tick)::DOUBLE AS b FROM k GROUP BY ALL), ats AS (SELECT param_id, CASE i WHEN 0 THEN a WHEN 63 THEN b ELSE a + (b - a) * i / 63 END AS t FROM sp, range(0, 64) r(i)),
       v AS (SELECT ats.param_id, CASE WHEN nt IS NULL THEN value::DOUBLE ELSE value::DOUBLE + (nv::DOUBLE - value::DOUBLE) * ({_ease('((t - tick) / (nt - tick))')}) END AS v FROM ats JOIN seg ON seg.param_id = ats.param_id AND t >= tick AND (nt IS NULL OR t < nt)),
       m AS (SELECT param_id, min(v) AS a, max(v) AS b FROM v GROUP BY ALL), p AS (SELECT *, CASE WHEN b - a < 1e-6 THEN greatest(abs(a), 1) * 0.1::DOUBLE ELSE (b - a) * 0.1::DOUBLE END AS pad FROM m)
@@ -148,21 +148,21 @@ ORACLE_SQL = {
     "p8_capabilities": f"""WITH {PACKED}, {TRACKS}, {MEDIA}, c AS (SELECT clip_id, kind, media_id % 3 <> 0 AS md, line = 7 AS fz, has_audio AND NOT is_image AS sd, link % 2 = 0 AS dt FROM packed JOIN tracks USING (track_id) JOIN media USING (media_id))
       SELECT clip_id, kind <> 'audio' AS transform, kind <> 'audio' AS crop, kind = 'audio' AND NOT fz AS audio, md AND NOT fz AS speed, kind <> 'audio' AS effects, md AND NOT fz AS reverse, kind = 'video' AND NOT fz AND sd AND NOT dt AS extract_audio FROM c""",
     "p9_non_default": f"WITH {PACKED} SELECT clip_id, volume <> 1.0 OR line > 5 AS custom_audio, volume <= 0 AS silent, reversed AS retimed FROM packed",
-    "r2_partition_layers": f"""WITH {PACKED}, {TRACKS}, l AS (SELECT t, clip_id, row_number() OVER (PARTITION BY t ORDER BY order_idx) - 1 AS layer FROM range(0, 3000, 150) r(t), packed JOIN tracks USING (track_id) WHERE enabled AND kind <> 'audio' AND t >= start_tick AND t < start_tick + dur_tick),
+    "r2_partition_layers": f"""WITH {PACKED}, {TRACKS}, l AS (SELECT t, clip_id, row_number() OVER (PARTITION BY t ORDER BY order_idx) - 1 AS layer FROM (SELECT DISTINCT o_orderkey * 13 % 9000 AS t FROM orders) k, packed JOIN tracks USING (track_id) WHERE enabled AND kind <> 'audio' AND t >= start_tick AND t < start_tick + dur_tick),
       c AS (SELECT clip_id FROM l ORDER BY t, layer LIMIT 1), a AS (SELECT *, max(layer) FILTER (WHERE clip_id = (SELECT clip_id FROM c)) OVER (PARTITION BY t) AS m FROM l)
       SELECT t, CASE WHEN layer < m THEN 'below' WHEN layer > m THEN 'above' ELSE 'sprite' END AS side, count(*) AS n FROM a WHERE m IS NOT NULL GROUP BY ALL""",
-    "r4_composite": f"""WITH RECURSIVE {PIXELS}, p AS MATERIALIZED (SELECT media_id, x, y, row_number() OVER (PARTITION BY media_id, x, y ORDER BY t) AS n, r / 255.0::DOUBLE AS s, 0.25 + (x % 4) / 8.0::DOUBLE AS sa FROM pixels WHERE t < 5),
+    "r4_composite": f"""WITH RECURSIVE {PIXELS}, p AS MATERIALIZED (SELECT media_id, x, y, row_number() OVER (PARTITION BY media_id, x, y ORDER BY t) AS n, r / 255.0::DOUBLE AS s, 0.25 + (x % 4) / 8.0::DOUBLE AS sa FROM pixels),
       f(media_id, x, y, n, c, a) AS (SELECT media_id, x, y, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE FROM p WHERE n = 1 UNION ALL
         SELECT f.media_id, f.x, f.y, p.n, ((1 - a) * s + a * (CASE WHEN a > 0 THEN c / a ELSE 0 END + s - CASE WHEN a > 0 THEN c / a ELSE 0 END * s)) * sa + CASE WHEN a > 0 THEN c / a ELSE 0 END * a * (1 - sa), sa + a * (1 - sa)
         FROM f JOIN p ON p.media_id = f.media_id AND p.x = f.x AND p.y = f.y AND p.n = f.n + 1)
       SELECT media_id, round(sum(c), 6) AS colour, round(sum(a), 6) AS alpha FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY media_id, x, y ORDER BY n DESC) = 1) GROUP BY ALL""",
     "r6_overrides": f"WITH {PACKED} SELECT clip_id, CASE WHEN clip_id % 50 = 1 THEN 0.5 ELSE volume END AS volume, line FROM packed",
-    "o6_markers": "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey * 31 % 1000, o_orderkey) AS position FROM orders WHERE o_orderkey % 7 = 0",
-    "o7_slots": f"WITH {PACKED}, s AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY clip_id % 10, clip_id) AS r FROM packed WHERE line = 6) SELECT track_id, count(*) AS slots, max(clip_id) FILTER (WHERE r = 1) AS music FROM s GROUP BY ALL",
+    "o6_markers": "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey * 31 % 1000, o_orderkey) AS position FROM orders",
+    "o7_slots": f"WITH {PACKED}, s AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY clip_id % 10, clip_id) AS r FROM packed) SELECT track_id, count(*) AS slots, max(clip_id) FILTER (WHERE r = 1) AS music FROM s GROUP BY ALL",
     "o12_lru": f"WITH {PACKED} SELECT clip_id FROM packed QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY start_tick DESC, clip_id) > 100",
     "x7_commands": "SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_type IN ('view', 'click') THEN 'do the rest now' END AS expanded FROM events",
     "x8_adjust_summary": f"""WITH {PACKED} SELECT clip_id, concat_ws(', ', CASE WHEN line <> 4 THEN 'brightness=' || printf('%.2f', (line - 4) / 4.0::DOUBLE) END, CASE WHEN abs(volume - 0.5) > 1e-9 THEN 'contrast=' || printf('%.2f', volume - 0.5) END) AS summary FROM packed""",
-    "x10_id_map": f"WITH {PACKED} SELECT track_id, count(*) AS n, sum(dur_tick)::BIGINT AS total FROM packed WHERE line = 5 GROUP BY ALL",
+    "x10_id_map": f"WITH {PACKED} SELECT track_id, count(*) AS n, sum(dur_tick)::BIGINT AS total FROM packed GROUP BY ALL",
     "s8_bounded_read": f"WITH {PCM} SELECT media_id, count(*) AS frames FROM pcm GROUP BY ALL HAVING count(*) <= 3200",
     "s9_range_read": f"WITH {PCM} SELECT media_id, count(*) AS n, round(sum(sample::DOUBLE), 6) AS total FROM pcm WHERE frame BETWEEN 1000 AND 1063 GROUP BY ALL",
     "s18_content_key": "SELECT doc_id, sha256(text) AS content_key FROM documents",

@@ -71,7 +71,7 @@ def f16_gain_pan(spark, sf):
 
 
 def g11_mix(spark, sf):
-    spans = packed(spark, sf).where("track_id % 10 = 0 AND line = 1").select((F.col("clip_id") % 10).cast("int").alias("media_id"), (F.col("start_tick") % 2000).alias("at"), F.col("line").alias("first"), F.col("dur_tick").alias("length"), "volume", (F.col("line") / 4.0 - 1).alias("pan"), F.lit(5).alias("fade_in"), F.lit(7).alias("fade_out"))
+    spans = packed(spark, sf).select((F.col("clip_id") % 10).cast("int").alias("media_id"), F.col("start_tick").alias("at"), F.col("line").alias("first"), F.col("dur_tick").alias("length"), "volume", (F.col("line") / 4.0 - 1).alias("pan"), F.lit(5).alias("fade_in"), F.lit(7).alias("fade_out"))
     return A.mix(spans, pcm(spark, sf)).select("frame", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
 
 
@@ -134,7 +134,7 @@ ORACLE_SQL = {
     "f16_gain_pan": f"""WITH {PACKED}, r AS (SELECT *, dur_tick - line AS pos FROM packed)
       SELECT clip_id, round(volume * CASE WHEN pos < line * 2 THEN greatest(pos, 0) / (line * 2)::DOUBLE ELSE 1 END * CASE WHEN line < line * 3 THEN line / (line * 3)::DOUBLE ELSE 1 END, 9) AS gain,
              round(cos(line / 4.0::DOUBLE * pi() / 4) * sqrt(2), 9) AS "left", round(sin(line / 4.0::DOUBLE * pi() / 4) * sqrt(2), 9) AS "right" FROM r""",
-    "g11_mix": f"""WITH {PACKED}, {PCM}, s AS (SELECT clip_id % 10 AS media_id, start_tick % 2000 AS out0, line AS first, dur_tick AS len, volume, line / 4.0::DOUBLE - 1 AS pan FROM packed WHERE track_id % 10 = 0 AND line = 1),
+    "g11_mix": f"""WITH {PACKED}, {PCM}, s AS (SELECT clip_id % 10 AS media_id, start_tick AS out0, line AS first, dur_tick AS len, volume, line / 4.0::DOUBLE - 1 AS pan FROM packed),
       j AS (SELECT out0 + frame - first AS frame, sample::DOUBLE * volume * CASE WHEN frame - first < 5 THEN (frame - first) / 5.0::DOUBLE ELSE 1 END * CASE WHEN len - (frame - first) < 7 THEN (len - (frame - first)) / 7.0::DOUBLE ELSE 1 END AS v, pan
             FROM s JOIN pcm ON pcm.media_id = s.media_id AND frame >= first AND frame < first + len)
       SELECT frame, round(greatest(-1, least(1, sum(v * cos((pan + 1) * pi() / 4) * sqrt(2)))), 6) AS "left", round(greatest(-1, least(1, sum(v * sin((pan + 1) * pi() / 4) * sqrt(2)))), 6) AS "right" FROM j GROUP BY frame""",

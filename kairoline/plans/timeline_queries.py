@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import introspect as I
 from ..operators import timeline as T
 from ..operators.intervals import interval_join, overlaps_before, stab_join
 from .fixtures import CLIPS, MEDIA, PACKED, TRACKS, clips, media, packed, table, tracks
@@ -15,17 +16,18 @@ def j1_clip_lookup(spark, sf):
 
 
 def _ticks(spark, sf):
-    """A tick in the middle of every hundredth order's day, on each track."""
-    o = table(spark, sf, "orders").where("o_orderkey % 100 = 0")
+    """A tick in the middle of every order's day."""
     at = (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) * 24 + 12).cast("long")
-    return o.select(F.col("o_orderkey").alias("probe"), at.alias("t")).crossJoin(F.broadcast(table(spark, sf, "supplier").where("s_suppkey % 10 = 1").select(F.col("s_suppkey").alias("track_id"))))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("probe"), at.alias("t"))
 
 
-_TICKS = "ticks AS (SELECT o_orderkey AS probe, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 24 + 12 AS t, s_suppkey AS track_id FROM orders, supplier WHERE o_orderkey % 100 = 0 AND s_suppkey % 10 = 1)"
+_TICKS = "ticks AS (SELECT o_orderkey AS probe, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 24 + 12 AS t FROM orders)"
 
 
 def j2_stab(spark, sf):
-    return stab_join(_ticks(spark, sf), clips(spark, sf), ["track_id"], "t", ("start_tick", "dur_tick"), 48).groupBy("probe", "track_id").agg(F.count("*").alias("n"), F.min("clip_id").alias("first_clip"))
+    """Each order's tick on the tracks of its own lines."""
+    asked = _ticks(spark, sf).join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("probe"), F.col("l_suppkey").alias("track_id")).distinct(), "probe")
+    return stab_join(asked, clips(spark, sf), ["track_id"], "t", ("start_tick", "dur_tick"), 48).groupBy("probe", "track_id").agg(F.count("*").alias("n"), F.min("clip_id").alias("first_clip"))
 
 
 def j3_overlap(spark, sf):
@@ -58,17 +60,14 @@ def j7_unused_media(spark, sf):
 
 
 def j12_slot_picks(spark, sf):
-    slots = packed(spark, sf).where("line = 7").select("track_id", F.row_number().over(Window.partitionBy("track_id").orderBy("start_tick", "clip_id")).alias("slot"), "clip_id")
+    slots = packed(spark, sf).select("track_id", F.row_number().over(Window.partitionBy("track_id").orderBy("start_tick", "clip_id")).alias("slot"), "clip_id")
     picks = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("track_id"), F.posexplode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("slot", "pick")).withColumn("slot", F.col("slot") + 1)
     return slots.join(picks, ["track_id", "slot"]).select("clip_id", "pick")
 
 
 def j15_free_lane(spark, sf):
     """For each probe, the lowest unlocked track without a clip at its tick, if any."""
-    t = tracks(spark, sf).where("NOT locked").select("track_id", "order_idx")
-    wanted = _ticks(spark, sf).join(t, "track_id")
-    busy = stab_join(wanted.select("probe", "track_id", "t"), clips(spark, sf), ["track_id"], "t", ("start_tick", "dur_tick"), 48).select("probe", "track_id").distinct()
-    return wanted.join(busy, ["probe", "track_id"], "left_anti").groupBy("probe").agg(F.min(F.struct("order_idx", "track_id"))["track_id"].alias("lane"))
+    return T.first_free_lane(_ticks(spark, sf), clips(spark, sf), tracks(spark, sf).where("NOT locked"), 48)
 
 
 def g1_content_end(spark, sf):
@@ -94,7 +93,7 @@ def g15_in_view(spark, sf):
 
 
 def g14_summary(spark, sf):
-    c = packed(spark, sf).where("line <= 2").withColumn("item", F.struct("start_tick", "clip_id", "dur_tick"))
+    c = packed(spark, sf).withColumn("item", F.struct("start_tick", "clip_id", "dur_tick"))
     rows = c.groupBy("track_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     text = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["start_tick"].cast("string"), x["clip_id"].cast("string"), x["dur_tick"].cast("string"))), ",")
     return rows.join(tracks(spark, sf), "track_id").select("track_id", F.concat(F.col("kind"), F.when(F.col("muted"), " muted").otherwise(""), F.lit("|"), text).alias("summary"))
@@ -109,13 +108,12 @@ def o5_lane_zones(spark, sf):
 
 
 def o8_page(spark, sf):
-    n = F.row_number().over(Window.orderBy("media_id")) - 1
-    pages = media(spark, sf).withColumn("n", n)
-    return pages.where(F.floor(F.col("n") / 12) + 1 == 3).select("media_id", "path")
+    return I.page(media(spark, sf).select("media_id", "path"), ["media_id"], 3)
 
 
 def o9_by_visibility(spark, sf):
-    return media(spark, sf).select("media_id", F.row_number().over(Window.orderBy((F.col("media_id") % 5 == 0).cast("int"), "media_id")).cast("long").alias("position"))
+    hidden = (F.col("media_id") % 5 == 0).cast("int")
+    return I.positions(media(spark, sf).select("media_id"), F.struct(hidden.alias("h"), F.floor(F.col("media_id") / 1024).alias("b")), ["media_id"])
 
 
 def o10_capped_rows(spark, sf):
@@ -207,7 +205,7 @@ _ABUT = "ab AS (SELECT a.clip_id AS left_id, b.clip_id AS right_id, a.track_id,
 
 ORACLE_SQL = {
     "j1_clip_lookup": f"WITH {CLIPS}, {TRACKS}, {MEDIA} SELECT clip_id, kind, path, muted FROM clips JOIN tracks USING (track_id) JOIN media USING (media_id)",
-    "j2_stab": f"WITH {CLIPS}, {_TICKS} SELECT probe, track_id, count(*) AS n, min(clip_id) AS first_clip FROM ticks JOIN clips USING (track_id) WHERE t >= start_tick AND t < start_tick + dur_tick GROUP BY ALL",
+    "j2_stab": f"WITH {CLIPS}, {_TICKS} SELECT probe, track_id, count(*) AS n, min(clip_id) AS first_clip FROM ticks JOIN (SELECT DISTINCT l_orderkey AS probe, l_suppkey AS track_id FROM lineitem) USING (probe) JOIN clips USING (track_id) WHERE t >= start_tick AND t < start_tick + dur_tick GROUP BY ALL",
     "j3_overlap": f"WITH {CLIPS} SELECT clip_id, coalesce(max(start_tick + dur_tick) OVER (PARTITION BY track_id ORDER BY start_tick, clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > start_tick, false) AS overlaps FROM clips",
     "j4_window_clamp": f"""WITH {CLIPS}, v AS (SELECT *, track_id % 50 * 1000 AS vs FROM clips)
       SELECT clip_id, track_id, greatest(start_tick, vs) AS seen_start, least(start_tick + dur_tick, vs + 700) - greatest(start_tick, vs) AS seen_dur FROM v WHERE start_tick < vs + 700 AND vs < start_tick + dur_tick AND dur_tick > 0""",
@@ -215,15 +213,16 @@ ORACLE_SQL = {
     "j6_detached_audio": f"""WITH {CLIPS}, {TRACKS}, c AS (SELECT * FROM clips JOIN tracks USING (track_id)), au AS (SELECT DISTINCT link FROM c WHERE kind = 'audio')
       SELECT track_id, nullif(count(*) FILTER (WHERE link IN (SELECT link FROM au)), 0) AS detached, nullif(count(*) FILTER (WHERE link NOT IN (SELECT link FROM au)), 0) AS own FROM c WHERE kind = 'video' GROUP BY ALL""",
     "j7_unused_media": f"WITH {CLIPS}, {MEDIA} SELECT media_id, path FROM media WHERE media_id NOT IN (SELECT media_id FROM clips WHERE volume > 0.9)",
-    "j12_slot_picks": f"WITH {PACKED}, s AS (SELECT clip_id, row_number() OVER (PARTITION BY track_id ORDER BY start_tick, clip_id) AS slot FROM packed WHERE line = 7) SELECT clip_id, ['a', 'b', 'c'][slot] AS pick FROM s WHERE slot <= 3",
-    "j15_free_lane": f"""WITH {CLIPS}, {TRACKS}, {_TICKS} SELECT probe, arg_min(track_id, order_idx) AS lane FROM ticks k JOIN tracks USING (track_id)
-      WHERE NOT locked AND NOT EXISTS (SELECT 1 FROM clips c WHERE c.track_id = k.track_id AND k.t >= start_tick AND k.t < start_tick + dur_tick) GROUP BY probe""",
+    "j12_slot_picks": f"WITH {PACKED}, s AS (SELECT clip_id, row_number() OVER (PARTITION BY track_id ORDER BY start_tick, clip_id) AS slot FROM packed) SELECT clip_id, ['a', 'b', 'c'][slot] AS pick FROM s WHERE slot <= 3",
+    "j15_free_lane": f"""WITH {CLIPS}, {TRACKS}, {_TICKS}, d AS (SELECT DISTINCT t FROM ticks), b AS (SELECT DISTINCT d.t, track_id FROM d JOIN clips ON d.t >= start_tick AND d.t < start_tick + dur_tick),
+      f AS (SELECT d.t, arg_min(k.track_id, order_idx) AS lane FROM d CROSS JOIN (SELECT * FROM tracks WHERE NOT locked) k LEFT JOIN b ON b.t = d.t AND b.track_id = k.track_id WHERE b.t IS NULL GROUP BY d.t)
+      SELECT probe, lane FROM ticks JOIN f USING (t)""",
     "g1_content_end": f"WITH {CLIPS}, {TRACKS}, e AS (SELECT t.track_id, coalesce(max(start_tick + dur_tick), 0) AS content_end FROM tracks t LEFT JOIN clips c ON t.track_id = c.track_id GROUP BY ALL) SELECT *, max(content_end) OVER () AS duration FROM e",
     "g2_counts": f"WITH {CLIPS} SELECT track_id, count(*) AS clips, count(DISTINCT media_id) AS media, count(DISTINCT link) AS links, count(*) FILTER (WHERE reversed) AS reversed FROM clips GROUP BY ALL",
     "g12_auto_canvas": f"""WITH {PACKED}, {MEDIA}, r AS (SELECT track_id, width, height, row_number() OVER (PARTITION BY track_id ORDER BY width * height DESC, media_id) AS n FROM packed JOIN media USING (media_id) WHERE NOT is_image)
       SELECT track_id, width // 2 * 2 AS width, height // 2 * 2 AS height FROM r WHERE n = 1""",
     "g14_summary": f"""WITH {PACKED}, {TRACKS} SELECT track_id, any_value(kind) || CASE WHEN any_value(muted) THEN ' muted' ELSE '' END || '|' || string_agg(start_tick || ':' || clip_id || ':' || dur_tick, ',' ORDER BY start_tick, clip_id) AS summary
-      FROM packed JOIN tracks USING (track_id) WHERE line <= 2 GROUP BY track_id""",
+      FROM packed JOIN tracks USING (track_id) GROUP BY track_id""",
     "g15_in_view": f"""WITH {CLIPS}, r AS (SELECT *, start_tick < 40000 AND start_tick + dur_tick > 20000 AS i FROM clips)
       SELECT track_id, count(*) FILTER (WHERE i) AS shown, count(*) FILTER (WHERE NOT i) AS hidden, sum(CASE WHEN i THEN least(start_tick + dur_tick, 40000) - greatest(start_tick, 20000) END)::BIGINT AS ticks FROM r GROUP BY ALL""",
     "o4_clips_ordered": f"WITH {CLIPS} SELECT clip_id, row_number() OVER (PARTITION BY track_id ORDER BY start_tick, clip_id) AS position FROM clips",

@@ -1,53 +1,61 @@
 """Streaming forms: windows over event time, and shot boundaries with state of constant size.
 
-``events.ts`` has no time zone; streams cast it to a timestamp first, as watermarks need one.
+``events.ts`` has no time zone and counts as UTC, whatever the session's zone is; watermarks need a timestamp.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.shots import Config
 
 
+def _event_time() -> Column:
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp")
+
+
 def windowed(events: DataFrame, size: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Events of each type in tumbling (or sliding) windows; later ones than the delay are dropped."""
-    own = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
+    own = events.withColumn("at", _event_time()).withWatermark("at", delay)
     window = F.window("at", size, slide) if slide else F.window("at", size)
     return own.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("peak")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "peak")
 
 
 def sessions(events: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
     """Runs of a user's events without a longer pause than the gap."""
-    own = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
+    own = events.withColumn("at", _event_time()).withWatermark("at", delay)
     return own.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def shot_boundaries(scored: DataFrame, config: Config) -> DataFrame:
+def shot_boundaries(scored: DataFrame, config: Config, arrival: str = "t") -> DataFrame:
     """Boundaries of a stream of scored frames (media_id, t, previous_t, score, kind and start, the first frame's time).
 
-    State is the start of the medium's shot and the last frame's time. A frame earlier than the last one raises and
-    leaves the state as it was; equal times are fine. The result is that of the batch operator."""
+    ``arrival`` names the column that numbers frames as they came, as a shuffle doesn't keep their order. State is
+    the start of the medium's shot and the last frame's time. A frame earlier than the one that came before it raises, within a
+    batch too, and leaves the state as it was; equal times are fine. The result is that of the batch operator."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, last = state.get if state.exists else (None, None)
-        out = []
-        for rows in (pd.concat(list(frames)).sort_values("t"),):
-            for r in rows.itertuples():
-                if last is not None and r.t < last:
-                    raise ValueError(f"frame at {r.t} after {last}")
-                since = float(r.start) if since is None else since
-                last = float(r.t)
-                if r.score >= config.threshold and r.t - since >= config.minimum_seconds:
-                    out.append((key[0], float(r.t), float(r.previous_t), float(r.score), r.kind))
-                    since = float(r.t)
-        state.update((since, last))
-        yield pd.DataFrame(out, columns=["media_id", "t", "previous_t", "score", "kind"])
+        rows = pd.concat(list(frames)).sort_values(arrival, kind="stable")
+        t = rows["t"].to_numpy(float)
+        before = np.append(t[0] if last is None else last, t[:-1])
+        if (early := np.nonzero(t < before)[0]).size:
+            raise ValueError(f"frame at {t[early[0]]} after {before[early[0]]}")
+        since = float(rows["start"].iloc[0]) if since is None else since
+        kept = []
+        for i in np.nonzero(rows["score"].to_numpy() >= np.float32(config.threshold))[0]:
+            if t[i] - since >= config.minimum_seconds:
+                kept.append(i)
+                since = float(t[i])
+        state.update((since, float(t[-1])))
+        out = rows.iloc[kept]
+        yield pd.DataFrame({"media_id": [key[0]] * len(out), "t": out["t"], "previous_t": out["previous_t"], "score": out["score"], "kind": out["kind"]})
 
     kind = scored.schema["media_id"].dataType.simpleString()
     return scored.groupBy("media_id").applyInPandasWithState(step, f"media_id {kind}, t double, previous_t double, score float, kind string", "since double, last double", "append", GroupStateTimeout.NoTimeout)
