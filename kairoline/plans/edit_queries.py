@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def f24_animations(spark, sf):
             d = L.with_intensity(f(name, F.col("t")), 1.5)
             out.append(F.struct(F.lit(name).alias("name"), d.x.alias("x"), d.y.alias("y"), d.scale.alias("scale"), d.turn.alias("turn"), d.opacity.alias("opacity")))
     rows = t.select("t", F.explode(F.array(*out)).alias("d"))
-    return rows.select("t", "d.name", *(F.round(F.col(f"d.{c}"), 9).alias(c) for c in ("x", "y", "scale", "turn", "opacity")))
+    return rows.select("t", "d.name", *((F.round(F.col(f"d.{c}"), 9) + 0.0).alias(c) for c in ("x", "y", "scale", "turn", "opacity")))
 
 
 def f25_characters(spark, sf):
@@ -83,7 +85,7 @@ def f25_character_combos(spark, sf):
         d = L.character_combo(name, F.col("phase"), share, F.col("i"))
         out.append(F.struct(F.lit(name).alias("name"), d.x.alias("x"), d.y.alias("y"), d.scale.alias("scale"), d.opacity.alias("opacity")))
     rows = i.select("i", "phase", F.explode(F.array(*out)).alias("d"))
-    return rows.groupBy("d.name").agg(*(F.round(F.sum(f"d.{c}"), 4).alias(c) for c in ("x", "y", "scale", "opacity")))
+    return rows.groupBy("d.name").agg(*((F.round(F.sum(f"d.{c}"), 4) + 0.0).alias(c) for c in ("x", "y", "scale", "opacity")))
 
 
 def f23_animation_window(spark, sf):
@@ -95,6 +97,35 @@ QUERIES = {f.__name__: f for f in (e1_place_media, e8_retime, e12_move_track, e1
 _LOCAL = "greatest(0, least(1, (0.4::DOUBLE - i / n::DOUBLE * 0.45) / 0.55))"
 _BOUNCE = """CASE WHEN p < 1 / 2.75::DOUBLE THEN 7.5625 * p * p WHEN p < 2 / 2.75::DOUBLE THEN 7.5625 * (p - 1.5 / 2.75::DOUBLE) ** 2 + 0.75
       WHEN p < 2.5 / 2.75::DOUBLE THEN 7.5625 * (p - 2.25 / 2.75::DOUBLE) ** 2 + 0.9375 ELSE 7.5625 * (p - 2.625 / 2.75::DOUBLE) ** 2 + 0.984375 END"""
+#: y, scale, turn and opacity of each animation at t; w and h are a whole and half a wave of it.
+_LOOKS = {
+    "fade_in": ("0", "1", "0", "t"),
+    "slide_up": ("(1 - t) * 0.18", "1", "0", "t"),
+    "zoom_in": ("0", "0.25 + 0.75 * t", "0", "t"),
+    "spin_in": ("0", "0.5 + 0.5 * t", "(1 - t) * -360", "t"),
+    "bounce": ("(1 - t) * 0.18 * 0.35", "(" + re.sub(r"\bp\b", "t", _BOUNCE) + ")", "0", "t"),
+    "fade_out": ("0", "1", "0", "1 - t"),
+    "slide_down": ("t * 0.18", "1", "0", "1 - t"),
+    "zoom_out": ("0", "1 - 0.75 * t", "0", "1 - t"),
+    "spin_out": ("0", "1 - 0.5 * t", "t * 360", "1 - t"),
+    "drop": ("t * 0.18 * 1.4", "1 - 0.35 * t", "0", "1 - t"),
+    "pulse": ("0", "1 + 0.08 * w", "0", "1"),
+    "rock": ("0", "1", "6 * w", "1"),
+    "swing": ("0", "1", "12 * h", "1"),
+    "flicker": ("0", "1", "0", "CASE WHEN t * 8 % 1 < 0.5 THEN 1 ELSE 0.35 END"),
+    "breathe": ("0", "1 + 0.05 * w", "0", "0.85 + 0.15 * (h + 1) * 0.5"),
+}
+#: x, y, scale and opacity of each character animation at a phase p, for a character at f of the text.
+_COMBOS = {
+    "typewriter": ("0", "0", "1", "CASE WHEN (least(p / 0.85, 1) - f * 0.6) / 0.4 > 0 THEN 1 ELSE 0 END"),
+    "text_fade": ("0", "0", "1", "0.55 + 0.45 * (sin(p * pi() + f * 2) * 0.5 + 0.5)"),
+    "text_bounce": ("0", "abs(w) * 6", "1 + 0.08 * abs(w)", "1"),
+    "text_slide": ("w * 5", "0", "1", "1"),
+    "pop": ("0", "0", "1 + 0.18 * greatest(sin((p + f) * pi()), 0)", "1"),
+    "wave": ("0", "w * 8", "1", "1"),
+    "char_jitter": ("((n - trunc(n)) * 2 - 1) * 2.5", "((n * 1.37 - trunc(n * 1.37)) * 2 - 1) * 2.5", "1", "1"),
+    "char_pulse": ("0", "0", "1 + 0.12 * sin(p * 2 * pi() + f * 3)", "1"),
+}
 ORACLE_SQL = {
     "e1_place_media": f"""WITH {PACKED}, {MEDIA}, r AS (SELECT clip_id, media_id, line * 20 - 40 AS s, dur_tick * 25 - 100 AS d, start_tick FROM packed),
       j AS (SELECT *, CASE WHEN duration_ticks IS NULL THEN 'unknown media' WHEN d <= 0 THEN 'empty range' WHEN s < 0 OR (NOT is_image AND s + d > duration_ticks) THEN 'source out of bounds' END AS reason,
@@ -115,6 +146,17 @@ ORACLE_SQL = {
       c AS (SELECT track_id, clip_id AS left_id, r AS right_id, rs AS cut FROM n WHERE rs = start_tick + dur_tick), p AS (SELECT o_orderkey AS probe, o_orderkey % 90 + 1 AS track_id, o_orderkey * 7 % 9000 AS t FROM orders),
       b AS (SELECT probe, left_id, right_id, cut, row_number() OVER (PARTITION BY probe ORDER BY abs(cut - t), cut, left_id, right_id) AS k FROM p JOIN c USING (track_id) WHERE abs(cut - t) <= 12)
       SELECT p.probe, left_id, right_id, cut FROM p LEFT JOIN b ON p.probe = b.probe AND k = 1""",
+    "j13_catalogs": """SELECT * FROM (VALUES ('effect', 12, 5), ('transition', 8, 2), ('filter', 10, 10), ('blend', 13, 13), ('mask', 6, 6), ('sticker', 8, 8), ('text_effect', 6, 6), ('speed', 8, 8), ('bezier', 3, 3), ('piecewise', 3, 3), ('aspect', 5, 5), ('moment', 6, 6), ('cache', 12, 12),
+      ('animation_in', 5, 5), ('animation_out', 5, 5), ('animation_combo', 5, 5), ('animation_text_in', 5, 5), ('animation_text_out', 3, 3), ('animation_text_combo', 8, 8)) AS c(kind, n, rendered)""",
+    # the area of each piece: its width times the first value and the easing's share of the step
+    "f14_speed_presets": f"""WITH k(p, q, v, e) AS (VALUES {', '.join(f"('{n}', {q!r}::DOUBLE, {v!r}::DOUBLE, '{e}')" for n, own in catalogs.SPEED_PRESETS.items() for q, v, e in own)}), s AS (SELECT *, lead(q) OVER w AS nq, lead(v) OVER w AS nv FROM k WINDOW w AS (PARTITION BY p ORDER BY q))
+      SELECT p AS param_id, round(sum((nq - q) * (v + (nv - v) * CASE e WHEN 'ease_in' THEN 1 / 3.0::DOUBLE WHEN 'ease_out' THEN 2 / 3.0::DOUBLE ELSE 0.5 END)), 9) AS average FROM s GROUP BY p""",
+    "f24_animations": f"""WITH p AS (SELECT k / 40.0::DOUBLE AS t, k FROM range(0, 41) r(k)), w AS (SELECT *, sin(t % 1 * 2 * pi()) AS w, sin(t % 1 * pi()) AS h FROM p),
+      d(t, name, x, y, s, r, o) AS ({' UNION ALL '.join(f"SELECT t, '{n}', 0.0::DOUBLE, {y}, {s}, {r}, {o} FROM w" for n, (y, s, r, o) in _LOOKS.items())})
+      SELECT t, name, round(x * 1.5, 9) + 0.0 AS x, round(y * 1.5, 9) + 0.0 AS y, round(1 + (s - 1) * 1.5, 9) AS scale, round(r * 1.5, 9) + 0.0 AS turn, round(1 + (o - 1) * 1.5, 9) AS opacity FROM d""",
+    "f25_character_combos": f"""WITH c AS (SELECT i, p / 10.0::DOUBLE AS p, i / 20.0::DOUBLE AS f FROM range(0, 20) a(i), range(0, 10) b(p)), w AS (SELECT *, sin((p + f) * 2 * pi()) AS w, sin(i * 12.9898::DOUBLE + floor(p * 12) * 78.233::DOUBLE) * 43758.547::DOUBLE AS n FROM c),
+      d(name, x, y, s, o) AS ({' UNION ALL '.join(f"SELECT '{n}', {x}, {y}, {s}, {o} FROM w" for n, (x, y, s, o) in _COMBOS.items())})
+      SELECT name, round(sum(x), 4) + 0.0 AS x, round(sum(y), 4) + 0.0 AS y, round(sum(s), 4) AS scale, round(sum(o), 4) AS opacity FROM d GROUP BY name""",
     "f23_animation_window": f"WITH {PACKED}, w AS (SELECT clip_id, greatest(1, least(15, dur_tick // 2)) AS w FROM packed) SELECT clip_id, w AS \"window\", greatest(1, round(w / 2.0::DOUBLE))::BIGINT AS fast FROM w",
     "f25_characters": f"""WITH c AS (SELECT conv_id, turn, length(text) AS n, unnest(range(0, length(text))) AS i FROM conversations WHERE length(text) > 0), p AS (SELECT *, {_LOCAL} AS p FROM c)
       SELECT conv_id, turn, round(sum(p), 6) AS progress, round(sum((1 - p) * 18), 6) AS y, round(sum(0.4 + 0.6 * ({_BOUNCE})), 6) AS scale FROM p GROUP BY ALL""",

@@ -259,6 +259,10 @@ def _inside(name: str) -> str:
       * sqrt(min((x - ax - {t} * (bx - ax)) ** 2 + (y - ay - {t} * (b_y - ay)) ** 2)) AS {name} FROM g, e GROUP BY x, y"""
 
 
+# the signs of the grade's sliders decide which way its steps go
+assert GRADE.highlights >= 0 > GRADE.shadows and GRADE.saturation and GRADE.hue
+_LUMA3 = "0.2126 * r + 0.7152 * g + 0.0722 * b"
+_CUBIC = lambda a, b, t: f"(3 * (1 - {t}) * (1 - {t}) * {t} * {a} + 3 * (1 - {t}) * {t} * {t} * {b} + {t} * {t} * {t})"
 _W = C.I420["bt709"]
 _sum3 = lambda w, c: " + ".join(f"{k} * {x}" for k, x in zip(w, c, strict=True))
 _BOX = "(sqrt(greatest(abs(x) - 20 + 3, 0) ** 2 + greatest(abs(y) - 12 + 3, 0) ** 2) + least(greatest(abs(x) - 17, abs(y) - 9), 0) - 3)"
@@ -285,6 +289,22 @@ ORACLE_SQL = {
       SELECT media_id, round(sum(r * (1 - 0.6::DOUBLE * {_step(0.35, 1.0, _UV)})), 6) AS vignette, round(sum({_TONE('b', '0.3::DOUBLE', '0.5::DOUBLE')}), 6) AS duotone,
              round(sum(CASE WHEN (x + 0.5) / 8.0 <= 0.4 THEN {_TONE('g', '0.0::DOUBLE', '0.9::DOUBLE')} ELSE g END), 6) AS wipe, round(sum(r + ({_TONE('r', '0.1::DOUBLE', '1.0::DOUBLE')} - r) * 0.25::DOUBLE), 6) AS fade FROM c GROUP BY ALL""",
     "f2_easing": f"WITH o AS (SELECT o_orderkey, (o_orderkey % 97)::DOUBLE / 96.0::DOUBLE AS t, {list(EASINGS)}[(o_orderkey % 5 + 1)::INT] AS k FROM orders) SELECT o_orderkey, round({_ease('k', 't')}, 9)::DOUBLE AS eased, round({_area('k', 't')}, 9)::DOUBLE AS area FROM o",
+    "f2_bezier": f"""WITH RECURSIVE c(n, x1, y1, x2, y2) AS (VALUES ('snappy', 0.0::DOUBLE, 0.0::DOUBLE, 0.2::DOUBLE, 1.0::DOUBLE), ('overshoot', 0.34, 1.56, 0.64, 1.0), ('anticipate', 0.36, 0.0, 0.66, -0.56)),
+      x AS (SELECT k, j, n, x1, y1, x2, y2, k / 100.0::DOUBLE * j / 32 AS x FROM range(0, 101) a(k), range(0, 33) b(j), c WHERE j = 32 OR n = 'snappy'),
+      b(k, j, n, x1, y1, x2, y2, x, lo, hi, i) AS (SELECT *, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM x UNION ALL
+        SELECT k, j, n, x1, y1, x2, y2, x, CASE WHEN {_CUBIC('x1', 'x2', '((lo + hi) / 2)')} < x THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_CUBIC('x1', 'x2', '((lo + hi) / 2)')} < x THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM b WHERE i < 30),
+      v AS (SELECT k, j, n, CASE WHEN x <= 0 THEN 0 WHEN x >= 1 THEN 1 ELSE {_CUBIC('y1', 'y2', '((lo + hi) / 2)')} END AS y FROM b WHERE i = 30),
+      w AS (SELECT k, round(sum(y * CASE WHEN j IN (0, 32) THEN 1 WHEN j % 2 = 0 THEN 2 ELSE 4 END) * k / 3200.0::DOUBLE / 3, 6) AS area FROM v WHERE n = 'snappy' GROUP BY k)
+      SELECT k / 100.0::DOUBLE AS t, {', '.join(f"(SELECT round(y, 6) FROM v WHERE v.k = w.k AND j = 32 AND n = '{n}') AS {n}" for n in E.BEZIERS)}, area FROM w""",
+    "c1_grade": f"""WITH {PIXELS}, a AS (SELECT media_id, t, {', '.join(f"({c} / 255.0::DOUBLE * {2.0 ** (2.0 * GRADE.exposure)!r}::DOUBLE + {w!r}::DOUBLE + {0.25 * GRADE.brightness!r}::DOUBLE - 0.5::DOUBLE) * {1.0 + GRADE.contrast!r}::DOUBLE + 0.5::DOUBLE AS {c}" for c, w in (('r', 0.25 * GRADE.temperature), ('g', 0.25 * GRADE.tint), ('b', -0.25 * GRADE.temperature)))} FROM pixels),
+      s AS (SELECT media_id, t, {', '.join(f"({_LUMA3}) + ({c} - ({_LUMA3})) * {1.0 + GRADE.saturation!r}::DOUBLE AS {c}" for c in 'rgb')} FROM a),
+      y AS (SELECT media_id, t, 0.299 * r + 0.587 * g + 0.114 * b AS y, 0.596 * r - 0.274 * g - 0.322 * b AS i, 0.211 * r - 0.523 * g + 0.312 * b AS q, sin({-GRADE.hue!r}::DOUBLE * pi() / 6) AS sn, cos({-GRADE.hue!r}::DOUBLE * pi() / 6) AS cs FROM s),
+      u AS (SELECT media_id, t, y, i * cs - q * sn AS i, i * sn + q * cs AS q FROM y),
+      h AS (SELECT media_id, t, y + 0.956 * i + 0.621 * q AS r, y - 0.272 * i - 0.647 * q AS g, y - 1.106 * i + 1.703 * q AS b FROM u),
+      l AS (SELECT *, {_step(0.5, 1.0, f'({_LUMA3})')} AS hi, 1 - {_step(0.0, 0.5, f'({_LUMA3})')} AS lo FROM h),
+      f AS (SELECT media_id, t, lo, {', '.join(f"{c} + {GRADE.highlights!r}::DOUBLE * hi * 0.35 * (1 - {c}) AS {c}" for c in 'rgb')} FROM l),
+      z AS (SELECT media_id, t, {', '.join(f"round(greatest(0, least(1, {c} + {GRADE.shadows!r}::DOUBLE * lo * 0.35 * {c})) * 255)::BIGINT AS {c}" for c in 'rgb')} FROM f)
+      SELECT media_id, t, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b FROM z GROUP BY ALL""",
     "f7_param_sample": f"""WITH {KEYFRAMES}, seg AS (SELECT *, lead(tick) OVER w AS nt, lead(value) OVER w AS nv, lag(tick) OVER w IS NULL AS f FROM keyframes WINDOW w AS (PARTITION BY param_id ORDER BY tick)),
       a AS (SELECT o_orderkey AS probe, o_custkey AS param_id, (o_orderkey * 17 % 2600)::DOUBLE AS t FROM orders)
       SELECT probe, floor((CASE WHEN t < tick OR nt IS NULL THEN value::DOUBLE ELSE value::DOUBLE + (nv::DOUBLE - value::DOUBLE) * ({_ease('easing', '((t - tick) / (nt - tick))')}) END) * 100 + 0.5) / 100 AS value
