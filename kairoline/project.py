@@ -1,12 +1,16 @@
 """A project as tables with a history: the commands of an editor as methods.
 
 Every command reads the current tables and pushes new ones as one version; commands between ``group()`` and its end are one
-version, and none of them counts if one fails. Tables are ordinary DataFrames and may be as large as one likes.
+version, and none of them counts if one fails. Tables are ordinary DataFrames and may be as large as one likes. A table
+that CUT_EVERY edits have changed is written to the project's folder and read again, so that the plan of the next edit
+stays as small as that, however many came before.
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
@@ -27,6 +31,10 @@ KEYFRAMES = "param_id string, tick long, value double, easing string"
 _TABLES = {"tracks": TRACKS, "clips": CLIPS, "media": MEDIA, "markers": MARKERS, "transitions": TRANSITIONS, "effects": EFFECTS, "keyframes": KEYFRAMES}
 
 
+#: Edits of a table whose plans may pile up.
+CUT_EVERY = 8
+
+
 @dataclass(frozen=True)
 class State:
     name: str
@@ -42,8 +50,15 @@ class State:
 
 
 class Project:
-    def __init__(self, spark: SparkSession, name: str = "untitled", rate: tuple[int, int] = (24, 1), limit: int = 100):
+    def __init__(self, spark: SparkSession, name: str = "untitled", rate: tuple[int, int] = (24, 1), limit: int = 100, folder: str | None = None):
+        """folder: one that driver and executors share; as a rule below spark.checkpoint.dir, in local mode below the
+        temporary folder."""
         self.spark, self.limit = spark, limit
+        given = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not given and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a project needs a folder that driver and executors share")
+        self.folder = f"{given or 'file://' + tempfile.gettempdir()}/project-{uuid.uuid4().hex}"
+        self._grown: dict[str, int] = {}
         self.versions = [State(name, rate, "auto", **{t: spark.createDataFrame([], s) for t, s in _TABLES.items()})]
         self.at, self.saved, self._open, self._ids = 0, 0, None, 0
 
@@ -57,7 +72,18 @@ class Project:
     def dirty(self) -> bool:
         return self.state is not self.versions[self.saved] if self.saved < len(self.versions) else True
 
+    def _cut(self, table: str, df: DataFrame) -> DataFrame:
+        """df, or what was read again of it once enough edits have piled up."""
+        self._grown[table] = self._grown.get(table, 0) + 1
+        if self._grown[table] < CUT_EVERY:
+            return df
+        self._grown[table] = 0
+        path = f"{self.folder}/{table}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _put(self, **changes) -> None:
+        changes = {k: self._cut(k, v) if k in _TABLES and v is not getattr(self.state, k) else v for k, v in changes.items()}
         new = replace(self.state, **changes)
         if self._open is not None:
             self._open = new

@@ -6,6 +6,8 @@ a kind with a version; unknown versions are refused.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,5 +55,18 @@ def document(name: str, tracks_: DataFrame, clips_: DataFrame, markers_: DataFra
 
 
 def save(doc: DataFrame, path: str) -> None:
-    """Spark's committer publishes the file as a whole."""
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    """One file, which takes the old one's place in a single step: a reader finds one or the other, and a failed write leaves
+    the old one."""
+    spark, temp = doc.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(conf)
+    try:
+        doc.coalesce(1).write.text(temp)
+        part = next(s.getPath() for s in fs.listStatus(hadoop.Path(temp)) if s.getPath().getName().startswith("part-"))
+        rename = getattr(hadoop, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(target), how)
+    finally:
+        fs.delete(hadoop.Path(temp), True)

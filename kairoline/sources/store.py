@@ -1,7 +1,9 @@
 """The moments index as a folder of Parquet versions.
 
-A write makes a new folder with records and batch markers, and then a small commit file that names it; readers take the
-highest commit, so they see the old version or the new one, never a part of either. Opening checks the schema and fails closed.
+Records and batch markers are dealt to buckets by the first two digits of their content key. A write makes new folders for
+the bucket of its batch alone, and then a small commit file that names the folder of every bucket; readers take the
+highest commit, so they see the old version or the new one, never a part of either. A query of one key reads one bucket.
+``vacuum`` removes what no recent version names. Opening checks the schema and fails closed.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ RECORDS = T.StructType([
 BATCHES = T.StructType([f for f in RECORDS.fields if f.name in M.SCOPE])
 
 
+def bucket_of(key: str) -> str:
+    return key[:2]
+
+
 class CorruptStore(ValueError):
     """A store whose schema or rows are not what they should be."""
 
@@ -32,51 +38,82 @@ class MomentStore:
         self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         if self._number() == 0:
-            self._publish(spark.createDataFrame([], RECORDS), spark.createDataFrame([], BATCHES))
+            self._commit({})
         self.records()  # a store that can't be read is refused at once
 
-    def _number(self) -> int:
-        """The latest version that has been committed."""
+    def _numbers(self) -> list[int]:
+        """The versions that have been committed, the latest first."""
         if not self.fs.exists(self.fs_path(self.path)):
-            return 0
+            return []
         names = [s.getPath().getName() for s in self.fs.listStatus(self.fs_path(self.path))]
-        return max((int(n[1:-7]) for n in names if n.endswith(".commit")), default=0)
+        return sorted((int(n[1:-7]) for n in names if n.endswith(".commit")), reverse=True)
+
+    def _number(self) -> int:
+        return next(iter(self._numbers()), 0)
 
-    def _folder(self, number: int) -> str:
-        row = self.spark.read.text(f"{self.path}/v{number}.commit").first()
-        schema, _, name = (row[0] if row else "").partition(" ")
-        if schema != str(SCHEMA_VERSION) or not name:
+    def _folders(self, number: int) -> dict[str, str]:
+        """The folder of each bucket that has one: 256 at most."""
+        lines = [r[0] for r in self.spark.read.text(f"{self.path}/v{number}.commit", wholetext=True).collect()]
+        schema, *rest = (lines[0] if lines else "").splitlines() or [""]
+        if schema != str(SCHEMA_VERSION) or any(len(r.split(" ")) != 2 for r in rest):
             raise CorruptStore(f"schema version {schema or 'missing'}")
-        return f"{self.path}/{name}"
+        return dict(r.split(" ") for r in rest)
 
-    def _publish(self, records: DataFrame, batches: DataFrame) -> None:
-        number, name = self._number() + 1, uuid.uuid4().hex
-        records.write.parquet(f"{self.path}/{name}/records")
-        batches.write.parquet(f"{self.path}/{name}/batches")
+    def _commit(self, folders: dict[str, str], after: int = 0) -> None:
+        text = "\n".join([str(SCHEMA_VERSION), *(f"{b} {f}" for b, f in sorted(folders.items()))])
         # of two writers that saw the same version, the second finds the file there and fails
-        out = self.fs.create(self.fs_path(f"{self.path}/v{number}.commit"), False)
-        out.write(bytearray(f"{SCHEMA_VERSION} {name}\n".encode()))
+        out = self.fs.create(self.fs_path(f"{self.path}/v{after + 1}.commit"), False)
+        out.write(bytearray(f"{text}\n".encode()))
         out.close()
 
-    def _read(self, what: str, schema: T.StructType) -> DataFrame:
-        found = self.spark.read.parquet(f"{self._folder(self._number())}/{what}")
+    def _publish(self, key: str, change) -> None:
+        """A version in which ``change`` was made to the records and markers of a key's bucket."""
+        number, bucket, name = self._number(), bucket_of(key), uuid.uuid4().hex
+        folders = self._folders(number)
+        old = {bucket: folders[bucket]} if bucket in folders else {}
+        records, batches = change(self._read("records", RECORDS, old), self._read("batches", BATCHES, old))
+        records.write.parquet(f"{self.path}/{name}/records")
+        batches.write.parquet(f"{self.path}/{name}/batches")
+        self._commit(folders | {bucket: name}, number)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove the folders that none of the latest ``keep`` versions names, and older commits. Returns how many folders."""
+        numbers = self._numbers()
+        named = {f for n in numbers[:keep] for f in self._folders(n).values()}
+        gone = [s.getPath() for s in self.fs.listStatus(self.fs_path(self.path)) if s.isDirectory() and s.getPath().getName() not in named]
+        for path in (*gone, *(self.fs_path(f"{self.path}/v{n}.commit") for n in numbers[keep:])):
+            self.fs.delete(path, True)
+        return len(gone)
+
+    def _read(self, what: str, schema: T.StructType, folders: dict[str, str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        found = self.spark.read.parquet(*(f"{self.path}/{f}/{what}" for f in folders.values()))
         if [(f.name, f.dataType) for f in found.schema] != [(f.name, f.dataType) for f in schema]:
             raise CorruptStore(f"schema of {what}: {found.schema.simpleString()}")
         return found
 
-    def records(self) -> DataFrame:
-        return self._read("records", RECORDS)
+    def _of(self, what: str, schema: T.StructType, key: str | None) -> DataFrame:
+        folders = self._folders(self._number())
+        if key is None:
+            return self._read(what, schema, folders)
+        own = {b: f for b, f in folders.items() if b == bucket_of(key)}
+        return self._read(what, schema, own).where(F.col("content_key") == key)
+
+    def records(self, key: str | None = None) -> DataFrame:
+        """All records, or those of one content key."""
+        return self._of("records", RECORDS, key)
 
-    def batches(self) -> DataFrame:
-        return self._read("batches", BATCHES)
+    def batches(self, key: str | None = None) -> DataFrame:
+        return self._of("batches", BATCHES, key)
 
     def checked(self) -> DataFrame:
         """Records; reading one that breaks a rule raises, with the rules' names."""
         broken = M.violations()
         return self.records().where(F.when(F.size(broken) > 0, F.raise_error(F.concat(F.lit("corrupt record: "), F.array_join(broken, ", "))).cast("boolean")).otherwise(True))
 
-    def query(self, query: M.MomentQuery, limit: int = M.DEFAULT_LIMIT) -> DataFrame:
-        return M.query_with_limit(self.records(), query, limit)
+    def query(self, query: M.MomentQuery, limit: int = M.DEFAULT_LIMIT, key: str | None = None) -> DataFrame:
+        return M.query_with_limit(self.records(key), query, limit)
 
     def replace_batch(self, scope: dict, rows: DataFrame) -> None:
         new = rows.select(*(F.col(f.name).cast(f.dataType) for f in RECORDS))
@@ -88,11 +125,11 @@ class MomentStore:
             raise ValueError("rows break a rule or are of another batch")
         if new.groupBy(*new.columns).count().where("count > 1").limit(1).count():
             raise ValueError("equal rows in a batch")
-        self._publish(*M.replace_batch(self.records(), self.batches(), scope, new))
+        self._publish(scope["content_key"], lambda records, batches: M.replace_batch(records, batches, scope, new))
 
     def delete_batch(self, scope: dict) -> bool:
-        if not M.batch_exists(self.batches(), scope):
+        if not M.batch_exists(self.batches(scope["content_key"]), scope):
             return False
         gone = self.spark.createDataFrame([tuple(scope[n] for n in M.SCOPE)], BATCHES)
-        self._publish(*M.delete_batches(self.records(), self.batches(), gone))
+        self._publish(scope["content_key"], lambda records, batches: M.delete_batches(records, batches, gone))
         return True

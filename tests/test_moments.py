@@ -79,3 +79,17 @@ def test_store(spark, tmp_path):
     (tmp_path / "m" / "v99.commit").write_text("7 nothing\n")
     with pytest.raises(CorruptStore):
         MomentStore(spark, f"file://{tmp_path}/m")
+
+
+def test_store_rewrites_one_bucket_and_forgets_old_ones(spark, tmp_path):
+    store = MomentStore(spark, f"file://{tmp_path}/m")
+    keys = ["ab" * 32, "cd" * 32, "abcd" * 16]
+    for n, key in enumerate([*keys, keys[0]]):
+        new = spark.createDataFrame([(key, float(i), float(i), "beat", 1.0, "own/x", 1, str(n)) for i in range(n + 1)], RECORDS)
+        before = store._folders(store._number())
+        store.replace_batch({"content_key": key, "analyzer": "own/x", "version": 1}, new)
+        after = store._folders(store._number())
+        assert {b for b in after if after[b] != before.get(b)} == {key[:2]}
+    assert store.records().count() == 2 + 3 + 4 and store.records(keys[0]).count() == 4 and store.records(keys[1]).count() == 2
+    assert store.query(M.MomentQuery(), 10, keys[2]).count() == 3 and store.records("ef" * 32).count() == 0
+    assert store.vacuum(1) == 2 and store.vacuum(1) == 0 and MomentStore(spark, f"file://{tmp_path}/m").records().count() == 9

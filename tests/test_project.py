@@ -94,3 +94,14 @@ def test_commands_effects_markers_keyframes(project):
     p.set_project(name="film", canvas="16:9")
     p.remove_track(p.video)
     assert p.state.clips.count() == 0 and p.state.name == "film" and p.dirty
+
+
+def test_plans_stay_small(project):
+    p = project
+    a = p.add_clip(p.video, p.media, 0, 100, 0)
+    sizes = []
+    for k in range(20):
+        p.move_clip(a, p.video, k)
+        sizes.append(len(p.state.clips._jdf.queryExecution().logical().toString()))
+    assert max(sizes[10:]) <= 2 * max(sizes[:10]) and spans(p) == [(a, 19, 100, 0, 100)]
+    assert p.undo() and spans(p) == [(a, 18, 100, 0, 100)]

@@ -25,8 +25,11 @@ def test_project_round_trip(spark, tmp_path):
     assert [r.tick for r in project.markers(p).collect()] == [4, 9, 4, 9]
     one = p.limit(1)
     doc = project.document("p", project.tracks(one).drop("path"), project.clips(one).drop("path"), project.markers(one).drop("path"))
-    project.save(doc, f"{tmp_path}/out")
-    again = project.read(spark, f"{tmp_path}/out/*.txt")
+    (tmp_path / "out.json").write_text("an older save")
+    for _ in range(2):  # a save takes the place of the one before
+        project.save(doc, f"{tmp_path}/out.json")
+    assert sorted(f.name for f in tmp_path.iterdir() if f.name.startswith("out")) == ["out.json"]
+    again = project.read(spark, f"{tmp_path}/out.json")
     assert project.clips(again).drop("path").collect() == project.clips(one).drop("path").collect()
     assert project.tracks(again).drop("path").collect() == project.tracks(one).drop("path").collect()
 
