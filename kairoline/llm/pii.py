@@ -3,10 +3,12 @@
 Four kinds are found: email, ip, card and phone. They are first looked for in the text as it stands. Then a chain of
 transducers rewrites the text, each keeping where its output came from:
 
-1. look-alike letters, digits of other scripts, full-width forms, dashes and spaces become ASCII (one for one);
+1. look-alike letters, mathematical and circled ones, digits of other scripts, full-width forms, dashes and spaces become
+   ASCII (one for one);
 2. characters of no width go;
-3. spelled digits ("four one one ...", "plus one ...") become digits;
-4. disguised "at" and "dot", in brackets or as words, become ``@`` and ``.``.
+3. spelled digits ("four one one ...", "plus one double two ..."), in English, German, French and Spanish, become digits;
+4. disguised "at" and "dot", in brackets, as words or as signs apart, become ``@`` and ``.``. A bare word "at" before a domain
+   with plain dots is left alone: prose says "at example.com" of places.
 
 The same detectors run on the rewritten text, and each span found is carried back through the chain to characters of the
 source. A span that overlaps one found in the plain text is dropped, so plain spans always stay.
@@ -103,6 +105,11 @@ _WIDTHLESS = "​‌‍⁠﻿­"
 def _to_ascii() -> dict[int, str]:
     table = {ord(k): v for k, v in (_LOOKALIKES | _SIGNS).items()}
     table |= {c + 0xFEE0: chr(c) for c in range(0x21, 0x7F)}  # full width
+    # letters and digits of one character in mathematical, circled and letter-like forms
+    for c in (*range(0x2100, 0x2150), *range(0x2460, 0x2500), *range(0x1D400, 0x1D800)):
+        plain = unicodedata.normalize("NFKC", chr(c))
+        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+            table[c] = plain
     table |= {c: str(unicodedata.decimal(chr(c))) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"}
     return table
 
@@ -122,19 +129,45 @@ _ASCII = _to_ascii()
 _ODD = re.compile(f"[{_char_class(list(_ASCII))}]")
 _NO_WIDTH = re.compile(f"[{_WIDTHLESS}]+")
 
-# The words for the ten digits.
-_DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_DIGIT_WORD = "|".join(_DIGITS)
-_SPELLED = re.compile(rf"(?<![a-z0-9])(?:plus[ \t]+)?(?:(?:{_DIGIT_WORD})(?:[ \t-]+|(?=[^a-z0-9-])|\Z)|[0-9]+[ \t-]+(?=(?:[0-9]+[ \t-]+)?(?:{_DIGIT_WORD})(?![a-z0-9]))){{2,}}(?:[0-9]+(?![a-z0-9]))?", re.I | re.A)
-_SPELLED_PART = re.compile(rf"(plus)[ \t]+|({_DIGIT_WORD})(?:[ \t-]+(?=[a-z0-9]))?|(?<=[0-9])[ \t-]+(?=[a-z])", re.I | re.A)
-# whatever _SPELLED matches has a digit word right after another or after a number
-_SPELLED_GATE = re.compile(rf"(?:{_DIGIT_WORD}|[0-9])[ \t-]+(?:{_DIGIT_WORD})(?![a-z])", re.I | re.A)
+# The words for the ten digits in four languages, and those that repeat a digit.
+_DIGITS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+_REPEATS = {"double": 2, "triple": 3}
+_DIGIT_WORD = "|".join(sorted(_DIGITS, key=lambda w: (-len(w), w)))
+_ONE = rf"(?:(?:{'|'.join(_REPEATS)})[ \t-]+)?(?:{_DIGIT_WORD})"
+_SPELLED = re.compile(rf"(?<![a-z0-9])(?:plus[ \t]+)?(?:{_ONE}(?:[ \t-]+|(?=[^a-z0-9-])|\Z)|[0-9]+[ \t-]+(?=(?:[0-9]+[ \t-]+)?{_ONE}(?![a-z0-9]))){{2,}}(?:[0-9]+(?![a-z0-9]))?", re.I | re.A)
+_SPELLED_PART = re.compile(rf"(plus)[ \t]+|(?:({'|'.join(_REPEATS)})[ \t-]+)?(?<![a-z])({_DIGIT_WORD})(?![a-z])(?:[ \t-]+(?=[a-z0-9]))?|(?<=[0-9])[ \t-]+(?=[a-z])", re.I | re.A)
+# a single digit word between the dots of an ip
+_SPELLED_DOTTED = re.compile(rf"(?<![a-z0-9])({_DIGIT_WORD})(?=[ \t]+dot[ \t])|(?<=[ \t]dot[ \t])({_DIGIT_WORD})(?![a-z0-9])", re.I | re.A)
+# a quick look for what these match: a digit word next to a dot, or right after a number or another such word
+_DOT_WORD = re.compile(r"[ \t]dot[ \t]", re.I)
+_AFTER_GAP = re.compile(rf"[ \t-](?:{_DIGIT_WORD})(?![a-z])", re.I | re.A)
+_LAST_WORD = re.compile(r"[0-9]\Z|[^\W\d_]+\Z")
+
+
+def _has_spelled(text: str) -> bool:
+    if _DOT_WORD.search(text):
+        return True
+    for m in _AFTER_GAP.finditer(text):
+        before = text[max(0, m.start() - 64) : m.start()].rstrip(" \t-")
+        if (last := _LAST_WORD.search(before)) and ((w := last[0].lower()) in _DIGITS or w in _REPEATS or w.isdigit()) or not before and m.start() > 64:
+            return True
+    return False
+
 
 _BRACKET_AT = re.compile(r"[ \t]?[(\[{<][ \t]?(?:at|@)[ \t]?[)\]}>][ \t]?", re.I)
 _BRACKET_DOT = re.compile(r"[ \t]?[(\[{<][ \t]?(?:dot|\.)[ \t]?[)\]}>][ \t]?", re.I)
 _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I)
 # bare words count only in a whole address, or between the numbers of an ip
 _WORD_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:(?:\.[A-Za-z0-9-]+)*[ \t]+dot[ \t]+[A-Za-z0-9-]+))", re.I)
+# an at sign apart, before a domain whose dots may stand apart too
+_APART_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])[ \t]{1,3}@[ \t]{1,3}(?=(?:[A-Za-z0-9-]+(?:\.|[ \t]\.[ \t]))+[A-Za-z]{2,}(?![A-Za-z0-9-]))")
+_APART_TAIL = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|[ \t]\.[ \t])[A-Za-z0-9-]+)+")
+_APART_DOT = re.compile(r"[ \t]\.[ \t]")
 _WORD_TAIL = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9-]+)+", re.I)
 _WORD_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\.|[ \t]+dot[ \t]+)[0-9]{1,3}){3}(?![0-9])", re.I)
 
@@ -172,11 +205,15 @@ class Rewriting:
 
 
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
+    edits, taken = [], []
     for m in _SPELLED.finditer(text):
-        for p in _SPELLED_PART.finditer(text, m.start(), m.end()):
-            edits.append((p.start(), p.end(), "+" if p[1] else _DIGITS[p[2].lower()] if p[2] else ""))
-    return edits
+        taken.append(m.span())
+        for p in _SPELLED_PART.finditer(text, *m.span()):
+            digit = _DIGITS[p[3].lower()] * _REPEATS.get((p[2] or "").lower(), 1) if p[3] else ""
+            edits.append((p.start(), p.end(), "+" if p[1] else digit))
+    ends = list(accumulate((b for _, b in taken), max))
+    single = [(*m.span(m.lastindex), _DIGITS[m[m.lastindex].lower()]) for m in _SPELLED_DOTTED.finditer(text) if not _overlaps(taken, ends, *m.span())]
+    return sorted(edits + single)
 
 
 def _head(text: str, end: int) -> int:
@@ -209,6 +246,9 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
         tail = _WORD_TAIL.match(text, m.end())
         edits |= {d.span(): "." for d in _WORD_DOT.finditer(text, m.end(), tail.end() if tail else m.end())}
         edits |= {d.span(): "." for d in _WORD_DOT.finditer(text, _head(text, m.start()), m.start())}
+    for m in _APART_AT.finditer(text):
+        edits[m.span()] = "@"
+        edits |= {d.span(): "." for d in _APART_DOT.finditer(text, m.end(), _APART_TAIL.match(text, m.end()).end())}
     # the domain of a bracketed or plain at sign may still spell its dots
     for sign in re.finditer(r"@|[)\]}>]", text):
         if tail := _WORD_TAIL.match(text, sign.end() + (text[sign.end() : sign.end() + 1] == " ")):
@@ -223,7 +263,7 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-_ADDRESS_GATE = re.compile(r"[(\[{<][ \t]?(?:at|@|dot|\.)[ \t]?[)\]}>]|[ \t]dot[ \t]", re.I)
+_ADDRESS_GATE = re.compile(r"[(\[{<][ \t]?(?:at|@|dot|\.)[ \t]?[)\]}>]|[ \t]dot[ \t]|[ \t]@[ \t]", re.I)
 
 
 def hidden_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
@@ -232,8 +272,8 @@ def hidden_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span
     now, changed = text, False
     if not text.isascii() and _ODD.search(text):
         now, changed = text.translate(_ASCII), True  # one for one: offsets stay
-    for gate, edits in ((_NO_WIDTH, lambda t: [(*m.span(), "") for m in _NO_WIDTH.finditer(t)]), (_SPELLED_GATE, _spelled_edits), (_ADDRESS_GATE, _address_edits)):
-        if gate.search(now) and (found := edits(now)):
+    for gate, edits in ((_NO_WIDTH.search, lambda t: [(*m.span(), "") for m in _NO_WIDTH.finditer(t)]), (_has_spelled, _spelled_edits), (_ADDRESS_GATE.search, _address_edits)):
+        if gate(now) and (found := edits(now)):
             chain.append(Rewriting(now, found))
             now, changed = chain[-1].text, True
     if not changed:
