@@ -15,6 +15,8 @@ PIECES = {
     "back_out": ((0.0, 0.0, "ease_out"), (0.6, 1.1, "ease_in_out"), (1.0, 1.0, "linear")),
 }
 MIN_PIECE_TICKS = 8
+#: Easings from one keyframe to the next.
+KINDS = ("linear", "ease_in", "ease_out", "ease_in_out", "hold", *BEZIERS)
 
 
 def cubic(t: Column, a: float, b: float) -> Column:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.styles import REFERENCE_HEIGHT
 from .intervals import stab_join
+from .introspect import fit_scale
 from .timeline import VISUAL, abutting, end
 
 
@@ -65,4 +67,28 @@ def partition_layers(layers_: DataFrame, clip: int) -> DataFrame:
     return layers_.withColumn("_at", at).where("_at IS NOT NULL").withColumn("side", F.when(F.col("layer") < F.col("_at"), "below").when(F.col("layer") > F.col("_at"), "above").otherwise("sprite")).drop("_at")
 
 
-__all__ = ["end", "export_blocks", "layers", "partition_layers", "transition_windows", "with_overrides"]
+def scene(layers_: DataFrame, clips: DataFrame, media: DataFrame, sampled: DataFrame, canvas: tuple[int, int]) -> DataFrame:
+    """t, layer, clip_id and scene, a struct of where and how each layer of a picture is drawn on the canvas.
+
+    sampled: clip_id, t, position_x, position_y, anchor_x, anchor_y, scale_x, scale_y, rotation (degrees) and opacity, as
+    ``params.sample`` gives them; a clip without a row stands in the middle as it is. The content fits the canvas before it is
+    scaled. Media without a picture place nothing. ``px`` is the length of a style's pixel, for canvases and scales other than
+    those it was made for."""
+    width, height = (float(c) for c in canvas)
+    own = layers_.select("t", "layer", "clip_id").join(clips.select("clip_id", "media_id"), "clip_id")
+    shown = own.join(media.select("media_id", F.col("width").cast("double").alias("_w"), F.col("height").cast("double").alias("_h")), "media_id").where("_w > 0 AND _h > 0")
+    s = shown.join(sampled, ["clip_id", "t"], "left")
+    value = lambda name, default: F.coalesce(F.col(name).cast("double"), F.lit(default))
+    sx, sy, fit = value("scale_x", 1.0), value("scale_y", 1.0), fit_scale(F.col("_w"), F.col("_h"), F.lit(width), F.lit(height))
+    parts = F.struct(
+        F.struct((width * (0.5 + value("position_x", 0.0))).alias("x"), (height * (0.5 + value("position_y", 0.0))).alias("y")).alias("center"),
+        F.struct(value("anchor_x", 0.5).alias("x"), value("anchor_y", 0.5).alias("y")).alias("anchor"),
+        F.struct((F.col("_w") * fit * sx).alias("w"), (F.col("_h") * fit * sy).alias("h")).alias("size"),
+        F.radians(value("rotation", 0.0)).alias("rotation"),
+        value("opacity", 1.0).alias("opacity"),
+        (height / REFERENCE_HEIGHT * F.sqrt(sx * sy)).alias("px"),
+    )
+    return s.select("t", "layer", "clip_id", parts.alias("scene"))
+
+
+__all__ = ["end", "export_blocks", "layers", "partition_layers", "scene", "transition_windows", "with_overrides"]

@@ -118,16 +118,17 @@ def split(clips: DataFrame, cuts: DataFrame, next_id: int) -> DataFrame:
 
 
 def trim(clips: DataFrame, edges: DataFrame, source: tuple[str, str] = ("src_start", "src_dur")) -> DataFrame:
-    """New start and length of clips at speed 1. edges: clip_id, new_start, new_dur (at least 1). The source follows the
-    head that is cut; a reversed clip loses source from its tail. A start before the source's is refused by leaving
-    the clip as it is."""
+    """New start and length of clips. edges: clip_id, new_start, new_dur (at least 1). The source follows the head that is cut, at the
+    clip's speed if it has num and den; a reversed clip loses source from its tail. A start before the source's is refused by
+    leaving the clip as it is. Clips without a source have no such bound."""
     a, n = source
     both = clips.join(edges, "clip_id", "left")
-    head = F.col("new_start") - F.col("start_tick")
-    from_source = F.when(F.col("reversed"), F.col(a) + F.col(n) - head - F.col("new_dur")).otherwise(F.col(a) + head)
-    legal = F.coalesce((F.col("new_dur") >= 1) & (F.col("new_start") >= 0) & (from_source >= 0), F.lit(False))
+    in_source = lambda x: X.scale_by_speed(x, F.col("num"), F.col("den")) if "num" in clips.columns else x
+    head, length = in_source(F.col("new_start") - F.col("start_tick")), F.greatest(in_source(F.col("new_dur")), F.lit(1).cast("long"))
+    from_source = F.when(F.col("reversed"), F.col(a) + F.col(n) - head - length).otherwise(F.col(a) + head)
+    legal = F.coalesce((F.col("new_dur") >= 1) & (F.col("new_start") >= 0) & F.coalesce(from_source >= 0, F.lit(True)), F.lit(False))
     pick = lambda new, old: F.when(legal, new).otherwise(F.col(old)).cast("long").alias(old)
-    changed = {"start_tick": pick(F.col("new_start"), "start_tick"), "dur_tick": pick(F.col("new_dur"), "dur_tick"), a: pick(from_source, a), n: pick(F.col("new_dur"), n)}
+    changed = {"start_tick": pick(F.col("new_start"), "start_tick"), "dur_tick": pick(F.col("new_dur"), "dur_tick"), a: pick(from_source, a), n: pick(F.when(F.col(n).isNotNull(), length), n)}
     return both.select(*(changed.get(c, F.col(c)) for c in clips.columns))
 
 

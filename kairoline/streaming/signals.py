@@ -59,3 +59,20 @@ def shot_boundaries(scored: DataFrame, config: Config, arrival: str = "t") -> Da
 
     kind = scored.schema["media_id"].dataType.simpleString()
     return scored.groupBy("media_id").applyInPandasWithState(step, f"media_id {kind}, t double, previous_t double, score float, kind string", "since double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest(requests: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of each key's requests the last by ``order``: what a preview still has to draw when many have piled up."""
+    return requests.groupBy(*keys).agg(F.max_by(F.struct(*requests.columns), F.col(order)).alias("_r")).select("_r.*")
+
+
+def coalesced(requests: DataFrame, keys: list[str], order: str, sink, checkpoint: str, edits: Column | None = None):
+    """A writer of a stream of requests that hands each micro-batch's latest requests to ``sink`` (a function of a DataFrame
+    and the batch's number). Rows for which ``edits`` holds are never dropped: they come along, all of them."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        keep = F.lit(False) if edits is None else F.coalesce(edits, F.lit(False))
+        plain = latest(batch.where(~keep), keys, order)
+        sink(plain if edits is None else plain.unionByName(batch.where(keep)), number)
+
+    return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

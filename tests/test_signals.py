@@ -104,3 +104,13 @@ def test_pan(spark):
     got = spark.createDataFrame([(-1.0,), (0.0,), (1.0,)], "p double").select(left.alias("l"), right.alias("r")).collect()
     for r, want in zip(got, [(math.sqrt(2), 0.0), (1.0, 1.0), (0.0, math.sqrt(2))], strict=True):
         assert r.l == pytest.approx(want[0], abs=1e-9) and r.r == pytest.approx(want[1], abs=1e-9)
+
+
+def test_requests_are_coalesced_but_edits_stay(spark, tmp_path):
+    schema = "who string, n int, edit boolean"
+    spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, False), ("b", 4, True), ("b", 5, True), ("c", 6, None)], schema).coalesce(1).write.json(str(tmp_path / "in"))
+    got = []
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    sink = lambda df, number: got.extend((number, r.who, r.n) for r in df.collect())
+    signals.coalesced(stream, ["who"], "n", sink, str(tmp_path / "state"), F.col("edit")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == [(0, "a", 2), (0, "a", 3), (0, "b", 4), (0, "b", 5), (0, "c", 6)]
