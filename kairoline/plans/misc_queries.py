@@ -51,9 +51,11 @@ def a12_moment_rows(spark, sf):
 
 
 def a11_out_of_order(spark, sf):
+    """Every third frame is stamped two days late, so that some come after later ones."""
     from ..operators.shots import out_of_order
 
-    e = moments(spark, sf).select(F.col("content_key").alias("media_id"), "event_id", F.col("start_seconds").alias("t"))
+    late = F.when(F.col("event_id") % 3 == 0, 172800).otherwise(0)
+    e = moments(spark, sf).select(F.col("content_key").alias("media_id"), "event_id", (F.col("start_seconds") + late).alias("t"))
     return out_of_order(e, "event_id").select("event_id")
 
 
@@ -127,7 +129,7 @@ ORACLE_SQL = {
     "s17_disk_usage": f"WITH {PACKED.partition(', packed AS')[0]} SELECT line AS folder, sum(dur_tick)::BIGINT AS bytes, count(*) AS files FROM clips GROUP BY line",
     "o11_latest_jobs": f"""WITH {MOMENTS}, r AS (SELECT event_id, row_number() OVER (PARTITION BY content_key ORDER BY start_seconds DESC, event_id) AS position, count(*) OVER (PARTITION BY content_key) AS n FROM moments)
       SELECT event_id, position, n > 40 AS truncated FROM r WHERE position <= 40""",
-    "a11_out_of_order": f"WITH {MOMENTS}, b AS (SELECT event_id, start_seconds, lag(start_seconds) OVER (PARTITION BY content_key ORDER BY event_id) AS p FROM moments) SELECT event_id FROM b WHERE start_seconds < p",
+    "a11_out_of_order": f"WITH {MOMENTS}, s AS (SELECT content_key, event_id, start_seconds + CASE WHEN event_id % 3 = 0 THEN 172800 ELSE 0 END AS t FROM moments), b AS (SELECT event_id, t, lag(t) OVER (PARTITION BY content_key ORDER BY event_id) AS p FROM s) SELECT event_id FROM b WHERE t < p",
     "a12_moment_rows": f"""WITH {MOMENTS} SELECT event_id, '{{"v":1,"index":' || (row_number() OVER (PARTITION BY content_key ORDER BY start_seconds, event_id) - 1)::VARCHAR || '}}' AS payload FROM moments WHERE kind = 'click'""",
     "f26_motion_ticks": "SELECT o_orderkey, i, round(o_orderkey + (i / 4.0::DOUBLE - 0.5) * 0.5, 6) AS at FROM orders, range(0, 5) t(i)",
     "f28_crop_uv": f"""WITH {MEDIA}, c AS (SELECT *, media_id % 50 / 100.0::DOUBLE AS x, media_id % 30 / 100.0::DOUBLE AS y FROM media)

@@ -276,7 +276,7 @@ def e20_trim(spark, sf):
 
 
 def m3_query_builder(spark, sf):
-    q = M.MomentQuery().with_kind("purchase").with_minimum_confidence(0.5).with_time_range(0.0, 1.7e9)
+    q = M.MomentQuery().with_kind("purchase").with_minimum_confidence(0.5).with_time_range(0.0, 1.7055e9)
     return moments(spark, sf).where(q.predicate()).select("event_id")
 
 
@@ -381,7 +381,7 @@ ORACLE_SQL = {
       g AS (SELECT a.clip_id AS dragged, a.d % 2 = 0 AS head, a.s % 41 - 20 AS delta, b.* FROM l a JOIN l b ON b.link = a.link WHERE a.clip_id % 8 = 1),
       m AS (SELECT *, least(greatest(delta, max(CASE WHEN head THEN hl ELSE tl END) OVER q), min(CASE WHEN head THEN hh ELSE th END) OVER q) AS y FROM g WINDOW q AS (PARTITION BY dragged))
       SELECT dragged, clip_id, CASE WHEN head THEN s + y ELSE s END AS start_tick, CASE WHEN head THEN d - y ELSE d + y END AS dur_tick FROM m""",
-    "m3_query_builder": f"WITH {MOMENTS} SELECT event_id FROM moments WHERE kind = 'purchase' AND confidence >= 0.5 AND start_seconds < 1.7e9 AND CASE WHEN start_seconds = end_seconds THEN start_seconds >= 0 ELSE end_seconds > 0 END",
+    "m3_query_builder": f"WITH {MOMENTS} SELECT event_id FROM moments WHERE kind = 'purchase' AND confidence >= 0.5 AND start_seconds < 1.7055e9 AND CASE WHEN start_seconds = end_seconds THEN start_seconds >= 0 ELSE end_seconds > 0 END",
     "p7_track_kinds": f"WITH {TRACKS} SELECT kind, kind <> 'audio' AS visual, count(*) AS tracks FROM tracks GROUP BY ALL",
     "s10_frame_before": f"""WITH {PACKED} SELECT probe, start_tick AS pts FROM (SELECT o_orderkey AS probe, o_orderkey % 50 + 1 AS track_id, o_orderkey * 13 % 20000 AS t FROM orders) o
       ASOF LEFT JOIN (SELECT track_id, start_tick FROM packed WHERE line <> 3) c ON c.track_id = o.track_id AND o.t >= c.start_tick""",
