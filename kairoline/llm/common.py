@@ -44,10 +44,11 @@ class Scratch:
         self.n = 0
         self.paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, *by: str) -> DataFrame:
+        """df as written; ``by``: columns that get a folder for each value, so that a filter on them reads only its own."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._kept = [*getattr(self, "_kept", []), out]  # an id stays one table's

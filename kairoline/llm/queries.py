@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, pii, simhash, substrings, tokens, toxicity, url_filter
-from .common import crc_mod, read_table
+from . import ann, decontaminate, infill, langid, mixing, pii, prefix_trie, secrets, simhash, substrings, tokens, toxicity, url_filter
+from .common import Scratch, crc_mod, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,7 +60,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(substrings.remove_repeats(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate, "op10_suffix_dedup": op10_suffix_dedup}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    return prefix_trie.trie(*prefix_trie.branched(read_table(spark, sf_dir, "conversations"), scratch), scratch)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op1_url_filter": op1_url_filter, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate, "op10_suffix_dedup": op10_suffix_dedup, "op11_secrets": op11_secrets, "op12_prefix_trie": op12_prefix_trie, "op13_infill": op13_infill}
 
 _OP1_SQL = r"""
 WITH p AS (
@@ -129,4 +144,63 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1_SQL, "op8_source_mix": _OP8_SQL, "op9_decontaminate": _OP9_SQL}
+_OP12_SQL = r"""
+WITH RECURSIVE bits(b, k, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc_of AS (SELECT b, v FROM bits WHERE k = 8),
+crcs(conv_id, k, c) AS (
+  SELECT conv_id, 0, 4294967295::BIGINT FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL
+  SELECT conv_id, k + 1, xor(c >> 8, v) FROM crcs JOIN crc_of ON b = xor(c & 255, ascii(substr(conv_id::VARCHAR, k + 1, 1))) WHERE k < length(conv_id::VARCHAR)),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, max(pos) AS n FROM t GROUP BY conv_id),
+v AS (
+  SELECT c.conv_id, c.conv_id - c.conv_id % 5 AS base, xor(c, 4294967295) % 9 AS h, own.n
+  FROM crcs c JOIN own USING (conv_id) WHERE k = length(c.conv_id::VARCHAR)),
+w AS (SELECT v.*, least(h, coalesce(o.n, 0)) AS lent FROM v LEFT JOIN own o ON o.conv_id = base),
+r AS (
+  SELECT w.conv_id, pos AS i, role, text FROM w JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL
+  SELECT w.conv_id, lent + pos - h, role, text FROM w JOIN t ON t.conv_id = w.conv_id AND pos > h),
+paths AS (
+  SELECT conv_id, i AS d, text, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY i) AS path FROM r),
+rows_ AS (
+  SELECT conv_id, d, array_to_string(path, ',') AS label, array_to_string(path[1:d - 1], ',') AS parent, strlen(text) AS n_bytes,
+         d = max(d) OVER (PARTITION BY conv_id) AS is_last FROM paths
+  UNION ALL
+  SELECT conv_id, 0, '', NULL, 0, lent + greatest(n - h, 0) = 0 FROM w),
+nodes AS (
+  SELECT label, d, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_last), '')) AS ends_sha256
+  FROM rows_ GROUP BY label, d),
+kids AS (SELECT parent AS label, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT r.label, sum((n.n_convs - 1) * n.n_bytes)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM nodes n LEFT JOIN kids ON kids.label = n.label JOIN rows_ r ON r.conv_id = n.conv_id AND r.d <= n.d
+  GROUP BY r.label)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.label = n.parent AND p.d = n.d - 1 LEFT JOIN kids ON kids.label = n.label JOIN below ON below.label = n.label
+"""
+
+_OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM d),
+f AS (
+  SELECT *, substr(t, 1, least(x, y)) AS p, substr(t, least(x, y) + 1, greatest(x, y) - least(x, y)) AS m, substr(t, greatest(x, y) + 1) AS s,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1_SQL, "op8_source_mix": _OP8_SQL, "op9_decontaminate": _OP9_SQL, "op12_prefix_trie": _OP12_SQL, "op13_infill": _OP13_SQL}
