@@ -1,13 +1,14 @@
 """The fill-in-the-middle transformation, by an index of distinct texts.
 
-Documents are grouped by the SHA-256 of their text, and the groups are verified: the smallest and the largest text of a group must
-be equal, else the job stops. For each distinct text the boundaries of its units (code points, words or lines, as byte offsets) are
-computed once and kept as an Elias-Fano list. Documents, which carry no text then, are joined back to the index, and each
-takes two boundaries by its own seeded hashes; text and output are cut from bytes, in the JVM.
+Documents are grouped by the SHA-256 of their text, and the groups are verified: the set of a group's texts, compared
+character by character, must be one, else the job stops. For each distinct text the boundaries of its units (code points, words or lines, as byte offsets) are
+computed once, as an Elias-Fano list. Documents, which carry no text then, are joined back to the index as the members of its groups,
+and each takes two boundaries from the list by its own seeded hashes; outputs are cut from the text's bytes in the JVM. A text that
+no two documents share is shuffled once.
 
 A text that many documents share is dealt out: a group larger than a quarter of a shuffle partition's share of
 documents is split by the hash of the key into parts that don't exceed it. At most four groups for each shuffle partition are that
-large, so their list may be broadcast. A part computes its list once.
+large, so their list may be broadcast. A part computes its list once, and has no more members than a quarter of a partition.
 
 Form: ``plain`` where the text is empty or contains a marker, or where the third hash says so; of the others ``spm`` (suffix, prefix,
 middle) where the fourth hash says so, else ``psm`` (prefix, suffix, middle). A null text counts as empty, a null key as the empty
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import Scratch, fresh, ship
+from .common import Scratch, ship
 
 MARKERS = ("<P>", "<S>", "<M>")
 UNITS = ("chars", "words", "lines")
@@ -61,23 +62,24 @@ def boundaries(text: bytes, units: str = "chars") -> bytes:
     return elias_fano.encode(parts(), n + 1, len(text))
 
 
-def _index(units: str):
-    @F.arrow_udf("binary")
-    def index(text: pa.Array) -> pa.Array:
-        return pa.array((boundaries(t, units) for t in (v.as_py() for v in text)), pa.binary())
+def _cuts(units: str):
+    """The distinct text's bytes, and the hashes of its documents -> for each of these the number of units, and the two boundaries
+    that its hashes choose, in units and in bytes."""
 
-    return index
+    def cuts(texts: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+        out: list[tuple[int, ...]] = []
+        sizes = [0]
+        for text, xs, ys in zip(texts, first.to_pylist(), second.to_pylist(), strict=True):
+            code = boundaries(text.as_py(), units)
+            n = elias_fano.count(code) - 1
+            chosen = [sorted((x % (n + 1), y % (n + 1))) for x, y in zip(xs, ys, strict=True)]
+            at = elias_fano.select(code, [k for pair in chosen for k in pair])
+            out += [(n, lo, hi, at[2 * k], at[2 * k + 1]) for k, (lo, hi) in enumerate(chosen)]
+            sizes.append(len(out))
+        columns = [pa.array([row[k] for row in out], pa.int64()) for k in range(5)]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(columns, ["n", "lo", "hi", "a", "b"]))
 
-
-def _cut(code: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
-    """Number of units, the two boundaries that the hashes choose, in units and in bytes."""
-    out = []
-    for c, x, y in zip(code, first.to_pylist(), second.to_pylist(), strict=True):
-        code_ = c.as_py()
-        n = elias_fano.count(code_) - 1
-        lo, hi = sorted((x % (n + 1), y % (n + 1)))
-        out.append((n, lo, hi, *elias_fano.select(code_, (lo, hi))))
-    return pa.StructArray.from_arrays([pa.array([row[k] for row in out], pa.int64()) for k in range(5)], ["n", "lo", "hi", "a", "b"])
+    return F.arrow_udf(cuts, "array<struct<n long, lo long, hi long, a long, b long>>")
 
 
 def seeded(key: Column, seed: int) -> list[Column]:
@@ -94,8 +96,8 @@ def restore(output: Column, form: Column, markers: tuple[str, str, str] = MARKER
     return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)
 
 
-def _dealt(df: DataFrame, many: DataFrame, key: Column) -> DataFrame:
-    part = F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1)))
+def _dealt(df: DataFrame, many: DataFrame) -> DataFrame:
+    part = F.pmod(F.xxhash64("_own.doc_id"), F.coalesce("_parts", F.lit(1)))
     return df.join(F.broadcast(many), "_digest", "left").withColumn("_part", part).drop("_parts")
 
 
@@ -109,22 +111,26 @@ def fill_in_middle(df: DataFrame, seed: int = 1, rate: int = RATE, suffix_first:
     ship(spark)
     scratch = Scratch(spark, "infill")
     whole = F.coalesce(F.col(text), F.lit(""))
-    chosen = df.select(F.col(key).alias("doc_id"), *keep, whole.alias("_text")) if text not in keep else df.select(F.col(key).alias("doc_id"), *keep).withColumn("_text", whole)
-    if len({c.lower() for c in chosen.columns}) < len(chosen.columns):
+    if len({"doc_id", *(k.lower() for k in keep)}) <= len(keep):
         raise ValueError("columns to keep can't be named doc_id or as another one")
+    # in a struct, whose fields clash with no name used here
+    chosen = df.select(F.struct(F.col(key).alias("doc_id"), *keep).alias("_own"), whole.alias("_text"))
     digest = F.unhex(F.sha2("_text", 256)).alias("_digest")
-    docs = scratch.write(chosen.select("doc_id", *keep, digest))
+    docs = scratch.write(chosen.select("_own", digest))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = max(16, docs.count() // (4 * parts))
     many = docs.groupBy("_digest").agg(F.count("*").alias("n")).where(F.col("n") > share).select("_digest", F.ceil(F.col("n") / share).alias("_parts"))
-    groups = _dealt(chosen.select("doc_id", "_text", digest), many, F.col("doc_id")).groupBy("_digest", "_part").agg(F.min("_text").alias("_text"), F.max("_text").alias("_other"))
-    verified = F.when(F.col("_text") == F.col("_other"), F.col("_text")).otherwise(F.raise_error(F.lit("two texts have one SHA-256")))
-    index = groups.select("_digest", "_part", verified.cast("binary").alias("_bytes")).withColumn("_code", _index(units)("_bytes"))
-    joined = _dealt(docs, many, F.col("doc_id")).join(index, ["_digest", "_part"])
-
-    h = seeded(F.col("doc_id"), seed)
-    choose = F.arrow_udf(_cut, "struct<n long, lo long, hi long, a long, b long>")
-    cut = joined.withColumn("_c", choose("_code", h[0], h[1]))
+    # a set of one text: all of the group's texts are equal
+    groups = _dealt(chosen.select("_own", "_text", digest), many).groupBy("_digest", "_part").agg(F.collect_set("_text").alias("_texts"))
+    verified = F.when(F.size("_texts") == 1, F.col("_texts")[0]).otherwise(F.raise_error(F.lit("two texts have one SHA-256")))
+    index = groups.select("_digest", "_part", verified.cast("binary").alias("_bytes"))
+
+    h1, h2, h3, h4 = (h.alias(f"h{k}") for k, h in enumerate(seeded(F.col("_own.doc_id"), seed), 1))
+    own = F.struct("_own", h1, h2, h3, h4)
+    members = _dealt(docs, many).groupBy("_digest", "_part").agg(F.collect_list(own).alias("_docs"))
+    joined = index.join(members, ["_digest", "_part"]).withColumn("_cuts", _cuts(units)("_bytes", "_docs.h1", "_docs.h2"))
+    cut = joined.select("_bytes", F.explode(F.arrays_zip("_docs", "_cuts")).alias("_x")).select("_bytes", F.col("_x._docs").alias("_d"), F.col("_x._cuts").alias("_c"))
+    h3, h4 = F.col("_d.h3"), F.col("_d.h4")
     piece = lambda a, b: F.substring("_bytes", (a + 1).cast("int"), (b - a).cast("int"))
     a, b = F.col("_c.a"), F.col("_c.b")
     p, m, s = piece(F.lit(0), a), piece(a, b), piece(b, F.length("_bytes").cast("long"))
@@ -132,8 +138,8 @@ def fill_in_middle(df: DataFrame, seed: int = 1, rate: int = RATE, suffix_first:
     marked = F.lit(False)
     for x in markers:
         marked = marked | F.contains(string, F.lit(x))
-    form = F.when((F.length("_bytes") == 0) | marked | (h[2] % 100 >= rate), "plain").when(h[3] % 100 < suffix_first, "spm").otherwise("psm")
+    form = F.when((F.length("_bytes") == 0) | marked | (h3 % 100 >= rate), "plain").when(h4 % 100 < suffix_first, "spm").otherwise("psm")
     at = {k: F.lit(v.encode()) for k, v in zip("psm", markers, strict=True)}
     shaped = F.when(F.col("form") == "psm", F.concat(at["p"], p, at["s"], s, at["m"], m)).when(F.col("form") == "spm", F.concat(at["s"], s, at["p"], p, at["m"], m)).otherwise(F.col("_bytes"))
     cut_only = lambda c: F.when(F.col("form") != "plain", F.length(c.cast("string")).cast("long"))
-    return cut.withColumn("form", form).select("doc_id", *keep, F.col("_c.n").alias("n"), "form", cut_only(p).alias("prefix_chars"), cut_only(m).alias("middle_chars"), shaped.cast("string").alias("output"))
+    return cut.withColumn("form", form).select(*(F.col("_d._own")[c].alias(c) for c in ("doc_id", *keep)), F.col("_c.n").alias("n"), "form", cut_only(p).alias("prefix_chars"), cut_only(m).alias("middle_chars"), shaped.cast("string").alias("output"))

@@ -82,11 +82,17 @@ def test_tables(spark, odd, empty):
     assert len(made) == odd.count() and infill.fill_in_middle(empty).count() == 0
     text = {r.doc_id: r.text for r in odd.collect()}
     assert all((r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == brute(r.doc_id, text[r.doc_id]) for r in made)
-    for bad in ({"units": "none"}, {"markers": ("<P>", "<P>", "<M>")}, {"markers": ("<<P>", "<S>", "<M>")}, {"markers": ("<P>", "[S]", "<M>")}, {"keep": ("doc_id",)}):
+    for bad in ({"units": "none"}, {"markers": ("<P>", "<P>", "<M>")}, {"markers": ("<<P>", "<S>", "<M>")}, {"markers": ("<P>", "[S]", "<M>")}, {"keep": ("doc_id",)}, {"keep": ("lang", "lang")}):
         with pytest.raises(ValueError):
             infill.fill_in_middle(odd, **bad)
 
 
+def test_kept_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "some text", 5, "d", 7)], "doc_id long, text string, h1 int, _digest string, _part int")
+    r = infill.fill_in_middle(df, keep=("h1", "_digest", "_part", "text")).first()
+    assert (r.doc_id, r.h1, r["_digest"], r["_part"], r.text, r.n) == (1, 5, "d", 7, "some text", 9)
+
+
 def test_a_text_of_most_documents_is_dealt_out(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, F.lit("one text that most of them share")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
     made = infill.fill_in_middle(df)
