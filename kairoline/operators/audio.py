@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import stab_join
+
 
 @dataclass(frozen=True)
 class Loudness:
@@ -187,12 +189,10 @@ def pan_gains(pan: Column) -> tuple[Column, Column]:
 def mix(spans: DataFrame, pcm: DataFrame, bucket: int = 4096) -> DataFrame:
     """frame, left and right: the sum of all spans' samples with gain and pan, clamped to -1..1.
 
-    spans: media_id, at (first frame of the output), first (of the medium), length, volume, pan, fade_in, fade_out. Samples
-    are joined by medium and bucket, so a long medium is many small groups."""
-    starts, ends = F.floor(F.col("first") / bucket), F.floor((F.col("first") + F.col("length") - 1) / bucket)
-    s = spans.where("length > 0").withColumn("_b", F.explode(F.sequence(starts, ends)))
-    x = pcm.where("ch = 0").select("media_id", "frame", "sample", F.floor(F.col("frame") / bucket).alias("_b"))
-    j = s.join(x, ["media_id", "_b"]).where((F.col("frame") >= F.col("first")) & (F.col("frame") < F.col("first") + F.col("length")))
+    spans: media_id, at (first frame of the output), first (of the medium), length, volume, pan, fade_in, fade_out. Samples meet
+    spans in cells as long as these, of ``bucket`` frames at most, so a long medium is many small groups, and short spans aren't compared with
+    samples far from them."""
+    j = stab_join(pcm.where("ch = 0").select("media_id", "frame", "sample"), spans.where("length > 0"), ["media_id"], "frame", ("first", "length"), 32, bucket)
     pos = F.col("frame") - F.col("first")
     gain = fade_gain(pos, F.col("length"), F.col("volume"), F.col("fade_in"), F.col("fade_out"))
     left, right = pan_gains(F.col("pan"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.styles import REFERENCE_HEIGHT
 from .intervals import stab_join
 from .introspect import fit_scale
-from .timeline import VISUAL, abutting, end
+from .timeline import VISUAL, abutting
 
 
 def transition_windows(clips: DataFrame, transitions: DataFrame) -> DataFrame:
@@ -53,14 +53,6 @@ def with_overrides(layers_: DataFrame, overrides: DataFrame, columns: list[str])
     return out.drop(*(f"_o_{c}" for c in columns))
 
 
-def export_blocks(spark, frames: int, num: int, den: int) -> DataFrame:
-    """Each output frame with its block of sound, from a sample up to another; blocks leave no gap."""
-    from ..functions.timeexpr import ticks_to_samples
-
-    n = spark.range(frames)
-    return n.select(F.col("id").alias("frame"), ticks_to_samples(F.col("id"), num, den).alias("from_sample"), ticks_to_samples(F.col("id") + 1, num, den).alias("to_sample"))
-
-
 def partition_layers(layers_: DataFrame, clip: int) -> DataFrame:
     """Layers below, at and above that of a clip, for each tick that shows it."""
     at = F.max(F.when(F.col("clip_id") == clip, F.col("layer"))).over(Window.partitionBy("t"))
@@ -89,6 +81,3 @@ def scene(layers_: DataFrame, clips: DataFrame, media: DataFrame, sampled: DataF
         (height / REFERENCE_HEIGHT * F.sqrt(sx * sy)).alias("px"),
     )
     return s.select("t", "layer", "clip_id", parts.alias("scene"))
-
-
-__all__ = ["end", "export_blocks", "layers", "partition_layers", "scene", "transition_windows", "with_overrides"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("moment_queries", "time_queries", "timeline_queries", "signal_queries", "look_queries", "misc_queries", "edit_queries", "more_queries", "row_queries", "shape_queries")
+MODULES = ("moment_queries", "time_queries", "timeline_queries", "signal_queries", "look_queries", "misc_queries", "edit_queries", "more_queries", "row_queries", "shape_queries", "export_queries")
 
 
 def registered() -> tuple[dict, dict]:

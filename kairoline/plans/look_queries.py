@@ -11,6 +11,7 @@ from ..functions import shapes as G
 from ..operators import params as P
 from ..operators import resolve as R
 from ..operators import transcript as T
+from ..operators.composite import export_plan
 from .fixtures import EASINGS, KEYFRAMES, PACKED, PIXELS, TOKENS, TRACKS, keyframes, packed, pixels, some_ticks, table, tokens, tracks
 
 GRADE = C.effective_grade("sunset", 0.8, C.Grade(exposure=0.1, contrast=0.2, highlights=0.3, shadows=-0.4, hue=0.5))
@@ -194,8 +195,7 @@ def j14_transitions(spark, sf):
 
 def r5_export_blocks(spark, sf):
     """The blocks of all frames up to where the last clip ends."""
-    frames = packed(spark, sf).agg(F.max(F.col("start_tick") + F.col("dur_tick"))).first()[0]
-    return R.export_blocks(spark, frames or 0, 30000, 1001)
+    return export_plan(packed(spark, sf), (30000, 1001)).select("frame", "from_sample", "to_sample")
 
 
 QUERIES = {f.__name__: f for f in (f2_easing, f2_bezier, f5_piecewise, f7_param_sample, f9_curve_integral, u4_keyframe_upsert, a15_segments, a16_words, g10_segment_confidence, a13_transcript_moments, x1_title_case, x2_spacing, x4_display_text, c1_grade, c3_blend, c7_yuv, c7_chroma_mean, c8_box_blur, c8_effects, c8_pixelate, c4_lut, c5_masks, c6_chroma_key, c7_i420, c11_shapes, r1_layers, j14_transitions, r5_export_blocks)}

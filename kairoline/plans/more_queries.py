@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import colour as C
 from ..operators import audio as A
 from ..operators import introspect as I
 from ..operators import params as P
 from ..operators import resolve as R
-from .fixtures import EASINGS, KEYFRAMES, MEDIA, PACKED, PCM, PIXELS, TRACKS, keyframes, media, packed, pcm, pixels, some_ticks, table, tracks
+from .fixtures import EASINGS, KEYFRAMES, MEDIA, PACKED, PCM, TRACKS, keyframes, media, packed, pcm, some_ticks, table, tracks
 
 
 def f20_resample(spark, sf):
@@ -44,21 +43,6 @@ def p9_non_default(spark, sf):
     return c.select("clip_id", ((F.col("volume") != 1.0) | (F.col("line") > 5)).alias("custom_audio"), (F.col("volume") <= 0).alias("silent"), F.col("reversed").alias("retimed"))
 
 
-def r4_composite(spark, sf):
-    """Layers over each other, the lowest first: a fold over each pixel's ordered layers."""
-    p = pixels(spark, sf)
-    item = F.struct("t", (F.col("r") / 255.0).alias("s"), (0.25 + (F.col("x") % 4) / 8.0).alias("a"))
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("a"))
-
-    def over(low, top):
-        back = F.when(low["a"] > 0, low["c"] / F.when(low["a"] > 0, low["a"]).otherwise(1.0)).otherwise(0.0)
-        colour, alpha = C.composite("screen", back, low["a"], top["s"], top["a"])
-        return F.struct(colour.alias("c"), alpha.alias("a"))
-
-    done = p.groupBy("media_id", "x", "y").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, over).alias("out"))
-    return done.groupBy("media_id").agg(F.round(F.sum("out.c"), 6).alias("colour"), F.round(F.sum("out.a"), 6).alias("alpha"))
-
-
 def r6_overrides(spark, sf):
     c = packed(spark, sf).select("clip_id", "volume", "line")
     o = c.where("clip_id % 50 = 1").select("clip_id", F.lit(0.5).alias("volume"), F.lit(None).cast("long").alias("line"))
@@ -123,7 +107,7 @@ def s18_content_key(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_key"))
 
 
-QUERIES = {f.__name__: f for f in (f20_resample, f30_ruler, f37_graph, p8_capabilities, p9_non_default, r2_partition_layers, r4_composite, r6_overrides, o6_markers, o7_slots, o12_lru, x7_commands, x8_adjust_summary, x10_id_map, s8_bounded_read, s9_range_read, s18_content_key)}
+QUERIES = {f.__name__: f for f in (f20_resample, f30_ruler, f37_graph, p8_capabilities, p9_non_default, r2_partition_layers, r6_overrides, o6_markers, o7_slots, o12_lru, x7_commands, x8_adjust_summary, x10_id_map, s8_bounded_read, s9_range_read, s18_content_key)}
 
 _STEPS = [f for f in I.FRAME_STEPS if f < 30 and 30 % f == 0] + [s * 30 for s in I.SECOND_STEPS]
 
@@ -151,11 +135,6 @@ ORACLE_SQL = {
     "r2_partition_layers": f"""WITH {PACKED}, {TRACKS}, l AS (SELECT t, clip_id, row_number() OVER (PARTITION BY t ORDER BY order_idx) - 1 AS layer FROM (SELECT DISTINCT o_orderkey * 13 % 9000 AS t FROM orders) k, packed JOIN tracks USING (track_id) WHERE enabled AND kind <> 'audio' AND t >= start_tick AND t < start_tick + dur_tick),
       c AS (SELECT clip_id FROM l ORDER BY t, layer LIMIT 1), a AS (SELECT *, max(layer) FILTER (WHERE clip_id = (SELECT clip_id FROM c)) OVER (PARTITION BY t) AS m FROM l)
       SELECT t, CASE WHEN layer < m THEN 'below' WHEN layer > m THEN 'above' ELSE 'sprite' END AS side, count(*) AS n FROM a WHERE m IS NOT NULL GROUP BY ALL""",
-    "r4_composite": f"""WITH RECURSIVE {PIXELS}, p AS MATERIALIZED (SELECT media_id, x, y, row_number() OVER (PARTITION BY media_id, x, y ORDER BY t) AS n, r / 255.0::DOUBLE AS s, 0.25 + (x % 4) / 8.0::DOUBLE AS sa FROM pixels),
-      f(media_id, x, y, n, c, a) AS (SELECT media_id, x, y, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE FROM p WHERE n = 1 UNION ALL
-        SELECT f.media_id, f.x, f.y, p.n, ((1 - a) * s + a * (CASE WHEN a > 0 THEN c / a ELSE 0 END + s - CASE WHEN a > 0 THEN c / a ELSE 0 END * s)) * sa + CASE WHEN a > 0 THEN c / a ELSE 0 END * a * (1 - sa), sa + a * (1 - sa)
-        FROM f JOIN p ON p.media_id = f.media_id AND p.x = f.x AND p.y = f.y AND p.n = f.n + 1)
-      SELECT media_id, round(sum(c), 6) AS colour, round(sum(a), 6) AS alpha FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY media_id, x, y ORDER BY n DESC) = 1) GROUP BY ALL""",
     "r6_overrides": f"WITH {PACKED} SELECT clip_id, CASE WHEN clip_id % 50 = 1 THEN 0.5 ELSE volume END AS volume, line FROM packed",
     "o6_markers": "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey * 31 % 1000, o_orderkey) AS position FROM orders",
     "o7_slots": f"WITH {PACKED}, s AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY clip_id % 10, clip_id) AS r FROM packed) SELECT track_id, count(*) AS slots, max(clip_id) FILTER (WHERE r = 1) AS music FROM s GROUP BY ALL",

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,18 +134,40 @@ def encode_png(pixels: np.ndarray) -> bytes:
 
 
 def png_frames(pixels: DataFrame) -> DataFrame:
-    """media_id, name (frame_00000.png ...) and png of every frame of a pixel table (media_id, t, x, y, r, g, b, a)."""
+    """media_id, name (frame_00000.png ...) and png of every frame of a pixel table (media_id, t, x, y, r, g, b, a).
+
+    Pixels are sorted by frame and row within tasks and streamed: a task holds the bytes of one frame, and frames are numbered without
+    their pixels."""
     from pyspark.sql import Window
 
-    item = F.struct("y", "x", "r", "g", "b", "a")
-    frames = pixels.groupBy("media_id", "t").agg(F.array_sort(F.collect_list(item)).alias("p"), (F.max("x") + 1).alias("w"))
-    number = F.row_number().over(Window.partitionBy("media_id").orderBy("t")) - 1
-    named = frames.withColumn("name", F.format_string("frame_%05d.png", number)).select("media_id", "name", "w", "p")
+    keys = ["media_id", "t"]
+    numbers = pixels.select(*keys).distinct().withColumn("n", F.row_number().over(Window.partitionBy("media_id").orderBy("t")) - 1)
+
+    def finished(key: tuple, held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        png = encode_png(rows[:, 1:].astype(np.uint8).reshape(-1, int(rows[:, 0].max()) + 1, 4))
+        return pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], k.type) for k in key), pa.array([png], pa.binary())], [*keys, "png"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
-            pngs = [encode_png(np.array([(q["r"], q["g"], q["b"], q["a"]) for q in p], np.uint8).reshape(-1, w, 4)) for w, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pngs, pa.binary())], ["media_id", "name", "png"])
-
-    kind = pixels.schema["media_id"].dataType.simpleString()
-    return named.mapInArrow(scan, f"media_id {kind}, name string, png binary")
+            if not batch.num_rows:
+                continue
+            own = [batch.column(k) for k in (0, 1)]
+            changes = [pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in own]
+            cuts = [0, *(np.flatnonzero(changes[0] | changes[1]) + 1).tolist(), batch.num_rows]
+            rows = np.stack([batch.column(k).to_numpy() for k in range(2, 7)], 1)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                here = (own[0][a], own[1][a])
+                if held and here != key:
+                    yield finished(key, held)
+                    held = []
+                key = here
+                held.append(rows[a:b])
+        if held:
+            yield finished(key, held)
+
+    ordered = pixels.where("media_id IS NOT NULL AND t IS NOT NULL").select(*keys, "y", *(F.col(c).cast("int").alias(c) for c in ("x", "r", "g", "b", "a"))).repartition(*keys).sortWithinPartitions(*keys, "y", "x").drop("y")
+    kinds = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
+    pngs = ordered.mapInArrow(scan, f"{kinds}, png binary")
+    return pngs.join(numbers, keys).select("media_id", F.format_string("frame_%05d.png", F.col("n")).alias("name"), "png")
