@@ -60,6 +60,8 @@ class Jobs:
         group = f"job-{id(self)}-{job.number}"
 
         def run() -> None:
+            # a new thread has no active session, in which data sources are looked up
+            getattr(self.spark._jvm, "org.apache.spark.sql.classic.SparkSession").setActiveSession(self.spark._jsparkSession)
             self.spark.sparkContext.setJobGroup(group, title, interruptOnCancel=True)
             job.state = "running"
             try:

@@ -182,14 +182,15 @@ def test_a_cancelled_export(spark, exported, tmp_path):
         time.sleep(0.2)
         return frame
 
-    many = exported.limit(1).drop("frame").crossJoin(spark.range(0, 400, 1, 200).withColumnRenamed("id", "frame")).withColumn("frame", slow("frame"))
+    one = spark.createDataFrame(exported.limit(1).collect(), exported.schema).drop("frame")
+    many = spark.range(0, 400, 1, 200).crossJoin(F.broadcast(one)).withColumn("frame", slow("id")).drop("id")
     jobs = Jobs(spark)
     job = jobs.start("export", lambda j: many.write.format("frame_folder").mode("append").save(path))
     for _ in range(300):
         if S.written(path) > 2 or job.state not in ("queued", "running"):
             break
         time.sleep(0.1)
-    assert S.written(path) > 2 and jobs.cancel(job.number)
+    assert S.written(path) > 2 and jobs.cancel(job.number), (job.state, job.error)
     assert jobs.wait(job.number, 60).state == "cancelled"
     for _ in range(100):
         if not left_over(path):
