@@ -7,13 +7,18 @@ the graph's edges and reverse edges with the vectors, gathers each node's neighb
 are neighbours of neighbours) where the last round brought one of the two, and lets every node keep its ``k`` best. Rounds end when fewer than ``delta`` of all edges
 change. A query is a node of the graph; its search starts from its own edges and the nodes of its group by hash, so that it
 isn't held in a part of the graph without edges to the rest, and expands, in each hop, the nearest
-``beam`` nodes not expanded yet, until none are left or ``hops`` have run. All tables are shuffled on node ids;
+``beam`` nodes not expanded yet, until none are left (``hops`` only guards against a loop). All tables are shuffled on node ids;
 none is collected or broadcast.
 
-Graph and search compare 8-bit codes of the vectors (a scale, and a byte for each component). The nodes that a search
-ends with are ranked anew by the exact distance, in double precision on the original vectors. A query left with fewer
-answers than there are candidates for is compared with all rows; that is a handful of queries at most, as every search
-starts from a whole group.
+Graph and search compare 8-bit codes of the vectors. A code is what is left of a vector beside the nearest of at most 256 centres: a
+scale, the centre, and a byte for each component. Centres, a middle and a spread of the components are taken from a sample
+of the vectors, bounded by ``SAMPLE`` rows and ``SAMPLE_BYTES``, by medians, so that neither a common offset, nor groups far apart, nor rows of
+any size cost the others their digits. The nodes that a search
+ends with are ranked anew by the exact distance, in double precision on the original vectors; so are those of the smallest ids, which win where
+distances tie. A query left with fewer answers than there are candidates for is compared with all rows.
+
+Recall is measured: ``MEASURED`` queries, chosen by hash, are compared with all rows. Below ``TARGET`` the search is run again with a beam twice as
+wide, three times at most; if recall then is below ``LEAST``, all queries are compared with all rows, in blocks.
 
 A bucket of more than ``leaf`` nodes is split by hash: the graph is only started there, so splitting loses no row.
 Reverse edges of a node beyond ``k`` are sampled in each round, by another hash each time.
@@ -34,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ship
+from .common import Scratch, ship, sliced
 
 K = 24
 TABLES = 6
@@ -44,36 +49,92 @@ DEALT = 64
 ROUNDS = 12
 DELTA = 0.03
 BEAM = 192
-HOPS = 8
+HOPS = 64
+#: Rows, and bytes of them, from which centres are taken.
+SAMPLE = 20_000
+SAMPLE_BYTES = 64 << 20
+CENTRES = 256
+MEASURED = 32
+TARGET = 0.95
+LEAST = 0.9
+BLOCK = 512
 RERANK = 40
 #: Pairs that a node may get from one gathering in a round; those that it misses, others give.
 OFFERS = 10
 
 
-def _codes(largest: float):
-    """id, embedding -> id, code: eight bytes of scale, then a byte for each component. Scales are parts of the largest
-    component of all, so no square overflows."""
+class Coder:
+    """Codes of vectors: eight bytes of scale, one for the centre, and one for each component of what is left beside it. All is in
+    units of the components' spread, and bounded, so that no square overflows or vanishes."""
+
+    HEAD = 9
+    MOST = 1e120
+
+    def __init__(self, sample: np.ndarray, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        with np.errstate(all="ignore"):
+            self.middle = np.median(sample, axis=0)
+            off = np.abs(sample - self.middle)
+            spread = np.median(off)
+            if not 0 < spread < np.inf:
+                spread = np.median(off[(off > 0) & (off < np.inf)]) if ((off > 0) & (off < np.inf)).any() else 1.0
+        self.spread = float(spread)
+        y = self.scaled(sample)
+        # half of the centres as the rows fall, half far from those there are
+        n = min(CENTRES, max(1, len(y) // 8))
+        at = rng.choice(len(y), max(1, n // 2), replace=False).tolist()
+        nearest = np.full(len(y), np.inf)
+        for k in range(n):
+            if k >= len(at):
+                if not nearest.sum():
+                    break
+                at.append(int(rng.choice(len(y), p=nearest / nearest.sum())))
+            nearest = np.minimum(nearest, np.sqrt(((y - y[at[k]]) ** 2).sum(axis=1)))
+        self.centres = y[at]
+        self.squares = (self.centres**2).sum(axis=1)
+
+    def scaled(self, v: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return np.clip((v - self.middle) / self.spread, -self.MOST, self.MOST)
+
+    def encode(self, v: np.ndarray) -> np.ndarray:
+        y = self.scaled(v)
+        centre = np.argmin(self.squares - 2 * (y @ self.centres.T), axis=1)
+        rest = y - self.centres[centre]
+        scale = np.abs(rest).max(axis=1)
+        scale[scale == 0] = 1.0
+        parts = (scale / 127).view(np.uint8).reshape(-1, 8), centre.astype(np.uint8)[:, None], np.rint(rest / scale[:, None] * 127).astype(np.int8).view(np.uint8)
+        return np.concatenate(parts, axis=1)
+
+    def decode(self, column: pa.Array) -> np.ndarray:
+        """The vectors, as rows."""
+        rows = column.to_pylist()
+        packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+        return self.centres[packed[:, 8]] + packed[:, self.HEAD :].view(np.int8) * packed[:, :8].copy().view(np.float64)
+
+
+def _fitted(nodes: DataFrame, n: int, dim: int, seed: int) -> Coder | None:
+    """A coder from a sample of the nodes, chosen by hash."""
+    most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * max(1, dim))))
+    share = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max(1, n))) < most
+    rows = nodes.where(share).select("embedding").limit(2 * most).toPandas()["embedding"] if n else []
+    if n and not len(rows):
+        rows = nodes.select("embedding").limit(most).toPandas()["embedding"]
+    return Coder(np.array([np.asarray(r, np.float64) for r in rows]), seed) if len(rows) else None
+
+
+def _codes(coder: Coder):
+    """id, embedding -> id, code."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.array(batch.column(1).to_pylist(), np.float64) / largest
-            scale = np.abs(v).max(axis=1)
-            scale[scale == 0] = np.finfo(float).tiny
-            packed = np.concatenate([(scale / 127).view(np.uint8).reshape(-1, 8), np.rint(v / scale[:, None] * 127).astype(np.int8).view(np.uint8)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(bytes, packed), pa.binary())], ["id", "code"])
+        for batch in sliced(batches, 4096):
+            if batch.num_rows:
+                packed = coder.encode(np.array(batch.column(1).to_pylist(), np.float64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(bytes, packed), pa.binary())], ["id", "code"])
 
     return scan
 
 
-def _decoded(column: pa.Array) -> np.ndarray:
-    """The codes' vectors, as rows."""
-    rows = column.to_pylist()
-    packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    return packed[:, 8:].view(np.int8) * packed[:, :8].copy().view(np.float64)
-
-
 def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut anew, so that each holds whole groups; rows come in order of the first column."""
     held: list[pa.RecordBatch] = []
@@ -91,14 +152,14 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _compare(offers: int):
+def _compare(offers: int, coder: Coder):
     """g, id, code, kth, fresh (rows in order of g) -> id, nbr, d: squared distances of pairs within a group, one of which
     at least is fresh, that are below id's kth, each id's nearest ``offers``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_group(batches):
             g, ids, kth, fresh = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
-            vectors = _decoded(batch.column(2))
+            vectors = coder.decode(batch.column(2))
             cuts = [0, *(np.nonzero(np.diff(g))[0] + 1).tolist(), len(g)]
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -125,12 +186,16 @@ def _compare(offers: int):
     return scan
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distances(coder: Coder):
     """q, node, code of q, code of node -> q, node, d."""
-    for batch in batches:
-        if batch.num_rows:
-            d = ((_decoded(batch.column(2)) - _decoded(batch.column(3))) ** 2).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.astype(np.float64))], ["q", "node", "d"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = ((coder.decode(batch.column(2)) - coder.decode(batch.column(3))) ** 2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.astype(np.float64))], ["q", "node", "d"])
+
+    return scan
 
 
 def usable(embedding: Column) -> Column:
@@ -159,13 +224,13 @@ class Graph:
         self.scratch, self.k = scratch, k
         spark = nodes.sparkSession
         ship(spark)
-        largest = F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))
-        size = nodes.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), largest.alias("largest")).first()
+        size = nodes.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
         if size["n"] and size["low"] != size["high"]:
             raise ValueError(f"vectors of {size['low']} and of {size['high']} components")
         self.n, dim = size["n"], size["high"] or 0
         self.seed = seed
-        self.codes = scratch.write(nodes.select("id", "embedding").mapInArrow(_codes(size["largest"] or 1.0), "id long, code binary"))
+        self.coder = _fitted(nodes, self.n, dim, seed) or Coder(np.zeros((1, max(1, dim))))
+        self.codes = scratch.write(nodes.select("id", "embedding").mapInArrow(_codes(self.coder), "id long, code binary"))
         self.edges = scratch.write(self._best(self._start(tables, leaf, dim, seed)))
         for turn in range(rounds):
             new = scratch.write(self._round(turn))
@@ -188,11 +253,13 @@ class Graph:
         bits = max(0, int(np.ceil(np.log2(max(1, self.n / leaf)))))
         planes = np.random.default_rng(seed).normal(size=(tables, bits, dim)).astype(np.float32)
 
+        coder = self.coder
+
         def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = _decoded(batch.column(1))
+                v = coder.decode(batch.column(1))
                 for t in range(tables):
                     side = (v @ planes[t].T > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(side * tables + t), batch.column(0), batch.column(1)], ["b", "id", "code"])
@@ -207,9 +274,8 @@ class Graph:
         """The group by hash of a node; all are one group where they are few."""
         return F.xxhash64(F.lit(self.seed), F.pmod(F.xxhash64("id", F.lit(self.seed)), F.lit(max(1, self.n // DEALT))))
 
-    @staticmethod
-    def _compared(groups: DataFrame, offers: int) -> DataFrame:
-        found = groups.select("g", "id", "code", "kth", "fresh").repartition("g").sortWithinPartitions("g").mapInArrow(_compare(offers), "id long, nbr long, d double")
+    def _compared(self, groups: DataFrame, offers: int) -> DataFrame:
+        found = groups.select("g", "id", "code", "kth", "fresh").repartition("g").sortWithinPartitions("g").mapInArrow(_compare(offers, self.coder), "id long, nbr long, d double")
         return found.withColumn("new", F.lit(1))
 
     def neighbours(self, turn: int = 0) -> DataFrame:
@@ -237,7 +303,7 @@ class Graph:
         edges = starts.join(self.edges, starts["q"] == self.edges["id"]).select("q", F.col("nbr").alias("node"), "d")
         hand = self.codes.select(self._hand().alias("g"), "id", "code")
         dealt = asked.join(hand.select("g", F.col("id").alias("q")), "q").join(hand.select("g", F.col("id").alias("node"), "code"), "g").where("node <> q")
-        others = dealt.select("q", "node", "own", "code").mapInArrow(_distances, "q long, node long, d double")
+        others = dealt.select("q", "node", "own", "code").mapInArrow(_distances(self.coder), "q long, node long, d double")
         # a pair may come from both, its distance rounded otherwise
         state = scratch.write(edges.unionByName(others).groupBy("q", "node").agg(F.min("d").alias("d")).withColumn("done", F.lit(0)))
         for _ in range(hops):
@@ -245,7 +311,7 @@ class Graph:
             reached = ahead.join(around, ahead["at"] == around["id"]).select("q", F.col("nbr").alias("node")).where("node <> q").distinct()
             fresh = reached.join(state.select("q", "node"), ["q", "node"], "left_anti")
             coded = fresh.join(self.codes, fresh["node"] == self.codes["id"]).select("q", "node", "code").join(asked, "q")
-            measured = coded.select("q", "node", "own", "code").mapInArrow(_distances, "q long, node long, d double").withColumn("done", F.lit(0))
+            measured = coded.select("q", "node", "own", "code").mapInArrow(_distances(self.coder), "q long, node long, d double").withColumn("done", F.lit(0))
             rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
             merged = state.withColumn("done", F.lit(1)).unionByName(measured).withColumn("rank", rank)
             new = scratch.write(merged.where(F.col("rank") <= beam).drop("rank"))
@@ -271,18 +337,91 @@ def nearest(df: DataFrame, is_query: Column, n: int = 10, key: str = "vec_id", e
 
     own = Graph(nodes, scratch, **graph)
     starts = scratch.write(named.where("asked").select(F.col("id").alias("q")).distinct())
-    found = own.search(starts, beam, hops)
-    best = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
-    near = found.withColumn("r", best).where(F.col("r") <= max(rerank, 2 * n)).select("q", "node").unionByName(starts.select("q", F.col("q").alias("node")))
-    a, b = nodes.select(F.col("id").alias("q"), F.col("embedding").alias("x")), nodes.select(F.col("id").alias("node"), F.col("embedding").alias("y"))
-    scored = near.join(a, "q").join(b, "node").select("q", "node", _distance("x", "y").alias("score"))
-    order = Window.partitionBy("q").orderBy("score", "vec_id")
-    answers = scratch.write(scored.join(members, "node").withColumn("r", F.row_number().over(order)).where(F.col("r") <= n + 1).select("q", "vec_id", "score"))
     queries = named.where("asked").select(F.col("id").alias("q"), F.col("vec_id").alias("query_id")).distinct()
+    lowest = nodes.select(F.col("id").alias("node")).orderBy("node").limit(n + 1)
+    a, b = nodes.select(F.col("id").alias("q"), F.col("embedding").alias("x")), nodes.select(F.col("id").alias("node"), F.col("embedding").alias("y"))
+
+    def answered(near: DataFrame) -> DataFrame:
+        """query_id, vec_id and score of the n best of pairs of query and node."""
+        scored = near.join(a, "q").join(b, "node").select("q", "node", _distance("x", "y").alias("score"))
+        order = Window.partitionBy("q").orderBy("score", "vec_id")
+        answers = scratch.write(scored.join(members, "node").withColumn("r", F.row_number().over(order)).where(F.col("r") <= n + 1).select("q", "vec_id", "score"))
+        ranked = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        out = queries.join(answers, "q").where("query_id <> vec_id").withColumn("rank", ranked).where(F.col("rank") <= n)
+        return scratch.write(out.select("query_id", "vec_id", "score"))
+
+    recall = _Recall(starts, nodes, own.coder, n)
+    for wider in (1, 2, 4, 8):
+        found = own.search(starts, beam * wider, hops)
+        best = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
+        near = found.withColumn("r", best).where(F.col("r") <= max(rerank, 2 * n) * wider).select("q", "node")
+        others = starts.crossJoin(F.broadcast(lowest))
+        out = answered(near.unionByName(starts.select("q", F.col("q").alias("node"))).unionByName(others).distinct())
+        got = recall.of(near)
+        if got >= TARGET:
+            break
+    if got < LEAST:
+        out = answered(scratch.write(_compared_with_all(starts, nodes, own.coder, n + 1, scratch)).unionByName(starts.select("q", F.col("q").alias("node"))).distinct())
+    made = out.unionByName(_missed(rows, out, n, scratch))
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    out = queries.join(answers, "q").where("query_id <> vec_id").withColumn("rank", ranked).where(F.col("rank") <= n)
-    out = scratch.write(out.select("query_id", "rank", "vec_id", "score"))
-    return out.unionByName(_missed(rows, out, n, scratch))
+    return made.withColumn("rank", ranked).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_in(ids: np.ndarray, vectors: np.ndarray, coder: Coder, n: int):
+    """id, embedding -> q, node, d: of each batch the n nearest to each of some queries, of equals the smaller id."""
+    own = coder.scaled(vectors)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 4096):
+            if not batch.num_rows:
+                continue
+            nodes, y = batch.column(0).to_numpy(), coder.scaled(np.array(batch.column(1).to_pylist(), np.float64))
+            for q, x in zip(ids.tolist(), own, strict=True):
+                d = ((y - x) ** 2).sum(axis=1)
+                d[nodes == q] = np.inf
+                best = np.lexsort((nodes, d))[:n]
+                best = best[np.isfinite(d[best])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(nodes[best]), pa.array(d[best])], ["q", "node", "d"])
+
+    return scan
+
+
+def _true_nearest(block: list, nodes: DataFrame, coder: Coder, n: int) -> DataFrame:
+    """q, node, d of the n nearest nodes of a block of queries (id, embedding), which goes to all tasks."""
+    ids, vectors = np.array([r["id"] for r in block], np.int64), np.array([np.asarray(r["embedding"], np.float64) for r in block])
+    offers = nodes.select("id", "embedding").mapInArrow(_nearest_in(ids, vectors, coder, n), "q long, node long, d double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
+    return offers.withColumn("r", rank).where(F.col("r") <= n).drop("r")
+
+
+class _Recall:
+    """How many of the nearest nodes of some queries, chosen by hash, a search has found."""
+
+    def __init__(self, starts: DataFrame, nodes: DataFrame, coder: Coder, n: int):
+        chosen = starts.orderBy(F.xxhash64("q", F.lit(11)), "q").limit(MEASURED)
+        block = nodes.join(F.broadcast(chosen), nodes["id"] == chosen["q"]).select("id", "embedding").collect()
+        self.true = {(r["q"], r["node"]) for r in _true_nearest(block, nodes, coder, n).collect()} if block else set()
+        self.queries = sorted({q for q, _ in self.true})
+
+    def of(self, near: DataFrame) -> float:
+        if not self.true:
+            return 1.0
+        got = {(r["q"], r["node"]) for r in near.where(F.col("q").isin(self.queries)).collect()}
+        return len(self.true & got) / len(self.true)
+
+
+def _compared_with_all(starts: DataFrame, nodes: DataFrame, coder: Coder, n: int, scratch: Scratch) -> DataFrame:
+    """q, node: the n nearest nodes of every query, found by comparing blocks of ``BLOCK`` queries with all nodes, a pass over
+    these for each block."""
+    asked = scratch.write(starts.join(nodes, starts["q"] == nodes["id"]).select("id", "embedding"))
+    blocks = scratch.write(asked.withColumn("block", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / BLOCK)))
+    out = []
+    for k in range(-(-asked.count() // BLOCK)):
+        out.append(scratch.write(_true_nearest(blocks.where(F.col("block") == k).collect(), nodes, coder, 2 * n).select("q", "node")))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def _missed(rows: DataFrame, found: DataFrame, n: int, scratch: Scratch) -> DataFrame:
@@ -298,5 +437,4 @@ def _missed(rows: DataFrame, found: DataFrame, n: int, scratch: Scratch) -> Data
     pairs = short.crossJoin(once.withColumnRenamed("embedding", "y")).where("query_id <> vec_id AND NOT coalesce(array_contains(known, vec_id), false)")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     scored = pairs.select("query_id", "vec_id", "got", _distance("x", "y").alias("score")).withColumn("rank", F.row_number().over(w))
-    # what was found is nearer as a rule; ranks only go on from it
-    return scored.where(F.col("rank") + F.coalesce("got", F.lit(0)) <= n).select("query_id", (F.col("rank") + F.coalesce("got", F.lit(0))).cast("int").alias("rank"), "vec_id", "score")
+    return scratch.write(scored.where(F.col("rank") + F.coalesce("got", F.lit(0)) <= n).select("query_id", "vec_id", "score"))

@@ -34,6 +34,71 @@ def test_recall(spark):
         assert all(np.isclose(own[k].score, np.linalg.norm(np.array(x[q]) - np.array(x[own[k].vec_id])), atol=1e-9) for k in own)
 
 
+def shaped(kind, rows, dim):
+    v = np.random.default_rng(8).normal(size=(rows, dim))
+    if kind == "offset":
+        v += 1000
+    elif kind == "one component":
+        v[:, 3] += 1000
+    elif kind == "two groups":
+        v[::2] += 1e5
+    elif kind == "magnitudes":
+        v *= np.exp(np.random.default_rng(9).normal(size=(rows, 1)) * 4)
+    elif kind == "one huge":
+        v[7] *= 1e200
+    elif kind == "a huge query":
+        v[100] *= 1e200
+    return v
+
+
+@pytest.mark.parametrize(("kind", "rows"), [*((k, 1500) for k in ("offset", "one component", "two groups", "magnitudes", "a huge query")), ("one huge", 10_000)])
+def test_recall_whatever_the_vectors_shape(spark, kind, rows):
+    v = shaped(kind, rows, 16)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert all(own == sorted(own) and len(own) == 10 for own in found.values()) and len(found) == rows // 100
+    hits = 0
+    for q, own in found.items():
+        diff = np.abs(v - v[q])
+        top = diff.max(axis=1)
+        d = top * np.sqrt(((diff / np.where(top > 0, top, 1)[:, None]) ** 2).sum(axis=1))
+        order = np.lexsort((np.arange(rows), d))
+        hits += len({i for i in order.tolist() if i != q and i in {x for _, x in own}} & set([i for i in order.tolist()[:11] if i != q][:10]))
+    assert hits / (10 * len(found)) >= 0.95
+
+
+@pytest.mark.parametrize("least", [0.9, 2.0])
+def test_a_search_that_misses_is_widened_and_at_last_exact(spark, monkeypatch, least):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 8)))]
+    beams = []
+    real = ann.Graph.search
+    monkeypatch.setattr(ann.Graph, "search", lambda self, starts, beam, hops: (beams.append(beam), real(self, starts, beam, hops).where("node % 3 > 0"))[1])
+    monkeypatch.setattr(ann, "LEAST", least)
+    monkeypatch.setattr(ann, "BLOCK", 4)
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    assert beams == [192, 384, 768, 1536]
+    want = exact(rows, 10)
+    for q in want:
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want[q]
+
+
+def test_found_and_made_up_answers_are_ranked_together(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(150, 4)))]
+    real = ann.Graph.search
+    far = {q: set(exact(rows, 149)[q][100:104]) for q in (0, 100)}
+    monkeypatch.setattr(ann, "LEAST", 0.0)
+    monkeypatch.setattr(ann.Graph, "search", lambda self, *a: real(self, *a).where(f"node IN ({', '.join(map(str, far[0] | far[100]))})"))
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    for q in (0, 100):
+        own = [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+        assert own == sorted(own) and len(own) == 10
+
+
 @pytest.mark.parametrize("far", [1, 6])
 def test_outliers_and_small_far_groups(spark, far):
     # a narrow cone, and opposite to it a vector alone in its buckets, or six that share theirs with nobody else
@@ -74,11 +139,12 @@ def test_a_search_that_finds_too_few_is_made_up_exactly(spark, monkeypatch):
 
 def test_old_pairs_are_not_compared_again():
     vectors = np.array([[0.0, 1.0], [0.0, 0.9], [1.0, 0.0]])
-    codes = next(ann._codes(1.0)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(vectors.tolist())], ["id", "e"])]))).column(1)
+    coder = ann.Coder(vectors)
+    codes = next(ann._codes(coder)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(vectors.tolist())], ["id", "e"])]))).column(1)
 
     def pairs(*fresh):
         batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 7]), pa.array([1, 2, 3]), codes, pa.array([np.inf] * 3), pa.array(fresh)], ["g", "id", "code", "kth", "fresh"])
-        return {(x, y) for b in ann._compare(5)(iter([batch])) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        return {(x, y) for b in ann._compare(5, coder)(iter([batch])) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
 
     assert pairs(False, False, False) == set() and pairs(True, False, False) == {(1, 2), (1, 3), (2, 1), (3, 1)}
     assert len(pairs(True, True, True)) == 6
