@@ -17,7 +17,7 @@ any size cost the others their digits. The nodes that a search
 ends with are ranked anew by the exact distance, in double precision on the original vectors; so are those of the smallest ids, which win where
 distances tie. A query left with fewer answers than there are candidates for is compared with all rows.
 
-Recall is measured: ``MEASURED`` queries, chosen by hash, are compared with all rows. Below ``TARGET`` the search is run again with a beam twice as
+Recall is measured: ``MEASURED`` queries, chosen by hash, are compared with all rows. Below ``TARGET`` the search goes on with a beam twice as
 wide, three times at most; if recall then is below ``LEAST``, all queries are compared with all rows, in blocks.
 
 A bucket of more than ``leaf`` nodes is split by hash: the graph is only started there, so splitting loses no row.
@@ -50,6 +50,8 @@ ROUNDS = 12
 DELTA = 0.03
 BEAM = 192
 HOPS = 64
+#: Nodes that a search remembers, as a multiple of the beam.
+REMEMBERED = 4
 #: Rows, and bytes of them, from which centres are taken.
 SAMPLE = 20_000
 SAMPLE_BYTES = 64 << 20
@@ -222,6 +224,7 @@ class Graph:
 
     def __init__(self, nodes: DataFrame, scratch: Scratch, k: int = K, tables: int = TABLES, leaf: int = LEAF, rounds: int = ROUNDS, delta: float = DELTA, seed: int = 7):
         self.scratch, self.k = scratch, k
+        self._went: tuple | None = None
         spark = nodes.sparkSession
         ship(spark)
         size = nodes.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
@@ -296,31 +299,43 @@ class Graph:
         return self._best(offers.unionByName(self.edges.select("id", "nbr", "d").withColumn("new", F.lit(0))))
 
     def search(self, starts: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
-        """starts: q, nodes of the graph. q, node, d (of codes): up to ``beam`` nodes near each, itself left out."""
+        """starts: q, nodes of the graph. q, node, d (of codes): the nodes nearest to each that were met, itself left out. Called again for
+        the same starts with a wider beam, the search goes on from where it ended."""
         scratch, spark = self.scratch, starts.sparkSession
-        around = scratch.write(self.neighbours().select("id", "nbr"))
-        asked = scratch.write(starts.join(self.codes, starts["q"] == self.codes["id"]).select("q", F.col("code").alias("own")))
-        edges = starts.join(self.edges, starts["q"] == self.edges["id"]).select("q", F.col("nbr").alias("node"), "d")
-        hand = self.codes.select(self._hand().alias("g"), "id", "code")
-        dealt = asked.join(hand.select("g", F.col("id").alias("q")), "q").join(hand.select("g", F.col("id").alias("node"), "code"), "g").where("node <> q")
-        others = dealt.select("q", "node", "own", "code").mapInArrow(_distances(self.coder), "q long, node long, d double")
-        # a pair may come from both, its distance rounded otherwise
-        state = scratch.write(edges.unionByName(others).groupBy("q", "node").agg(F.min("d").alias("d")).withColumn("done", F.lit(0)))
+        if not (self._went and self._went[0] is starts):
+            self._went = (starts, *self._begun(starts))
+        _, around, asked, state = self._went
+        # nodes beyond the beam are remembered, so that they aren't measured again each time that they are met
+        rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
         for _ in range(hops):
-            ahead = state.where("done = 0").select("q", F.col("node").alias("at"))
+            ranked = state.select("q", "node", "d", "done").withColumn("rank", rank)
+            ahead = ranked.where((F.col("rank") <= beam) & (F.col("done") == 0)).select("q", F.col("node").alias("at"))
             reached = ahead.join(around, ahead["at"] == around["id"]).select("q", F.col("nbr").alias("node")).where("node <> q").distinct()
             fresh = reached.join(state.select("q", "node"), ["q", "node"], "left_anti")
             coded = fresh.join(self.codes, fresh["node"] == self.codes["id"]).select("q", "node", "code").join(asked, "q")
             measured = coded.select("q", "node", "own", "code").mapInArrow(_distances(self.coder), "q long, node long, d double").withColumn("done", F.lit(0))
-            rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
-            merged = state.withColumn("done", F.lit(1)).unionByName(measured).withColumn("rank", rank)
-            new = scratch.write(merged.where(F.col("rank") <= beam).drop("rank"))
+            done = F.when(F.col("rank") <= beam, 1).otherwise(F.col("done")).alias("done")
+            merged = ranked.select("q", "node", "d", done).unionByName(measured).withColumn("rank", rank)
+            new = scratch.write(merged.where(F.col("rank") <= REMEMBERED * beam))
             scratch.drop(state)
             state = new
+            self._went = (starts, around, asked, state)
             _release(spark)
-            if not state.where("done = 0").limit(1).count():
+            if not state.where(f"done = 0 AND rank <= {beam}").limit(1).count():
                 break
-        return state.select("q", "node", "d")
+        return self._went[3].select("q", "node", "d")
+
+    def _begun(self, starts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The graph's neighbours, the queries' codes, and the nodes that searches start from."""
+        scratch = self.scratch
+        around = scratch.write(self.neighbours().select("id", "nbr"))
+        asked = scratch.write(starts.join(self.codes, starts["q"] == self.codes["id"]).select("q", F.col("code").alias("own")))
+        edges = starts.join(self.edges, starts["q"] == self.edges["id"]).select("q", F.col("nbr").alias("node"), "d")
+        hand = self.codes.select(self._hand().alias("g"), "id", "code")
+        dealt = asked.join(hand.select("g", F.col("id").alias("q")), "q").join(hand.select("g", F.col("id").alias("node"), "code"), "g").where("node <> q")
+        others = dealt.select("q", "node", "own", "code").mapInArrow(_distances(self.coder), "q long, node long, d double")
+        # a pair may come from both, its distance rounded otherwise
+        return around, asked, scratch.write(edges.unionByName(others).groupBy("q", "node").agg(F.min("d").alias("d")).withColumn("done", F.lit(0)))
 
 
 def nearest(df: DataFrame, is_query: Column, n: int = 10, key: str = "vec_id", embedding: str = "embedding", rerank: int = RERANK, beam: int = BEAM, hops: int = HOPS, **graph) -> DataFrame:
