@@ -51,16 +51,27 @@ def j11_nearest_junction(spark, sf):
     return edits.nearest_junction(points, packed(spark, sf), 12)
 
 
+_KINDS = ("effect", "transition", "filter", "blend", "mask")
+
+
 def j13_catalogs(spark, sf):
-    return catalogs.catalog(spark).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("rendered").alias("rendered"))
+    """What clips ask of the catalogs by kind and position, and how much of it there is."""
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("clip_id") % len(_KINDS) + 1).cast("int"))
+    asked = packed(spark, sf).select(kind.alias("kind"), (F.floor(F.col("clip_id") / len(_KINDS)) % 15).cast("int").alias("position"))
+    found = asked.join(F.broadcast(catalogs.catalog(spark)), ["kind", "position"], "left")  # a fixed table of some hundred rows
+    return found.groupBy("kind").agg(F.count("*").alias("asked"), F.count("id").alias("found"), F.count_distinct("id").alias("ids"))
 
 
 def f14_speed_presets(spark, sf):
-    return P.curve_integral(catalogs.speed_curves(spark), 1.0).select("param_id", F.round("area", 9).alias("average"))
+    """The average speed of each preset, and the ticks that clips last which take it."""
+    average = P.curve_integral(catalogs.speed_curves(spark), 1.0).select("param_id", F.round("area", 9).alias("average"))
+    names = sorted(catalogs.SPEED_PRESETS)
+    clips = packed(spark, sf).select(F.element_at(F.array(*map(F.lit, names)), (F.col("clip_id") % len(names) + 1).cast("int")).alias("param_id"), "dur_tick")
+    return clips.join(F.broadcast(average), "param_id").groupBy("param_id", "average").agg(F.count("*").alias("clips"), F.sum(F.floor(F.col("dur_tick") / F.col("average"))).alias("ticks"))
 
 
 def f24_animations(spark, sf):
-    t = spark.range(0, 41).select((F.col("id") / 40.0).alias("t"))
+    t = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 41 / 40.0).alias("t")).distinct()
     out = []
     for f, slot in ((L.entrance, "in"), (L.exit_, "out"), (L.combo, "combo")):
         for name in catalogs.ANIMATIONS[slot]:
@@ -78,7 +89,7 @@ def f25_characters(spark, sf):
 
 
 def f25_character_combos(spark, sf):
-    i = spark.range(0, 200).select((F.col("id") % 20).alias("i"), (F.floor(F.col("id") / 20) / 10.0).alias("phase"))
+    i = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 20).alias("i"), (F.col("l_partkey") % 10 / 10.0).alias("phase")).distinct()
     share = F.col("i") / 20.0
     out = []
     for name in catalogs.ANIMATIONS["text_combo"]:
@@ -146,15 +157,17 @@ ORACLE_SQL = {
       c AS (SELECT track_id, clip_id AS left_id, r AS right_id, rs AS cut FROM n WHERE rs = start_tick + dur_tick), p AS (SELECT o_orderkey AS probe, o_orderkey % 90 + 1 AS track_id, o_orderkey * 7 % 9000 AS t FROM orders),
       b AS (SELECT probe, left_id, right_id, cut, row_number() OVER (PARTITION BY probe ORDER BY abs(cut - t), cut, left_id, right_id) AS k FROM p JOIN c USING (track_id) WHERE abs(cut - t) <= 12)
       SELECT p.probe, left_id, right_id, cut FROM p LEFT JOIN b ON p.probe = b.probe AND k = 1""",
-    "j13_catalogs": """SELECT * FROM (VALUES ('effect', 12, 5), ('transition', 8, 2), ('filter', 10, 10), ('blend', 13, 13), ('mask', 6, 6), ('sticker', 8, 8), ('text_effect', 6, 6), ('speed', 8, 8), ('bezier', 3, 3), ('piecewise', 3, 3), ('aspect', 5, 5), ('moment', 6, 6), ('cache', 12, 12),
-      ('animation_in', 5, 5), ('animation_out', 5, 5), ('animation_combo', 5, 5), ('animation_text_in', 5, 5), ('animation_text_out', 3, 3), ('animation_text_combo', 8, 8)) AS c(kind, n, rendered)""",
+    "j13_catalogs": f"""WITH {PACKED}, n(kind, n) AS (VALUES ('effect', 12), ('transition', 8), ('filter', 10), ('blend', 13), ('mask', 6)),
+      a AS (SELECT {list(_KINDS)}[clip_id % 5 + 1] AS kind, clip_id // 5 % 15 AS p FROM packed)
+      SELECT kind, count(*) AS asked, count(*) FILTER (WHERE p < n) AS found, count(DISTINCT p) FILTER (WHERE p < n) AS ids FROM a JOIN n USING (kind) GROUP BY kind""",
     # the area of each piece: its width times the first value and the easing's share of the step
-    "f14_speed_presets": f"""WITH k(p, q, v, e) AS (VALUES {', '.join(f"('{n}', {q!r}::DOUBLE, {v!r}::DOUBLE, '{e}')" for n, own in catalogs.SPEED_PRESETS.items() for q, v, e in own)}), s AS (SELECT *, lead(q) OVER w AS nq, lead(v) OVER w AS nv FROM k WINDOW w AS (PARTITION BY p ORDER BY q))
-      SELECT p AS param_id, round(sum((nq - q) * (v + (nv - v) * CASE e WHEN 'ease_in' THEN 1 / 3.0::DOUBLE WHEN 'ease_out' THEN 2 / 3.0::DOUBLE ELSE 0.5 END)), 9) AS average FROM s GROUP BY p""",
-    "f24_animations": f"""WITH p AS (SELECT k / 40.0::DOUBLE AS t, k FROM range(0, 41) r(k)), w AS (SELECT *, sin(t % 1 * 2 * pi()) AS w, sin(t % 1 * pi()) AS h FROM p),
+    "f14_speed_presets": f"""WITH {PACKED}, k(p, q, v, e) AS (VALUES {', '.join(f"('{n}', {q!r}::DOUBLE, {v!r}::DOUBLE, '{e}')" for n, own in catalogs.SPEED_PRESETS.items() for q, v, e in own)}), s AS (SELECT *, lead(q) OVER w AS nq, lead(v) OVER w AS nv FROM k WINDOW w AS (PARTITION BY p ORDER BY q)),
+      a AS (SELECT p AS param_id, round(sum((nq - q) * (v + (nv - v) * CASE e WHEN 'ease_in' THEN 1 / 3.0::DOUBLE WHEN 'ease_out' THEN 2 / 3.0::DOUBLE ELSE 0.5 END)), 9) AS average FROM s GROUP BY p)
+      SELECT param_id, average, count(*) AS clips, sum(floor(dur_tick / average))::BIGINT AS ticks FROM packed JOIN a ON param_id = {sorted(catalogs.SPEED_PRESETS)}[clip_id % {len(catalogs.SPEED_PRESETS)} + 1] GROUP BY ALL""",
+    "f24_animations": f"""WITH p AS (SELECT k / 40.0::DOUBLE AS t, k FROM (SELECT DISTINCT l_orderkey % 41 AS k FROM lineitem)), w AS (SELECT *, sin(t % 1 * 2 * pi()) AS w, sin(t % 1 * pi()) AS h FROM p),
       d(t, name, x, y, s, r, o) AS ({' UNION ALL '.join(f"SELECT t, '{n}', 0.0::DOUBLE, {y}, {s}, {r}, {o} FROM w" for n, (y, s, r, o) in _LOOKS.items())})
       SELECT t, name, round(x * 1.5, 9) + 0.0 AS x, round(y * 1.5, 9) + 0.0 AS y, round(1 + (s - 1) * 1.5, 9) AS scale, round(r * 1.5, 9) + 0.0 AS turn, round(1 + (o - 1) * 1.5, 9) AS opacity FROM d""",
-    "f25_character_combos": f"""WITH c AS (SELECT i, p / 10.0::DOUBLE AS p, i / 20.0::DOUBLE AS f FROM range(0, 20) a(i), range(0, 10) b(p)), w AS (SELECT *, sin((p + f) * 2 * pi()) AS w, sin(i * 12.9898::DOUBLE + floor(p * 12) * 78.233::DOUBLE) * 43758.547::DOUBLE AS n FROM c),
+    "f25_character_combos": f"""WITH c AS (SELECT i, p / 10.0::DOUBLE AS p, i / 20.0::DOUBLE AS f FROM (SELECT DISTINCT l_orderkey % 20 AS i, l_partkey % 10 AS p FROM lineitem)), w AS (SELECT *, sin((p + f) * 2 * pi()) AS w, sin(i * 12.9898::DOUBLE + floor(p * 12) * 78.233::DOUBLE) * 43758.547::DOUBLE AS n FROM c),
       d(name, x, y, s, o) AS ({' UNION ALL '.join(f"SELECT '{n}', {x}, {y}, {s}, {o} FROM w" for n, (x, y, s, o) in _COMBOS.items())})
       SELECT name, round(sum(x), 4) + 0.0 AS x, round(sum(y), 4) + 0.0 AS y, round(sum(s), 4) AS scale, round(sum(o), 4) AS opacity FROM d GROUP BY name""",
     "f23_animation_window": f"WITH {PACKED}, w AS (SELECT clip_id, greatest(1, least(15, dur_tick // 2)) AS w FROM packed) SELECT clip_id, w AS \"window\", greatest(1, round(w / 2.0::DOUBLE))::BIGINT AS fast FROM w",

@@ -23,7 +23,7 @@ def f2_easing(spark, sf):
 
 
 def f2_bezier(spark, sf):
-    t = spark.range(0, 101).select((F.col("id") / 100.0).alias("t"))
+    t = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 101 / 100.0).alias("t")).distinct()
     return t.select("t", *(F.round(E.bezier(F.col("t"), *p), 6).alias(n) for n, p in E.BEZIERS.items()), F.round(E.bezier_integral(F.col("t"), E.BEZIERS["snappy"]), 6).alias("area"))
 
 
@@ -147,13 +147,13 @@ def c7_i420(spark, sf):
     return luma.join(chroma, ["media_id", "t"])
 
 
-def _grid(spark):
-    return spark.range(0, 64 * 64).select((F.col("id") % 64 - 31.5).alias("x"), (F.floor(F.col("id") / 64) - 31.5).alias("y"))
+def _grid(spark, sf):
+    return table(spark, sf, "orders").select((F.col("o_orderkey") % 64 - 31.5).alias("x"), (F.floor(F.col("o_orderkey") / 64) % 64 - 31.5).alias("y")).distinct()
 
 
 def c5_masks(spark, sf):
     kinds = ("linear", "mirror", "circle", "rectangle", "heart", "star")
-    return _grid(spark).agg(*(F.round(F.sum(G.mask_alpha(k, F.col("x"), F.col("y"), (20.0, 12.0), 0.25, k == "mirror", 0.5)), 6).alias(k) for k in kinds))
+    return _grid(spark, sf).agg(*(F.round(F.sum(G.mask_alpha(k, F.col("x"), F.col("y"), (20.0, 12.0), 0.25, k == "mirror", 0.5)), 6).alias(k) for k in kinds))
 
 
 def c6_chroma_key(spark, sf):
@@ -179,7 +179,7 @@ def c11_shapes(spark, sf):
     x, y = F.col("x"), F.col("y")
     line, fill = G.stroke_over_fill(G.round_box(x, y, (20.0, 12.0), 6.0), 3.0)
     hexagon = G.coverage(G.polygon(x, y, G.polygon_points((25.0, 18.0), 6)))
-    return _grid(spark).agg(F.round(F.sum(line), 6).alias("stroke"), F.round(F.sum(fill), 6).alias("fill"), F.round(F.sum(G.coverage(G.ellipse(x, y, (20.0, 20.0)))), 6).alias("disc"), F.round(F.sum(G.coverage(G.capsule(x, y, (22.0, 7.0)))), 6).alias("capsule"), F.round(F.sum(hexagon), 6).alias("hexagon"))
+    return _grid(spark, sf).agg(F.round(F.sum(line), 6).alias("stroke"), F.round(F.sum(fill), 6).alias("fill"), F.round(F.sum(G.coverage(G.ellipse(x, y, (20.0, 20.0)))), 6).alias("disc"), F.round(F.sum(G.coverage(G.capsule(x, y, (22.0, 7.0)))), 6).alias("capsule"), F.round(F.sum(hexagon), 6).alias("hexagon"))
 
 
 def r1_layers(spark, sf):
@@ -242,7 +242,7 @@ def _lut_axis(c: str) -> str:
     return f"(({b} / 4) ** 2 + (({c} / 255.0::DOUBLE * 4) - {b}) * ((({b} + 1) / 4) ** 2 - ({b} / 4) ** 2))"
 
 
-_GRID = "g AS (SELECT id % 64 - 31.5::DOUBLE AS x, id // 64 - 31.5::DOUBLE AS y FROM range(0, 4096) t(id))"
+_GRID = "g AS (SELECT DISTINCT o_orderkey % 64 - 31.5::DOUBLE AS x, o_orderkey // 64 % 64 - 31.5::DOUBLE AS y FROM orders)"
 _cov = lambda d, half: f"greatest(0, least(1, 0.5 - ({d}) / {2 * half}))"
 
 
@@ -290,7 +290,7 @@ ORACLE_SQL = {
              round(sum(CASE WHEN (x + 0.5) / 8.0 <= 0.4 THEN {_TONE('g', '0.0::DOUBLE', '0.9::DOUBLE')} ELSE g END), 6) AS wipe, round(sum(r + ({_TONE('r', '0.1::DOUBLE', '1.0::DOUBLE')} - r) * 0.25::DOUBLE), 6) AS fade FROM c GROUP BY ALL""",
     "f2_easing": f"WITH o AS (SELECT o_orderkey, (o_orderkey % 97)::DOUBLE / 96.0::DOUBLE AS t, {list(EASINGS)}[(o_orderkey % 5 + 1)::INT] AS k FROM orders) SELECT o_orderkey, round({_ease('k', 't')}, 9)::DOUBLE AS eased, round({_area('k', 't')}, 9)::DOUBLE AS area FROM o",
     "f2_bezier": f"""WITH RECURSIVE c(n, x1, y1, x2, y2) AS (VALUES ('snappy', 0.0::DOUBLE, 0.0::DOUBLE, 0.2::DOUBLE, 1.0::DOUBLE), ('overshoot', 0.34, 1.56, 0.64, 1.0), ('anticipate', 0.36, 0.0, 0.66, -0.56)),
-      x AS (SELECT k, j, n, x1, y1, x2, y2, k / 100.0::DOUBLE * j / 32 AS x FROM range(0, 101) a(k), range(0, 33) b(j), c WHERE j = 32 OR n = 'snappy'),
+      x AS (SELECT k, j, n, x1, y1, x2, y2, k / 100.0::DOUBLE * j / 32 AS x FROM (SELECT DISTINCT l_orderkey % 101 AS k FROM lineitem) a, range(0, 33) b(j), c WHERE j = 32 OR n = 'snappy'),
       b(k, j, n, x1, y1, x2, y2, x, lo, hi, i) AS (SELECT *, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM x UNION ALL
         SELECT k, j, n, x1, y1, x2, y2, x, CASE WHEN {_CUBIC('x1', 'x2', '((lo + hi) / 2)')} < x THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_CUBIC('x1', 'x2', '((lo + hi) / 2)')} < x THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM b WHERE i < 30),
       v AS (SELECT k, j, n, CASE WHEN x <= 0 THEN 0 WHEN x >= 1 THEN 1 ELSE {_CUBIC('y1', 'y2', '((lo + hi) / 2)')} END AS y FROM b WHERE i = 30),

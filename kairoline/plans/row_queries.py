@@ -220,7 +220,7 @@ def c10_sharpen(spark, sf):
 def c11_arrow(spark, sf):
     x, y = F.col("x"), F.col("y")
     wide, high = (G.polygon(x, y, G.arrow_points(half)) for half in ((28.0, 12.0), (10.0, 24.0)))
-    return looks._grid(spark).agg(F.round(F.sum(G.coverage(wide)), 6).alias("wide"), F.round(F.sum(G.coverage(high)), 6).alias("high"), F.count_if(wide <= 0).alias("hits"))
+    return looks._grid(spark, sf).agg(F.round(F.sum(G.coverage(wide)), 6).alias("wide"), F.round(F.sum(G.coverage(high)), 6).alias("high"), F.count_if(wide <= 0).alias("hits"))
 
 
 def c13_layer_styles(spark, sf):

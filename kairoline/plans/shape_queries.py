@@ -65,7 +65,7 @@ def c15_box_blur(spark, sf):
 
 
 def c15_card(spark, sf):
-    g = looks._grid(spark).select((F.col("x") + 31.5).alias("x"), (F.col("y") + 31.5).alias("y"))
+    g = looks._grid(spark, sf).select((F.col("x") + 31.5).alias("x"), (F.col("y") + 31.5).alias("y"))
     return g.agg(*(F.round(F.sum(raster.card(F.col("x"), F.col("y"), 6.5, 10.0, 50.25, 40.0, r)), 6).alias(n) for n, r in (("sharp", 0.0), ("half", 0.5), ("full", 1.0))))
 
 
