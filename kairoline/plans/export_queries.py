@@ -61,7 +61,9 @@ _CANVAS = (4, 2)
 
 
 def r5_export(spark, sf):
-    """A preview at one frame a second of the whole timeline: every frame's picture, passes included, and block of sound."""
+    """A preview at one frame a second of the whole timeline: every frame's picture, passes included, and block of sound.
+
+    Colours are given times pi, as means of a few short decimals would lie on the edge of rounding."""
     c = packed(spark, sf)
     t = tracks(spark, sf)
     plan = X.export_plan(c, (24, 1), (1, 1))
@@ -75,7 +77,7 @@ def r5_export(spark, sf):
     scenes = shown.where(~over).select("frame", "layer", (k % 10).cast("int").alias("media_id"), ((F.col("t") - F.col("start_tick")) % 3).cast("double").alias("source_t"), F.lit(8).alias("width"), F.lit(8).alias("height"), scene.alias("scene"), mode.alias("mode"))
     layers = X.drawn(scenes, pixels(spark, sf), _CANVAS, keep=("mode",))
     spans = c.select((k % 10).cast("int").alias("media_id"), (F.col("start_tick") * 2000).alias("at"), F.col("line").alias("first"), F.col("dur_tick").alias("length"), "volume", (F.col("line") / 4.0 - 1).alias("pan"), F.lit(5).alias("fade_in"), F.lit(7).alias("fade_out"))
-    picture = X.composited(plan.select("frame"), layers, _CANVAS, passes, modes=_MODES).groupBy("frame").agg(*(F.round(F.avg(c), 4).alias(n) for c, n in zip("rgb", ("red", "green", "blue"), strict=True)))
+    picture = X.composited(plan.select("frame"), layers, _CANVAS, passes, modes=_MODES).groupBy("frame").agg(*(F.round(F.avg(c) * F.pi(), 4).alias(n) for c, n in zip("rgb", ("red", "green", "blue"), strict=True)))
     sound = A.mix(spans, pcm(spark, sf)).groupBy(X.frame_of_sample(F.col("frame"), (1, 1)).alias("frame")).agg(F.count("*").alias("n"), F.round(F.sum("left"), 4).alias("left"), F.round(F.sum("right"), 4).alias("right"))
     out = plan.join(picture, "frame").join(sound, "frame", "left")
     return out.select("frame", "from_sample", "to_sample", "red", "green", "blue", F.coalesce("n", F.lit(0)).cast("long").alias("n_samples"), F.coalesce("left", F.lit(0.0)).alias("left"), F.coalesce("right", F.lit(0.0)).alias("right"))
@@ -135,7 +137,7 @@ ORACLE_SQL = {
       items AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame, x, y ORDER BY layer) AS n FROM (
         SELECT frame, layer, x, y, mode, r, g, b, a, {_NONE} FROM l UNION ALL SELECT frame, layer, x, y, 'pass', 0, 0, 0, 0, {_SLIDERS("clip_id")} FROM shown JOIN grid USING (frame) WHERE kind IN ('effect', 'filter', 'adjustment'))),
       {_fold_sql("0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE")},
-      picture AS (SELECT frame, round(avg(r / a), 4) AS red, round(avg(g / a), 4) AS green, round(avg(b / a), 4) AS blue FROM top GROUP BY frame),
+      picture AS (SELECT frame, round(avg(r / a) * pi(), 4) AS red, round(avg(g / a) * pi(), 4) AS green, round(avg(b / a) * pi(), 4) AS blue FROM top GROUP BY frame),
       s AS (SELECT clip_id % 10 AS media_id, start_tick * 2000 AS out0, line AS first, dur_tick AS len, volume, line / 4.0::DOUBLE - 1 AS pan FROM packed),
       j AS (SELECT out0 + frame - first AS sample_at, sample::DOUBLE * volume * CASE WHEN frame - first < 5 THEN (frame - first) / 5.0::DOUBLE ELSE 1 END * CASE WHEN len - (frame - first) < 7 THEN (len - (frame - first)) / 7.0::DOUBLE ELSE 1 END AS v, pan
             FROM s JOIN pcm ON pcm.media_id = s.media_id AND frame >= first AND frame < first + len),
