@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gates import greedy_gate
 from .intervals import stab_join
 
 
@@ -127,27 +128,6 @@ def onset_candidates(pcm: DataFrame, config: Beats, rate: int) -> DataFrame:
     return rise.withColumn("threshold", threshold).where("flux >= threshold").select("media_id", "win", "end_frame", "flux", "threshold")
 
 
-def runs_apart(events: DataFrame, key: str, at: str, least: float) -> DataFrame:
-    """events with _run, which grows where an event comes ``least`` or more after the one before it."""
-    w = Window.partitionBy(key).orderBy(at)
-    gap = F.col(at).cast("double") - F.lag(F.col(at).cast("double")).over(w)
-    apart = events.withColumn("_apart", F.when(gap >= least, 1).otherwise(0))
-    return apart.withColumn("_run", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_apart")
-
-
-def greedy_gate(events: DataFrame, key: str, at: str, least: float, value: str) -> DataFrame:
-    """Of each key's events, in order, those at least ``least`` after the last one kept: key, at and value.
-
-    An event so long after the one before it is kept whatever was kept before. So events are cut into runs there, and
-    each run is folded by itself."""
-    item = F.struct(F.col(at).cast("double").alias("at"), F.col(value).cast("double").alias("value"))
-    lists = runs_apart(events, key, at, least).groupBy(key, "_run").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    start = F.expr("cast(array() as array<struct<at:double,value:double>>)")
-    keep = lambda kept, e: F.when(F.coalesce(e["at"] - F.try_element_at(kept, F.lit(-1))["at"] >= least, F.lit(True)), F.concat(kept, F.array(e))).otherwise(kept)
-    kept = lists.select(key, F.explode(F.aggregate("all", start, keep)).alias("e"))
-    return kept.select(key, F.col("e.at").alias(at), F.col("e.value").alias(value))
-
-
 def detect_beats(pcm: DataFrame, config: Beats, rate: int) -> DataFrame:
     """media_id, time_seconds and strength_db of onsets, each at least the refractory time after the one before."""
     kept = greedy_gate(onset_candidates(pcm, config, rate), "media_id", "end_frame", config.refractory_seconds * rate, "flux")

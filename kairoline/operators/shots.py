@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .audio import runs_apart
+from .gates import greedy_gate
 
 
 @dataclass(frozen=True)
@@ -83,16 +83,11 @@ def detect_shots(pixels: DataFrame, config: Config) -> DataFrame:
     feats = features(pixels, config)
     first = feats.groupBy("media_id").agg(F.min("t").alias("start"))
     hard = scores(feats, config).where(F.col("score") >= config.threshold)
-    item = F.struct("t", "previous_t", "score", "kind")
-    # a change so long after the one before it is a boundary whatever came before, so runs are folded by themselves
-    runs = runs_apart(hard, "media_id", "t", config.minimum_seconds)
-    lists = runs.groupBy("media_id", "_run").agg(F.array_sort(F.collect_list(item)).alias("all")).join(first, "media_id")
-    kind = "array<struct<t:double,previous_t:double,score:float,kind:string>>"
-    start = F.when(F.col("_run") == 0, F.col("start")).otherwise(F.lit(float("-inf")))
-    state = F.struct(start.alias("since"), F.expr(f"cast(array() as {kind})").alias("kept"))
-    due = lambda s, e: e["t"] - s["since"] >= config.minimum_seconds
-    step = lambda s, e: F.struct(F.when(due(s, e), e["t"]).otherwise(s["since"]).alias("since"), F.when(due(s, e), F.concat(s["kept"], F.array(e))).otherwise(s["kept"]).alias("kept"))
-    return lists.select("media_id", F.explode(F.aggregate("all", state, step)["kept"]).alias("e")).select("media_id", "e.t", "e.previous_t", "e.score", "e.kind")
+    # the first frame starts a shot, so it takes part in the gate and is no boundary
+    starts = first.select("media_id", F.col("start").alias("t"), F.lit(0.0).alias("hard"))
+    events = hard.select("media_id", F.col("t").cast("double").alias("t"), F.lit(1.0).alias("hard")).unionByName(starts)
+    kept = greedy_gate(events, "media_id", "t", config.minimum_seconds, "hard").where("hard = 1").select(F.col("media_id").alias("m"), F.col("t").alias("at"))
+    return hard.join(kept, F.col("media_id").eqNullSafe(F.col("m")) & (F.col("t").cast("double") == F.col("at"))).select("media_id", "t", "previous_t", "score", "kind")
 
 
 def out_of_order(frames: DataFrame, order: str) -> DataFrame:

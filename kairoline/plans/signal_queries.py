@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audio as A
 from ..operators import shots as S
-from .fixtures import PACKED, PCM, PIXELS, RATE, packed, pcm, pixels
+from .fixtures import MOMENTS, PACKED, PCM, PIXELS, RATE, moments, packed, pcm, pixels
 
 SILENCE = A.Silence(A.Loudness(0.050, 0.025, -120.0), -19.0, 0.05, 0.03, 0.7)
 BEATS = A.Beats(A.Loudness(0.016, 0.008, -120.0), 0.2, 1.5, 3.0, 0.12)
@@ -35,6 +35,11 @@ def a8_beats(spark, sf):
     return A.detect_beats(pcm(spark, sf), BEATS, RATE).select("media_id", "time_seconds", F.round("strength_db", 2).alias("strength_db"))
 
 
+def a8_dense_gate(spark, sf):
+    """Of all moments of a kind, in one long row without gaps, those six hours after the last one kept."""
+    return A.greedy_gate(moments(spark, sf), "kind", "start_seconds", 21600.0, "confidence")
+
+
 def g4_channel_mean(spark, sf):
     p = pcm(spark, sf)
     stereo = p.unionByName(p.withColumn("ch", F.lit(1)).withColumn("sample", (F.col("sample") * 0.5).cast("float")))
@@ -75,7 +80,7 @@ def g11_mix(spark, sf):
     return A.mix(spans, pcm(spark, sf)).select("frame", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
 
 
-QUERIES = {f.__name__: f for f in (a3_loudness, g3_energy_windows, a4_silence, a7_onsets, a8_beats, g4_channel_mean, g5_peaks, g6_rebucket, g8_features, a9_scores, a9_shots, f16_gain_pan, g11_mix)}
+QUERIES = {f.__name__: f for f in (a3_loudness, g3_energy_windows, a4_silence, a7_onsets, a8_beats, a8_dense_gate, g4_channel_mean, g5_peaks, g6_rebucket, g8_features, a9_scores, a9_shots, f16_gain_pan, g11_mix)}
 
 
 def _windows(w: float, h: float, rate: int) -> str:
@@ -131,6 +136,10 @@ ORACLE_SQL = {
       g(media_id, f) AS (SELECT media_id, min(f) FROM ev GROUP BY media_id UNION ALL
         SELECT g.media_id, (SELECT min(e.f) FROM ev e WHERE e.media_id = g.media_id AND e.f - g.f >= 120) AS x FROM g WHERE x IS NOT NULL)
       SELECT ev.media_id, ev.f / {RATE}.0::DOUBLE AS time_seconds, round(flux, 2) AS strength_db FROM g JOIN ev ON ev.media_id = g.media_id AND ev.f = g.f""",
+    "a8_dense_gate": f"""WITH RECURSIVE {MOMENTS}, ev AS MATERIALIZED (SELECT kind, start_seconds AS t, min(confidence) AS confidence FROM moments GROUP BY ALL),
+      g(kind, t) AS (SELECT kind, min(t) FROM ev GROUP BY kind UNION ALL
+        SELECT g.kind, (SELECT min(e.t) FROM ev e WHERE e.kind = g.kind AND e.t - g.t >= 21600) AS x FROM g WHERE x IS NOT NULL)
+      SELECT ev.kind, ev.t AS start_seconds, confidence FROM g JOIN ev ON ev.kind = g.kind AND ev.t = g.t""",
     "f16_gain_pan": f"""WITH {PACKED}, r AS (SELECT *, dur_tick - line AS pos FROM packed)
       SELECT clip_id, round(volume * CASE WHEN pos < line * 2 THEN greatest(pos, 0) / (line * 2)::DOUBLE ELSE 1 END * CASE WHEN line < line * 3 THEN line / (line * 3)::DOUBLE ELSE 1 END, 9) AS gain,
              round(cos(line / 4.0::DOUBLE * pi() / 4) * sqrt(2), 9) AS "left", round(sin(line / 4.0::DOUBLE * pi() / 4) * sqrt(2), 9) AS "right" FROM r""",
