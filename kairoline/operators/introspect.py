@@ -114,12 +114,34 @@ def strip_times(start: Column, end: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == 0, start).when(i == n - 1, end).otherwise(start + (end - start) * i / (n - 1)))
 
 
-def moving_cost(costs: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential mean of a key's values in order; the first one starts it."""
-    lists = costs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("all"))
-    first = F.element_at("all", 1)["v"]
-    mean = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), first, lambda s, x: s + alpha * (x["v"] - s))
-    return lists.select(*keys, F.when(F.size("all") == 1, first).otherwise(mean).alias("mean"))
+def moving_cost(costs: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.3, run: int = 1024) -> DataFrame:
+    """Exponential mean of a key's values in order (ties by value); the first one starts it.
+
+    Values are split by ranges of key and order, so that a key of any size lies in many tasks, and numbered within them. ``run``
+    values after one another are folded at once: a run maps the mean before it, m, to m (1 - alpha)**n + b. The maps
+    of a part's runs make the part's, and those of a key's parts its mean; a key within one run is a plain fold. Null values are left out, and so are
+    keys that have no other."""
+    k, part = [f"_k{i}" for i in range(len(keys))], [f"_k{i}" for i in range(len(keys))] + ["_p"]
+    rows = costs.select(*(F.col(c).alias(n) for c, n in zip(keys, k, strict=True)), F.col(order).alias("_o"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    dealt = rows.repartitionByRange(*k, "_o", "_v").withColumn("_p", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("_o", "_v")) - 1
+    runs = dealt.withColumn("_i", place).groupBy(*part, F.floor(F.col("_i") / run).alias("_r")).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_l"))
+    step = lambda s, x: s + alpha * (x["_v"] - s)
+    fold = lambda first, rest: F.aggregate(rest, first, step)
+    alone = fold(F.element_at("_l", 1)["_v"], F.slice("_l", 2, run))
+    maps = runs.select(*part, "_r", F.size("_l").cast("long").alias("n"), fold(F.lit(0.0), F.col("_l")).alias("b"), alone.alias("m"))
+
+    def composed(maps: DataFrame, by: list[str], at: str) -> DataFrame:
+        """One map of each group's: values, b, and m, the mean if nothing came before."""
+        grouped = maps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(at, "n", "b", "m"))).alias("_l"))
+        then = lambda s, x: s * F.pow(F.lit(1.0 - alpha), x["n"]) + x["b"]
+        rest = F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(1)))
+        head = F.element_at("_l", 1)
+        count = F.aggregate("_l", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+        return grouped.select(*by, count.alias("n"), F.when(F.size("_l") == 1, head["b"]).otherwise(F.aggregate(rest, head["b"], then)).alias("b"), F.when(F.size("_l") == 1, head["m"]).otherwise(F.aggregate(rest, head["m"], then)).alias("m"))
+
+    means = composed(composed(maps, part, "_r"), k, "_p")
+    return means.select(*(F.col(n).alias(c) for c, n in zip(keys, k, strict=True)), F.col("m").alias("mean"))
 
 
 def roll_window(seek: Column, frame: Column, fps: float, most_seconds: float = 10.0) -> Column:

@@ -43,6 +43,12 @@ def s11_seek_cost(spark, sf):
     return m.select("o_custkey", F.floor(F.col("mean") * 100 + 0.5).cast("long").alias("mean"), F.round(I.roll_window(F.col("mean"), F.lit(2000.0), 30.0), 6).alias("window"))
 
 
+def s11_busy_key(spark, sf):
+    """The running mean of each type's events, a key as large as a table's part."""
+    m = I.moving_cost(table(spark, sf, "events"), ["event_type"], "event_id", "value")
+    return m.select("event_type", F.round("mean", 6).alias("mean"))
+
+
 def a12_moment_rows(spark, sf):
     """Events of a kind as indexed moment rows."""
     m = moments(spark, sf).where("kind = 'click'")
@@ -111,7 +117,7 @@ def x11_lower_command(spark, sf):
     return e.select("event_id", reason.isNull().alias("valid"), reason.alias("reason"), F.when(reason.isNull(), F.round(a["seconds"] * 30).cast("long")).alias("tick"))
 
 
-QUERIES = {f.__name__: f for f in (j9_frame_at, j10_snap, s11_seek_cost, s16_evict, s17_disk_usage, o11_latest_jobs, a11_out_of_order, a12_moment_rows, f26_motion_ticks, f28_crop_uv, f31_interval, f32_tiles, f33_strip_times, f36_looping_frame, x3_clock_labels, x6_tool_names, x11_lower_command)}
+QUERIES = {f.__name__: f for f in (j9_frame_at, j10_snap, s11_seek_cost, s11_busy_key, s16_evict, s17_disk_usage, o11_latest_jobs, a11_out_of_order, a12_moment_rows, f26_motion_ticks, f28_crop_uv, f31_interval, f32_tiles, f33_strip_times, f36_looping_frame, x3_clock_labels, x6_tool_names, x11_lower_command)}
 
 _LIST = ", ".join(f"{x}::DOUBLE" for x in I.INTERVALS)
 ORACLE_SQL = {
@@ -121,6 +127,7 @@ ORACLE_SQL = {
       e AS (SELECT *, 0 AS side, cur AS edge FROM d UNION ALL SELECT *, 1, cur + dur FROM d WHERE dur >= 12),
       h AS (SELECT drag_id, tick, CASE side WHEN 1 THEN tick - dur ELSE tick END AS start, row_number() OVER (PARTITION BY drag_id ORDER BY abs(tick - edge), seq, side) AS r FROM e JOIN c USING (track_id) WHERE abs(tick - edge) <= 6)
       SELECT d.drag_id, h.drag_id IS NOT NULL AS snapped, coalesce(start, cur) AS start, tick AS line FROM d LEFT JOIN h ON d.drag_id = h.drag_id AND r = 1""",
+    "s11_busy_key": "SELECT event_type, round(list_reduce(list(value ORDER BY event_id), lambda m, v: m + 0.3::DOUBLE * (v - m)), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "s11_seek_cost": """WITH RECURSIVE o AS MATERIALIZED (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_totalprice) AS n FROM orders),
       m(k, n, s) AS (SELECT o_custkey, n, v FROM o WHERE n = 1 UNION ALL SELECT m.k, o.n, m.s + 0.3::DOUBLE * (o.v - m.s) FROM m JOIN o ON o.o_custkey = m.k AND o.n = m.n + 1)
       SELECT k AS o_custkey, floor(s * 100 + 0.5)::BIGINT AS mean, round(greatest(2.0::DOUBLE / 30, least(s / 2000 / 30, 10.0)), 6) AS "window" FROM (SELECT k, arg_max(s, n) AS s FROM m GROUP BY k)""",
