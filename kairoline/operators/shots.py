@@ -38,14 +38,19 @@ def sample_coordinate(i: Column, length: Column, count: Column) -> Column:
     return F.floor((2 * i + 1) * length / (2 * count)).cast("int")
 
 
+def is_middle(at: Column, length: Column, count: Column) -> Column:
+    """Whether a coordinate is the middle of a part: of the one it lies in or, as middles are rounded down, of the next one."""
+    part = F.floor(at * count / length)
+    hits = lambda i: (i < count) & (sample_coordinate(i, length, count) == at)
+    return hits(part) | hits(part + 1)
+
+
 def features(pixels: DataFrame, config: Config) -> DataFrame:
     """media_id, t, width, height, n, luma_sum, hist and sampled (r, g, b, a in order of y and x)."""
     frame = Window.partitionBy("media_id", "t")
     sized = pixels.withColumn("width", F.max("x").over(frame) + 1).withColumn("height", F.max("y").over(frame) + 1)
-    nx, ny = F.least("width", F.lit(config.columns)), F.least("height", F.lit(config.rows))
-    # a pixel is sampled if it is the coordinate of the part it lies in
-    ix, iy = F.floor(F.col("x") * nx / F.col("width")), F.floor(F.col("y") * ny / F.col("height"))
-    hit = (sample_coordinate(ix, F.col("width"), nx) == F.col("x")) & (sample_coordinate(iy, F.col("height"), ny) == F.col("y"))
+    sized = sized.withColumn("_nx", F.least("width", F.lit(config.columns))).withColumn("_ny", F.least("height", F.lit(config.rows)))
+    hit = is_middle(F.col("x"), F.col("width"), F.col("_nx")) & is_middle(F.col("y"), F.col("height"), F.col("_ny"))
     some = sized.where(hit).withColumn("l", luma(F.col("r"), F.col("g"), F.col("b")))
     item = F.struct("y", "x", "r", "g", "b", "a")
     rows = some.groupBy("media_id", "t").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.count("*").alias("n"), F.sum("l").alias("luma_sum"), F.array_sort(F.collect_list(item)).alias("sampled"), *(F.count_if(F.floor(F.col("l") * config.bins / 256) == k).alias(f"_h{k}") for k in range(config.bins)))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,13 @@ def test_sample_grid(spark):
     assert [r.c for r in got] == [1, 3, 5, 7]
 
 
+def test_every_part_has_its_middle(spark):
+    sizes = spark.range(1, 41).select(F.col("id").alias("w")).crossJoin(spark.range(1, 41).select(F.col("id").alias("n"))).where("n <= w")
+    hits = sizes.select("w", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)).alias("x")).where(S.is_middle(F.col("x"), F.col("w"), F.col("n")))
+    got = {(r.w, r.n): r.xs for r in hits.groupBy("w", "n").agg(F.array_sort(F.collect_list("x")).alias("xs")).collect()}
+    assert got == {(w, n): [(2 * i + 1) * w // (2 * n) for i in range(n)] for w in range(1, 41) for n in range(1, w + 1)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     pictures = [(k * 0.4, board(k // 2 % 2)) for k in range(12)]
     config = S.Config(threshold=0.3, minimum_seconds=0.9)
@@ -88,6 +96,59 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [r.t for r in spark.table("cuts").orderBy("t").collect()] == want and len(want) > 1
 
 
+def films(seed, size=9):
+    """Two media of random frames: stills, drifts of brightness, cuts, changes of size, and a flash."""
+    rng, rows = random.Random(seed), []
+    for m in (1, 2):
+        t, w, h = 0.0, size, size - 2
+        still = [rng.randrange(256) for _ in range(w * h * 4)]
+        for _ in range(14):
+            what = rng.choice(["same", "drift", "cut", "cut", "size"])
+            if what == "size":
+                w, h = rng.randrange(1, 2 * size), rng.randrange(1, 2 * size)
+            if what in ("cut", "size"):
+                still = [rng.randrange(256) for _ in range(w * h * 4)]
+            if what == "drift":
+                still = [min(255, x + 9) for x in still]
+            t += rng.choice([0.1, 0.25, 0.6])
+            rows.append((m, t, w, h, bytearray(still)))
+    return rows
+
+
+FRAME = "media_id int, t double, width int, height int, rgba binary"
+
+
+def test_frames_in_a_stream_equal_the_table(spark, tmp_path):
+    """Pictures themselves come in, in micro-batches of any cut; the query is stopped and started from its checkpoint."""
+    config = S.Config(columns=6, rows=5, bins=16, threshold=0.2, minimum_seconds=0.5)
+    rows = films(5)
+    pixels = [(m, t, x, y, *d[(y * w + x) * 4 : (y * w + x) * 4 + 4]) for m, t, w, h, d in rows for y in range(h) for x in range(w)]
+    table = spark.createDataFrame(pixels, "media_id int, t double, x int, y int, r int, g int, b int, a int")
+    frames_ = spark.createDataFrame(rows, FRAME)
+    key = lambda r: (r.media_id, r.t)
+    plain = {key(r): (r.n, r.luma_sum, list(r.hist), b"".join(bytes(p[2:]) for p in r.sampled)) for r in S.features(table, config).collect()}
+    assert {key(r): (r.n, r.luma_sum, r.hist, bytes(r.sampled)) for r in signals.frame_features(frames_, config).collect()} == plain
+    want = sorted(map(tuple, S.detect_shots(table, config).collect()))
+    assert len(want) > 3 and len(want) < 20
+    for name, edges in (("one", [0, 99]), ("many", [0, 0.3, 0.31, 1.2, 1.9, 2.0, 3.3, 99])):
+        base = tmp_path / name
+        for low, high in zip(edges, edges[1:], strict=False):
+            # every part is a query of its own, from the checkpoint of the one before
+            frames_.where((F.col("t") >= low) & (F.col("t") < high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+            cuts = signals.shots_of_frames(spark.readStream.schema(FRAME).parquet(f"{base}/in"), config)
+            cuts.writeStream.format("parquet").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+        assert sorted(map(tuple, spark.read.parquet(f"{base}/out").collect())) == want
+
+
+def test_frames_that_are_wrong(spark, tmp_path):
+    black = bytearray(16)
+    odd = [(1, None, 2, 2, black), (1, 1.0, None, 2, black), (1, 1.0, 0, 2, black), (1, 1.0, 2, 2, None), (None, 2.0, 2, 2, black)]
+    got = signals.frame_features(spark.createDataFrame(odd, FRAME), S.Config()).collect()
+    assert [(r.media_id, r.t, r.n, r.luma_sum) for r in got] == [(None, 2.0, 4, 0)]
+    with pytest.raises(Exception, match="16 bytes for a frame of 3 by 2"):
+        signals.frame_features(spark.createDataFrame([(1, 1.0, 3, 2, black)], FRAME), S.Config()).collect()
+
+
 def test_stream_windows(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.coalesce(1).write.parquet(f"{tmp_path}/in")
