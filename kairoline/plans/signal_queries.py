@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audio as A
+from ..operators import ducking as D
 from ..operators import shots as S
 from .fixtures import MOMENTS, PACKED, PCM, PIXELS, RATE, moments, packed, pcm, pixels
 
 SILENCE = A.Silence(A.Loudness(0.050, 0.025, -120.0), -19.0, 0.05, 0.03, 0.7)
 BEATS = A.Beats(A.Loudness(0.016, 0.008, -120.0), 0.2, 1.5, 3.0, 0.12)
+DUCK = D.Duck(-18.5, 1.5, 12.0, 3.0, 1.0)
 SHOTS = S.Config(columns=8, rows=8, bins=16, threshold=0.16, minimum_seconds=2.0)
 
 
@@ -40,6 +42,18 @@ def a8_dense_gate(spark, sf):
     return A.greedy_gate(moments(spark, sf), "kind", "start_seconds", 21600.0, "confidence")
 
 
+def g13_energy(spark, sf):
+    """Energy of the media of each track's clips, played at many speeds, every four ticks."""
+    energy = A.energy_windows(pcm(spark, sf), A.Loudness(0.050, 0.025, -120.0), RATE).select("media_id", "win", F.col("mean_square").alias("energy"))
+    c = packed(spark, sf)
+    spans = c.select(F.col("track_id").alias("timeline"), (F.col("clip_id") % 10).cast("int").alias("media_id"), F.col("start_tick").alias("start"), F.col("dur_tick").alias("dur"), (F.col("line") * 40).alias("first"), (F.col("line") * 20).alias("num"), F.lit(1).alias("den"))
+    return D.place_energy(energy, spans, 25, 4).select("timeline", "k", F.round("energy", 9).alias("energy"))
+
+
+def e19_duck(spark, sf):
+    return D.duck_curve(g13_energy(spark, sf), DUCK).select("timeline", "k", F.round("down", 6).alias("down"))
+
+
 def g4_channel_mean(spark, sf):
     p = pcm(spark, sf)
     stereo = p.unionByName(p.withColumn("ch", F.lit(1)).withColumn("sample", (F.col("sample") * 0.5).cast("float")))
@@ -80,7 +94,7 @@ def g11_mix(spark, sf):
     return A.mix(spans, pcm(spark, sf)).select("frame", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
 
 
-QUERIES = {f.__name__: f for f in (a3_loudness, g3_energy_windows, a4_silence, a7_onsets, a8_beats, a8_dense_gate, g4_channel_mean, g5_peaks, g6_rebucket, g8_features, a9_scores, a9_shots, f16_gain_pan, g11_mix)}
+QUERIES = {f.__name__: f for f in (a3_loudness, g3_energy_windows, a4_silence, a7_onsets, a8_beats, a8_dense_gate, g13_energy, e19_duck, g4_channel_mean, g5_peaks, g6_rebucket, g8_features, a9_scores, a9_shots, f16_gain_pan, g11_mix)}
 
 
 def _windows(w: float, h: float, rate: int) -> str:
@@ -104,7 +118,18 @@ _SCORE = f"""{_FEAT},
          JOIN (SELECT media_id, t, (luma_sum - lag(luma_sum) OVER (PARTITION BY media_id ORDER BY t)) / n::DOUBLE AS s FROM fe) f ON f.media_id = q.media_id AND f.t = q.t GROUP BY ALL),
   sc AS (SELECT media_id, t, t - 1 AS previous_t, least(1, greatest(0, (0.4 * moved / (64.0 * 15) + 0.6 * diff / (64 * 4.0 * 255)) / 1.0))::FLOAT AS score FROM em JOIN pd USING (media_id, t))"""
 
+_PLACED = f"""{_PCM}{_windows(0.05, 0.025, RATE)}, {PACKED},
+      e AS (SELECT media_id, win, mean_square AS a, coalesce(lead(mean_square) OVER (PARTITION BY media_id ORDER BY win), mean_square) AS b, max(win) OVER (PARTITION BY media_id) AS high FROM en),
+      gr AS (SELECT track_id AS timeline, clip_id % 10 AS m, start_tick AS s, line, unnest(range((start_tick + 3) // 4, (start_tick + dur_tick + 3) // 4)) AS k FROM packed),
+      ps AS (SELECT timeline, m, k, least((line * 40 + (k * 4 - s) * (line * 20)) / 25.0::DOUBLE, high) AS p FROM gr JOIN (SELECT DISTINCT media_id, high::DOUBLE AS high FROM e) ON media_id = m),
+      placed AS (SELECT timeline, k, round(max(a + (b - a) * (p - win)), 9) AS energy FROM ps JOIN e ON media_id = m AND win = floor(p)::BIGINT GROUP BY timeline, k)"""
+
 ORACLE_SQL = {
+    "g13_energy": f"{_PLACED} SELECT * FROM placed",
+    "e19_duck": f"""{_PLACED}, v AS (SELECT timeline, k, greatest(0, least(1, (10 * log10(energy) + 18.5::DOUBLE) / 1.5::DOUBLE)) * 12 AS a FROM placed WHERE energy > 0), w AS (SELECT * FROM v WHERE a > 0),
+      st AS (SELECT DISTINCT timeline, k + d AS k FROM w, range(-6, 15) q(d)),
+      dn AS (SELECT st.timeline, st.k, coalesce(max(greatest(0, CASE WHEN w.k <= st.k THEN w.a - (st.k - w.k) ELSE w.a - 3 * (w.k - st.k) END)), 0) AS down FROM st LEFT JOIN w ON w.timeline = st.timeline AND w.k BETWEEN st.k - 14 AND st.k + 6 GROUP BY ALL)
+      SELECT timeline, k, round(down, 6) AS down FROM dn x WHERE down > 0 OR EXISTS (SELECT 1 FROM dn y WHERE y.timeline = x.timeline AND y.k IN (x.k - 1, x.k + 1) AND y.down > 0)""",
     "a3_loudness": f"{_PCM}{_windows(0.05, 0.025, RATE)} SELECT media_id, win, start_frame / {RATE}.0::DOUBLE AS start_seconds, end_frame / {RATE}.0::DOUBLE AS end_seconds, round({_DB}::DOUBLE, 3) AS dbfs FROM en",
     "g3_energy_windows": f"{_PCM}{_windows(0.3, 0.2, 10)} SELECT media_id, win, start_frame, end_frame, round(mean_square, 9) AS mean_square, complete AS \"full\" FROM en",
     "a4_silence": f"""{_PCM}{_windows(0.05, 0.025, RATE)}, lv AS (SELECT *, {_DB} AS db FROM en),
