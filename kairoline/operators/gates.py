@@ -2,10 +2,10 @@
 
 What is kept depends on all that came before, so a plain fold needs a key's events in one place. Here each key's time is cut
 into cells of ``SPAN`` distances. A cell is a map from the last event kept before it to the last one kept in it, and only
-events up to the first one a whole distance after the cell's first can be entered: a row for each of them. Maps of ``FAN``
-neighbours make the map of a larger cell, level by level. At the top the last events kept are chained through a key's cells, then handed
-down the levels again, and each cell keeps its own events. So a task holds one cell's events, the maps of ``FAN`` cells, or those of
-one key's largest cells: at one level, of a thousand million events with ten to a distance, some 24,000.
+events up to the first one a whole distance after the cell's first can be entered: a row for each of them. At the top the
+last events kept are chained through the maps of a key's cells, and each cell then keeps its own events. So a task holds
+one cell's events, or a key's maps: of a thousand million events with ten to a distance, 100,000 cells of some twenty rows. For keys beyond
+that, ``levels`` join the maps of ``FAN`` neighbours to those of a larger cell before, and hand down what was kept after.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = 64
+SPAN = 1024
 _FAN_BITS = 6
 FAN = 1 << _FAN_BITS
 
@@ -30,7 +30,8 @@ def _tools(least: float) -> tuple[Callable, Callable]:
         low, high = low.copy(), high.copy()
         while (open_ := low < high).any():
             mid = np.where(open_, (low + high) // 2, 0)
-            hit = at[mid] - since >= least
+            with np.errstate(invalid="ignore"):  # rows without anything left to look at may subtract infinities
+                hit = at[mid] - since >= least
             high = np.where(open_ & hit, mid, high)
             low = np.where(open_ & ~hit, mid + 1, low)
         return high
@@ -79,20 +80,20 @@ def _by_group(df: DataFrame, groups: list[str], order: list[str | Column], work:
     return df.repartition(*groups).sortWithinPartitions(*groups, *order).mapInArrow(scan, schema)
 
 
-def greedy_gate(events: DataFrame, key: str, at: str, least: float, value: str, levels: int = 1) -> DataFrame:
-    """Of each key's events, in order, those at least ``least`` after the last one kept: key, at and value as doubles.
+def greedy_gate(events: DataFrame, key: str, at: str, least: float, value: str, levels: int = 0) -> DataFrame:
+    """Of each key's events, in order, those at least ``least`` after the last one kept: key, at (a double) and value.
 
     Of events at one time only the one with the smallest value can be kept (a null value stands behind all others); a
     distance of 0 or less keeps all. Events whose time is null, NaN or infinite are never kept. A null key is a key.
     ``levels`` (of ``FAN`` cells each) changes no row, only how many cells of a key meet at the top."""
-    timed = events.select(F.col(key).alias("k"), F.col(at).cast("double").alias("at"), F.col(value).cast("double").alias("value"))
+    timed = events.select(F.col(key).alias("k"), F.col(at).cast("double").alias("at"), F.col(value).alias("value"))
     timed = timed.where("at > double('-infinity') AND at < double('infinity')")
     back = lambda df: df.select(F.col("k").alias(key), F.col("at").alias(at), F.col("value").alias(value))
     if not least > 0:
         return back(timed)
     once = timed.groupBy("k", "at").agg(F.min("value").alias("value"))
     cells = once.withColumn("cell", F.floor(F.col("at") / (least * SPAN)).cast("long"))
-    kind = cells.schema["k"].dataType.simpleString()
+    kind, worth = cells.schema["k"].dataType.simpleString(), cells.schema["value"].dataType
     due, bounds = _tools(least)
 
     def numbers(rows: pa.Table, name: str) -> np.ndarray:
@@ -178,5 +179,5 @@ def greedy_gate(events: DataFrame, key: str, at: str, least: float, value: str,
         down = _by_group(rows.unionByName(first), ["k", "up"], [F.desc("entry"), "cell", "at"], hand_down, f"k {kind}, cell long, at double")
         entry = down.withColumnRenamed("cell", "up")
     rows = cells.withColumn("entry", F.lit(False))
-    first = entry.select("k", F.col("up").alias("cell"), "at", F.lit(None).cast("double").alias("value"), F.lit(True).alias("entry"))
-    return back(_by_group(rows.unionByName(first), ["k", "cell"], [F.desc("entry"), "at"], keep, f"k {kind}, at double, value double"))
+    first = entry.select("k", F.col("up").alias("cell"), "at", F.lit(None).cast(worth).alias("value"), F.lit(True).alias("entry"))
+    return back(_by_group(rows.unionByName(first), ["k", "cell"], [F.desc("entry"), "at"], keep, f"k {kind}, at double, value {worth.simpleString()}"))

@@ -89,10 +89,11 @@ def detect_shots(pixels: DataFrame, config: Config) -> DataFrame:
     first = feats.groupBy("media_id").agg(F.min("t").alias("start"))
     hard = scores(feats, config).where(F.col("score") >= config.threshold)
     # the first frame starts a shot, so it takes part in the gate and is no boundary
-    starts = first.select("media_id", F.col("start").alias("t"), F.lit(0.0).alias("hard"))
-    events = hard.select("media_id", F.col("t").cast("double").alias("t"), F.lit(1.0).alias("hard")).unionByName(starts)
-    kept = greedy_gate(events, "media_id", "t", config.minimum_seconds, "hard").where("hard = 1").select(F.col("media_id").alias("m"), F.col("t").alias("at"))
-    return hard.join(kept, F.col("media_id").eqNullSafe(F.col("m")) & (F.col("t").cast("double") == F.col("at"))).select("media_id", "t", "previous_t", "score", "kind")
+    found = F.struct("previous_t", "score", "kind")
+    events = hard.select("media_id", "t", found.alias("found"))
+    starts = first.select("media_id", F.col("start").alias("t"), F.lit(None).cast(events.schema["found"].dataType).alias("found"))
+    kept = greedy_gate(events.unionByName(starts), "media_id", "t", config.minimum_seconds, "found").where("found IS NOT NULL")
+    return kept.select("media_id", "t", "found.previous_t", "found.score", "found.kind")
 
 
 def out_of_order(frames: DataFrame, order: str) -> DataFrame:

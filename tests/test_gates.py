@@ -46,7 +46,8 @@ def made(seed):
 
 
 @pytest.mark.parametrize(("seed", "levels"), [(1, 0), (2, 1), (3, 2), (4, 1)])
-def test_gate_equals_the_fold(spark, seed, levels):
+def test_gate_equals_the_fold(spark, monkeypatch, seed, levels):
+    monkeypatch.setattr(G, "SPAN", 16)
     rows = made(seed)
     got = G.greedy_gate(spark.createDataFrame(rows, SCHEMA), "k", "at", 2.5, "v", levels)
     assert got.columns == ["k", "at", "v"]
@@ -59,8 +60,8 @@ def test_odd_events(spark):
     assert ordered(G.greedy_gate(df, "k", "at", 1.0, "v").collect()) == [(1, 5.0, 7.0)]
     assert ordered(G.greedy_gate(df, "k", "at", 0.0, "v").collect()) == [(1, 5.0, 7.0), (1, 5.0, 7.0), (1, 5.0, None)]
     assert G.greedy_gate(df.limit(0), "k", "at", 1.0, "v").count() == 0
-    words = df.select(F.concat(F.lit("medium "), "k").alias("at"), F.col("at").alias("k"), F.col("v").alias("cell"), F.lit(1).alias("exit"))
-    assert [tuple(r) for r in G.greedy_gate(words, "at", "k", 1.0, "cell").collect()] == [("medium 1", 5.0, 7.0)]
+    words = df.select(F.concat(F.lit("medium "), "k").alias("at"), F.col("at").alias("k"), F.struct("v", F.lit("x").alias("k")).alias("cell"), F.lit(1).alias("exit"))
+    assert [tuple(r) for r in G.greedy_gate(words.where("cell.v = 7"), "at", "k", 1.0, "cell").collect()] == [("medium 1", 5.0, (7.0, "x"))]
 
 
 def test_a_dense_medium_is_many_groups(spark):
