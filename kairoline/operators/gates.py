@@ -157,14 +157,14 @@ def greedy_gate(events: DataFrame, key: str, at: str, least: float, value: str,
     def keep(rows: pa.Table, codes: np.ndarray) -> pa.Table:
         place, stop, last = entries(rows, codes)
         times = numbers(rows, "at")
-        kept = [place[:0]]
-        while len(place):
-            hit = due(times, last, place, stop)
-            on = hit < stop
-            hit, stop = hit[on], stop[on]
-            kept.append(hit)
-            last, place = times[hit], hit + 1
-        return rows.select(["k", "at", "value"]).take(np.concatenate(kept))
+        # the row after each by the gate, then a walk along those: a step for each event kept
+        then = due(times, times, np.arange(1, len(times) + 1), bounds(codes)[1]).tolist()
+        kept = []
+        for row, end in zip(due(times, last, place, stop).tolist(), stop.tolist(), strict=True):
+            while row < end:
+                kept.append(row)
+                row = then[row]
+        return rows.select(["k", "at", "value"]).take(pa.array(kept, pa.int64()))
 
     map_schema = f"k {kind}, cell long, at double, exit double"
     maps = [_by_group(cells.select("k", "cell", "at"), ["k", "cell"], ["at"], base, map_schema)]
