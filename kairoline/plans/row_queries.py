@@ -169,7 +169,8 @@ def f27_canvas_fit(spark, sf):
 
 
 def f34_reduced(spark, sf):
-    r = X.reduced(F.col("k") * 720_720_000_017, F.col("k") * F.col("k") * 360_360)
+    k = F.col("k").cast("decimal(38,0)")  # the products outgrow longs from a key of 5 million on
+    r = X.reduced_products(k * 720_720_000_017, k * k * 360_360)
     return _orders(spark, sf).select("k", r["num"].alias("num"), r["den"].alias("den"))
 
 
