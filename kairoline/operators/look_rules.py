@@ -46,11 +46,40 @@ _WITHIN = {"crop": (("x", "w"), ("y", "h"))}
 NAMES = tuple(dict.fromkeys((*BOUNDS, *POSITIVE, *CHOICES)))
 
 
-def reason(name: str, value: Column) -> Column:
-    """Why a value of that name is refused; null if it isn't, or is null itself."""
-    get = lambda path: F.get_json_object(value, f"$.{path}" if path else "$")
+def _paths(name: str) -> list[str]:
+    """The fields of a value that rules of its name look at."""
+    return list(dict.fromkeys(p for p in (*BOUNDS.get(name, {}), *POSITIVE.get(name, ()), *CHOICES.get(name, {})) if p))
+
+
+def _shape(paths: list[str]) -> str:
+    """The fields as a struct of strings; of ``a[1]`` and ``a.b`` a is an array or a struct itself."""
+    inner: dict[str, list[str] | None] = {}
+    for path in paths:
+        head, _, rest = path.partition(".")
+        inner.setdefault(head.partition("[")[0], []).append(rest or path[len(head.partition("[")[0]) :])
+    kind = lambda rests: "string" if rests == [""] else "array<string>" if rests[0].startswith("[") else f"struct<{_shape(rests)}>"
+    return ", ".join(f"{head}: {kind(rests)}" for head, rests in inner.items())
+
+
+def _field(parsed: Column, path: str) -> Column:
+    if path.endswith("]"):
+        head, _, place = path[:-1].partition("[")
+        return F.get(parsed[head], F.lit(int(place)))
+    for part in path.split("."):
+        parsed = parsed[part]
+    return parsed
+
+
+def reason(name: str, value: Column, parsed: Column | None = None) -> Column:
+    """Why a value of that name is refused; null if it isn't, or is null itself. parsed: an object's fields as a struct, so
+    that it isn't parsed for each of them."""
+    if parsed is None:
+        get = lambda path: F.get_json_object(value, f"$.{path}" if path else "$")
+        found = [F.when(get("").isNull() & value.isNotNull(), f"{name}: not JSON")]
+    else:
+        get = lambda path: _field(parsed, path) if path else value
+        found = []
     number = lambda path: get(path).try_cast("double")
-    found = [F.when(F.get_json_object(value, "$").isNull() & value.isNotNull(), f"{name}: not JSON")]
     for path, (low, high) in BOUNDS.get(name, {}).items():
         found.append(F.when(get(path).isNotNull() & ~F.coalesce(number(path).between(low, high), F.lit(False)), f"{name}.{path}: out of bounds"))
     for path in POSITIVE.get(name, ()):
@@ -62,11 +91,27 @@ def reason(name: str, value: Column) -> Column:
     return F.coalesce(*found)
 
 
+def _reason_once(name: str, value: Column) -> Column:
+    """``reason``, with a whole object parsed once; any other value is read field by field."""
+    slow = reason(name, value)
+    paths = _paths(name)
+    if not paths:
+        return slow
+    options = {"allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_bad"}
+    fast = F.transform(F.array(F.from_json(value, f"struct<{_shape(paths)}, _bad: string>", options)), lambda p: F.when(p.isNotNull() & p["_bad"].isNull(), reason(name, value, p)).otherwise(slow))[0]
+    return F.when(value.startswith("{"), fast).otherwise(slow)
+
+
 def violations(clips: DataFrame) -> DataFrame:
-    """clip_id, name and reason of every value (look: map of name to JSON) that is refused; names that aren't known too."""
-    value = F.col("value")
-    cases = F.when(~F.col("name").isin(*NAMES), "unknown name")
-    for name in NAMES:
-        cases = cases.when(F.col("name") == name, reason(name, value))
-    rows = clips.select("clip_id", F.explode("look").alias("name", "value"))
-    return rows.select("clip_id", "name", cases.alias("reason")).where("reason IS NOT NULL")
+    """clip_id, name and reason of every value (look: map of name to JSON) that is refused; names that aren't known too.
+
+    The rules are worked out over arrays, as one generated method of all of them is too long to be compiled to machine code."""
+
+    def judged(name: Column, value: Column) -> Column:
+        cases = F.when(~name.isin(*NAMES), "unknown name")
+        for n in NAMES:
+            cases = cases.when(name == n, _reason_once(n, value))
+        return F.struct(name.alias("name"), cases.alias("reason"))
+
+    refused = F.filter(F.transform(F.map_entries("look"), lambda e: judged(e["key"], e["value"])), lambda r: r["reason"].isNotNull())
+    return clips.select("clip_id", F.explode(refused).alias("r")).select("clip_id", "r.name", "r.reason")
