@@ -14,22 +14,33 @@ from pyspark.sql import functions as F
 STEPS = 16
 
 
-def chords(points: DataFrame, steps: int = STEPS) -> DataFrame:
-    """path_id, closed, piece, k, x0, y0, x1 and y1 of every chord; closed paths return to their first point."""
+def _pieces(points: DataFrame) -> DataFrame:
+    """The points that a piece begins at, with the one after each; closed paths return to their first point."""
     w = Window.partitionBy("path_id").orderBy("seq")
     whole = Window.partitionBy("path_id")
     place = F.struct("ax", "ay", "inx", "iny")
     following = F.coalesce(F.lead(place).over(w), F.when(F.col("closed"), F.first(place).over(w)))
-    p = points.withColumn("_next", following).withColumn("_n", F.count("*").over(whole)).where((F.col("_n") >= 2) & F.col("_next").isNotNull())
+    return points.withColumn("_next", following).withColumn("_n", F.count("*").over(whole)).where((F.col("_n") >= 2) & F.col("_next").isNotNull())
+
+
+def _drawn(pieces: DataFrame, steps: int, *also: str) -> DataFrame:
+    """The chords of pieces: rows are made last, of plain expressions, and never sorted or kept."""
     straight = (F.col("outx") == F.col("ax")) & (F.col("outy") == F.col("ay")) & (F.col("_next.inx") == F.col("_next.ax")) & (F.col("_next.iny") == F.col("_next.ay"))
 
-    def at(t, axis: str):
+    def at(k, axis: str):
+        t = k / F.lit(float(steps))
         u = 1.0 - t
-        return u * u * u * F.col(f"a{axis}") + 3.0 * u * u * t * F.col(f"out{axis}") + 3.0 * u * t * t * F.col(f"_next.in{axis}") + t * t * t * F.col(f"_next.a{axis}")
+        curve = u * u * u * F.col(f"a{axis}") + 3.0 * u * u * t * F.col(f"out{axis}") + 3.0 * u * t * t * F.col(f"_next.in{axis}") + t * t * t * F.col(f"_next.a{axis}")
+        return F.when(F.col("_straight"), F.when(k == 0, F.col(f"a{axis}")).otherwise(F.col(f"_next.a{axis}"))).otherwise(curve)
 
-    many = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda k: F.struct(k.alias("k"), *(at((k - 1) / F.lit(float(steps)), a).alias(f"{a}0") for a in "xy"), *(at(k / F.lit(float(steps)), a).alias(f"{a}1") for a in "xy")))
-    one = F.array(F.struct(F.lit(1).alias("k"), F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("_next.ax").alias("x1"), F.col("_next.ay").alias("y1")))
-    return p.select("path_id", "closed", F.col("seq").alias("piece"), F.explode(F.when(straight, one).otherwise(many)).alias("c")).select("path_id", "closed", "piece", "c.*")
+    numbered = pieces.withColumn("_straight", straight).withColumn("k", F.explode(F.when(F.col("_straight"), F.array(F.lit(1))).otherwise(F.array(*map(F.lit, range(1, steps + 1))))))
+    k = F.col("k")
+    return numbered.select("path_id", "closed", F.col("seq").alias("piece"), "k", at(k - 1, "x").alias("x0"), at(k - 1, "y").alias("y0"), at(k, "x").alias("x1"), at(k, "y").alias("y1"), *also)
+
+
+def chords(points: DataFrame, steps: int = STEPS) -> DataFrame:
+    """path_id, closed, piece, k, x0, y0, x1 and y1 of every chord; closed paths return to their first point."""
+    return _drawn(_pieces(points), steps)
 
 
 def bounds(points: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -40,8 +51,9 @@ def bounds(points: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def measured(points: DataFrame, probes: DataFrame, steps: int = STEPS) -> DataFrame:
-    """probes (path_id, probe, px, py) of drawn paths, with closed, the distance to the line and the winding number."""
-    j = chords(points, steps).join(probes, "path_id")
+    """probes (path_id, probe, px, py) of drawn paths, with closed, the distance to the line and the winding number. Probes meet
+    pieces, which are then drawn, so the join sorts no chords."""
+    j = _drawn(_pieces(points).join(probes.select("path_id", "probe", "px", "py"), "path_id"), steps, "probe", "px", "py")
     ex, ey, wx, wy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("px") - F.col("x0"), F.col("py") - F.col("y0")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(wx * ex + wy * ey, ex * ex + ey * ey), F.lit(0.0))))
     square = (wx - ex * t) * (wx - ex * t) + (wy - ey * t) * (wy - ey * t)
