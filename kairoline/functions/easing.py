@@ -67,15 +67,22 @@ def lerp_colour(a: Column, b: Column, t: Column) -> Column:
 def arc_table(p0: Column, c0: Column, c1: Column, p1: Column, samples: int = 17) -> Column:
     """Lengths along a plane cubic curve (points are arrays of two) at equal steps of its parameter, from 0."""
     n = samples - 1
-    point = lambda t: [(1 - t) * (1 - t) * (1 - t) * p0[k] + 3 * (1 - t) * (1 - t) * t * c0[k] + 3 * (1 - t) * t * t * c1[k] + t * t * t * p1[k] for k in (0, 1)]
-    start = F.struct(F.array(F.lit(0.0)).alias("at"), F.lit(0.0).alias("sum"))
+    # an array of one value names it, so that it is worked out once
+    once = lambda value, then: F.transform(F.array(value), then)[0]
+    corners = F.struct(*(p[k].alias(f"{name}{k}") for name, p in (("a", p0), ("b", c0), ("c", c1), ("d", p1)) for k in (0, 1)))
 
-    def step(s, i):
-        a, b = point((i - 1) / n), point(i / n)
-        total = s["sum"] + F.sqrt((b[0] - a[0]) * (b[0] - a[0]) + (b[1] - a[1]) * (b[1] - a[1]))
-        return F.struct(F.concat(s["at"], F.array(total)).alias("at"), total.alias("sum"))
+    def point(c: Column, t: Column) -> Column:
+        u = 1 - t
+        return F.struct(*((u * u * u * c[f"a{k}"] + 3 * u * u * t * c[f"b{k}"] + 3 * u * t * t * c[f"c{k}"] + t * t * t * c[f"d{k}"]).alias(f"p{k}") for k in (0, 1)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step)["at"]
+    def step(s, p):
+        x, y = p["p0"] - s["last"]["p0"], p["p1"] - s["last"]["p1"]
+        length = F.sqrt(once(x, lambda x: x * x) + once(y, lambda y: y * y))
+        return F.struct(F.concat(s["at"], F.array(F.element_at(s["at"], -1) + length)).alias("at"), p.alias("last"))
+
+    points = lambda c: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: once(i / n, lambda t: point(c, t)))
+    lengths = lambda p: F.aggregate(F.slice(p, 2, n), F.struct(F.array(F.lit(0.0)).alias("at"), p[0].alias("last")), step)["at"]
+    return once(corners, lambda c: once(points(c), lengths))
 
 
 # Control points (x1, y1, x2, y2) of the cubic curves that equal the polynomial easings.
@@ -90,6 +97,8 @@ def value_at(kind: str, t: float, points: tuple[float, float, float, float] | No
     """The eased value of one number."""
     if kind == "hold":
         return 0.0 if t < 1 else 1.0
+    if kind == "linear" and not points:
+        return min(max(t, 0.0), 1.0)
     x1, y1, x2, y2 = control_points(kind, points)
     u = _parameter(t, x1, x2)
     return 3 * (1 - u) ** 2 * u * y1 + 3 * (1 - u) * u * u * y2 + u**3
