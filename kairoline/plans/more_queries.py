@@ -50,9 +50,11 @@ def r6_overrides(spark, sf):
 
 
 def r2_partition_layers(spark, sf):
-    layers = R.layers(some_ticks(spark, sf), packed(spark, sf), tracks(spark, sf))
+    ticks, c, lanes = some_ticks(spark, sf), packed(spark, sf), tracks(spark, sf)
+    layers = R.layers(ticks, c, lanes)
     pick = layers.groupBy().agg(F.min(F.struct("t", "layer", "clip_id"))["clip_id"].alias("c")).first()["c"]
-    return R.partition_layers(layers, pick).groupBy("t", "side").agg(F.count("*").alias("n"))
+    # only the ticks in the clip count, so only theirs are worked out again
+    return R.partition_layers(R.layers(R.ticks_of_clip(ticks, c, pick), c, lanes), pick).groupBy("t", "side").agg(F.count("*").alias("n"))
 
 
 def o6_markers(spark, sf):
