@@ -26,8 +26,7 @@ def f30_ruler(spark, sf):
 def f37_graph(spark, sf):
     k = keyframes(spark, sf)
     span = k.groupBy("param_id").agg(F.min("tick").alias("a"), F.max("tick").alias("b"))
-    at = span.select("param_id", F.posexplode(I.strip_times(F.col("a").cast("double"), F.col("b").cast("double"), 64)).alias("i", "t"))
-    values = P.sample(k, at).groupBy("param_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    values = P.sample_strip(k, span, 64).groupBy("param_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     r = I.padded_range(F.col("low"), F.col("high"), 0.1)
     return values.select("param_id", (F.floor(r["low"] * 10 + 0.5) / 10).alias("low"), (F.floor(r["high"] * 10 + 0.5) / 10).alias("high"))
 
