@@ -6,6 +6,9 @@ before it, which is a running maximum.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,21 +45,61 @@ def clamp_segments(segments: DataFrame, group: str, order: str) -> DataFrame:
 def words(tokens: DataFrame, segments: DataFrame) -> DataFrame:
     """conv_id, segment, word (a number from 1), text, start_cs, end_cs and probability. segments gives the clamped
     start and end of each; special, blank and untimed tokens drop out."""
-    real = tokens.where((F.trim("text") != "") & ~is_special(F.col("text")) & F.col("start_cs").isNotNull() & F.col("end_cs").isNotNull())
-    starts = F.col("text").rlike(r"^[\s\p{Z}]")
-    own = Window.partitionBy("conv_id", "segment")
-    number = F.sum(starts.cast("int")).over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    a = F.greatest(F.col("start_cs"), F.lit(0))
-    pieces = real.withColumn("_w", number).withColumn("_a", a).withColumn("_b", F.greatest(F.col("end_cs"), a)).withColumn("_t", F.when(starts, F.ltrim("text")).otherwise(F.col("text")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_t"))), lambda x: x["_t"]), "")
-    whole = pieces.groupBy("conv_id", "segment", "_w").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), joined.alias("_t"), F.avg(probability(F.col("probability"))).alias("probability"))
-    both = whole.withColumn("text", normalize_spacing(F.col("_t"))).where("text <> ''").join(segments.select("conv_id", "segment", F.col("start_cs").alias("_s0"), F.col("end_cs").alias("_s1")), ["conv_id", "segment"])
-    inside = lambda x: F.greatest(F.col("_s0"), F.least(x, F.col("_s1")))
-    start, end = inside(F.col("_a")), F.least(F.col("_b"), F.col("_s1"))
-    before = own.orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)
-    clamped = F.greatest(start, F.coalesce(F.max(F.greatest(start, end)).over(before), F.col("_s0")))
-    out = both.withColumn("start_cs", clamped).withColumn("end_cs", F.greatest(end, F.col("start_cs")))
-    return out.select("conv_id", "segment", F.row_number().over(own.orderBy("_w")).alias("word"), "text", "start_cs", "end_cs", "probability")
+    one = F.struct("pos", "text", F.col("start_cs").cast("long").alias("start_cs"), F.col("end_cs").cast("long").alias("end_cs"), F.col("probability").cast("double").alias("probability"))
+    lists = tokens.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(one)).alias("tokens"))
+    return words_of(lists.join(segments.select("conv_id", "segment", "start_cs", "end_cs"), ["conv_id", "segment"]))
+
+
+def words_of(lists: DataFrame) -> DataFrame:
+    """``words`` of segments whose tokens are lists (conv_id, segment, its clamped start_cs and end_cs, and tokens in their order: text, start_cs,
+    end_cs, probability). Nothing is shuffled or sorted; many segments are worked out over the arrays of one batch."""
+    space, end = r"[ \t\n\x0B\f\r\p{Z}]", r"(\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$"
+    special = (r"(?s)^<\|.*\|>" + end, r"^\[[A-Z0-9_\-:.]+\]" + end)
+    kind = "struct<word: int, text: string, start_cs: bigint, end_cs: bigint, probability: double>"
+    made = pa.list_(pa.struct([("word", pa.int32()), ("text", pa.string()), ("start_cs", pa.int64()), ("end_cs", pa.int64()), ("probability", pa.float64())]))
+
+    def assembled(tokens: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+        n = len(tokens)
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
+        flat = tokens.flatten()
+        text, since, until, chance = (pc.struct_field(flat, i) for i in ("text", "start_cs", "end_cs", "probability"))
+        bare = pc.utf8_trim(text, " ")
+        odd = pc.or_(pc.match_substring_regex(bare, special[0]), pc.match_substring_regex(bare, special[1]))
+        real = pc.and_(pc.and_(pc.not_equal(bare, ""), pc.invert(odd)), pc.and_(pc.is_valid(since), pc.is_valid(until)))
+        used = np.flatnonzero(pc.fill_null(real, False).to_numpy(zero_copy_only=False))
+        row, text = row[used], text.take(pa.array(used))
+        since, until = (x.take(pa.array(used)).to_numpy() for x in (since, until))
+        chance = chance.take(pa.array(used)).to_numpy(zero_copy_only=False), chance.take(pa.array(used)).is_null().to_numpy(zero_copy_only=False)
+        chance = np.where(chance[1], 1.0, np.clip(np.nan_to_num(chance[0].astype(float), nan=0.0), 0.0, 1.0))
+        starts = pc.match_substring_regex(text, "^" + space).to_numpy(zero_copy_only=False)
+        heads = np.flatnonzero(starts | np.r_[True, np.diff(row) != 0]) if len(row) else np.zeros(0, np.int64)
+        if not len(heads):
+            return pa.array([[]] * n, made)
+        piece = pc.if_else(pa.array(starts), pc.utf8_ltrim(text, " "), text)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[heads, len(row)], pa.int32()), piece), "")
+        whole = pc.utf8_trim(pc.replace_substring_regex(joined, space + "+", " "), " ")
+        a = np.maximum(since, 0)
+        first, last = np.minimum.reduceat(a, heads), np.maximum.reduceat(np.maximum(until, a), heads)
+        mean = np.add.reduceat(chance, heads) / np.diff(np.r_[heads, len(row)])
+        kept = np.flatnonzero(pc.not_equal(whole, "").to_numpy(zero_copy_only=False))
+        own, whole, first, last, mean = row[heads][kept], whole.take(pa.array(kept)), first[kept], last[kept], mean[kept]
+        low, high = low.to_numpy()[own], high.to_numpy()[own]
+        start, stop = np.maximum(low, np.minimum(first, high)), np.minimum(last, high)
+        # a word starts at the largest end before it in its segment, at least
+        bounds = np.searchsorted(own, np.arange(n + 1))
+        reached = np.maximum(start, stop)
+        before = low.copy()
+        for i, j in zip(bounds, bounds[1:], strict=False):
+            if j - i > 1:
+                before[i + 1 : j] = np.maximum.accumulate(reached[i : j - 1])
+        start = np.maximum(start, before)
+        number = np.arange(len(own)) - bounds[own] + 1
+        out = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), whole, pa.array(start), pa.array(np.maximum(stop, start)), pa.array(mean)], fields=list(made.value_type))
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), out).cast(made)
+
+    every = F.arrow_udf(assembled, f"array<{kind}>")
+    bound = lambda c: F.col(c).cast("long")
+    return lists.select("conv_id", "segment", F.explode(every("tokens", bound("start_cs"), bound("end_cs"))).alias("_w")).select("conv_id", "segment", "_w.*")
 
 
 def segment_confidence(words_: DataFrame, fallback: float = 1.0) -> DataFrame:

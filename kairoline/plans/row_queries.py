@@ -17,7 +17,6 @@ from ..operators import moments as M
 from ..operators import params as P
 from ..operators import shots as S
 from ..operators import timeline as T
-from ..operators import transcript
 from . import look_queries as looks
 from . import signal_queries as sound
 from .fixtures import EASINGS, KEYFRAMES, MEDIA, MOMENTS, PACKED, PCM, PIXELS, RATE, TRACKS, keyframes, media, moments, packed, pcm, pixels, table, tracks
@@ -47,8 +46,7 @@ def g7_peak_rate(spark, sf):
 
 def g9_word_times(spark, sf):
     """Words of one conversation turn, with the mean of their tokens' probabilities, put together."""
-    w = transcript.words(looks.tokens(spark, sf), looks._segments(spark, sf))
-    return w.groupBy("conv_id").agg(F.count("*").alias("words"), F.round(F.sum("probability"), 6).alias("probability"), F.min("start_cs").alias("first"), F.max("end_cs").alias("last"))
+    return looks.words(spark, sf).groupBy("conv_id").agg(F.count("*").alias("words"), F.round(F.sum("probability"), 6).alias("probability"), F.min("start_cs").alias("first"), F.max("end_cs").alias("last"))
 
 
 def g16_clear_report(spark, sf):
