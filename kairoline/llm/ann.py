@@ -1,12 +1,13 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily.
 
 Equal vectors are one node, so a vector that many rows share is no crowd. The graph gives each node its ``k`` nearest
-known nodes. It starts from a few random-hyperplane tables, whose buckets are compared within, and from groups dealt by
+known nodes. It starts from a few tables, whose buckets are compared within (the nodes nearest to one of some pivots, which are nodes themselves, and
+where that leaves buckets too large, on one side of random hyperplanes), and from groups dealt by
 hash, which give every node edges, also one that is alone in its buckets. Each round then joins
 the graph's edges and reverse edges with the vectors, gathers each node's neighbours, compares these with each other (they
 are neighbours of neighbours) where the last round brought one of the two, and lets every node keep its ``k`` best. Rounds end when fewer than ``delta`` of all edges
-change. A query is a node of the graph; its search starts from its own edges and the nodes of its group by hash, so that it
-isn't held in a part of the graph without edges to the rest, and expands, in each hop, the nearest
+change. A query is a node of the graph; its search starts from its own edges, the nearest nodes of the cells of the nearest pivots and the nodes of its
+group by hash, so that it isn't held in a part of the graph without edges to the rest, and expands, in each hop, the nearest
 ``beam`` nodes not expanded yet, until none are left (``hops`` only guards against a loop). All tables are shuffled on node ids;
 none is collected or broadcast.
 
@@ -42,8 +43,11 @@ from pyspark.sql import types as T
 from .common import Scratch, ship, sliced
 
 K = 24
-TABLES = 6
+TABLES = 10
 LEAF = 256
+#: Pivots of a table, and bytes of those of all tables.
+PIVOTS = 1024
+PIVOT_BYTES = 8 << 20
 #: Nodes in a group by hash; well above K, so that a group's chance size leaves K others for each node.
 DEALT = 64
 ROUNDS = 12
@@ -63,6 +67,12 @@ BLOCK = 512
 RERANK = 40
 #: Pairs that a node may get from one gathering in a round; those that it misses, others give.
 OFFERS = 10
+#: Cells of each table that a search starts from, nodes in a part of a cell, and parts of a cell that a query sees.
+PROBES = 8
+PART = 1024
+PARTS = 4
+#: Pairs that a node may get from one bucket at the start, where there are several.
+FIRST = 12
 
 
 class Coder:
@@ -115,14 +125,14 @@ class Coder:
         return self.centres[packed[:, 8]] + packed[:, self.HEAD :].view(np.int8) * packed[:, :8].copy().view(np.float64)
 
 
-def _fitted(nodes: DataFrame, n: int, dim: int, seed: int) -> Coder | None:
-    """A coder from a sample of the nodes, chosen by hash."""
+def _sample(nodes: DataFrame, n: int, dim: int, seed: int) -> np.ndarray:
+    """A sample of the nodes' vectors, chosen by hash."""
     most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * max(1, dim))))
     share = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max(1, n))) < most
     rows = nodes.where(share).select("embedding").limit(2 * most).toPandas()["embedding"] if n else []
     if n and not len(rows):
         rows = nodes.select("embedding").limit(most).toPandas()["embedding"]
-    return Coder(np.array([np.asarray(r, np.float64) for r in rows]), seed) if len(rows) else None
+    return np.array([np.asarray(r, np.float64) for r in rows]) if len(rows) else np.zeros((1, max(1, dim)))
 
 
 def _codes(coder: Coder):
@@ -174,13 +184,21 @@ def _compare(offers: int, coder: Coder):
                 v, limit, old = vectors[where], kth[where], ~fresh[where]
                 sq = np.einsum("ij,ij->i", v, v)
                 d = sq[:, None] + sq - 2 * (v @ v.T)
-                np.fill_diagonal(d, np.inf)
-                d[np.ix_(old, old)] = np.inf
-                n = min(offers, len(own) - 1)
-                near = np.argpartition(d, n - 1, axis=1)[:, :n]
-                value = np.take_along_axis(d, near, 1)
-                i, j = np.nonzero(value < limit[:, None])
-                found.append((own[i], own[near[i, j]], np.maximum(value[i, j], 0)))
+                better = d < limit[:, None]
+                np.fill_diagonal(better, False)
+                if old.any():
+                    better &= ~(old[:, None] & old)
+                count = better.sum(axis=1)
+                many = count > offers
+                if many.any():
+                    # of those only the nearest
+                    rest = np.where(better[many], d[many], np.inf)
+                    near = np.argpartition(rest, offers - 1, axis=1)[:, :offers]
+                    better[many] = False
+                    better[np.flatnonzero(many)[:, None], near] = True
+                i, j = np.nonzero(better)
+                if len(i):
+                    found.append((own[i], own[j], np.maximum(d[i, j], 0)))
             if found:
                 x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d.astype(np.float64))], ["id", "nbr", "d"])
@@ -188,6 +206,35 @@ def _compare(offers: int, coder: Coder):
     return scan
 
 
+def _seen(n: int, coder: Coder):
+    """g, id, code, asked (rows in order of g) -> q, node, d: of each group the n nodes nearest to each query in it, by squared distances."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_group(batches):
+            g, ids, asked = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            vectors = coder.decode(batch.column(2))
+            square = np.einsum("ij,ij->i", vectors, vectors)
+            cuts = [0, *(np.nonzero(np.diff(g))[0] + 1).tolist(), len(g)]
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                nodes = a + np.flatnonzero(~asked[a:b])
+                for start in range(0, int(asked[a:b].sum()), 1024):
+                    queries = (a + np.flatnonzero(asked[a:b]))[start : start + 1024]
+                    if not len(nodes):
+                        break
+                    d = square[queries][:, None] + square[nodes] - 2 * (vectors[queries] @ vectors[nodes].T)
+                    d[ids[queries][:, None] == ids[nodes]] = np.inf
+                    m = min(n, len(nodes))
+                    near = np.argpartition(d, m - 1, axis=1)[:, :m]
+                    value = np.take_along_axis(d, near, 1)
+                    i, j = np.nonzero(value < np.inf)
+                    found.append((ids[queries][i], ids[nodes][near[i, j]], np.maximum(value[i, j], 0)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["q", "node", "d"])
+
+    return scan
+
+
 def _distances(coder: Coder):
     """q, node, code of q, code of node -> q, node, d."""
 
@@ -232,9 +279,10 @@ class Graph:
             raise ValueError(f"vectors of {size['low']} and of {size['high']} components")
         self.n, dim = size["n"], size["high"] or 0
         self.seed = seed
-        self.coder = _fitted(nodes, self.n, dim, seed) or Coder(np.zeros((1, max(1, dim))))
+        sample = _sample(nodes, self.n, dim, seed)
+        self.coder = Coder(sample, seed)
         self.codes = scratch.write(nodes.select("id", "embedding").mapInArrow(_codes(self.coder), "id long, code binary"))
-        self.edges = scratch.write(self._best(self._start(tables, leaf, dim, seed)))
+        self.edges = scratch.write(self._best(self._start(tables, leaf, self.coder.scaled(sample), seed)))
         for turn in range(rounds):
             new = scratch.write(self._round(turn))
             changed = new.agg(F.sum("new")).first()[0] or 0
@@ -251,27 +299,41 @@ class Graph:
         rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "nbr"))
         return once.withColumn("rank", rank).where(F.col("rank") <= self.k).drop("rank")
 
-    def _start(self, tables: int, leaf: int, dim: int, seed: int) -> DataFrame:
-        """Pairs within the buckets of random-hyperplane tables and within groups by hash."""
-        bits = max(0, int(np.ceil(np.log2(max(1, self.n / leaf)))))
-        planes = np.random.default_rng(seed).normal(size=(tables, bits, dim)).astype(np.float32)
-
-        coder = self.coder
+    def _cells(self, probes: int = 1, split: bool = True):
+        """id, code -> b, id, code: the buckets of each table that hold an id, or ``probes`` of them, the nearest ones; unless split, by pivots alone."""
+        coder, pivots, planes = self.coder, self.pivots, self.planes
+        tables, bits = len(pivots), planes.shape[1] if split else 0
 
-        def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, 4096):
                 if not batch.num_rows:
                     continue
                 v = coder.decode(batch.column(1))
                 for t in range(tables):
-                    side = (v @ planes[t].T > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(side * tables + t), batch.column(0), batch.column(1)], ["b", "id", "code"])
-
-        dealt = self.codes.mapInArrow(bucket, "b long, id long, code binary")
+                    far = (pivots[t] ** 2).sum(axis=1) - 2 * (v @ pivots[t].T)
+                    nearest = np.argmin(far, axis=1)[:, None] if probes == 1 else np.argpartition(far, probes - 1, axis=1)[:, :probes]
+                    side = nearest << bits
+                    if bits:
+                        side = side + ((v @ planes[t].T > 0) @ (1 << np.arange(bits, dtype=np.int64)))[:, None]
+                    row = pa.array(np.repeat(np.arange(len(v)), probes))
+                    yield pa.RecordBatch.from_arrays([pa.array(side.ravel() * tables + t), batch.column(0).take(row), batch.column(1).take(row)], ["b", "id", "code"])
+
+        return scan
+
+    def _start(self, tables: int, leaf: int, sample: np.ndarray, seed: int) -> DataFrame:
+        """Pairs within the buckets of tables and within groups by hash."""
+        dim = sample.shape[1]
+        rng = np.random.default_rng(seed)
+        most = max(1, min(len(sample), PIVOTS, PIVOT_BYTES // (8 * dim * tables)))
+        few = min(most, max(1, -(-self.n // leaf)))
+        self.pivots = [sample[rng.choice(len(sample), few, replace=False)] for _ in range(tables)]
+        bits = max(0, int(np.ceil(np.log2(max(1, self.n / leaf / few)))))
+        self.planes = rng.normal(size=(tables, bits, dim))
+        dealt = self.codes.mapInArrow(self._cells(), "b long, id long, code binary")
         parts = dealt.groupBy("b").agg(F.ceil(F.count("*") / (1.5 * leaf)).alias("parts"))
         g = F.xxhash64("b", F.pmod(F.xxhash64("id"), F.col("parts")))
         groups = dealt.join(parts, "b").select(g.alias("g"), "id", "code").unionByName(self.codes.select(self._hand().alias("g"), "id", "code"))
-        return self._compared(groups.withColumn("kth", F.lit(float("inf"))).withColumn("fresh", F.lit(True)), self.k)
+        return self._compared(groups.withColumn("kth", F.lit(float("inf"))).withColumn("fresh", F.lit(True)), self.k if few == 1 and not bits else min(self.k, FIRST))
 
     def _hand(self) -> Column:
         """The group by hash of a node; all are one group where they are few."""
@@ -334,9 +396,24 @@ class Graph:
         hand = self.codes.select(self._hand().alias("g"), "id", "code")
         dealt = asked.join(hand.select("g", F.col("id").alias("q")), "q").join(hand.select("g", F.col("id").alias("node"), "code"), "g").where("node <> q")
         others = dealt.select("q", "node", "own", "code").mapInArrow(_distances(self.coder), "q long, node long, d double")
-        # a pair may come from both, its distance rounded otherwise
+        others = others.unionByName(self._probed(asked))
+        # a pair may come from several, its distance rounded otherwise
         return around, asked, scratch.write(edges.unionByName(others).groupBy("q", "node").agg(F.min("d").alias("d")).withColumn("done", F.lit(0)))
 
+    def _probed(self, asked: DataFrame) -> DataFrame:
+        """q, node, d: the nearest nodes of the cells around each query. A cell is dealt out by hash into parts, of which a query sees a few."""
+        # of few cells few, so that a query isn't compared with most of a small table
+        probes = max(1, min(PROBES, len(self.pivots[0]) // 25))
+        kind = "b long, id long, code binary"
+        cells = self.codes.mapInArrow(self._cells(split=False), kind)
+        parts = cells.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts"))
+        nodes = cells.join(parts, "b").select("b", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "code", F.lit(False).alias("asked"))
+        seen = asked.select(F.col("q").alias("id"), F.col("own").alias("code")).mapInArrow(self._cells(probes, split=False), kind).join(parts, "b")
+        turn = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.least("parts", F.lit(PARTS))), lambda i: F.pmod(F.xxhash64("id", F.lit(1)) + i, F.col("parts"))))
+        groups = nodes.unionByName(seen.select("b", turn.alias("part"), "id", "code", F.lit(True).alias("asked")))
+        rows = groups.select(F.xxhash64("b", "part").alias("g"), "id", "code", "asked").repartition("g").sortWithinPartitions("g")
+        return rows.mapInArrow(_seen(FIRST, self.coder), "q long, node long, d double")
+
 
 def nearest(df: DataFrame, is_query: Column, n: int = 10, key: str = "vec_id", embedding: str = "embedding", rerank: int = RERANK, beam: int = BEAM, hops: int = HOPS, **graph) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance): the n nearest rows found for each row of df that
@@ -370,12 +447,13 @@ def nearest(df: DataFrame, is_query: Column, n: int = 10, key: str = "vec_id", e
         found = own.search(starts, beam * wider, hops)
         best = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
         near = found.withColumn("r", best).where(F.col("r") <= max(rerank, 2 * n) * wider).select("q", "node")
-        others = starts.crossJoin(F.broadcast(lowest))
-        out = answered(near.unionByName(starts.select("q", F.col("q").alias("node"))).unionByName(others).distinct())
         got = recall.of(near)
         if got >= TARGET:
             break
-    if got < LEAST:
+    if got >= LEAST:
+        others = starts.crossJoin(F.broadcast(lowest))
+        out = answered(near.unionByName(starts.select("q", F.col("q").alias("node"))).unionByName(others).distinct())
+    else:
         out = answered(scratch.write(_compared_with_all(starts, nodes, own.coder, n + 1, scratch)).unionByName(starts.select("q", F.col("q").alias("node"))).distinct())
     made = out.unionByName(_missed(rows, out, n, scratch))
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
